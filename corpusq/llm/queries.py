@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, mixing, quality, secrets
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dup, quality, secrets
 from .shared import table
 
 
@@ -49,6 +49,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -56,4 +64,6 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dup": op7_near_dup,
+    "op8_html": op8_html,
 }
