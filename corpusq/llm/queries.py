@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dup, quality, secrets
+from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dup, quality, secrets, toxicity
 from .shared import table
 
 
@@ -57,6 +57,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -66,4 +70,5 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dup": op7_near_dup,
     "op8_html": op8_html,
+    "op9_toxicity": op9_toxicity,
 }
