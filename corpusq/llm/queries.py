@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, licenses, mixing, near_dup, quality, secrets, toxicity
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    language_model,
+    licenses,
+    mixing,
+    near_dup,
+    quality,
+    secrets,
+    toxicity,
+)
 from .shared import table
 
 
@@ -61,6 +72,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -71,4 +86,5 @@ QUERIES = {
     "op7_near_dup": op7_near_dup,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
+    "op10_lm": op10_lm,
 }
