@@ -1 +1,3 @@
 """Registered queries."""
+
+from corpusq.plans import retrieval  # noqa: F401
