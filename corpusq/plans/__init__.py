@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from corpusq.plans import analytics, retrieval  # noqa: F401
+from corpusq.plans import analytics, chunks, retrieval  # noqa: F401
