@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from corpusq.plans import analytics, chunks, graphs, operations, retrieval  # noqa: F401
+from corpusq.plans import analytics, chunks, contexts, graphs, operations, retrieval  # noqa: F401
