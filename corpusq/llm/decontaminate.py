@@ -24,7 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_scan
+from .shared import arrow_filter, arrow_scan, fresh
 from .tokens import ALNUM, as_bytes
 
 WINDOW = 13
@@ -91,11 +91,16 @@ def covered(spans: list[int]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted names), contaminated per row."""
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Named items, and the number of shards that keep a shard's tables small."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = 1 + letters // (4 * SHARD_WORDS)
+    return items, 1 + letters // (4 * SHARD_WORDS)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted names), contaminated per row."""
+    items, shards = _items(benchmark)
     shard = F.pmod(F.xxhash64("item", "text"), F.lit(shards))
 
     rows = docs.select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
@@ -130,11 +135,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, all columns as they came."""
-    bad = (
-        decontaminate(docs, benchmark, size)
-        .where("contaminated")
-        .select(F.col("doc_id").alias("__id"))
-        .distinct()
-    )
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    """The documents that are not contaminated, all columns as they came.  With
+    one shard texts are judged where they are; with more, ids are joined."""
+    items, shards = _items(benchmark)
+    if shards > 1:
+        name = fresh(docs, "__id")
+        bad = decontaminate(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(matchers([(r.item, r.text) for r in items.toLocalIterator()], size))
+
+    def clean(texts: list[str | None]) -> list[bool]:
+        out = []
+        for text in texts:
+            words, spans = words_of(text), []
+            for m in sent.value:
+                m.search(words, spans, set())
+            hit = covered(spans)
+            out.append(not (hit and SHARE * hit >= len(words)))
+        return out
+
+    return arrow_filter(docs, clean)

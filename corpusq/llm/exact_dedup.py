@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, join_sized, small
+from .shared import cut, fresh, join_sized, small
 
 PREFIX_CHARS = 64
 
@@ -77,13 +77,14 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The documents without exact copies, all columns as they came.
 
-    Only the rows of duplicate groups are decided by the join; the text itself
-    is not shuffled.
+    Rows meet one row per duplicate group; while those are few enough to send to
+    every executor the texts stay where they are.
     """
+    sha, keep = fresh(docs, "__sha"), fresh(docs, "__keep")
     groups = cut(duplicate_groups(docs, prefix_chars), "dedup-groups").select(
-        F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")
+        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)
     )
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    joined = join_sized(rows, groups, ["__sha"], "left_outer")
-    stays = F.col("__keep").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep"))
-    return joined.where(stays).select(*[joined[f"`{c}`"] for c in docs.columns])
+    rows = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    joined = join_sized(rows, groups, [sha], "left_outer")
+    stays = F.col(keep).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))
+    return joined.where(stays).select(*[f"`{c}`" for c in docs.columns])

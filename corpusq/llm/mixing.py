@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, fresh
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -83,10 +83,16 @@ def mix_plan(
     most_copies: int = MOST_COPIES,
     seed: str = SEED,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row per document."""
+    """doc_id, source, size, source_size, target, copies, place (a hash of the
+    text, which with doc_id tells documents apart): one row per document."""
     id_hash = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10)
     sized = cut(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")),
+        docs.select(
+            "doc_id",
+            F.col("source").cast("string").alias("source"),
+            words(F.col("text")).alias("size"),
+            F.xxhash64("text").alias("place"),
+        ),
         "mix-sizes",
     ).select("*", size_class(F.col("size")).alias("class"), id_hash.cast("int").alias("id_hash"))
 
@@ -120,20 +126,24 @@ def mix_plan(
     crossed = F.floor(expected * upto + F.col("offset")) - F.floor(expected * (upto - 1) + F.col("offset"))
     copies = F.when(F.col("size") > 0, F.least(crossed, F.lit(most_copies))).otherwise(F.lit(0))
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")
+        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), "place"
     )
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The documents of the mix: all columns, each row as often as it is taken,
-    with its number among the copies in ``copy_no``.  Rows that share a doc_id
-    must agree in source and text to be taken as planned."""
-    plan = (
+    with its number among the copies in ``copy_no``.  Rows equal in doc_id and
+    text are each taken as often as the one of them that is taken most."""
+    names = {n: fresh(docs, n) for n in ("__id", "__place", "__copies", "copy_no")}
+    plan = cut(
         mix_plan(docs, **params)
         .where("copies > 0")
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("copies").alias("__copies"))
+        .groupBy(F.col("doc_id").alias(names["__id"]), F.col("place").alias(names["__place"]))
+        .agg(F.max("copies").alias(names["__copies"])),
+        "mix-plan",
     )
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    copy_no = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_no")
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], copy_no)
+    joined = docs.join(
+        plan, docs["doc_id"].eqNullSafe(plan[names["__id"]]) & (F.xxhash64(docs["text"]) == plan[names["__place"]])
+    )
+    copy_no = F.explode(F.sequence(F.lit(1), F.col(names["__copies"]).cast("int"))).alias(names["copy_no"])
+    return joined.select(*[f"`{c}`" for c in docs.columns], copy_no)

@@ -8,7 +8,7 @@ score of a text is the logistic of the difference of its log densities
 All labelled rows are used: each partition sends sums of the statistics and of
 their products (fixed size), which Spark adds up; only those sums, some three
 hundred numbers a class, reach the driver.  The statistics of all texts are
-written once, so every text is read once.
+written as a narrow table, which labels join and which is scored.
 
 * null text counts as empty; an empty text has all-zero statistics and a score
   like any other;
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_scan, crc_mod, cut
+from .shared import arrow_filter, arrow_scan, crc_mod, cut
 from .tokens import SPACED, as_bytes, word_hashes
 
 SHRINK_POOLED = 0.2  # share of the pooled covariance in a class covariance
@@ -132,8 +132,8 @@ def fit(features: DataFrame, labels: DataFrame, label: str, training) -> Discrim
     return Discriminant({k: (v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)) for k, v in total.items()})
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted per row; learnt from training labels only."""
+def _fitted(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, Discriminant]:
+    """Statistics of all documents (a written table) and the model learnt from them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = cut(
         arrow_scan(
@@ -143,12 +143,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
         ),
         "quality-features",
     )
-    model = fit(features, labels, label, lambda i: crc_mod(i, FOLDS) != HELD_OUT)
+    return features, fit(features, labels, label, lambda i: crc_mod(i, FOLDS) != HELD_OUT)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, held_out, score, predicted per row; learnt from training labels only."""
+    features, model = _fitted(docs, labels, label)
 
     def step(c):
         x = np.array(c["x"]).reshape(-1, len(FEATURES))
         return {"doc_id": c["doc_id"], "score": model.score(x)}
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     scored = arrow_scan(features, step, f"doc_id {kind}, score double")
     return scored.select(
         "doc_id",
@@ -158,9 +164,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     )
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted to be of low quality, columns as they came."""
-    bad = (
-        quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__id")).distinct()
-    )
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+def drop_low_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The documents that are not predicted to be of low quality, columns as they
+    came.  Texts are scored again where they are, so none is shuffled."""
+    _, model = _fitted(docs, labels, label)
+    return arrow_filter(docs, lambda texts: (model.score(statistics(texts)) >= 0.5).tolist())
