@@ -17,8 +17,8 @@ and again for the rest.  The weights have a fixed size (``BUCKETS`` x
 ``CLASSES`` floats) whatever the corpus.
 
 Token counts are exact over all training documents.  A token is represented by
-a 64-bit hash of its bytes.  The ``FREQUENT`` most frequent counts are sent to
-the tasks (a fixed number of rows); all other tokens of a document become rows
+a 64-bit hash of its bytes.  The counts of up to ``FREQUENT`` most frequent
+tokens are sent to the tasks; all other tokens of a document become rows
 that meet the counts in a join and are added up by document.
 
 * null text counts as empty: one end token;
@@ -244,6 +244,21 @@ def token_counts(training: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The tokens above a count that at most ``FREQUENT`` tokens exceed, by the
+    sizes of the sixteenths of octaves of counts (a few hundred rows): no task
+    sends more than its share of them."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect()
+    taken, lowest = 0, 1 << 30
+    for r in sorted(sizes, key=lambda r: -r.step):
+        taken += r.v
+        if taken > FREQUENT:
+            break
+        lowest = r.step
+    return counts.where(step >= lowest)
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -268,8 +283,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     model.bias = np.log(sizes / sizes.sum()).astype(np.float32)
     train(training, model)
 
-    bar = counts.orderBy(F.desc("n"), "token").limit(FREQUENT)
-    frequent = bar.select("token", "n").toPandas().sort_values("token")
+    frequent = _frequent(counts).select("token", "n").toPandas().sort_values("token")
     tables = (model, frequent["token"].to_numpy(), np.log10(frequent["n"].to_numpy() + 1.0))
     sent = docs.sparkSession.sparkContext.broadcast(tables)
 
