@@ -72,7 +72,7 @@ def redundant(text_a: Column, text_b: Column, set_a: Column, set_b: Column, leas
 
 def unique_strings(c: Column) -> Column:
     """Trimmed non-empty strings, the first of those equal without case kept, in order."""
-    clean = F.filter(F.transform(c, F.trim), lambda s: F.length(s) > 0)
+    clean = F.filter(F.transform(c, lambda t: F.trim(t)), lambda s: F.length(s) > 0)
     return F.filter(
         clean,
         lambda s, i: F.array_position(F.transform(clean, F.lower), F.lower(s)) == (i + 1).cast("long"),
@@ -87,7 +87,7 @@ def expand_query(c: Column, most: int = 5) -> Column:
     quoted = F.filter(F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1)), lambda s: F.length(s) >= 3)
     parts = F.split(c, r"[,;:，；：、]")
     separated = F.when(
-        F.size(parts) > 1, F.filter(F.transform(parts, F.trim), lambda s: F.length(s) >= 5)
+        F.size(parts) > 1, F.filter(F.transform(parts, lambda t: F.trim(t)), lambda s: F.length(s) >= 5)
     ).otherwise(F.array().cast("array<string>"))
     prefix = "(?i)^(" + "|".join(QUESTION_PREFIXES) + r")\s+"
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), prefix, ""), r"[?？]+$", ""))
@@ -125,7 +125,7 @@ def tokens_for_context(c: Column) -> Column:
 def wiki_slug(c: Column) -> Column:
     """Lower case, white space to hyphens, other signs to hyphens, 160 characters, or ``page``."""
     spaced = F.regexp_replace(F.lower(F.trim(c)), r"\s+", "-")
-    clean = F.regexp_replace(F.regexp_replace(spaced, r"[^\p{L}\p{N}_/-]+", "-"), r"^-+|-+$", "")
+    clean = F.regexp_replace(F.regexp_replace(spaced, r"[^0-9a-zA-Z\x{4e00}-\x{9fff}/_-]+", "-"), r"^-+|-+$", "")
     cut = F.substring(clean, 1, 160)
     return F.when(F.length(cut) == 0, F.lit("page")).otherwise(cut)
 
@@ -137,7 +137,7 @@ def view_slug(c: Column) -> Column:
 
 def wiki_links(c: Column) -> Column:
     """Slugs of the [[slug|label]] links of a page, in order."""
-    return F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda t: F.trim(t))
 
 
 def replace_dead_links(c: Column, known: Column) -> Column:
@@ -204,7 +204,7 @@ def replace_names(c: Column, names: Mapping[str, str]) -> Column:
 
 def csv_list(c: Column) -> Column:
     """Trimmed non-empty items of a comma-separated list, first of equals kept."""
-    return F.array_distinct(F.filter(F.transform(F.split(c, ","), F.trim), lambda s: F.length(s) > 0))
+    return F.array_distinct(F.filter(F.transform(F.split(c, ","), lambda t: F.trim(t)), lambda s: F.length(s) > 0))
 
 
 def usage_field(props: Column, *paths: str) -> Column:

@@ -48,22 +48,18 @@ class Config:
 
 def fixed_windows(text: str, size: int = 512, overlap: int = 80) -> list[Span]:
     """Windows of about ``size`` that end after a line or a full stop where one
-    lies in their last two thirds; a short tail joins the last window."""
-    spans, start, n = [], 0, len(text)
+    lies in their last two thirds; a short tail joins the window before it."""
+    n, third = len(text), size // 3
     tail = max(overlap, min(128, size // 4))
+    spans, start = [], 0
     while start < n:
         end = min(start + size, n)
-        if end < n:
-            mark = max(text.rfind("\n", start, end), text.rfind("。", start, end))
-            if mark > start + size // 3:
-                end = mark + 1
-            if n - end < tail:
-                end = n
+        mark = max(text.rfind(c, start, end) for c in "\n。")
+        end = mark + 1 if mark > start + third else end
+        end = n if n - end < tail else end
         spans.append((start, end))
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return spans
+        start = n if end == n else max(end - overlap, start + 1)
+    return [(a, b) for a, b in spans if text[a:b].strip()]
 
 
 _PROTECTED = re.compile(r"```.*?(?:```|\Z)|\$\$.*?\$\$|\$[^$\n]+\$|!?\[[^\]\n]*\]\([^)\n]*\)", re.DOTALL)

@@ -14,16 +14,17 @@ SQL_CHUNKS = """RECURSIVE cut AS (
   SELECT doc_id, text, length(text) AS n, 0 AS i, 0 AS s FROM documents WHERE length(text) > 0
   UNION ALL SELECT doc_id, text, n, i + 1, greatest(e - 80, s + 1) FROM (SELECT *,
     CASE WHEN e1 < n AND n - e1 < 128 THEN n ELSE e1 END AS e FROM (SELECT *,
-      CASE WHEN e0 < n AND m > s + 170 THEN m + 1 ELSE e0 END AS e1 FROM (SELECT *, greatest(
+      CASE WHEN m > s + 170 THEN m + 1 ELSE e0 END AS e1 FROM (SELECT *, greatest(
         CASE WHEN contains(seg, chr(10)) THEN s + length(seg) - strpos(reverse(seg), chr(10)) ELSE -1 END,
         CASE WHEN contains(seg, '。') THEN s + length(seg) - strpos(reverse(seg), '。') ELSE -1 END) AS m
         FROM (SELECT *, least(s + 512, n) AS e0, substr(text, s + 1, least(s + 512, n) - s) AS seg FROM cut)))) WHERE e < n),
 chunks AS (SELECT doc_id, i AS chunk_index, s AS start_at, CASE WHEN e1 < n AND n - e1 < 128 THEN n ELSE e1 END AS end_at, text FROM (SELECT *,
-      CASE WHEN e0 < n AND m > s + 170 THEN m + 1 ELSE e0 END AS e1 FROM (SELECT *, greatest(
+      CASE WHEN m > s + 170 THEN m + 1 ELSE e0 END AS e1 FROM (SELECT *, greatest(
         CASE WHEN contains(seg, chr(10)) THEN s + length(seg) - strpos(reverse(seg), chr(10)) ELSE -1 END,
         CASE WHEN contains(seg, '。') THEN s + length(seg) - strpos(reverse(seg), '。') ELSE -1 END) AS m
         FROM (SELECT *, least(s + 512, n) AS e0, substr(text, s + 1, least(s + 512, n) - s) AS seg FROM cut)))),
-c AS (SELECT doc_id, chunk_index, start_at, end_at, trim(substr(text, start_at + 1, end_at - start_at), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM chunks)"""
+c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_at) - 1)::INT AS chunk_index, start_at, end_at, content FROM (
+  SELECT *, trim(substr(text, start_at + 1, end_at - start_at), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM chunks) WHERE content <> '')"""
 
 
 def _docs(spark, sf_dir):

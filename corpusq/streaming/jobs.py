@@ -118,7 +118,15 @@ def seen_before(results: DataFrame) -> DataFrame:
 
 
 def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is available and give the result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    query.trigger(availableNow=True).start().awaitTermination()
+    """Run a stream over what is available and give the result as a table.
+    Batches without data are off, as a job with processing-time timeouts would
+    ask for them for ever."""
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(key, before)
     return stream.sparkSession.table(name)
