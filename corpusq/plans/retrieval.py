@@ -276,6 +276,48 @@ def signature_dedupe(spark, sf_dir):
     return fusion.signature_dedupe(hits).select("query_id", "id", "rank")
 
 
+@query("context_groups", f"{SQL_HITS} SELECT query_id, count(DISTINCT kb_id) AS n_groups FROM hits GROUP BY 1")
+def context_groups(spark, sf_dir):
+    """Distinct knowledge bases, as parents, among a query's hits."""
+    return fusion.context_groups(_hits(spark, sf_dir).withColumn("parent_id", F.col("kb_id")))
+
+
+@query(
+    "substring_index",
+    f"""WITH {SQL_DOCS}, q AS (SELECT item_id AS query_id, unnest(({sql_tokens("text")})[1:5]) AS term FROM benchmark),
+    t AS (SELECT DISTINCT query_id, term FROM q WHERE length(term) > 1), w AS (SELECT DISTINCT term FROM t),
+    h AS (SELECT doc_id, term, ((length(low) - length(replace(low, term, ''))) // length(term)) * length(term) AS part
+      FROM (SELECT doc_id, lower(text) AS low FROM docs) JOIN w ON contains(low, term))
+    SELECT query_id, doc_id, sum(part)::DOUBLE AS score FROM h JOIN t USING (term) GROUP BY ALL""",
+)
+def substring_index(spark, sf_dir):
+    """Scores of the lexical index by substrings, for every query and document that share one."""
+    return lexical.substring_scores(model.documents(spark, sf_dir), model.queries(spark, sf_dir))
+
+
+@query(
+    "document_headers",
+    f"""{SQL_HITS}, f AS (SELECT query_id, kb_id, min(rank) AS rank FROM hits GROUP BY ALL)
+    SELECT query_id, kb_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM f""",
+)
+def document_headers(spark, sf_dir):
+    """Sources of a query's hits in the order of their first hit."""
+    from pyspark.sql import Window as W
+
+    first = _hits(spark, sf_dir).groupBy("query_id", "kb_id").agg(F.min("rank").alias("rank"))
+    w = W.partitionBy("query_id").orderBy("rank")
+    return first.select("query_id", "kb_id", F.row_number().over(w).alias("position"))
+
+
+@query("expanded_queries")
+def expanded_queries(spark, sf_dir):
+    """Variants of the benchmark texts, taken as questions."""
+    from corpusq.functions.text import expand_query
+
+    items = model.read(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("query_id"), F.explode(expand_query(F.col("text"))).alias("variant"))
+
+
 @query("mmr_select")
 def mmr_select(spark, sf_dir):
     hits = _hits(spark, sf_dir).withColumn("tokens", token_set(F.col("text")))
