@@ -18,11 +18,13 @@ coefficient of their sets is 0.8 or more.
    that class and with each other, block by block, by the same pruning and
    exact verification; new links join the classes.  So no link between classes
    is lost because a bucket was large.
+6. Members of large buckets are compared with all others of their final class,
+   block against block and each pair once, by exact shared-shingle counts.  The
+   links are counted in the task, so no list of pairs is ever made.
 
 * ``class_id``: smallest doc_id of the connected texts; ``text_id``: smallest
   doc_id with the same shingle set; ``n_copies``: rows with that set;
-  ``n_links``: other texts with a verified link.  In groups larger than
-  ``PAIR_LIMIT`` links inside a class are those to its hub, not all pairs.
+  ``n_links``: other texts with a verified link, in groups of any size.
 * a text of fewer than five words has one shingle of all its words; null and
   empty texts and texts without words have none, link to nothing and are each
   their own class, as are rows with a null doc_id (``class_id`` null);
@@ -32,6 +34,7 @@ coefficient of their sets is 0.8 or more.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -49,6 +52,7 @@ STEP = 16
 TOLERANCE = 1e-6
 PAIR_LIMIT = 32
 BLOCK_BYTES = 1 << 20
+COLUMNS = 2048
 
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -234,14 +238,16 @@ def _verified(candidates: DataFrame, nodes: DataFrame, threshold: float) -> Data
     return arrow_scan(with_both(pruned, "shingles").select("a", "b", "sa", "sb"), verify, "a long, b long")
 
 
-def _blocks(members: DataFrame, nodes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _blocks(
+    members: DataFrame, nodes: DataFrame, name: str, fields: tuple[str, ...] = ("node", "sig", "shingles")
+) -> tuple[DataFrame, DataFrame]:
     """((g, part, name): the members of each g in lists of about BLOCK_BYTES;
     (g, k): how many lists each g has)."""
-    full = members.join(nodes.select("node", "sig", "shingles"), "node")
+    full = members.join(nodes.select(*fields), "node")
     size = F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).alias("k")
     counts = cut(full.groupBy("g").agg(size), f"{name}-counts")
     dealt = join_sized(full, counts, ["g"], "inner").withColumn("part", F.pmod(F.xxhash64("node"), "k"))
-    lists = dealt.groupBy("g", "part").agg(F.collect_list(F.struct("node", "sig", "shingles")).alias(name))
+    lists = dealt.groupBy("g", "part").agg(F.collect_list(F.struct(*fields)).alias(name))
     return lists, counts
 
 
@@ -282,8 +288,78 @@ def _rest_links(rest: DataFrame, members: DataFrame, nodes: DataFrame, threshold
     return arrow_scan(met, step, "a long, b long").distinct()
 
 
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each of ``b``, by products
+    of 0/1 matrices over ``COLUMNS`` shingles at a time."""
+    words = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(words):
+        return out
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.concatenate(sets)
+        column = np.searchsorted(words, joined)
+        hit = words[np.minimum(column, len(words) - 1)] == joined
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], column[hit]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    def matrix(row: np.ndarray, column: np.ndarray, n: int, begin: int) -> np.ndarray:
+        s, e = np.searchsorted(column, (begin, begin + COLUMNS))
+        ones = np.zeros((n, min(COLUMNS, len(words) - begin)), np.float32)
+        ones[row[s:e], column[s:e] - begin] = 1
+        return ones
+
+    of_a, of_b = places(a), places(b)
+    for begin in range(0, len(words), COLUMNS):
+        out += matrix(*of_a, len(a), begin) @ matrix(*of_b, len(b), begin).T
+    return out
+
+
+def _link_counts(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(node, n): verified links of each member to the other members of its g,
+    all pairs, block against block."""
+
+    def step(c):
+        node, n = [], []
+        for left, right, same in zip(c["left"], c["right"], c["same"]):
+            one = [np.frombuffer(m["shingles"], np.uint64) for m in left]
+            two = one if same else [np.frombuffer(m["shingles"], np.uint64) for m in right]
+            common = common_counts(one, two).astype(np.float64)
+            sizes = np.array([len(s) for s in one])[:, None] + np.array([len(s) for s in two])[None, :]
+            linked = common >= threshold * (sizes - common)
+            if same:
+                np.fill_diagonal(linked, False)
+            else:
+                node += [m["node"] for m in right]
+                n += linked.sum(axis=0).tolist()
+            node += [m["node"] for m in left]
+            n += linked.sum(axis=1).tolist()
+        return {"node": node, "n": n}
+
+    lists, counts = _blocks(members, nodes, "block", ("node", "shingles"))
+    lists = cut(lists, "count-blocks")
+    # each two blocks meet once; every block meets about half of the others from its side
+    numbers = (
+        counts.select("g", "k", F.explode(F.expr("sequence(0, k - 1)")).alias("i"))
+        .select("g", "k", "i", F.explode(F.expr("sequence(0, k div 2)")).alias("d"))
+        .where("not (d > 0 and 2 * d = k and 2 * i >= k)")
+        .select("g", "i", F.expr("(i + d) % k").alias("j"))
+        .repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "i", "j")
+    )
+    one = numbers.join(lists.select("g", F.col("part").alias("i"), F.col("block").alias("left")), ["g", "i"])
+    met = one.join(lists.select("g", F.col("part").alias("j"), F.col("block").alias("right")), ["g", "j"])
+    found = arrow_scan(met.select("left", "right", (F.col("i") == F.col("j")).alias("same")), step, "node long, n long")
+    return found.groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, text_id, n_copies, n_links: one row per input row."""
+    return _near(docs, threshold, counted=True)
+
+
+def _near(docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
+    """The columns of near_duplicates, n_links only where it is wanted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(_signed(docs), "signed")
     known = signed.where("h1 is not null and doc_id is not null")
@@ -320,7 +396,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = cut(_verified(_candidates(shared, hubs), nodes, threshold), "first-links")
     classes = components(links)
 
-    if not hubs.isEmpty():
+    crowded = not hubs.isEmpty()
+    if crowded:
         classes = cut(classes, "classes")
 
         def class_of(name: str) -> DataFrame:
@@ -342,12 +419,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             links = cut(links.unionByName(_rest_links(rest, members, nodes, threshold)).distinct(), "links-of-rest")
             classes = components(links)
 
-    degree = (
-        links.select(F.col("a").alias("node"))
-        .unionAll(links.select(F.col("b").alias("node")))
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("n_links"))
-    )
+    ends = [links.select(F.col(x).alias("node"), F.lit(1).cast("long").alias("n")) for x in ("a", "b")]
+    if crowded and counted:
+        # pairs of two members of large buckets are counted whole, the others by their links
+        classes = cut(classes, "all-classes")
+        crowd = cut(shared.where(F.col("size") > PAIR_LIMIT).select("node").distinct(), "crowd")
+        placed = classes.join(crowd, "node", "left_semi").select(F.col("comp").alias("g"), "node")
+        several = placed.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
+        members = cut(placed.join(several, "g", "left_semi").distinct(), "crowd-classes")
+        known_a, known_b = (crowd.select(F.col("node").alias(x), F.lit(True).alias(f"in_{x}")) for x in ("a", "b"))
+        other = links.join(known_a, "a", "left").join(known_b, "b", "left").where("in_a is null or in_b is null")
+        ends = [other.select(F.col(x).alias("node"), F.lit(1).cast("long").alias("n")) for x in ("a", "b")]
+        ends.append(cut(_link_counts(members, nodes, threshold), "link-counts"))
+    degree = reduce(DataFrame.unionAll, ends).groupBy("node").agg(F.sum("n").alias("n_links"))
     summary = (
         texts.drop("sig").join(classes, "node", "left").join(degree, "node", "left")
     )
@@ -365,7 +449,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that with the smallest doc_id; columns as they came."""
     name = fresh(docs, "__id")
-    found = near_duplicates(docs, threshold)
+    found = _near(docs, threshold, counted=False)
     dropped = cut(found.where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
     few = F.broadcast(dropped) if small(dropped) else dropped
     return docs.join(few, docs["doc_id"].cast("long") == few[name], "left_anti")

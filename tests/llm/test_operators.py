@@ -97,6 +97,30 @@ def test_large_buckets_lose_no_class(spark, monkeypatch):
     assert out == brute.near_classes(rows)[0]
 
 
+def test_large_buckets_count_all_links(spark, monkeypatch):
+    """With small buckets treated as large and blocks of a few texts, n_links stay those of all pairs."""
+    draw = random.Random(9)
+    base = _prose(draw, 200).split()
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(draw.randrange(0, 4)):
+            text[draw.randrange(len(text))] = f"x{draw.randrange(99)}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, t) for i, t in _near_rows()]
+    monkeypatch.setattr(near_dup, "PAIR_LIMIT", 2)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 8000)
+    monkeypatch.setattr(near_dup, "COLUMNS", 50)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(brute.shingles(t) or i, i)
+    node = {i: texts[brute.shingles(t) or i] for i, t in rows}
+    different = {tuple(sorted((node[a], node[b]))) for a, b in brute.near_classes(rows)[1] if node[a] != node[b]}
+    expected = {i: sum(node[i] in p for p in different) for i, _ in rows}
+    assert max(expected.values()) > 20
+    assert {r.doc_id: r.n_links for r in near_dup.near_duplicates(_frame(spark, rows)).collect()} == expected
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     limits = near_dup.needed()
     draw = np.random.default_rng(1)
