@@ -1,18 +1,24 @@
 """HTML extraction by nearest-URL page differencing.
 
 Pages are ordered by host and URL path, so that the pages around one are its
-nearest by path within the host.  Each page is paired with the neighbour that
-shares the longer stretch of path, unless that one is a copy (most of its
-lines are shared) and the other is not.  The text lines of the two pages are
-aligned by their longest common subsequence.  Lines that stand in both are
-what the site repeats and are deleted, except inside the page's article: a
-passage that two articles quote is text of both.  Where a page marks its
-article (``article`` or ``main``) its lines are the result; elsewhere the
-lines outside menus, forms and the like that no neighbour shares are.
+nearest by path within the host.  The text lines of a page are aligned with
+those of up to ``REACH`` pages on either side by their longest common
+subsequence.  Pages with the same lines are copies: a copy of the page is not
+compared with it, and copies of a neighbour count once.
+
+* A line that at least ``LEAST`` and most of the neighbours share is what the site
+  repeats.  It is deleted inside the page's article (``article`` or ``main``)
+  too.  A passage that fewer share is a quotation, text of both pages.  Where
+  such lines are more than half of the text, the neighbours are versions of the
+  page, not its frame, and nothing is deleted for them.
+* Where a page marks its article, the other lines of it are the result.
+  Elsewhere they are the lines outside menus, forms and the like, without those
+  that the neighbour with the longest common path shares; a neighbour that
+  shares most of the page is passed over for the next.
 
 The order is by range, not by group: a host of any size spreads over many
-tasks, and a task holds three pages at a time.  A page at the edge of a range
-has one neighbour there.
+tasks, and a task holds ``2 * REACH + 1`` pages at a time.  Pages at the edge of
+a range have neighbours on one side.
 
 * null html counts as empty: text "" and n_chars 0; a null url is a page of the
   host "" and path "";
@@ -25,7 +31,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
 from os.path import commonprefix
@@ -60,6 +66,11 @@ NAMES = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+#: Neighbours on either side that a page is compared with.
+REACH = 3
+#: Neighbours that share a line of the frame, at least.
+LEAST = 3
+
 
 class Line(NamedTuple):
     text: str
@@ -183,26 +194,36 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
-def _repeated(page: Page, others: list[Page | None]) -> set[int]:
-    """Lines of a page that the site repeats, by its nearest page that is no copy."""
+def _alignments(page: Page, others: list[Page | None]) -> list[set[int]]:
+    """Lines of a page that each neighbour shares, nearest by path first."""
     texts = [x.text for x in page.lines]
     near = [o for o in others if o is not None and o.host == page.host]
     near.sort(key=lambda o: -len(commonprefix([o.path, page.path])))
+    out, seen = [], {tuple(texts)}
     for other in near:
-        shared = shared_lines(texts, [x.text for x in other.lines])
-        size = sum(map(len, texts))
-        if 2 * sum(len(texts[i]) for i in shared) <= size:
-            return shared
-    return set()
+        lines = tuple(x.text for x in other.lines)
+        if lines not in seen:
+            seen.add(lines)
+            out.append(shared_lines(texts, lines))
+    return out
 
 
 def main_text(page: Page, others: list[Page | None]) -> str:
-    repeated = _repeated(page, others)
-    if any(x.article and not x.furniture for x in page.lines):
-        kept = [x.text for x in page.lines if x.article and not x.furniture]
-    else:
-        kept = [x.text for i, x in enumerate(page.lines) if not x.furniture and i not in repeated]
-    return "\n".join(kept)
+    aligned = _alignments(page, others)
+    marked = any(x.article and not x.furniture for x in page.lines)
+    kept = [i for i, x in enumerate(page.lines) if not x.furniture and (x.article or not marked)]
+
+    def size(lines) -> int:
+        return sum(len(page.lines[i].text) for i in lines)
+
+    counts = Counter(i for shared in aligned for i in shared)
+    frame = {i for i in kept if counts[i] >= LEAST and 2 * counts[i] > len(aligned)}
+    if 2 * size(frame) > size(kept):
+        frame = set()
+    if not marked:
+        whole = size(range(len(page.lines)))
+        frame |= next((shared for shared in aligned if 2 * size(shared) <= whole), set())
+    return "\n".join(page.lines[i].text for i in kept if i not in frame)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -232,18 +253,25 @@ def extract(pages: DataFrame) -> DataFrame:
             text = main_text(page, others)
             done.append((page.page_id, page.url, text, len(text)))
 
-        before: Page | None = None
-        here: Page | None = None
+        window: deque[Page] = deque()
+        at = 0  # place in the window of the next page to settle
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for page_id, url, html, of_host, of_path in zip(*columns):
-                after = Page(page_id, url, of_host, of_path, lines_of(html))
-                if here is not None:
-                    settle(here, [before, after])
-                before, here = here, after
-            yield give()
-        if here is not None:
-            settle(here, [before])
+                window.append(Page(page_id, url, of_host, of_path, lines_of(html)))
+                if len(window) > at + REACH:
+                    settle(window[at], [p for i, p in enumerate(window) if i != at])
+                    if at == REACH:
+                        window.popleft()
+                    else:
+                        at += 1
             yield give()
+        while at < len(window):
+            settle(window[at], [p for i, p in enumerate(window) if i != at])
+            if at == REACH:
+                window.popleft()
+            else:
+                at += 1
+        yield give()
 
     return ordered.mapInArrow(run, typed)

@@ -336,6 +336,21 @@ def test_exact_groups(spark, rows):
 # html
 
 
+def test_frame_inside_the_article_goes_and_quotations_stay(spark):
+    quoted = "A passage that two of the articles quote."
+    own = [f"Story {i} has words of its own, number {i} of them, at some length and to its end." for i in range(9)]
+    body = lambda i: f"<p>{own[i]}</p>" + (f"<p>{quoted}</p>" if i in (4, 5) else "")
+    html = lambda i: f"<article><p>Share this story</p>{body(i)}<p>All rights kept</p></article>"
+    rows = [(i, f"http://h/a/{i}", html(i)) for i in range(9)] + [(20 + i, f"http://v/a/{i}", f"<article><p>{own[0]}</p><p>version {i}</p></article>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract(pages.coalesce(1)).collect()}
+    middle = html_text.Page(4, "u", "h", "/a/4", html_text.lines_of(html(4)))
+    around = [html_text.Page(i, "u", "h", f"/a/{i}", html_text.lines_of(html(i))) for i in (1, 2, 3, 5, 6, 7)]
+    assert html_text.main_text(middle, around) == f"{own[4]}\n{quoted}"
+    assert out[4].split("\n")[:1] == [own[4]] and quoted in out[4] and quoted in out[5]
+    assert [out[20 + i] for i in range(4)] == [f"{own[0]}\nversion {i}" for i in range(4)]
+
+
 def test_article_without_furniture():
     html = """<html><head><title>t</title><style>p{}</style></head><body class="with-sidebar"><header>site</header>
     <div id="cookie-notice">we use cookies</div><main><article><header><h1>Title</h1><span>by x</span></header>
