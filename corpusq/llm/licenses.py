@@ -8,6 +8,14 @@ b distinct bigrams the coefficient 2 * common / (a + b) cannot exceed
 [a * t / (2 - t), a * (2 - t) / t] are pruned before any bigram is compared,
 and segments that no template can match are never split into bigrams.
 
+Notices that are no segment of their own (wrapped over lines, of several
+paragraphs in a longer text, inside a line of prose) are found by windows of
+consecutive words: those with the highest coefficient, of any length and at any
+place, that reach the threshold.  A window that meets a matching segment or a better window,
+or lies in a much longer window that matches, is part of it and does not count.
+Texts are searched for windows only where they hold as many of a template's
+bigrams as a match needs, anywhere.
+
 * null and empty texts match nothing; a segment of one word has no bigram and
   matches nothing;
 * of templates with equal score the one first in order of its name is best;
@@ -16,10 +24,13 @@ and segments that no template can match are never split into bigrams.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .shared import arrow_scan
-from .tokens import as_bytes
+from .tokens import as_bytes, chunks, mix, word_hashes
 
 THRESHOLD = 0.8
 
@@ -56,14 +67,19 @@ def bigrams(words: list[bytes]) -> set[tuple[bytes, bytes]]:
 
 
 def segments(text: str):
-    """The whole text, its paragraphs and its lines, each once."""
-    yield text
+    """The whole text, its paragraphs and its lines, each once, with the number
+    of the piece's kind."""
+    yield 0, text
     paragraphs = text.split("\n\n")
     if len(paragraphs) > 1:
-        yield from paragraphs
+        yield from ((1, x) for x in paragraphs)
     lines = text.split("\n")
     if len(lines) > 1:
-        yield from (x for x in lines if x)
+        yield from ((2, x) for x in lines if x)
+
+
+def bigram_hashes(words: np.ndarray) -> np.ndarray:
+    return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
 
 
 class Licences:
@@ -76,11 +92,37 @@ class Licences:
         self.lowest = min(b[2] for b in self.bounds)
         self.highest = max(b[3] for b in self.bounds)
 
+        hashed = [bigram_hashes(word_hashes([text], _WORDS)[0]) for _, text in sorted(templates)]
+        self.hashes = np.unique(np.concatenate(hashed))
+        self.holds = np.array([np.isin(self.hashes, h) for h in hashed]).T.astype(np.int32)
+        self.hashed = [set(h.tolist()) for h in hashed]
+        self.needed = np.array([low for _, _, low, _ in self.bounds]) * (1 - 1e-9)
+        self.low_bits = np.zeros(1 << 16, bool)
+        self.low_bits[self.hashes & np.uint64(0xFFFF)] = True
+
     def best(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(licence, best Dice, matching segments) of a text, best first."""
+        """(licence, best Dice, matches) of a text, best first."""
+        return self.best_of([text])[0]
+
+    def best_of(self, texts: list[str | None]) -> list[list[tuple[str, float, int]]]:
+        out = []
+        for part in chunks(texts):
+            for text, (grams, candidates) in zip(texts[part], self._candidates(texts[part])):
+                found, covered = self._segments(text or "")
+                for name, score in self._windows(grams, candidates, covered) if len(candidates) else ():
+                    seen = found.setdefault(name, [0.0, 0])
+                    seen[0], seen[1] = max(seen[0], score), seen[1] + 1
+                out.append(sorted(((n, s, k) for n, (s, k) in found.items()), key=lambda x: (-x[1], x[0])))
+        return out
+
+    def _segments(self, text: str) -> tuple[dict[str, list], list[tuple[int, int]]]:
+        """({licence: [best Dice, matching segments]}, their ranges of words)."""
         out: dict[str, list] = {}
-        for segment in segments(text or ""):
+        covered, at = [], [0, 0, 0]
+        for kind, segment in segments(text):
             words = words_of(segment)
+            begin = at[kind]
+            at[kind] += len(words)
             if len(words) - 1 < self.lowest:
                 continue
             grams = bigrams(words)
@@ -92,16 +134,77 @@ class Licences:
                     if score >= self.threshold:
                         seen = out.setdefault(name, [0.0, 0])
                         seen[0], seen[1] = max(seen[0], score), seen[1] + 1
-        return sorted(((n, s, k) for n, (s, k) in out.items()), key=lambda x: (-x[1], x[0]))
+                        covered.append((begin, at[kind]))
+        return out, covered
+
+    def _candidates(self, texts: list[str | None]):
+        """(bigram hashes, templates of which there are enough) of each text."""
+        words, offsets = word_hashes(texts, _WORDS)
+        grams = bigram_hashes(words) if len(words) else words
+        near = np.flatnonzero(self.low_bits[grams & np.uint64(0xFFFF)])
+        place = np.minimum(np.searchsorted(self.hashes, grams[near]), len(self.hashes) - 1)
+        same = self.hashes[place] == grams[near]
+        near, place = near[same], place[same]
+        doc = np.searchsorted(offsets, near, "right") - 1
+        inside = near + 1 < offsets[doc + 1]
+        pairs = np.unique(doc[inside] * len(self.hashes) + place[inside])
+        counts = np.zeros((len(texts), len(self.templates)), np.int32)
+        np.add.at(counts, pairs // len(self.hashes), self.holds[pairs % len(self.hashes)])
+        enough = counts >= self.needed
+        for i in range(len(texts)):
+            yield grams[offsets[i] : max(offsets[i], offsets[i + 1] - 1)], np.flatnonzero(enough[i])
+
+    def _windows(self, grams: np.ndarray, candidates: np.ndarray, covered: list[tuple[int, int]]) -> list[tuple[str, float]]:
+        """(licence, Dice) of the windows that match and are not part of another match."""
+        grams = grams.tolist()
+        after, last = [0] * len(grams), {}
+        for i in range(len(grams) - 1, -1, -1):
+            after[i] = last.get(grams[i], len(grams))
+            last[grams[i]] = i
+        chosen = []
+        for t in candidates:
+            template, size, high = self.hashed[t], len(self.templates[t][1]), self.bounds[t][3]
+            scored = []
+            for i in (i for i, g in enumerate(grams) if g in template):
+                # the best window begins and ends with the template's bigrams, and does not repeat its first
+                seen, common, best = set(), 0, (0.0, 0)
+                for j in range(i, after[i]):
+                    if grams[j] in seen:
+                        continue
+                    seen.add(grams[j])
+                    if len(seen) > high:
+                        break
+                    if grams[j] in template:
+                        common += 1
+                        best = max(best, (2 * common / (len(seen) + size), -j))
+                if best[0] >= self.threshold:
+                    scored.append((-best[0], i, 2 - best[1]))
+            taken: list[tuple[int, int]] = []
+            for score, begin, end in sorted(scored):
+                if all(end <= b or e <= begin for b, e in taken + covered):
+                    taken.append((begin, end))
+                    chosen.append((t, -score, begin, end))
+        whole = [
+            (-score, begin - end, t, begin, end)
+            for t, score, begin, end in chosen
+            if not any(b <= begin and end <= e and e - b > 1.5 * (end - begin) for _, _, b, e in chosen)
+        ]
+        out, taken = [], []
+        for minus, _, t, begin, end in sorted(whole):
+            if all(end <= b or e <= begin for b, e in taken):
+                taken.append((begin, end))
+                out.append((self.templates[t][0], -minus))
+        return out
 
 
 def find_licences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (best, or null), dice (its score, 0 if none), licenses
-    (all, sorted by name, comma-joined), n_segments (matches of all) per row."""
+    (all, sorted by name, comma-joined), n_segments (matches of all, segments and
+    windows) per row."""
     licences = Licences(templates, threshold)
 
     def step(c):
-        found = [licences.best(t) for t in c["text"]]
+        found = licences.best_of(c["text"])
         return {
             "doc_id": c["doc_id"],
             "license": [f[0][0] if f else None for f in found],

@@ -205,6 +205,28 @@ def test_licences_are_found_whole_and_inside(spark):
     assert out[5].license == "ISC"
 
 
+def test_notices_that_are_no_segment_are_found(spark):
+    templates = dict(licenses.TEMPLATES)
+    draw = random.Random(5)
+    prose = lambda: _prose(draw, 300)
+    mit = templates["MIT-text"].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    changed = " ".join(w if i % 25 else "other" for i, w in enumerate(templates["GPL-3.0-header"].split()))
+    rows = [
+        (1, f"{prose()}\n{wrapped}\n{prose()}"),
+        (2, f"{prose()}\n\n{' '.join(mit[:60])}\n\n{' '.join(mit[60:120])}\n\n{' '.join(mit[120:])}\n\n{prose()}"),
+        (3, f"{prose()} Released under the MIT License. {prose()}"),
+        (4, f"{prose()} {changed} {prose()}"),
+        (5, f"{prose()}\nReleased under the MIT License.\n{prose()} released under the MIT license {prose()}"),
+        (6, f"{prose()} {' '.join(mit[:60])} {prose()}"),
+        (7, f"{prose()} {templates['Apache-2.0-header']} {prose()}"),
+    ]
+    out = {r.doc_id: r for r in licenses.find_licences(_frame(spark, rows)).collect()}
+    assert [out[i].licenses for i in range(1, 8)] == ["MIT-text", "MIT-text", "MIT", "GPL-3.0-header", "MIT", "", "Apache-2.0-header"]
+    assert [out[i].n_segments for i in range(1, 8)] == [1, 1, 1, 1, 2, 0, 1]
+    assert out[1].dice == out[2].dice == out[3].dice == 1.0 and 0.8 <= out[4].dice < 1.0
+
+
 @given(st.integers(1, 400), st.integers(1, 400))
 def test_size_bounds_prune_only_what_cannot_match(a, b):
     reach = (2 - licenses.THRESHOLD) / licenses.THRESHOLD
