@@ -119,14 +119,25 @@ def seen_before(results: DataFrame) -> DataFrame:
 
 def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is available and give the result as a table.
-    Batches without data are off, as a job with processing-time timeouts would
-    ask for them for ever."""
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
+    Every batch is written by the executors as Parquet beside the checkpoint,
+    in a folder of its own that a repeated batch writes anew; nothing is kept in
+    the driver.  In complete mode the last batch is the result.  Batches without
+    data are off, as a job with processing-time timeouts would ask for them for
+    ever."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    folder, done = f"{checkpoint.rstrip('/')}-{name}", []
+
+    def write(batch: DataFrame, number: int):
+        path = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        done.append(path)
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
     try:
-        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
         query.trigger(availableNow=True).start().awaitTermination()
     finally:
-        conf.set(key, before)
-    return stream.sparkSession.table(name)
+        spark.conf.set(key, before)
+    paths = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*paths) if paths else spark.createDataFrame([], stream.schema)

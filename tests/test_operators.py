@@ -379,6 +379,21 @@ def test_log_numbers_events_and_ends(spark, tmp_path):
     assert [r.offset for r in jobs.replay(log, "m", 1).collect()] == [1, 2]
 
 
+@pytest.mark.parametrize("mode", ["append", "complete"])
+def test_results_of_streams_stand_in_files(spark, tmp_path, mode):
+    """Not in the memory of the driver; of complete results the last one counts."""
+    src = str(tmp_path / "src")
+    spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, k long").repartition(4).write.parquet(src)
+    stream = spark.readStream.schema("id long, k long").option("maxFilesPerTrigger", 1).parquet(src)
+    rows = stream.groupBy("k").count() if mode == "complete" else stream
+    out = jobs.run_to_memory(rows, f"files_{mode}", mode, str(tmp_path / "ck"))
+    assert out.inputFiles()
+    if mode == "complete":
+        assert sorted(map(tuple, out.collect())) == [(0, 10), (1, 10), (2, 10)]
+    else:
+        assert sorted(r.id for r in out.collect()) == list(range(30))
+
+
 def test_first_sight_and_queue(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("r", "i", "body"), ("r", "i", "body"), ("r", "j", "b")], "run_id string, item_id string, body string").coalesce(1).write.parquet(src)
