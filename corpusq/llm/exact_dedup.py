@@ -1,11 +1,15 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full hash.
 
-Each level keeps only groups of two or more rows and hands their keys, a narrow
-written table, to the next.  The length and prefix levels move a few bytes per
-text; the full text is hashed for surviving groups only.  Everything is a
-built-in expression.
-
-* null text counts as empty; runs of ASCII white space count as one space;
+One scan writes each row's length and prefix hash, a narrow table.  From it come
+the lengths, and of these the pairs of length and prefix, that two or more rows
+share.  The surviving pairs go to the scans of the texts as a bitmap of fixed
+size: a row whose bit is not set has no copy, and its text is not hashed.  A
+pair that shares its bit with a surviving one only costs a hash; groups are those
+of equal full hashes.  The bitmap is the same for few and for many survivors.
+Everything is a built-in expression.
+
+* null text counts as empty; runs of ASCII white space count as one space; very
+  long texts are hashed whole;
 * rows that repeat a ``doc_id`` with equal text are one document and share its
   decision; a group whose ids are all null keeps all its rows (``keep_id`` null);
 * an empty table gives an empty result; further columns are ignored.
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, fresh, join_sized, small
+from .shared import bitmap, cut, fresh, join_sized, small, with_bit
 
 PREFIX_CHARS = 64
 
@@ -29,41 +33,61 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def duplicate_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """(text_sha256, keep_id, group_size) of the texts that occur twice or more."""
-    texts = docs.select("doc_id", normalised(F.col("text")).alias("norm"))
-    sized = texts.withColumn("size", F.octet_length("norm"))
-    sizes = cut(sized.groupBy("size").count().where("count > 1").select("size"), "dedup-sizes")
+def _size(norm: Column) -> Column:
+    return F.octet_length(norm)
+
+
+def _prefix(norm: Column, chars: int) -> Column:
+    return F.xxhash64(F.substring(norm, 1, chars))
+
+
+def surviving_bits(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """Bitmap of the lengths and prefixes that two or more rows share."""
+    norm = normalised(F.col("text"))
+    rows = cut(docs.select(_size(norm).alias("size"), _prefix(norm, prefix_chars).alias("prefix")), "dedup-prefixes")
+    sizes = cut(rows.groupBy("size").count().where("count > 1").select("size"), "dedup-sizes")
+    pairs = join_sized(rows, sizes, ["size"], "left_semi").groupBy("size", "prefix").count().where("count > 1")
+    return bitmap(pairs, F.struct("size", "prefix"), "dedup-bits")
 
-    prefix = F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix")
-    prefixed = join_sized(sized.select("size", prefix), sizes, ["size"], "left_semi")
-    prefixes = cut(
-        prefixed.groupBy("size", "prefix").count().where("count > 1").select("size", "prefix"),
-        "dedup-prefixes",
-    )
 
-    full = F.sha2("norm", 256).alias("text_sha256")
-    if small(prefixes):  # survivors are found where the text is; only they are hashed
-        survivors = sized.select("doc_id", "size", "norm", prefix).join(
-            F.broadcast(prefixes), ["size", "prefix"], "left_semi"
-        )
-        hashed = survivors.select("doc_id", full)
-    else:  # hash first, so that no text is shuffled to meet the keys
-        hashed = sized.select("doc_id", "size", prefix, full).join(
-            prefixes, ["size", "prefix"], "left_semi"
-        )
-    return (
-        hashed.groupBy("text_sha256")
-        .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
+def _hashed(docs: DataFrame, bits: DataFrame, prefix_chars: int, names: dict[str, str]) -> DataFrame:
+    """The rows with their normalised text, whether their bit is set, and the
+    text's hash where it is, else null."""
+    norm = normalised(F.col("text"))
+    key = F.struct(_size(norm).alias("size"), _prefix(norm, prefix_chars).alias("prefix"))
+    marked = with_bit(docs.withColumn(names["norm"], norm), bits, key, names["set"])
+    return marked.withColumn(names["sha"], F.when(F.col(names["set"]), F.sha2(names["norm"], 256)))
+
+
+def _groups(hashed: DataFrame, sha: str) -> DataFrame:
+    """(sha, keep_id, group_size) of the texts that occur twice or more."""
+    found = hashed.groupBy(F.col(sha).alias("sha")).agg(
+        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    return found.where("group_size > 1")
+
+
+_NAMES = ("norm", "set", "sha")
 
 
 def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
-    groups = cut(duplicate_groups(docs, prefix_chars), "dedup-groups")
-    rows = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    joined = rows.join(groups, "text_sha256", "left_outer")
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
+
+    The result shows every text's hash, so here all texts are hashed, once; the
+    groups are looked for among the survivors only."""
+    docs = docs.select("doc_id", "text")
+    names = {n: fresh(docs, f"__{n}") for n in _NAMES}
+    marked = _hashed(docs, surviving_bits(docs, prefix_chars), prefix_chars, names)
+    rows = cut(
+        marked.select(
+            "doc_id",
+            F.sha2(names["norm"], 256).alias("text_sha256"),
+            F.col(names["set"]).alias("survives"),
+        ),
+        "dedup-hashed",
+    )
+    groups = _groups(rows.where("survives"), "text_sha256")
+    joined = rows.join(groups, F.col("text_sha256") == F.col("sha"), "left_outer")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id",
@@ -77,14 +101,20 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """The documents without exact copies, all columns as they came.
 
-    Rows meet one row per duplicate group; while those are few enough to send to
-    every executor the texts stay where they are.
-    """
-    sha, keep = fresh(docs, "__sha"), fresh(docs, "__keep")
-    groups = cut(duplicate_groups(docs, prefix_chars), "dedup-groups").select(
-        F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)
+    Only survivors are hashed.  While the groups are few enough to send to every
+    executor the texts stay where they are; beyond that the survivors' rows meet
+    the groups in a shuffle, and all other rows pass by it."""
+    names = {n: fresh(docs, f"__{n}") for n in _NAMES}
+    group, keep = fresh(docs, "__group"), fresh(docs, "__keep")
+    hashed = _hashed(docs, surviving_bits(docs, prefix_chars), prefix_chars, names)
+    sha = names["sha"]
+    groups = cut(_groups(hashed.where(names["set"]).select("doc_id", sha), sha), "dedup-groups").select(
+        F.col("sha").alias(group), F.col("keep_id").alias(keep)
     )
-    rows = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
-    joined = join_sized(rows, groups, [sha], "left_outer")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = hashed.select(*columns, sha, names["set"])
     stays = F.col(keep).isNull() | F.col("doc_id").eqNullSafe(F.col(keep))
-    return joined.where(stays).select(*[f"`{c}`" for c in docs.columns])
+    if small(groups):
+        return rows.join(F.broadcast(groups), F.col(sha) == F.col(group), "left").where(stays).select(*columns)
+    met = rows.where(names["set"]).join(groups, F.col(sha) == F.col(group), "left").where(stays)
+    return rows.where(~F.col(names["set"])).select(*columns).unionAll(met.select(*columns))

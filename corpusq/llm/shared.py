@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,32 +15,64 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow table (a few longs) that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Bits of the bitmaps of keys: 16 MB.
+BITS = 1 << 27
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see.
 
-    Where a session has none (tests, local runs) a temporary one is set.
+    Where a local session has none a temporary one is set; on a cluster, where
+    executors would not see such a folder, that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Folders of the tables that ``scratch`` blocks have written, innermost last.
+_scratch: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs start
     from the files, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that ``cut`` writes in the block are deleted at its end.  A result
+    that outlives the block is written in it and taken out of the yielded list
+    by ``keep``."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def keep(written: list[str]) -> None:
+    """Hand the last table that was written in a ``scratch`` block to the block around it."""
+    path = written.pop()
+    if len(_scratch) > 1:
+        _scratch[-2].append(path)
+
+
+def small(df: DataFrame) -> bool:
     """Whether a written table has few enough rows to broadcast."""
-    return df.count() <= rows
+    return df.count() <= BROADCAST_ROWS
 
 
 def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -46,6 +81,48 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
     return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
+def bitmap(keys: DataFrame, key: Column, name: str) -> DataFrame:
+    """(bucket, bitmap) of the hashes of a table's keys, written: one bit of
+    ``BITS`` for each, in at most BITS / 32768 rows of 4 KB."""
+    bit = keys.select((F.pmod(F.xxhash64(key), F.lit(BITS)) + 1).alias("bit"))
+    made = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap")
+    )
+    return cut(made, name)
+
+
+def with_bit(df: DataFrame, bits: DataFrame, key: Column, name: str) -> DataFrame:
+    """Rows with a column that is false where the bitmap does not hold their key;
+    where it is true the key may be one that shares its bit with another.  The
+    bitmap has a fixed size and goes to every executor."""
+    bit, bucket, held = (fresh(df, f"{name}_{n}") for n in ("bit", "bucket", "held"))
+    placed = df.withColumn(bit, F.pmod(F.xxhash64(key), F.lit(BITS)) + 1)
+    sent = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(held)))
+    joined = placed.join(sent, F.bitmap_bucket_number(bit) == F.col(bucket), "left")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(held, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(name, is_set).drop(bit, bucket, held)
+
+
+def meet(df: DataFrame, keys: DataFrame, on: dict[str, Column], how: str) -> DataFrame:
+    """Join wide rows with a written narrow table of distinct keys: ``on`` maps
+    the table's columns to the rows' expressions, ``how`` is inner or left_anti.
+
+    A table within the bound is broadcast.  A larger one first sends a bitmap,
+    and only rows that may have a partner are shuffled."""
+    equal = reduce(and_, (F.col(f"`{c}`") == value for c, value in on.items()))
+    if small(keys):
+        return df.join(F.broadcast(keys), equal, how)
+    name, key = fresh(df, "__may"), F.struct(*[value.alias(c) for c, value in on.items()])
+    of_keys = F.struct(*[F.col(f"`{c}`").alias(c) for c in on])
+    marked = with_bit(df, bitmap(keys, of_keys, "keys-bits"), key, name)
+    met = marked.where(name).drop(name).join(keys, equal, how)
+    if how == "inner":
+        return met
+    return met.unionAll(marked.where(~F.col(name)).drop(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
