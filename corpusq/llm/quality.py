@@ -5,14 +5,17 @@ and a covariance, shrunk towards the pooled covariance and its diagonal; the
 score of a text is the logistic of the difference of its log densities
 (Mahalanobis distances by cached Cholesky factors) plus the log prior ratio.
 
-All labelled rows are used: each partition sends sums of the statistics and of
-their products (fixed size), which Spark adds up; only those sums, some three
-hundred numbers a class, reach the driver.  The statistics of all texts are
-written as a narrow table, which labels join and which is scored.
+The fit takes the labelled rows of training documents, or where they are more
+than ``SAMPLE`` a part of about that many, chosen by a hash of doc_id.  Their
+documents are found by a broadcast of the sample, so statistics are computed
+for these and, once each, for the documents to score.  Each partition sends
+sums of the statistics and of their products (fixed size), which Spark adds up;
+only those sums, some three hundred numbers a class, reach the driver.
 
 * null text counts as empty; an empty text has all-zero statistics and a score
-  like any other;
-* labels that are null are left out; repeated label rows count repeatedly;
+  like any other; very long texts are read whole;
+* labels that are null are left out; repeated label rows, and rows that repeat a
+  labelled doc_id, count repeatedly;
 * a null doc_id is never a training row and is not held out;
 * with labels of one class only, or none, every score is that class (or 0.5);
 * an empty table gives an empty result; further columns are ignored.
@@ -24,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_filter, arrow_scan, crc_mod, cut
+from .shared import BROADCAST_ROWS, arrow_filter, arrow_scan, crc_mod
 from .tokens import SPACED, as_bytes, word_hashes
 
 SHRINK_POOLED = 0.2  # share of the pooled covariance in a class covariance
@@ -32,6 +35,8 @@ SHRINK_DIAGONAL = 0.1  # share of the diagonal in the result
 FLOOR = 1e-4  # added to the variances
 TEMPER = 0.15  # log-density differences are scaled by it: the statistics are not independent
 FOLDS, HELD_OUT = 3, 1
+#: Labelled rows that the fit takes, about; below the bound on what is broadcast.
+SAMPLE = BROADCAST_ROWS // 2
 
 # Classes of bytes: lower, upper, digit, white space, plain punctuation, other symbol, non-ASCII.
 _KIND = np.array(
@@ -44,10 +49,22 @@ _KIND = np.array(
 )
 FEATURES = (
     "length", "upper", "digit", "space", "punctuation", "symbol", "non_ascii", "word_length",
-    "distinct_words", "top_word", "repeated_next", "distinct_pairs", "lone_symbols",
+    "distinct_words", "top_word", "repeated_next", "distinct_pairs", "no_letter",
 )
 
 
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+_LETTER = np.isin(_KIND, (0, 1, 2, 6))
+
+
+def _without_letter(data: np.ndarray) -> int:
+    """Words without any letter or digit."""
+    space = np.concatenate([[True], _SPACE[data], [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    seen = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    return int((seen[ends] == seen[starts]).sum())
+
+
 def statistics(texts: list[str | None]) -> np.ndarray:
     """One row of transformed statistics per text.  Ratios are taken to the
     power 1/2, which spreads the values near 0 where clean text lies."""
@@ -70,7 +87,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
             if n > 1:
                 out[i, 10] = np.sqrt(np.mean(words[1:] == words[:-1]))
                 out[i, 11] = len(np.unique(words[1:] * np.uint64(31) + words[:-1])) / (n - 1)
-            out[i, 12] = np.sqrt(raw.translate(SPACED).split().count(b"|") / n)
+            out[i, 12] = np.sqrt(_without_letter(data) / n)
     return out
 
 
@@ -104,58 +121,50 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(TEMPER * (logs[1] - logs[0]), -35, 35)))
 
 
-def fit(features: DataFrame, labels: DataFrame, label: str, training) -> Discriminant:
-    """Fit on the rows of ``features`` (doc_id, x) whose label is 0 or 1 and
-    whose doc_id fulfils the ``training`` condition."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, training) -> Discriminant:
+    """Fit on the documents whose label is 0 or 1 and whose doc_id fulfils the
+    ``training`` condition, or on a part of about ``SAMPLE`` of those labels."""
     d = len(FEATURES)
-    known = labels.where(training(F.col("doc_id")) & F.col(label).isin(0, 1)).select(
-        "doc_id", F.col(label).cast("int").alias("y")
-    )
+    usable = labels.where(training(F.col("doc_id")) & F.col(label).isin(0, 1))
+    known = usable.groupBy("doc_id", F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("times"))
+    parts = 1 << 20
+    share = parts * SAMPLE // max(known.count(), SAMPLE)
+    sample = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(parts)) < share)
 
     def sums(c):
         if not c["y"]:
             return {"y": [], "i": [], "v": []}
-        x, y = np.array(c["x"]), np.array(c["y"])
+        x, y, times = statistics(c["text"]), np.array(c["y"]), np.array(c["times"], float)
         out_y, out_i, out_v = [], [], []
         for k in (0, 1):
-            own = x[y == k]
-            values = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+            own, n = x[y == k], times[y == k]
+            values = np.concatenate([[n.sum()], n @ own, ((own.T * n) @ own).ravel()])
             out_y += [k] * len(values)
             out_i += range(len(values))
             out_v += values.tolist()
         return {"y": out_y, "i": out_i, "v": out_v}
 
-    parts = arrow_scan(features.join(known, "doc_id").select("x", "y"), sums, "y int, i int, v double")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y", "times")
+    added = arrow_scan(rows, sums, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v"))
     total = {k: np.zeros(1 + d + d * d) for k in (0, 1)}
-    for r in parts.groupBy("y", "i").agg(F.sum("v").alias("v")).toLocalIterator():
+    for r in added.toLocalIterator():
         total[r.y][r.i] = r.v
     return Discriminant({k: (v[0], v[1 : 1 + d], v[1 + d :].reshape(d, d)) for k, v in total.items()})
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, Discriminant]:
-    """Statistics of all documents (a written table) and the model learnt from them."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    features = cut(
-        arrow_scan(
-            docs.select("doc_id", "text"),
-            lambda c: {"doc_id": c["doc_id"], "x": list(statistics(c["text"]))},
-            f"doc_id {kind}, x array<double>",
-        ),
-        "quality-features",
-    )
-    return features, fit(features, labels, label, lambda i: crc_mod(i, FOLDS) != HELD_OUT)
+def _fitted(docs: DataFrame, labels: DataFrame, label: str) -> Discriminant:
+    return fit(docs, labels, label, lambda i: crc_mod(i, FOLDS) != HELD_OUT)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted per row; learnt from training labels only."""
-    features, model = _fitted(docs, labels, label)
-
-    def step(c):
-        x = np.array(c["x"]).reshape(-1, len(FEATURES))
-        return {"doc_id": c["doc_id"], "score": model.score(x)}
-
+    model = _fitted(docs, labels, label)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = arrow_scan(features, step, f"doc_id {kind}, score double")
+    scored = arrow_scan(
+        docs.select("doc_id", "text"),
+        lambda c: {"doc_id": c["doc_id"], "score": model.score(statistics(c["text"]))},
+        f"doc_id {kind}, score double",
+    )
     return scored.select(
         "doc_id",
         F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
@@ -166,6 +175,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The documents that are not predicted to be of low quality, columns as they
-    came.  Texts are scored again where they are, so none is shuffled."""
-    _, model = _fitted(docs, labels, label)
+    came.  Each row is judged where it is, by its own text, so none is shuffled."""
+    model = _fitted(docs, labels, label)
     return arrow_filter(docs, lambda texts: (model.score(statistics(texts)) >= 0.5).tolist())
