@@ -10,16 +10,20 @@ by about its largest document at most.
 The prefix sum has two levels, so that a source with any share of the rows is
 spread out: rows are numbered within small blocks of (source, size class, id
 hash), and block counts, one row per block, are summed along the source.  The
-order is (size class, id hash, size, doc_id).
+order is (size class, id hash, size, doc_id, hash of the text).
 
 * null text has size 0; the null source is a source of its own, last in order;
 * documents without words are never taken; sources without words get target 0;
-* repeated rows are numbered apart; an empty table gives an empty result;
+* very long texts count whole; repeated rows are numbered apart; an empty table
+  gives an empty result;
 * the offset is a hash of seed and source, so reruns agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ MOST_COPIES = 3
 SEED = "mix-1"
 #: Blocks of a source and size class; a power of 16.
 ID_HASHES = 256
+#: Parts in which equal rows are numbered.
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -56,7 +62,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     most * size), where the level makes the targets add up to all words.
     Sources are ordered by the level at which they stop, and the level follows
     from running sums: the first k stop, the rest share what is left.  The
-    table has one row per source, whatever the number of documents.
+    table has one row per source, whatever the number of documents, and its
+    windows take all of these together: sources are sites or collections, not
+    single documents.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(order) - 1) % len(weights)
@@ -77,27 +85,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     )
 
 
-def mix_plan(
+def plan_groups(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     most_copies: int = MOST_COPIES,
     seed: str = SEED,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, place (a hash of the
-    text, which with doc_id tells documents apart): one row per document."""
-    id_hash = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2), 16, 10)
-    sized = cut(
-        docs.select(
-            "doc_id",
-            F.col("source").cast("string").alias("source"),
-            words(F.col("text")).alias("size"),
-            F.xxhash64("text").alias("place"),
-        ),
-        "mix-sizes",
-    ).select("*", size_class(F.col("size")).alias("class"), id_hash.cast("int").alias("id_hash"))
+    """doc_id, source, place (a hash of the text), size, source_size, target,
+    times: one row for all rows equal in the first three.  ``times`` says how many
+    of these are taken 0, 1, ... ``most_copies`` times: expected copies are the
+    same along the source, so a stretch of n rows has two numbers of copies at most."""
+    text_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    sized = docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        words(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("place"),
+        F.conv(F.substring(text_hash, 1, 2), 16, 10).cast("int").alias("id_hash"),
+    ).withColumn("class", size_class(F.col("size")))
+    equal = cut(
+        sized.groupBy("source", "class", "id_hash", "size", "doc_id", "place").agg(F.count(F.lit(1)).alias("n")), "mix-sizes"
+    )
 
     blocks = cut(
-        sized.groupBy("source", "class", "id_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")),
+        equal.groupBy("source", "class", "id_hash").agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("words")),
         "mix-blocks",
     )
     targets = source_targets(
@@ -113,8 +124,8 @@ def mix_plan(
         "before", "source_size", "target", "offset",
     )
 
-    inside = W.partitionBy("source", "class", "id_hash").orderBy("size", "doc_id")
-    numbered = sized.withColumn("rank", F.row_number().over(inside))
+    inside = W.partitionBy("source", "class", "id_hash").orderBy("size", "doc_id", "place").rowsBetween(W.unboundedPreceding, 0)
+    numbered = equal.withColumn("rank", F.sum("n").over(inside))
     joined = numbered.join(
         placed,
         numbered["source"].eqNullSafe(placed["b_source"])
@@ -123,27 +134,73 @@ def mix_plan(
     )
     expected = F.col("target") / F.col("source_size")
     upto = F.col("before") + F.col("rank")
-    crossed = F.floor(expected * upto + F.col("offset")) - F.floor(expected * (upto - 1) + F.col("offset"))
-    copies = F.when(F.col("size") > 0, F.least(crossed, F.lit(most_copies))).otherwise(F.lit(0))
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), "place"
+    crossed = F.floor(expected * upto + F.col("offset")) - F.floor(expected * (upto - F.col("n")) + F.col("offset"))
+    low = F.least(F.when(F.col("n") == 1, crossed).otherwise(F.floor(expected)), F.lit(most_copies))
+    more = F.greatest(F.lit(0), F.least(F.col("n"), crossed - F.col("n") * low))
+    more = F.when(low < most_copies, more).otherwise(F.lit(0))
+    taken = [
+        F.when(low == c, F.col("n") - more).when(low + 1 == c, more).otherwise(F.lit(0)) for c in range(most_copies + 1)
+    ]
+    nothing = F.array(F.col("n"), *[F.lit(0).cast("long")] * most_copies)
+    times = F.when(F.col("size") > 0, F.array(*[x.cast("long") for x in taken])).otherwise(nothing)
+    return joined.select("doc_id", "source", "place", "size", "source_size", "target", times.alias("times"))
+
+
+def _dealt(rows: DataFrame, groups: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows with the columns of their group (named by ``names``) and the number
+    of ``copies`` of each.  Where it differs within a group, the group's rows are
+    numbered in salted parts, so that one of any size is spread out, and are
+    dealt the counts in order."""
+    most = F.size(names["times"]) - 1
+    key = [names[n] for n in ("doc_id", "source", "place")]
+    named = groups.select(*[F.col(c).alias(names[c]) for c in groups.columns])
+    same = (
+        rows["doc_id"].eqNullSafe(named[key[0]])
+        & rows["source"].cast("string").eqNullSafe(named[key[1]])
+        & (F.xxhash64(rows["text"]) == named[key[2]])
+    )
+    joined = rows.join(named, same)
+    kinds = F.size(F.filter(names["times"], lambda n: n > 0))
+    only = F.array_position(F.transform(names["times"], lambda n: n > 0), True) - 1
+    out = joined.where(kinds == 1).withColumn(names["copies"], only)
+    if named.where(kinds > 1).isEmpty():
+        return out
+    salt, before, number = names["salt"], names["before"], names["number"]
+    several = cut(
+        joined.where(kinds > 1).withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))), "mix-several"
     )
+    along = W.partitionBy(*key).orderBy(salt).rowsBetween(W.unboundedPreceding, -1)
+    parts = several.groupBy(*key, salt).agg(F.count(F.lit(1)).alias(number))
+    starts = parts.select(*key, salt, F.coalesce(F.sum(number).over(along), F.lit(0)).alias(before)).alias("s")
+    inside = W.partitionBy(*key, salt).orderBy(F.lit(0))
+    m = several.withColumn(number, F.row_number().over(inside)).alias("m")
+    met = m.join(starts, reduce(and_, (F.col(f"m.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in [*key, salt])))
+    # the first copies value whose rows, with those of smaller ones, reach the row's number
+    reach = lambda c: F.aggregate(F.slice(names["times"], 1, c + 1), F.lit(0).cast("long"), lambda a, n: a + n)
+    place = F.col(before) + F.col(number)
+    copies = F.element_at(F.filter(F.sequence(F.lit(0), most), lambda c: reach(c) >= place), 1).cast("long")
+    columns = [F.col(f"m.`{c}`") for c in joined.columns]
+    return out.unionAll(met.select(*columns, copies.alias(names["copies"])))
+
+
+_OF_GROUP = ("doc_id", "source", "place", "size", "source_size", "target", "times", "copies", "salt", "before", "number")
+
+
+def mix_plan(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row per input row."""
+    rows = docs.select("doc_id", "source", "text")
+    names = {n: fresh(rows, f"__{n}") for n in _OF_GROUP}
+    dealt = _dealt(rows, cut(plan_groups(rows, **params), "mix-plan"), names)
+    own = [F.col(names[c]).alias(c) for c in ("source", "size", "source_size", "target", "copies")]
+    return dealt.select("doc_id", *own)
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The documents of the mix: all columns, each row as often as it is taken,
-    with its number among the copies in ``copy_no``.  Rows equal in doc_id and
-    text are each taken as often as the one of them that is taken most."""
-    names = {n: fresh(docs, n) for n in ("__id", "__place", "__copies", "copy_no")}
-    plan = cut(
-        mix_plan(docs, **params)
-        .where("copies > 0")
-        .groupBy(F.col("doc_id").alias(names["__id"]), F.col("place").alias(names["__place"]))
-        .agg(F.max("copies").alias(names["__copies"])),
-        "mix-plan",
-    )
-    joined = docs.join(
-        plan, docs["doc_id"].eqNullSafe(plan[names["__id"]]) & (F.xxhash64(docs["text"]) == plan[names["__place"]])
-    )
-    copy_no = F.explode(F.sequence(F.lit(1), F.col(names["__copies"]).cast("int"))).alias(names["copy_no"])
-    return joined.select(*[f"`{c}`" for c in docs.columns], copy_no)
+    """The documents of the mix: all columns, each row as often as ``mix_plan``
+    takes it, with its number among the copies in ``copy_no``."""
+    names = {n: fresh(docs, f"__{n}") for n in _OF_GROUP}
+    taken = F.exists(F.slice("times", 2, F.size("times")), lambda n: n > 0)
+    groups = cut(plan_groups(docs, **params).where(taken).select("doc_id", "source", "place", "times"), "mix-plan")
+    dealt = _dealt(docs, groups, names).where(F.col(names["copies"]) > 0)
+    copy_no = F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int"))).alias(fresh(docs, "copy_no"))
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], copy_no)

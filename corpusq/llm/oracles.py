@@ -39,10 +39,10 @@ def _mix() -> str:
     n = len(mixing.WEIGHTS)
     most = mixing.MOST_COPIES
     return f"""
-WITH sized AS (SELECT doc_id, source,
+WITH sized AS (SELECT doc_id, source, text,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 classed AS (SELECT *, length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) AS class,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2))::BIGINT AS id_hash FROM sized),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 2))::BIGINT AS id_hash FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, list_extract([{w}]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {n} + 1)::INT) AS weight FROM sources),
 stops AS (SELECT *, ({most} * source_size)::DOUBLE / weight AS stop FROM ranked),
