@@ -3,8 +3,8 @@
 Texts are sets of five-word shingles; two texts are linked when the Jaccard
 coefficient of their sets is 0.8 or more.
 
-1. Each text gets its set's hash and a MinHash signature.  Texts with equal
-   sets collapse to one node, the smallest doc_id among them.
+1. Each text gets its set's hash (128 bits) and a MinHash signature.  Texts with
+   equal sets collapse to one node, whatever their doc_ids.
 2. Nodes that agree in a band of the signature share a bucket.  In a bucket of
    up to ``PAIR_LIMIT`` nodes all pairs are candidates; in a larger one each
    node is paired with the hub, the node that shares most buckets with others,
@@ -28,8 +28,9 @@ coefficient of their sets is 0.8 or more.
 * a text of fewer than five words has one shingle of all its words; null and
   empty texts and texts without words have none, link to nothing and are each
   their own class, as are rows with a null doc_id (``class_id`` null);
-* rows that repeat a doc_id are one document; an empty table gives an empty
-  result; further columns are ignored.
+* very long texts are read whole; doc_id may be of any type that has an order;
+  rows that repeat a doc_id with another text have their own text's class and
+  links; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_scan, cut, fresh, join_sized, small
+from .shared import arrow_scan, cut, fresh, join_sized, meet
 from .tokens import chunks, mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -114,6 +115,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _signed(texts: DataFrame) -> DataFrame:
+    """doc_id, text_hash, h1, h2 (hash of the set) and sig per row; the last three null without words."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def step(c):
@@ -124,9 +126,10 @@ def _signed(texts: DataFrame) -> DataFrame:
         h1, h2, sig = [None] * n, [None] * n, [None] * n
         for j, i in enumerate(full):
             h1[i], h2[i], sig[i] = int(one[j].view(np.int64)), int(two[j].view(np.int64)), rows[j].tobytes()
-        return {"doc_id": c["doc_id"], "h1": h1, "h2": h2, "sig": sig}
+        return {"doc_id": c["doc_id"], "text_hash": c["text_hash"], "h1": h1, "h2": h2, "sig": sig}
 
-    return arrow_scan(texts, step, f"doc_id {kind}, h1 long, h2 long, sig binary")
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return arrow_scan(hashed, step, f"doc_id {kind}, text_hash long, h1 long, h2 long, sig binary")
 
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
@@ -355,20 +358,24 @@ def _link_counts(members: DataFrame, nodes: DataFrame, threshold: float) -> Data
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, text_id, n_copies, n_links: one row per input row."""
-    return _near(docs, threshold, counted=True)
+    return _near(docs, threshold, counted=True).drop("text_hash")
 
 
 def _near(docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
     """The columns of near_duplicates, n_links only where it is wanted."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     signed = cut(_signed(docs), "signed")
     known = signed.where("h1 is not null and doc_id is not null")
+    # a node's number is fixed once the table is written; its row is that of the smallest doc_id
     texts = cut(
-        known.groupBy("h1", "h2").agg(
-            F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig")
+        known.groupBy("h1", "h2")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count(F.lit(1)).alias("n_copies"), F.first("sig").alias("sig"))
+        .select(
+            F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("row.doc_id").alias("text_id"),
+            F.col("row.text_hash").alias("text_hash"), "n_copies", "sig",
         ),
         "texts",
-    )
+    )
 
     bands = _bands(texts)
     sizes = cut(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
@@ -384,11 +391,14 @@ def _near(docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
         "hubs",
     )
 
-    # shingle sets of the nodes in shared buckets only, from their texts
-    ids = wanted.select(F.col("node").alias("doc_id"))
+    # shingle sets of the nodes in shared buckets only, from their rows' texts
+    rows = cut(
+        join_sized(texts, wanted, ["node"], "inner").select("node", F.col("text_id").alias("row_id"), F.col("text_hash").alias("row_hash")),
+        "rows",
+    )
     sets = arrow_scan(
-        join_sized(docs, ids, ["doc_id"], "left_semi"),
-        lambda c: {"node": c["doc_id"], "shingles": [s.tobytes() for s in shingle_sets(c["text"])]},
+        meet(docs, rows, {"row_id": F.col("doc_id"), "row_hash": F.xxhash64("text")}, "inner").select("node", "text"),
+        lambda c: {"node": c["node"], "shingles": [s.tobytes() for s in shingle_sets(c["text"])]},
         "node long, shingles binary",
     ).dropDuplicates(["node"])
     nodes = cut(texts.join(wanted, "node").select("node", "sig").join(sets, "node"), "nodes")
@@ -432,24 +442,25 @@ def _near(docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
         ends = [other.select(F.col(x).alias("node"), F.lit(1).cast("long").alias("n")) for x in ("a", "b")]
         ends.append(cut(_link_counts(members, nodes, threshold), "link-counts"))
     degree = reduce(DataFrame.unionAll, ends).groupBy("node").agg(F.sum("n").alias("n_links"))
-    summary = (
-        texts.drop("sig").join(classes, "node", "left").join(degree, "node", "left")
-    )
-    out = signed.select("doc_id", "h1", "h2").join(summary, ["h1", "h2"], "left")
+    placed = texts.drop("sig", "text_hash").join(classes, "node", "left")
+    names = placed.where("comp is not null").groupBy("comp").agg(F.min("text_id").alias("class_id"))
+    summary = placed.join(names, "comp", "left").join(degree, "node", "left")
+    out = signed.select("doc_id", "text_hash", "h1", "h2").join(summary, ["h1", "h2"], "left")
     named = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
-        F.when(named, F.coalesce("comp", "node", "doc_id")).alias("class_id"),
-        F.when(named, F.coalesce("node", "doc_id")).alias("text_id"),
+        F.when(named, F.coalesce("class_id", "text_id", "doc_id")).alias("class_id"),
+        F.when(named, F.coalesce("text_id", "doc_id")).alias("text_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "text_hash",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; columns as they came."""
-    name = fresh(docs, "__id")
-    found = _near(docs, threshold, counted=False)
-    dropped = cut(found.where("class_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
-    few = F.broadcast(dropped) if small(dropped) else dropped
-    return docs.join(few, docs["doc_id"].cast("long") == few[name], "left_anti")
+    """One document of each class, that with the smallest doc_id; columns as they
+    came.  Rows are judged by doc_id and text."""
+    id_name, hash_name = fresh(docs, "__id"), fresh(docs, "__hash")
+    found = _near(docs, threshold, counted=False).where("class_id <> doc_id")
+    dropped = cut(found.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)).distinct(), "near-dropped")
+    return meet(docs, dropped, {id_name: F.col("doc_id"), hash_name: F.xxhash64("text")}, "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusq.llm import (
     decontaminate,
@@ -20,6 +21,7 @@ from corpusq.llm import (
     quality,
     queries,
     secrets,
+    shared,
     tokens,
     toxicity,
 )
@@ -121,6 +123,43 @@ def test_large_buckets_count_all_links(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in near_dup.near_duplicates(_frame(spark, rows)).collect()} == expected
 
 
+def test_ids_of_any_kind_and_repeated_ids_lose_no_link(spark):
+    """Text ids; and ids that stand for several texts, which are each linked by themselves."""
+    rows = _near_rows()
+    named = [(f"d{i:04d}", t) for i, t in rows]
+    classes, _ = brute.near_classes(named)
+    out = near_dup.near_duplicates(_frame(spark, named, "doc_id string, text string"))
+    assert {r.doc_id: r.class_id for r in out.collect()} == classes
+    text = _prose(random.Random(1), 100).split()
+    other = " ".join([*text[:50], "changed", *text[51:]])
+    third = _prose(random.Random(2), 100)
+    docs = _frame(spark, [(1, " ".join(text)), (2, " ".join(text)), (2, other), (2, third), (3, third)])
+    found = sorted((r.doc_id, r.class_id, r.n_links) for r in near_dup.near_duplicates(docs).collect())
+    assert found == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (2, 2, 0), (3, 2, 0)]
+    kept = sorted((r.doc_id, r.text) for r in near_dup.drop_near_duplicates(docs).collect())
+    assert kept == sorted([(1, " ".join(text)), (2, third)])
+
+
+def test_tables_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    """With no table small enough to broadcast, all results stay."""
+    rows = [*_near_rows(), *((500 + i, t) for i, t in _near_rows()), (1, None), (None, "x y"), (None, None)]
+    docs = _frame(spark, rows)
+    bench = _frame(spark, [(i, " ".join((t or "").split()[:15])) for i, t in rows[::9]], "item_id long, text string")
+
+    def results():
+        kept = [f(docs) for f in (exact_dedup.drop_exact_duplicates, near_dup.drop_near_duplicates)]
+        told = [exact_dedup.exact_dedup(docs), near_dup.near_duplicates(docs), decontaminate.decontaminate(docs, bench)]
+        told.append(decontaminate.drop_contaminated(docs, bench))
+        return [sorted(map(str, d.collect())) for d in (*kept, *told)]
+
+    before = results()
+    assert 0 < len(before[1]) < len(before[0]) < len(rows) > len(before[-1]) > 0
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "BITS", 64)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
+    assert results() == before
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     limits = near_dup.needed()
     draw = np.random.default_rng(1)
@@ -161,6 +200,22 @@ def test_windows_agree_with_a_plain_search(spark):
         assert kept == {i for i, e in expected.items() if not e[3]}
 
 
+def test_rows_are_judged_by_their_text_for_any_number_of_shards(spark, monkeypatch):
+    draw = random.Random(12)
+    items = [(None, _prose(draw, 30)), (1, _prose(draw, 400)), (1, _prose(draw, 20)), (2, "one two"), (3, None)]
+    clean = [_prose(draw, 50) for _ in range(3)]
+    bad = [" ".join(items[1][1].split()[a : a + 40]) for a in (0, 100, 360)]
+    rows = [(None, clean[0]), (None, bad[0]), (1, clean[1]), (1, bad[1]), (1, bad[1]), (2, bad[2]), (3, clean[2]), (4, items[0][1]), (5, None)]
+    docs, bench = _frame(spark, rows), _frame(spark, items, "item_id long, text string")
+    stays = sorted([(None, clean[0]), (1, clean[1]), (3, clean[2]), (5, None)], key=str)
+    judged = []
+    for most in (decontaminate.SHARD_WORDS, 150, 16):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", most)
+        assert sorted((tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()), key=str) == stays
+        judged.append(sorted(map(str, decontaminate.decontaminate(docs, bench).collect())))
+    assert judged[0] == judged[1] == judged[2]
+
+
 # secrets
 
 
@@ -258,6 +313,27 @@ def test_mix_comes_near_its_targets(spark):
     assert {r.doc_id: r["count"] for r in mixed} == {r.doc_id: r.copies for r in out if r.copies}
 
 
+def test_the_mix_takes_what_is_planned(spark, monkeypatch):
+    """Also of repeated rows, in any number of parts."""
+    draw = random.Random(6)
+    rows = [(i, "w " * draw.randrange(1, 90), "en", draw.choice("aab")) for i in range(60)]
+    rows += [(7, "same text " * 9, lang, source) for source in ("a", "b", None) for lang in ("en", "fr", None) for _ in range(37)]
+    rows += [(None, f"no id {i % 3}", "en", "a") for i in range(30)] + [(8, None, None, None)]
+    docs = _frame(spark, rows, "doc_id long, text string, lang string, source string").withColumn("n", F.monotonically_increasing_id())
+    for salts in (64, 1):
+        monkeypatch.setattr(mixing, "SALTS", salts)
+        plan = mixing.mix_plan(docs).collect()
+        assert len(plan) == len(rows)
+        mixed = mixing.mix(docs).collect()
+        assert len(mixed) == sum(r.copies for r in plan)
+        assert len({(r.n, r.copy_no) for r in mixed}) == len(mixed) and max(r.copy_no for r in mixed) <= 3
+        for source in ("a", "b", None):
+            own = [r for r in plan if r.source == source]
+            taken = sum(r.copies * r["size"] for r in own)
+            assert taken == sum(len((r.text or "").split()) for r in mixed if r.source == source)
+            assert abs(taken - own[0].target) <= 3 * max(r["size"] for r in own)
+
+
 # quality, toxicity, language model
 
 
