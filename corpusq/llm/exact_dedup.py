@@ -86,7 +86,7 @@ def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
         ),
         "dedup-hashed",
     )
-    groups = _groups(rows.where("survives"), "text_sha256")
+    groups = cut(_groups(rows.where("survives"), "text_sha256"), "dedup-groups")
     joined = rows.join(groups, F.col("text_sha256") == F.col("sha"), "left_outer")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
