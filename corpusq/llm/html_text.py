@@ -17,13 +17,16 @@ compared with it, and copies of a neighbour count once.
   shares most of the page is passed over for the next.
 
 The order is by range, not by group: a host of any size spreads over many
-tasks, and a task holds ``2 * REACH + 1`` pages at a time.  Pages at the edge of
-a range have neighbours on one side.
+tasks, and a task holds a few pages at a time.  Pages at the edges of the ranges
+are settled in a second step, from a table of the pages around the edges, so the
+text of a page does not depend on where the ranges are cut.
 
 * null html counts as empty: text "" and n_chars 0; a null url is a page of the
   host "" and path "";
 * repeated rows are separate pages and, being copies, do not delete each other's
-  lines; unclosed and stray tags are read as browsers roughly do;
+  lines; pages of one url stand in order of page_id, then of a hash of the html;
+* very long pages are read whole; unclosed and stray tags are read as browsers
+  roughly do;
 * an empty table gives an empty result; further columns are ignored.
 """
 
@@ -37,12 +40,17 @@ from html import unescape
 from os.path import commonprefix
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .shared import cut
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.DOTALL
 )
@@ -54,7 +62,7 @@ INLINE = frozenset(
     "small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
 FURNITURE = frozenset("head nav footer aside form button select dialog menu noscript template".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
@@ -70,6 +78,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REACH = 3
 #: Neighbours that share a line of the frame, at least.
 LEAST = 3
+#: Pages around edges that are settled together.
+BLOCK = 24
 
 
 class Line(NamedTuple):
@@ -226,52 +236,94 @@ def main_text(page: Page, others: list[Page | None]) -> str:
     return "\n".join(page.lines[i].text for i in kept if i not in frame)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per page."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    ordered = (
-        pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-        .repartitionByRange("host", "path", "page_id")
-        .sortWithinPartitions("host", "path", "page_id", F.xxhash64("html"))
+def _host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
+def _path(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+
+
+def _ranges(ordered: DataFrame, kind: str) -> DataFrame:
+    """The pages of each sorted range: ``text`` of those with all their
+    neighbours; and, with ``html`` and place, the ``2 * REACH`` rows at either end,
+    of which the outer half is open, without text."""
+    typed = StructType.fromDDL(
+        f"page_id {kind}, url string, text string, edge boolean, open boolean, html string, host string, path string, "
+        "part int, pos long, n long"
     )
-    typed = StructType.fromDDL(f"page_id {kind}, url string, text string, n_chars long")
     out_schema = to_arrow_schema(typed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-
-        def give():
-            columns = list(zip(*done)) if done else [()] * 4
-            done.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema
-            )
+        part = TaskContext.get().partitionId()
 
-        def settle(page: Page, others: list[Page | None]):
-            text = main_text(page, others)
-            done.append((page.page_id, page.url, text, len(text)))
+        def give(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) if rows else [()] * len(out_schema)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-        window: deque[Page] = deque()
-        at = 0  # place in the window of the next page to settle
+        window: deque[Page] = deque(maxlen=2 * REACH + 1)
+        head: list[tuple] = []
+        tail: deque[tuple] = deque(maxlen=2 * REACH)
+        n = 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for page_id, url, html, of_host, of_path in zip(*columns):
-                window.append(Page(page_id, url, of_host, of_path, lines_of(html)))
-                if len(window) > at + REACH:
-                    settle(window[at], [p for i, p in enumerate(window) if i != at])
-                    if at == REACH:
-                        window.popleft()
-                    else:
-                        at += 1
-            yield give()
-        while at < len(window):
-            settle(window[at], [p for i, p in enumerate(window) if i != at])
-            if at == REACH:
-                window.popleft()
-            else:
-                at += 1
-        yield give()
+            done = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                page_id, url, html, host, path = row
+                window.append(Page(page_id, url, host, path, lines_of(html)))
+                tail.append((n, row))
+                if n < 2 * REACH:
+                    head.append((n, row))
+                n += 1
+                if len(window) == 2 * REACH + 1:
+                    page = window[REACH]
+                    text = main_text(page, [p for p in window if p is not page])
+                    done.append((page.page_id, page.url, text, False, False, None, None, None, part, None, None))
+            yield give(done)
+        edges = dict(head) | dict(tail)
+        yield give(
+            [
+                (page_id, url, None, True, pos < REACH or pos >= n - REACH, html, host, path, part, pos, n)
+                for pos, (page_id, url, html, host, path) in sorted(edges.items())
+            ]
+        )
 
     return ordered.mapInArrow(run, typed)
+
+
+def _settled_edges(edges: DataFrame, kind: str) -> DataFrame:
+    """page_id, url, text of the open pages: the edge rows are numbered along all
+    ranges and cut into blocks, each with the rows that stand next to it."""
+    along = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = edges.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))  # one row for each range
+    starts = sizes.select(F.col("part").alias("of"), F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("start"))
+    ends = 4 * REACH
+    inner = F.when((F.col("n") <= ends) | (F.col("pos") < 2 * REACH), F.col("pos")).otherwise(F.col("pos") - F.col("n") + ends)
+    placed = edges.join(F.broadcast(starts), F.col("part") == F.col("of")).withColumn("place", F.col("start") + inner)
+    blocks = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (0, -REACH, REACH)]), lambda d: F.floor((F.col("place") + d) / BLOCK)))
+    dealt = placed.withColumn("block", F.explode(blocks)).select(
+        "block", "place", "open", F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), "host", "path"
+    )
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(frame.to_dict("records"), key=lambda r: r["place"])
+        whole = [Page(r["page_id"], r["url"], r["host"], r["path"], lines_of(r["html"])) for r in rows]
+        found = []
+        for i, (row, page) in enumerate(zip(rows, whole)):
+            if row["open"] and row["place"] // BLOCK == row["block"]:
+                found.append((page.page_id, page.url, main_text(page, whole[max(0, i - REACH) : i] + whole[i + 1 : i + REACH + 1])))
+        columns = list(zip(*found)) if found else [()] * 3
+        return pd.DataFrame({n: pd.Series(list(c), dtype=object) for n, c in zip(("page_id", "url", "text"), columns)})
+
+    found = dealt.groupBy("block").applyInPandas(settle, "page_id string, url string, text string")
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars: one row per page."""
+    kind = pages.schema["page_id"].dataType.simpleString()
+    columns = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
+    order = [F.col("host"), F.col("path"), F.col("page_id"), F.xxhash64("html")]
+    parts = cut(_ranges(columns.repartitionByRange(*order).sortWithinPartitions(*order), kind), "pages")
+    settled = parts.where("not edge").select("page_id", "url", "text")
+    found = settled.unionAll(_settled_edges(parts.where("edge"), kind))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -449,6 +449,36 @@ def test_frame_inside_the_article_goes_and_quotations_stay(spark):
     assert [out[20 + i] for i in range(4)] == [f"{own[0]}\nversion {i}" for i in range(4)]
 
 
+def test_pages_agree_with_a_plain_pass_over_all_of_them(spark):
+    """However the ranges are cut, a page meets the three before and after it in the whole order."""
+    draw = random.Random(13)
+    rows = []
+    for i in range(140):
+        host = draw.choice(["a.org", "a.org", "b.net", "c.com"])
+        frame = [f"Menu of {host}", f"Part {i % 3} of {host}"]
+        body = [_prose(draw, 8) for _ in range(draw.randrange(4))] + draw.sample([f"Quote {k}" for k in range(4)], 1)
+        lines = "".join(f"<p>{x}</p>" for x in [*frame, *body, f"Imprint of {host}"])
+        html = f"<article>{lines}</article>" if i % 2 else f"<body>{lines}<form>mail</form></body>"
+        rows.append((draw.choice([i, 7, None]), draw.choice([f"http://{host}/x/{i % 9}", f"http://{host}/y/{i}", None]), draw.choice([html, html, html, None])))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hashed = pages.select("*", html_text._host(F.col("url")).alias("host"), html_text._path(F.col("url")).alias("path"), F.xxhash64("html").alias("h"))
+    known = sorted(hashed.collect(), key=lambda r: (r.host, r.path, r.page_id is not None, r.page_id or 0, r.h))
+    whole = [html_text.Page(r.page_id, r.url, r.host, r.path, html_text.lines_of(r.html)) for r in known]
+    plain = [html_text.main_text(p, whole[max(0, i - 3) : i] + whole[i + 1 : i + 4]) for i, p in enumerate(whole)]
+    expected = sorted((str(r.page_id), str(r.url), t) for r, t in zip(known, plain))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        for parts in (1, 3, 16, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            out = html_text.extract(pages.repartition(2)).collect()
+            assert sorted((str(r.page_id), str(r.url), r.text) for r in out) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set(coalesce, "true")
+
+
 def test_article_without_furniture():
     html = """<html><head><title>t</title><style>p{}</style></head><body class="with-sidebar"><header>site</header>
     <div id="cookie-notice">we use cookies</div><main><article><header><h1>Title</h1><span>by x</span></header>
