@@ -15,16 +15,28 @@ subsequence, a table of fixed size, so scoring costs one look-up per
 subsequence and no work per landmark.  A document scores by its worst words:
 a logistic of the largest decision value and the number of positive ones.
 
-Training sentences come from labelled documents: every sentence of a clean
-document is clean; of a toxic one, those with words that toxic documents share
-and clean ones lack, and where there is none, the sentence that a first model
-finds worst (multiple-instance learning).  The fit takes a bounded sample of
-labelled rows, ``SAMPLE`` of each label in order of a hash of doc_id and cut to
-``SAMPLE_CHARS`` characters in all by leaving out later documents, never parts
-of one; all documents are scored whole.
-
-* null text counts as empty; texts without words score as the lowest margin;
-* labels that are null are left out; a null doc_id never trains, is not held out;
+The training rows are words of the labelled documents' sentences.  Positive are
+the words that toxic documents share and clean ones lack, by the number of
+different neighbours they stand between, and in a toxic document without any the
+word that a first model finds worst (multiple-instance learning); negative are
+words of clean documents.  The model has fixed sizes: ``MOST_WORDS`` rows of a
+sign at the start (the most widespread positive words, the most frequent clean
+ones, and in each round as many clean words that the model takes for worst),
+``INSERTED_WORDS`` of the positive ones again with letters put in, and
+``LANDMARKS`` landmarks.  They bound the fit, not what is scored.
+
+The fit takes a bounded sample of labelled rows: ``SAMPLE`` of each label in order
+of a hash of doc_id and, along that order, as many whole documents as have half
+of ``SAMPLE_CHARS`` characters together; only these leave the executors.  All
+documents are scored whole.
+
+* null text counts as empty; texts without words score as the lowest margin; very
+  long texts score by their worst words like others;
+* of words equal in number those first in order of their letters count as more
+  frequent, so reruns agree;
+* labels that are null are left out; a document with several labels has the
+  largest; a row that repeats a labelled doc_id trains too; a null doc_id never
+  trains, is not held out;
 * with labels of one class only, or none, every score is that class (or 0.0);
 * an empty table gives an empty result; further columns are ignored.
 """
@@ -37,9 +49,10 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import arrow_scan, crc_mod
+from .shared import arrow_scan, crc_mod, cut
 from .tokens import as_bytes, chunks
 
 FOLDS, HELD_OUT = 5, 0
@@ -303,7 +316,7 @@ def fit(texts: list[str | None], labels: list[int]) -> Toxicity:
         positives += with_insertions(positives[:INSERTED_WORDS])
     vocabulary = sorted(set(clean) - set(positives))
     joined = _joined(vocabulary)
-    common = [w for w, _ in clean.most_common(MOST_WORDS) if w not in marked]
+    common = [w for w in sorted(clean, key=lambda w: (-clean[w], w))[:MOST_WORDS] if w not in marked]
     order = np.random.default_rng(11)
     drawn = [vocabulary[i] for i in order.permutation(len(vocabulary))[: 2 * MOST_WORDS]]
     negatives, hard = list(dict.fromkeys(common + drawn)), []
@@ -354,25 +367,21 @@ def _collapse(landmarks: list[bytes], weights: np.ndarray) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], list[int]]:
     """Texts and labels of the bounded training sample, in a fixed order."""
-    usable = labels.where(
-        F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    ).select("doc_id", F.col(label).cast("int").alias("y"))
+    usable = labels.where(F.col(label).isin(0, 1) & (crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
+    once = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     turn = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
-    ids = usable.where("y = 0").orderBy(turn, "doc_id").limit(SAMPLE).unionAll(
-        usable.where("y = 1").orderBy(turn, "doc_id").limit(SAMPLE)
+    ids = once.where("y = 0").orderBy(turn, "doc_id").limit(SAMPLE).unionAll(
+        once.where("y = 1").orderBy(turn, "doc_id").limit(SAMPLE)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
-        "doc_id", "y", "text", turn.alias("turn"), F.length("text").alias("n")
-    )
-    # whole documents in order of the hash until the characters are used up
-    texts, ys, used = [], [], [0, 0]
-    for r in rows.orderBy("turn", "doc_id", "y").toLocalIterator():
-        n = r.n or 0
-        if used[r.y] + n <= SAMPLE_CHARS // 2:
-            used[r.y] += n
-            texts.append(r.text)
-            ys.append(r.y)
-    return texts, ys
+    # a row for each sampled document: how long it is, and where it ends in the order of its label
+    sample = F.broadcast(cut(ids, "toxicity-ids"))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    sizes = rows.groupBy("y", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("y").orderBy(turn, "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    fits = cut(sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS // 2).select("doc_id", "y"), "toxicity-sample")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").orderBy(turn, "doc_id", F.md5("text"))
+    found = [(r.text, r.y) for r in chosen.select("text", "y").toLocalIterator()]
+    return [t for t, _ in found], [y for _, y in found]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from math import log10
+from itertools import combinations
+from math import exp, log10, sqrt
 from zlib import crc32
 
+import numpy as np
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,3 +86,38 @@ def normal(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def subsequence_kernel(a, b, sizes=(3, 4), reach=6, decay=0.8):
+    """Gap-weighted subsequence kernel of two words by listing all subsequences."""
+
+    def weights(word):
+        out = Counter()
+        for size in sizes:
+            for at in combinations(range(len(word)), size):
+                span = at[-1] - at[0] + 1
+                if span <= reach:
+                    out[tuple(word[i] for i in at)] += decay**span
+        return out
+
+    def norm(n):
+        shapes = (at for size in sizes for at in combinations(range(n), size) if at[-1] - at[0] < reach)
+        return sqrt(sum(decay ** (2 * (at[-1] - at[0] + 1)) for at in shapes))
+
+    x, y = weights(a), weights(b)
+    return sum(x[k] * y[k] for k in x) / (norm(len(a)) * norm(len(b)))
+
+
+def discriminant(rows, x, pooled_share, diagonal_share, floor, temper):
+    """Probability of class 1 for ``x`` from (features, class) rows, by densities."""
+    by = {k: np.array([f for f, c in rows if c == k]) for k in (0, 1)}
+    covs = {k: np.cov(v.T, bias=True) for k, v in by.items()}
+    pooled = sum(len(by[k]) * covs[k] for k in by) / len(rows)
+    logs = {}
+    for k, v in by.items():
+        cov = (1 - pooled_share) * covs[k] + pooled_share * pooled
+        cov = (1 - diagonal_share) * cov + diagonal_share * np.diag(np.diag(cov)) + floor * np.eye(len(cov))
+        d = x - v.mean(axis=0)
+        density = -0.5 * d @ np.linalg.solve(cov, d) - 0.5 * np.linalg.slogdet(cov)[1]
+        logs[k] = temper * density + np.log(len(v) / len(rows))
+    return 1 / (1 + exp(logs[0] - logs[1]))

@@ -345,6 +345,22 @@ def test_quality_on_held_out_labels(spark):
     assert r.n > 80 and r.a > 0.95
 
 
+def test_quality_scores_are_those_of_a_plain_discriminant(spark):
+    draw = random.Random(21)
+    junk = lambda: " ".join(draw.choice(["BUY!!", "$$$", "||", "99", "now", "now"]) for _ in range(draw.randrange(5, 60)))
+    rows = [(i, _prose(draw, draw.randrange(20, 200)) if i % 3 else junk()) for i in range(240)]
+    labels = [(i, int(i % 3 > 0)) for i in range(200)] + [(5, 1), (5, 1), (6, None)]
+    docs, known = _frame(spark, rows), _frame(spark, labels, "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in quality.quality_scores(docs, known).collect()}
+    x = dict(zip((i for i, _ in rows), quality.statistics([t for _, t in rows])))
+    training = [(x[i], y) for i, y in labels if y is not None and crc32(str(i).encode()) % 3 != 1]
+    for i, _ in rows:
+        expected = brute.discriminant(
+            training, x[i], quality.SHRINK_POOLED, quality.SHRINK_DIAGONAL, quality.FLOOR, quality.TEMPER
+        )
+        assert out[i] == pytest.approx(expected, rel=1e-6, abs=1e-9)
+
+
 def test_discriminant_separates_gaussians():
     draw = np.random.default_rng(0)
     d = len(quality.FEATURES)
@@ -391,6 +407,26 @@ def test_collapsed_table_gives_the_kernel():
     assert toxicity.kernel(words[:1], words[1:2])[0, 0] > 2 * toxicity.kernel(words[:1], words[2:3])[0, 0]
 
 
+@given(st.text("abcdeo", min_size=3, max_size=9), st.text("abcdeo", min_size=3, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_kernel_is_that_of_all_subsequences(a, b):
+    one, two = (bytes(ord(c) - 96 for c in w) for w in (a, b))
+    assert float(toxicity.kernel([one], [two])[0, 0]) == pytest.approx(brute.subsequence_kernel(a, b), rel=1e-4, abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded_by_characters(spark, monkeypatch):
+    rows = [(i, "x" * (100 + i)) for i in range(60)]
+    docs = _frame(spark, rows)
+    labels = _frame(spark, [(i, i % 2) for i in range(60)] + [(4, 0), (4, 0)], "doc_id long, toxic int")
+    whole = toxicity.training_sample(docs, labels, "toxic")
+    assert len(whole[0]) == sum(crc32(str(i).encode()) % 5 != 0 for i in range(60))
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 2000)
+    texts, ys = toxicity.training_sample(docs, labels, "toxic")
+    for y in (0, 1):
+        assert 500 < sum(len(t) for t, own in zip(texts, ys) if own == y) <= 1000
+    assert set(texts) <= set(whole[0])
+
+
 def test_language_model_base_and_gain(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
