@@ -21,7 +21,11 @@ a 64-bit hash of its bytes.  The counts of up to ``FREQUENT`` most frequent
 tokens are sent to the tasks; all other tokens of a document become rows
 that meet the counts in a join and are added up by document.
 
-* null text counts as empty: one end token;
+* null text counts as empty: one end token; very long texts are learnt and scored
+  whole, minibatch by minibatch;
+* of tokens that are equally frequent those with the smaller hash are classes of
+  their own; the weights depend on how tasks split the corpus, so scores of runs
+  on other splits differ in small decimals, base scores do not;
 * a null doc_id is a training row; held_out is then false;
 * repeated rows are counted and scored each; a doc_id that repeats is joined by
   doc_id and a hash of its text;

@@ -5,8 +5,8 @@ text is compared whole, by paragraph (split at blank lines) and by line, so
 that both a licence file and a notice inside a document are found.  With a and
 b distinct bigrams the coefficient 2 * common / (a + b) cannot exceed
 2 * min(a, b) / (a + b); templates whose size is outside
-[a * t / (2 - t), a * (2 - t) / t] are pruned before any bigram is compared,
-and segments that no template can match are never split into bigrams.
+[a * t / (2 - t), a * (2 - t) / t] are pruned before any bigram is compared.
+Segments with too few words for any template are never split into bigrams.
 
 Notices that are no segment of their own (wrapped over lines, of several
 paragraphs in a longer text, inside a line of prose) are found by windows of
@@ -17,7 +17,8 @@ Texts are searched for windows only where they hold as many of a template's
 bigrams as a match needs, anywhere.
 
 * null and empty texts match nothing; a segment of one word has no bigram and
-  matches nothing;
+  matches nothing; lines may end with CR LF; very long texts are searched whole;
+* repeated rows are searched each;
 * of templates with equal score the one first in order of its name is best;
 * an empty table gives an empty result; further columns are ignored.
 """
@@ -70,6 +71,7 @@ def segments(text: str):
     """The whole text, its paragraphs and its lines, each once, with the number
     of the piece's kind."""
     yield 0, text
+    text = text.replace("\r\n", "\n")
     paragraphs = text.split("\n\n")
     if len(paragraphs) > 1:
         yield from ((1, x) for x in paragraphs)
@@ -87,7 +89,6 @@ class Licences:
         self.threshold = threshold
         self.templates = sorted((name, bigrams(words_of(text))) for name, text in templates)
         reach = (2 - threshold) / threshold
-        self.most_chars_per_word = 0
         self.bounds = [(name, grams, len(grams) / reach, len(grams) * reach) for name, grams in self.templates]
         self.lowest = min(b[2] for b in self.bounds)
         self.highest = max(b[3] for b in self.bounds)

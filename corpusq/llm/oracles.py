@@ -69,10 +69,11 @@ def _licenses() -> str:
     return f"""
 WITH tw AS (SELECT name, {words.format("t")} AS w FROM (VALUES {rows}) AS v(name, t)),
 templates AS (SELECT name, {grams} AS g FROM tw),
+d AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents),
 parts AS (
   SELECT doc_id, coalesce(text, '') AS s FROM documents
-  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) FROM documents WHERE contains(text, chr(10) || chr(10))
-  UNION ALL SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) FROM documents WHERE contains(text, chr(10))),
+  UNION ALL SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) FROM d WHERE contains(text, chr(10) || chr(10))
+  UNION ALL SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')) FROM d WHERE contains(text, chr(10))),
 pw AS (SELECT doc_id, {words.format("s")} AS w FROM parts),
 pg AS (SELECT doc_id, {grams} AS g FROM pw WHERE len(w) > 1),
 scores AS (SELECT doc_id, name, 2 * len(list_intersect(pg.g, t.g)) / (len(pg.g) + len(t.g)) AS score

@@ -11,7 +11,8 @@ as a run of hexadecimal digits) scans every text.
 Postings are by segment, so the index needs no shuffle and its memory is that
 of one segment.  Lower-cased trigrams serve rules of either case.
 
-* null text counts as empty: no spans;
+* null text counts as empty: no spans; very long texts are scanned whole, and
+  repeated rows each;
 * spans are code points, end exclusive, leftmost and non-overlapping per kind;
 * an empty table gives an empty result; further columns are ignored.
 """
