@@ -85,16 +85,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     )
 
 
-def plan_groups(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    most_copies: int = MOST_COPIES,
-    seed: str = SEED,
-) -> DataFrame:
-    """doc_id, source, place (a hash of the text), size, source_size, target,
-    times: one row for all rows equal in the first three.  ``times`` says how many
-    of these are taken 0, 1, ... ``most_copies`` times: expected copies are the
-    same along the source, so a stretch of n rows has two numbers of copies at most."""
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, place (a hash of the text), class and id_hash of every row, written."""
     text_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     sized = docs.select(
         "doc_id",
@@ -102,9 +94,22 @@ def plan_groups(
         words(F.col("text")).alias("size"),
         F.xxhash64("text").alias("place"),
         F.conv(F.substring(text_hash, 1, 2), 16, 10).cast("int").alias("id_hash"),
-    ).withColumn("class", size_class(F.col("size")))
+    )
+    return cut(sized.withColumn("class", size_class(F.col("size"))), "mix-sizes")
+
+
+def plan_groups(
+    sized: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    most_copies: int = MOST_COPIES,
+    seed: str = SEED,
+) -> DataFrame:
+    """doc_id, source, place, size, source_size, target, times: one row for all
+    rows of ``sizes`` equal in the first three.  ``times`` says how many of these
+    are taken 0, 1, ... ``most_copies`` times: expected copies are the same along
+    the source, so a stretch of n rows has two numbers of copies at most."""
     equal = cut(
-        sized.groupBy("source", "class", "id_hash", "size", "doc_id", "place").agg(F.count(F.lit(1)).alias("n")), "mix-sizes"
+        sized.groupBy("source", "class", "id_hash", "size", "doc_id", "place").agg(F.count(F.lit(1)).alias("n")), "mix-equal"
     )
 
     blocks = cut(
@@ -146,8 +151,8 @@ def plan_groups(
     return joined.select("doc_id", "source", "place", "size", "source_size", "target", times.alias("times"))
 
 
-def _dealt(rows: DataFrame, groups: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Rows with the columns of their group (named by ``names``) and the number
+def _dealt(rows: DataFrame, place: Column, groups: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows, ``place`` being the hash of their text, with the columns of their group (named by ``names``) and the number
     of ``copies`` of each.  Where it differs within a group, the group's rows are
     numbered in salted parts, so that one of any size is spread out, and are
     dealt the counts in order."""
@@ -157,7 +162,7 @@ def _dealt(rows: DataFrame, groups: DataFrame, names: dict[str, str]) -> DataFra
     same = (
         rows["doc_id"].eqNullSafe(named[key[0]])
         & rows["source"].cast("string").eqNullSafe(named[key[1]])
-        & (F.xxhash64(rows["text"]) == named[key[2]])
+        & (place == named[key[2]])
     )
     joined = rows.join(named, same)
     kinds = F.size(F.filter(names["times"], lambda n: n > 0))
@@ -177,8 +182,8 @@ def _dealt(rows: DataFrame, groups: DataFrame, names: dict[str, str]) -> DataFra
     met = m.join(starts, reduce(and_, (F.col(f"m.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in [*key, salt])))
     # the first copies value whose rows, with those of smaller ones, reach the row's number
     reach = lambda c: F.aggregate(F.slice(names["times"], 1, c + 1), F.lit(0).cast("long"), lambda a, n: a + n)
-    place = F.col(before) + F.col(number)
-    copies = F.element_at(F.filter(F.sequence(F.lit(0), most), lambda c: reach(c) >= place), 1).cast("long")
+    nth = F.col(before) + F.col(number)
+    copies = F.element_at(F.filter(F.sequence(F.lit(0), most), lambda c: reach(c) >= nth), 1).cast("long")
     columns = [F.col(f"m.`{c}`") for c in joined.columns]
     return out.unionAll(met.select(*columns, copies.alias(names["copies"])))
 
@@ -188,9 +193,10 @@ _OF_GROUP = ("doc_id", "source", "place", "size", "source_size", "target", "time
 
 def mix_plan(docs: DataFrame, **params) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: one row per input row."""
-    rows = docs.select("doc_id", "source", "text")
+    sized = sizes(docs)
+    rows = sized.select("doc_id", "source", F.col("place").alias("row_place"))
     names = {n: fresh(rows, f"__{n}") for n in _OF_GROUP}
-    dealt = _dealt(rows, cut(plan_groups(rows, **params), "mix-plan"), names)
+    dealt = _dealt(rows, F.col("row_place"), cut(plan_groups(sized, **params), "mix-plan"), names)
     own = [F.col(names[c]).alias(c) for c in ("source", "size", "source_size", "target", "copies")]
     return dealt.select("doc_id", *own)
 
@@ -200,7 +206,7 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     takes it, with its number among the copies in ``copy_no``."""
     names = {n: fresh(docs, f"__{n}") for n in _OF_GROUP}
     taken = F.exists(F.slice("times", 2, F.size("times")), lambda n: n > 0)
-    groups = cut(plan_groups(docs, **params).where(taken).select("doc_id", "source", "place", "times"), "mix-plan")
-    dealt = _dealt(docs, groups, names).where(F.col(names["copies"]) > 0)
+    groups = cut(plan_groups(sizes(docs), **params).where(taken).select("doc_id", "source", "place", "times"), "mix-plan")
+    dealt = _dealt(docs, F.xxhash64(docs["text"]), groups, names).where(F.col(names["copies"]) > 0)
     copy_no = F.explode(F.sequence(F.lit(1), F.col(names["copies"]).cast("int"))).alias(fresh(docs, "copy_no"))
     return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], copy_no)
