@@ -443,8 +443,8 @@ def _near(docs: DataFrame, threshold: float, counted: bool) -> DataFrame:
         ends.append(cut(_link_counts(members, nodes, threshold), "link-counts"))
     degree = reduce(DataFrame.unionAll, ends).groupBy("node").agg(F.sum("n").alias("n_links"))
     placed = texts.drop("sig", "text_hash").join(classes, "node", "left")
-    names = placed.where("comp is not null").groupBy("comp").agg(F.min("text_id").alias("class_id"))
-    summary = placed.join(names, "comp", "left").join(degree, "node", "left")
+    names = cut(placed.where("comp is not null").groupBy("comp").agg(F.min("text_id").alias("class_id")), "class-names")
+    summary = join_sized(placed, names, ["comp"], "left").join(degree, "node", "left")
     out = signed.select("doc_id", "text_hash", "h1", "h2").join(summary, ["h1", "h2"], "left")
     named = F.col("doc_id").isNotNull()
     return out.select(
