@@ -56,13 +56,26 @@ def scoped(tenant_id: int, kb_ids: list[str] | None = None) -> Column:
     return own & F.col("kb_id").isin(kb_ids) if kb_ids else own
 
 
-def queries(spark: SparkSession, sf_dir: str, n_tokens: int = 5) -> DataFrame:
-    """query_id, query: the first tokens of every benchmark item."""
-    from corpusq.functions.text import tokens
-
-    return read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.array_join(F.slice(tokens(F.col("text")), 1, n_tokens), " ").alias("query"),
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: the benchmark items, whole."""
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, doc_id, e_start, e_end, n): documents that hold a benchmark text,
+    where it first stands, and their length.  Read once for all that follows."""
+    from corpusq.operators.lexical import occurrences
+    from corpusq.tables import written
+
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("string_id"), F.col("text").alias("string"))
+    held = occurrences(read(spark, sf_dir, "documents"), items)
+    start = F.col("first")
+    ends = held.join(items.select("string_id", F.length("string").cast("long").alias("size")), "string_id")
+    return written(
+        ends.select(
+            F.col("string_id").alias("query_id"), "doc_id", start.alias("e_start"), (start + F.col("size")).alias("e_end"), F.col("length").alias("n")
+        ),
+        "passages",
     )
 
 

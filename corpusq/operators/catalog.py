@@ -58,6 +58,34 @@ def document_filter(
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
+def consistent_chunks(chunks: DataFrame, documents: DataFrame, bases: DataFrame, tenant: int) -> DataFrame:
+    """Chunks (tenant_id, deleted, doc_id, kb_id) of a tenant that are alive and whose
+    document (d_tenant, d_deleted, d_kb_id) and base (b_tenant, b_deleted) are alive
+    and the tenant's too; chunk and document must name the same base."""
+    own = chunks.where((F.col("tenant_id") == tenant) & ~F.col("deleted"))
+    of_document = documents.where((F.col("d_tenant") == tenant) & ~F.col("d_deleted")).select("doc_id", "d_kb_id")
+    of_base = bases.where((F.col("b_tenant") == tenant) & ~F.col("b_deleted")).select("kb_id")
+    return own.join(of_document, "doc_id").where("kb_id = d_kb_id").join(of_base, "kb_id", "left_semi")
+
+
+def base_filter(creator: str | None = None, user: int | None = None, keyword: str | None = None, kind: str | None = None) -> Column:
+    """A predicate on knowledge bases: mine or others', a keyword in name or
+    description, a type; wiki also takes bases that have a wiki, and no base is a
+    question base."""
+    parts: list[Column] = []
+    if creator == "mine" and user is not None:
+        parts.append(F.col("creator_id") == user)
+    elif creator == "others" and user is not None:
+        parts.append(F.col("creator_id") != user)
+    if keyword:
+        parts.append(contains("kb_id", keyword) | contains("description", keyword))
+    if kind == "faq":
+        parts.append(F.lit(False))
+    elif kind:
+        parts.append((F.col("type") == "wiki") | F.col("wiki_enabled") if kind == "wiki" else F.col("type") == kind)
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+
+
 def offset_page(df: DataFrame, order: list[Column], page: int | None = 1, page_size: int = 20, offset: int | None = None) -> DataFrame:
     """Rows of one page; ``offset`` counts only when ``page`` is absent."""
     size = bounded(page_size, 1, MOST_PER_PAGE, 20)
@@ -90,4 +118,4 @@ def having_more(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n rows in order of a seeded hash of the key: a sample that reruns repeat."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(n)

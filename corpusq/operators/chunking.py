@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -356,6 +357,25 @@ def consolidate(breaks: list[int], hard: list[int], n_units: int, least: int) ->
     return kept
 
 
+def semantic_segments(units: DataFrame, percentile: float = 90.0, least: int = 3) -> DataFrame:
+    """(segment, start_at, end_at): the units (segment, pos from 0, embedding and
+    where wanted hard) of a segment cut at large distances and at hard boundaries,
+    in pieces of ``least`` units or more.  A segment is a document's units."""
+    hard = F.col("hard") if "hard" in units.columns else F.lit(False)
+    far = breakpoints(consecutive_distance(units), percentile).select("segment", "pos", F.lit(True).alias("far"))
+    marked = units.select("segment", "pos", hard.alias("hard")).join(far, ["segment", "pos"], "left")
+    kind = units.schema["segment"].dataType.simpleString()
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        n = len(frame)
+        breaks = [int(p) for p, x in zip(frame["pos"], frame["far"]) if x is True]
+        kept = consolidate(breaks, [int(p) for p, x in zip(frame["pos"], frame["hard"]) if x], n, least)
+        starts = [0, *kept]
+        return pd.DataFrame({"segment": [frame["segment"].iloc[0]] * len(starts), "start_at": starts, "end_at": [*kept, n]})
+
+    return marked.groupBy("segment").applyInPandas(cut, f"segment {kind}, start_at long, end_at long")
+
+
 def semantic_cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Units whose vectors the cache lacks under the same content, model, version, window and percentile."""
     return wanted.join(cache, ["content_hash", "model_signature", "version", "window", "percentile"], "left_anti")

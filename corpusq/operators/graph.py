@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusq.operators.lexical import occurrences
 
-def merge_entities(mentions: DataFrame) -> DataFrame:
-    """(name, chunk_ids, frequency) of mentions (name, chunk_id)."""
-    return mentions.groupBy("name").agg(
-        F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"), F.count_distinct("chunk_id").alias("frequency")
-    )
+
+def merge_entities(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, name, frequency, first_chunk) of mentions (scope, name, chunk_id):
+    chunks of a name are counted, not gathered, so a name of any frequency is one
+    small row.  ``scope`` names the columns that keep graphs apart."""
+    once = mentions.select(*scope, "name", "chunk_id").distinct()
+    return once.groupBy(*scope, "name").agg(F.count(F.lit(1)).alias("frequency"), F.min("chunk_id").alias("first_chunk"))
 
 
 def clean_relations(raw: DataFrame) -> DataFrame:
@@ -31,73 +34,99 @@ def missing_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return ends.join(entities.select("name"), "name", "left_anti")
 
 
-def merge_relations(relations: DataFrame) -> DataFrame:
-    """(source, target, chunk_ids, strength, n): chunks united, the largest strength."""
-    return relations.groupBy("source", "target").agg(
-        F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"),
-        F.max("strength").alias("strength"),
-        F.count_distinct("chunk_id").alias("n"),
-    )
+def merge_relations(relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, source, target, strength, n): chunks counted, the largest strength."""
+    once = relations.groupBy(*scope, "source", "target", "chunk_id").agg(F.max("strength").alias("strength"))
+    return once.groupBy(*scope, "source", "target").agg(F.max("strength").alias("strength"), F.count(F.lit(1)).alias("n"))
 
 
-def relation_weights(entities: DataFrame, relations: DataFrame) -> DataFrame:
+def relation_weights(entities: DataFrame, relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``pmi`` and ``weight``: 1 + 9 * (0.6 * pmi / largest + 0.4 * strength /
-    largest), with frequencies of one at least."""
-    f = entities.select(F.col("name"), F.greatest(F.lit(1), "frequency").alias("f"))
-    total = entities.select(F.greatest(F.lit(1), F.sum("frequency")).alias("t")).scalar()
-    pairs = relations.select(F.greatest(F.lit(1), F.sum("n")).alias("t")).scalar()
-    joined = relations.join(f.select(F.col("name").alias("source"), F.col("f").alias("fs")), "source").join(
-        f.select(F.col("name").alias("target"), F.col("f").alias("ft")), "target"
+    largest), with frequencies of one at least.  Totals and largest values are
+    those of the scope, or scalar subqueries where there is one graph."""
+    f = entities.select(*scope, "name", F.greatest(F.lit(1), "frequency").alias("f"))
+
+    def total(table: DataFrame, value: Column, name: str) -> DataFrame:
+        return table.groupBy(*scope).agg(value.alias(name))
+
+    def with_totals(table: DataFrame, *totals: DataFrame) -> DataFrame:
+        for t in totals:
+            if scope:
+                table = table.join(t, list(scope))
+            else:
+                table = table.withColumn(t.columns[0], t.scalar())
+        return table
+
+    least_one = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))
+    joined = relations.join(f.withColumnsRenamed({"name": "source", "f": "fs"}), [*scope, "source"]).join(
+        f.withColumnsRenamed({"name": "target", "f": "ft"}), [*scope, "target"]
     )
-    p = F.greatest(F.lit(1), "n") / pairs
-    raw = F.log2(p / ((F.col("fs") / total) * (F.col("ft") / total)))
-    scored = joined.withColumn("pmi", F.greatest(raw, F.lit(0.0)))
-    top_pmi = scored.select(F.coalesce(F.max("pmi"), F.lit(0.0)).alias("m")).scalar()
-    top_strength = relations.select(F.greatest(F.lit(1), F.coalesce(F.max("strength"), F.lit(1))).alias("m")).scalar()
-    share = F.when(top_pmi > 0, F.col("pmi") / top_pmi).otherwise(F.lit(0.0))
-    weight = 1 + 9 * (0.6 * share + 0.4 * F.col("strength") / top_strength)
-    return scored.withColumn("weight", weight).drop("fs", "ft")
-
-
-def degrees(relations: DataFrame) -> DataFrame:
-    """Relations that touch a name at either end."""
-    ends = relations.select(F.col("source").alias("name")).unionAll(relations.select("target"))
-    return ends.groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
-
-
-def chunk_edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """(a, b, weight): chunk of a relation's source to chunk of its target, both
-    ways, the largest weight; a relation's ends stand in the entities' chunks."""
-    chunks = entities.select("name", F.explode("chunk_ids").alias("chunk"))
-    left = relations.select("source", "target", "weight").join(
-        chunks.select(F.col("name").alias("source"), F.col("chunk").alias("a")), "source"
+    counted = with_totals(
+        joined,
+        total(f, least_one(F.sum("f")), "all_entities"),
+        total(relations, least_one(F.sum("n")), "all_relations"),
+        total(relations, least_one(F.max("strength")), "top_strength"),
     )
-    both = left.join(chunks.select(F.col("name").alias("target"), F.col("chunk").alias("b")), "target").where("a <> b")
-    edges = both.select("a", "b", "weight").unionAll(both.select("b", "a", "weight"))
-    return edges.groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    p = F.greatest(F.lit(1), "n") / F.col("all_relations")
+    raw = F.log2(p / ((F.col("fs") / F.col("all_entities")) * (F.col("ft") / F.col("all_entities"))))
+    scored = counted.withColumn("pmi", F.greatest(raw, F.lit(0.0)))
+    scored = with_totals(scored, total(scored, F.coalesce(F.max("pmi"), F.lit(0.0)), "top_pmi"))
+    share = F.when(F.col("top_pmi") > 0, F.col("pmi") / F.col("top_pmi")).otherwise(F.lit(0.0))
+    weight = 1 + 9 * (0.6 * share + 0.4 * F.col("strength") / F.col("top_strength"))
+    return scored.withColumn("weight", weight).select(*scope, "source", "target", "n", "strength", "pmi", "weight")
 
 
-def top_neighbours(edges: DataFrame, k: int = 8) -> DataFrame:
-    w = W.partitionBy("a").orderBy(F.round("weight", 9).desc(), "b")
+def degrees(relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Relations that touch a name at either end."""
+    ends = relations.select(*scope, F.col("source").alias("name")).unionAll(relations.select(*scope, "target"))
+    return ends.groupBy(*scope, "name").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def chunk_edges(relations: DataFrame, mentions: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """(scope, a, b, weight, degree): chunks of a relation's source to chunks of its
+    target, both ways, by the best (weight, degree).  A graph is that of one
+    document's chunks, as ``scope`` says, so a name joins chunks of one document
+    only and the join is never larger than documents make it."""
+    d = degrees(relations, scope)
+    for end in ("source", "target"):
+        relations = relations.join(d.withColumnsRenamed({"name": end, "degree": f"{end}_degree"}), [*scope, end])
+    ranked = relations.select(*scope, "source", "target", "weight", (F.col("source_degree") + F.col("target_degree")).alias("degree"))
+    once = mentions.select(*scope, "name", "chunk_id").distinct()
+    left = ranked.join(once.withColumnsRenamed({"name": "source", "chunk_id": "a"}), [*scope, "source"])
+    both = left.join(once.withColumnsRenamed({"name": "target", "chunk_id": "b"}), [*scope, "target"]).where("a <> b")
+    edges = both.select(*scope, "a", "b", "weight", "degree").unionAll(both.select(*scope, "b", "a", "weight", "degree"))
+    best = edges.groupBy(*scope, "a", "b").agg(F.max(F.struct(F.round("weight", 9).alias("weight"), "degree")).alias("best"))
+    return best.select(*scope, "a", "b", "best.weight", "best.degree")
+
+
+def top_neighbours(edges: DataFrame, k: int = 8, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The best k edges of each chunk by weight, then degree, then the other chunk."""
+    w = W.partitionBy(*scope, "a").orderBy(F.round("weight", 9).desc(), F.desc("degree"), "b")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def two_hop(edges: DataFrame, decay: float = 0.5) -> DataFrame:
-    """(a, b, weight): chunks two edges away and no nearer; the best product of weights, halved.
-
-    ``edges`` are the kept neighbours of a chunk, a bounded number each."""
-    one = edges.select("a", F.col("b").alias("via"), F.col("weight").alias("w1"))
-    two = edges.select(F.col("a").alias("via"), "b", F.col("weight").alias("w2"))
-    paths = one.join(two, "via").where("a <> b").groupBy("a", "b").agg(F.max(F.col("w1") * F.col("w2") * decay).alias("weight"))
-    return paths.join(edges.select("a", "b"), ["a", "b"], "left_anti")
+def two_hop(edges: DataFrame, decay: float = 0.5, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(scope, a, b, weight, degree): chunks two edges away and no nearer, over all
+    edges; the best product of weights, halved, with the larger degree of its path."""
+    one = edges.select(*scope, "a", F.col("b").alias("via"), F.col("weight").alias("w1"), F.col("degree").alias("d1"))
+    two = edges.select(*scope, F.col("a").alias("via"), "b", F.col("weight").alias("w2"), F.col("degree").alias("d2"))
+    path = F.struct(F.round(F.col("w1") * F.col("w2") * decay, 9).alias("weight"), F.greatest("d1", "d2").alias("degree"))
+    paths = one.join(two, [*scope, "via"]).where("a <> b").groupBy(*scope, "a", "b").agg(F.max(path).alias("best"))
+    found = paths.select(*scope, "a", "b", "best.weight", "best.degree")
+    return found.join(edges.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
 
 
 def name_matches(entities: DataFrame, terms: DataFrame, most: int = 200) -> DataFrame:
-    """(query_id, name): entities whose name holds a term of the query; by frequency, ``most`` each."""
-    hit = entities.join(terms, F.lower("name").contains(F.lower("term")))
-    once = hit.groupBy("query_id", "name").agg(F.max("frequency").alias("frequency"))
+    """(query_id, name, frequency): entities whose name holds a term of the query;
+    by frequency, ``most`` each.  The distinct terms, a stated query set, are
+    looked for in one pass over the names."""
+    low = terms.select("query_id", F.lower("term").alias("string_id")).distinct()
+    names = entities.select("name", "frequency", F.lower("name").alias("low"))
+    strings = low.select("string_id", F.col("string_id").alias("string")).distinct()
+    held = occurrences(names, strings, "name", "low").join(low, "string_id").select("query_id", "name").distinct()
     w = W.partitionBy("query_id").orderBy(F.desc("frequency"), "name")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    ranked = held.join(entities.select("name", "frequency"), "name").withColumn("rank", F.row_number().over(w))
+    return ranked.where(F.col("rank") <= most)
 
 
 def expand_relations(hits: DataFrame, direct: DataFrame, indirect: DataFrame, most: int = 3) -> DataFrame:
@@ -113,11 +142,11 @@ def expand_relations(hits: DataFrame, direct: DataFrame, indirect: DataFrame, mo
     return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "next", "position")
 
 
-def page_links(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slugs, links): pages as ``page/<id>``, words linked by two pages or more
-    as ``concept/<word>``; links (src, dst) between known slugs."""
+def page_links(pages: DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(slugs, links): pages as ``page/<id>``, words linked by ``least`` pages or
+    more as ``concept/<word>``; links (src, dst) between known slugs."""
     words = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("word")).distinct()
-    concepts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
+    concepts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
     page = F.concat(F.lit("page/"), F.col("page_id").cast("string"))
     slugs = pages.select(page.alias("slug"), F.lit("page").alias("kind")).unionAll(
         concepts.select(F.concat(F.lit("concept/"), "word"), F.lit("concept"))

@@ -47,6 +47,13 @@ def truncate_oldest(turns: DataFrame, tokens: Column, limit: int, share: float =
     return out.where((F.col("total") <= limit) | (F.col("used") <= share * limit))
 
 
+def of_tenant(messages: DataFrame, sessions: DataFrame, key: str, tenant: int, order: str, most: int) -> DataFrame:
+    """The last ``most`` messages of each session (key, tenant_id) of a tenant."""
+    own = sessions.where(F.col("tenant_id") == tenant).select(key)
+    w = W.partitionBy(key).orderBy(F.desc(order))
+    return messages.join(own, key, "left_semi").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
 def tool_groups(messages: DataFrame) -> DataFrame:
     """Adds ``group_no``: an assistant turn with calls and the tool turns after it share one."""
     w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)

@@ -1,21 +1,35 @@
 """Lexical index and BM25 recall for a batch of queries.
 
-``term_counts`` looks only at the terms that the queries ask for: the token
-array of a document is exploded, met with the distinct query terms and counted
-with map-side combining, so no full postings table is needed for a batch.
-``postings`` builds the full table for an index that is kept.
+The texts are read once: the token array of a document is exploded, met with the
+distinct query terms where the text is, and counted with map-side combining into
+a narrow written table (id, length, term, frequency).  Statistics, document
+frequencies and scores all come from that table, so no full postings table is
+needed for a batch.  ``postings`` builds the full one for an index that is kept.
+
+``occurrences`` finds strings in texts by one multi-pattern pass over each text,
+for blocks of strings of a bounded size, in place of a join on containment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusq.functions.text import tokens
+from corpusq.tables import sized, written
 
 K1, B = 1.2, 0.75
 FLOOR_IDF = 1e-6
+#: Characters of the strings that one pass over the texts looks for.
+BLOCK_CHARS = 500_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -37,10 +51,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, dl, term, tf) for the wanted terms only."""
-    wanted = terms.select("term").distinct()
-    exploded = tokenised(docs, id_col).select(id_col, "dl", F.explode("tokens").alias("term"))
-    return exploded.join(wanted, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, dl, term, tf) for the wanted terms only, written; and for every
+    document a row whose term is null and whose tf counts its rows."""
+    wanted = written(terms.select(F.col("term").alias("wanted")).distinct(), "terms")
+    # the null before the tokens stands for the document itself
+    each = F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term")
+    exploded = tokenised(docs, id_col).select(id_col, "dl", each)
+    met = exploded.join(sized(wanted), F.col("term") == F.col("wanted"), "left")
+    kept = met.where("term is null or wanted is not null").groupBy(id_col, "dl", "term")
+    return written(kept.agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -49,16 +68,22 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") ->
     Statistics are those of all rows of ``docs``; a term that most documents
     hold weighs next to nothing; a term said twice in a query counts twice.
     """
-    stats = tokenised(docs, id_col).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    terms = written(query_terms(queries), "query-terms")
+    counted = term_counts(docs, terms, id_col)
+    whole = counted.where("term is null")
+    stats = whole.agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    terms = query_terms(queries)
-    counts = term_counts(docs, terms, id_col)
+    counts = counted.where("term is not null")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(df, "term").withColumn("idf", F.when(raw <= 0, F.lit(FLOOR_IDF)).otherwise(raw))
+    weights = written(
+        terms.join(df, "term").select("query_id", "term", (F.col("qn") * F.when(raw <= 0, F.lit(FLOOR_IDF)).otherwise(raw)).alias("w")),
+        "term-weights",
+    )
     length = K1 * (1 - B + B * F.col("dl") / avgdl)
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    return counts.join(weights, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    part = counts.select(id_col, "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part"))
+    met = part.join(sized(weights), "term")
+    return met.groupBy("query_id", id_col).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", order: str = "score") -> DataFrame:
@@ -72,15 +97,79 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_i
     return top_k(bm25_scores(docs, queries, id_col), k, id_col)
 
 
+def _blocks(strings: DataFrame) -> Iterator[list[tuple]]:
+    """The strings (string_id, string) in blocks of about ``BLOCK_CHARS`` characters."""
+    block, size = [], 0
+    for r in strings.select("string_id", "string").toLocalIterator():
+        if block and size + len(r.string) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((r.string_id, r.string))
+        size += len(r.string)
+    if block:
+        yield block
+
+
+def occurrences(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, string_id, first, n, length): where each string first stands in each
+    text that holds it (code points from 0), how often without overlap, and the
+    length of the text.  ``strings`` (string_id, string) are a stated query set:
+    each block of them is one pass over the texts.  Empty strings and nulls are
+    nowhere."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = strings.schema["string_id"].dataType.simpleString()
+    schema = StructType.fromDDL(f"{id_col} {kind}, string_id {own}, first long, n long, length long")
+    out_schema = to_arrow_schema(schema)
+    spark = docs.sparkSession
+
+    def search(block: list[tuple]) -> DataFrame:
+        names: dict[str, list] = {}
+        for name, string in block:
+            names.setdefault(string, []).append(name)
+        machine = ahocorasick.Automaton()
+        for string, ids in names.items():
+            machine.add_word(string, (len(string), ids))
+        machine.make_automaton()
+        sent = spark.sparkContext.broadcast(machine)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[list] = [[] for _ in out_schema]
+                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found: dict[int, list] = {}
+                    for end, value in sent.value.iter(body or ""):
+                        size, begin = value[0], end + 1 - value[0]
+                        seen = found.get(id(value))
+                        if seen is None:
+                            found[id(value)] = [begin, 1, end + 1, value[1]]
+                        elif begin >= seen[2]:
+                            seen[1], seen[2] = seen[1] + 1, begin + size
+                    for begin, n, _, ids in found.values():
+                        for name in ids:
+                            for column, value in zip(rows, (doc, name, begin, n, len(body))):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out_schema)], schema=out_schema)
+
+        return docs.select(id_col, text).mapInArrow(run, schema)
+
+    parts = [search(b) for b in _blocks(strings.where(F.length("string") > 0))]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
+
+
 def substring_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(query_id, id, score): occurrences of each distinct query term as a
     substring of the lower-cased text, times its length, added up."""
-    terms = query_terms(queries).where(F.length("term") > 1)
-    # the distinct terms are found in one pass over the texts, then dealt to the queries
-    wanted = terms.select("term").distinct()
-    low = docs.select(id_col, F.lower("text").alias("low"))
-    held = low.join(wanted, F.col("low").contains(F.col("term")))
-    n = (F.length("low") - F.length(F.replace("low", F.col("term"), F.lit("")))) / F.length("term")
-    counts = held.select(id_col, "term", n.alias("tf"))
-    part = F.col("tf") * F.greatest(F.lit(1), F.length("term"))
-    return counts.join(terms, "term").groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
+    terms = written(query_terms(queries).where(F.length("term") > 1).select("query_id", "term"), "substring-terms")
+    wanted = terms.select(F.col("term").alias("string_id"), F.col("term").alias("string")).distinct()
+    held = occurrences(docs.select(id_col, F.lower("text").alias("low")), wanted, id_col, "low")
+    part = held.select(id_col, F.col("string_id").alias("term"), (F.col("n") * F.length("string_id")).cast("double").alias("part"))
+    return part.join(sized(terms), "term").groupBy("query_id", id_col).agg(F.sum("part").alias("score"))
+
+
+def containing(docs: DataFrame, queries: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id): the first ``most`` documents by id that hold a query as it
+    stands, for queries that the index cannot read."""
+    strings = queries.select(F.col("query_id").alias("string_id"), F.col("query").alias("string"))
+    held = occurrences(docs, strings, id_col).select(F.col("string_id").alias("query_id"), id_col)
+    w = W.partitionBy("query_id").orderBy(id_col)
+    return held.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")

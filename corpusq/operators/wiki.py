@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from corpusq.functions.text import candidate_names, view_slug
+from corpusq.operators.catalog import contains
+from corpusq.tables import positions
 
 
 def contributions(docs: DataFrame, least_length: int = 4) -> DataFrame:
@@ -20,12 +22,12 @@ def contributions(docs: DataFrame, least_length: int = 4) -> DataFrame:
 
 
 def reduce_by_slug(parts: DataFrame, versions: DataFrame | None = None) -> DataFrame:
-    """(slug, title, doc_ids, n_docs, version): contributions of a slug merged,
+    """(slug, title, n_docs, first_doc, version): contributions of a slug merged,
     its title the first name in order, its version one higher than before."""
     merged = parts.groupBy("slug").agg(
         F.min("name").alias("title"),
-        F.sort_array(F.collect_set("doc_id")).alias("doc_ids"),
         F.count_distinct("doc_id").alias("n_docs"),
+        F.min("doc_id").alias("first_doc"),
     )
     if versions is None:
         return merged.withColumn("version", F.lit(1))
@@ -42,7 +44,7 @@ def citations(names: DataFrame, chunks: DataFrame, most: int = 6) -> DataFrame:
     """(doc_id, name, chunk_index): first chunks of the document that hold the
     name, or its first chunk where none does."""
     joined = names.join(chunks, "doc_id")
-    held = F.lower("content").contains(F.lower("name"))
+    held = F.col("content").contains(F.col("name"))
     places = joined.groupBy("doc_id", "name").agg(
         F.array_sort(F.collect_list(F.when(held, F.col("chunk_index")))).alias("held"), F.min("chunk_index").alias("first")
     )
@@ -50,11 +52,22 @@ def citations(names: DataFrame, chunks: DataFrame, most: int = 6) -> DataFrame:
     return places.select("doc_id", "name", F.explode(chosen).alias("chunk_index"))
 
 
+def visible(pages: DataFrame) -> DataFrame:
+    """Pages that are not deleted and no index."""
+    return pages.where("not deleted and page_type <> 'index' and slug <> 'index'")
+
+
+def search(pages: DataFrame, text: str, limit: int = 50) -> DataFrame:
+    """Visible pages whose title or content holds a text, by title, up to 200."""
+    found = visible(pages).where(contains("title", text) | contains("content", text)) if text else visible(pages)
+    return found.orderBy("title", "page_id").limit(min(max(limit, 1), 200))
+
+
 def grouped_index(pages: DataFrame) -> DataFrame:
-    """(kind, listing): slugs of each kind in order, one per line."""
-    return pages.groupBy("kind").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("slug")), lambda s: F.concat(F.lit("- [["), s, F.lit("]]"))), "\n").alias("listing")
-    )
+    """(kind, slug, position, line): the index as a row for each slug with its
+    place in the list of its kind, which may be of any length."""
+    line = F.concat(F.lit("- [["), F.col("slug"), F.lit("]]"))
+    return positions(pages.select("kind", "slug"), "kind", "slug").withColumn("line", line)
 
 
 def inject_links(text: str, names: list[tuple[str, str]], most: int = 80) -> str:

@@ -134,10 +134,10 @@ def grep_all_terms(spark, sf_dir):
     return docs.where(T.contains_all(F.col("text"), "idiot the".split())).select("doc_id")
 
 
-@query("search_any_term", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_type), 'brass')")
+@query("search_any_term", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'small')")
 def search_any_term(spark, sf_dir):
     part = model.read(spark, sf_dir, "part")
-    return part.where(T.contains_any(F.col("p_name"), ["1"]) | catalog.contains("p_type", "brass")).select("p_partkey", "p_name")
+    return part.where(T.contains_any(F.col("p_name"), ["Bolt"]) | catalog.contains("p_type", "small")).select("p_partkey", "p_name")
 
 
 @query(
@@ -211,10 +211,10 @@ def having_duplicates(spark, sf_dir):
     return catalog.having_more(d, ["kb_id", "file_hash"])
 
 
-@query("multi_key_sort", "SELECT p_partkey, p_type, p_size, p_name FROM part ORDER BY p_type, p_size DESC, p_name, p_partkey LIMIT 200")
+@query("multi_key_sort", "SELECT p_partkey, p_type, p_size, p_name FROM part ORDER BY p_type, p_size DESC, p_name, p_partkey")
 def multi_key_sort(spark, sf_dir):
     part = model.read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_name")
-    return part.orderBy("p_type", F.desc("p_size"), "p_name", "p_partkey").limit(200)
+    return part.orderBy("p_type", F.desc("p_size"), "p_name", "p_partkey")
 
 
 @query("distinct_models", f"WITH u AS ({model.SQL_USAGE}) SELECT DISTINCT tenant_id, model_type FROM u")

@@ -70,20 +70,6 @@ def relink_neighbours(spark, sf_dir):
     return chunking.neighbour_links(left).select("doc_id", "chunk_index", "prev_index", "next_index")
 
 
-@query("chunk_validation", "SELECT NULL::BIGINT AS doc_id, NULL::VARCHAR AS rule, NULL::BIGINT AS n WHERE false")
-def chunk_validation(spark, sf_dir):
-    """Violations of the chunk rules; a correct chunker has none."""
-    docs = _docs(spark, sf_dir)
-    fixed = chunking.violations(chunking.fixed_chunks(docs), docs)
-    return fixed.unionByName(chunking.violations(chunking.structural_chunks(docs), docs))
-
-
-@query("hierarchy_validation", "SELECT NULL::BIGINT AS doc_id, NULL::INT AS parent_index WHERE false")
-def hierarchy_validation(spark, sf_dir):
-    both = chunking.hierarchy(_docs(spark, sf_dir))
-    return chunking.hierarchy_violations(both).select("doc_id", "parent_index")
-
-
 @query("structural_chunks")
 def structural_chunks(spark, sf_dir):
     return chunking.structural_chunks(_docs(spark, sf_dir)).drop("content")
@@ -202,29 +188,3 @@ def csv_rows(spark, sf_dir):
     """Table rows as the lines a CSV file is read as."""
     c = model.read(spark, sf_dir, "customer")
     return c.select("c_custkey", F.concat_ws(" | ", "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("line"))
-
-
-@query(
-    "redundant_pairs",
-    """WITH s AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: length(t) > 1)) AS t FROM documents),
-    k AS (SELECT doc_id, text, t, md5(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 60)) AS head FROM s)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)), 6) AS jaccard,
-      round(len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)), 6) AS overlap
-    FROM k a JOIN k b ON a.head = b.head AND a.doc_id < b.doc_id AND a.text <> b.text
-    WHERE (least(length(a.text), length(b.text)) >= 80 AND contains(CASE WHEN length(a.text) <= length(b.text) THEN b.text ELSE a.text END,
-        CASE WHEN length(a.text) <= length(b.text) THEN a.text ELSE b.text END))
-      OR len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)) >= 0.85""",
-)
-def redundant_pairs(spark, sf_dir):
-    """Redundant texts among those of one beginning, each distinct text once."""
-    text = F.col("text")
-    head = F.md5(F.substring(T.normalise(text), 1, 60)).alias("head")
-    s = _docs(spark, sf_dir).select("doc_id", "text", T.token_set(text).alias("t"), head)
-    a, b = s.alias("a"), s.alias("b")
-    pairs = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.text") != F.col("b.text")))
-    found = pairs.where(T.redundant(F.col("a.text"), F.col("b.text"), F.col("a.t"), F.col("b.t")))
-    return found.select(
-        F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"),
-        F.round(T.jaccard(F.col("a.t"), F.col("b.t")), 6).alias("jaccard"),
-        F.round(T.overlap(F.col("a.t"), F.col("b.t")), 6).alias("overlap"),
-    )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from corpusq.operators import chunking, evaluation, retrieval_context
 from corpusq.plans.chunks import SQL_CHUNKS
 from corpusq.registry import query
 from corpusq.streaming import jobs
+from corpusq.tables import shared_folder
 
 #: Hits of a passage: the chunks of a document that share a position with it, by position.
 SQL_SPANS = f"""{SQL_CHUNKS},
@@ -22,21 +22,14 @@ cand AS (SELECT query_id, c.doc_id, chunk_index, start_at, end_at, c.doc_id * 10
 
 
 def _evidence(spark, sf_dir):
-    items = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = model.read(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.join(items, F.col("text").contains(F.col("passage")))
-    start = F.instr("text", F.col("passage")).cast("long") - 1
-    return held.select(
-        "query_id", "doc_id", start.alias("e_start"), (start + F.length("passage")).alias("e_end"),
-        F.length("text").alias("n"), F.concat_ws(":", "query_id", "doc_id").alias("evidence_id"),
-    )
+    return model.passages(spark, sf_dir).withColumn("evidence_id", F.concat_ws(":", "query_id", "doc_id"))
 
 
-def _candidates(spark, sf_dir):
+def _candidates(spark, sf_dir, evidence=None):
     from pyspark.sql import Window as W
 
     chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents")).drop("content")
-    pairs = _evidence(spark, sf_dir).select("query_id", "doc_id").distinct()
+    pairs = (_evidence(spark, sf_dir) if evidence is None else evidence).select("query_id", "doc_id").distinct()
     w = W.partitionBy("query_id").orderBy(F.abs(F.col("chunk_index") - 1), "doc_id", "chunk_index")
     joined = chunks.join(pairs, "doc_id").withColumn("id", F.col("doc_id") * 100000 + F.col("chunk_index"))
     return joined.withColumn("rank", F.row_number().over(w))
@@ -54,7 +47,8 @@ def _candidates(spark, sf_dir):
 )
 def span_evaluation(spark, sf_dir):
     q = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    out = evaluation.span_metrics(_candidates(spark, sf_dir), _evidence(spark, sf_dir), q)
+    evidence = _evidence(spark, sf_dir)
+    out = evaluation.span_metrics(_candidates(spark, sf_dir, evidence), evidence, q)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("mrr", "recall", "precision")], "chars")
 
 
@@ -160,5 +154,4 @@ def _stream(spark, sf_dir):
 
 
 def _checkpoint(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

@@ -6,57 +6,70 @@ from pyspark.sql import functions as F
 
 from corpusq import model
 from corpusq.functions.text import candidate_names
-from corpusq.operators import graph, wiki
+from corpusq.operators import chunking, graph, wiki
+from corpusq.plans.chunks import SQL_CHUNKS
 from corpusq.registry import query
+from corpusq.tables import positions, written
 
-#: Names are those of documents' first lines: a name mentioned there is an entity
-#: of the document, and neighbouring names of it are related.
+#: A name that stands in a document is an entity of it; neighbours in the order of its names are related.
 NAMES = "'(\\p{Lu}[\\p{L}\\p{N}]+(?: \\p{Lu}[\\p{L}\\p{N}]+){0,3})'"
-SQL_ENTITIES = f"""names AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(split_part(text, chr(10), 1), {NAMES}, 1)) AS l FROM documents),
+SQL_ENTITIES = f"""names AS (SELECT doc_id AS chunk_id, list_distinct(regexp_extract_all(text, {NAMES}, 1)) AS l FROM documents),
 mentions AS (SELECT chunk_id, unnest(l) AS name FROM names),
-ents AS (SELECT name, count(*) AS frequency FROM mentions GROUP BY 1)"""
+ents AS (SELECT name, count(*) AS frequency, min(chunk_id) AS first_chunk FROM mentions GROUP BY 1)"""
 # list_distinct keeps no order in DuckDB, so pairs are made from the names in order of their text
 SQL_RELATIONS = f"""{SQL_ENTITIES},
 ordered AS (SELECT chunk_id, list_sort(l) AS l FROM names WHERE len(l) > 1),
 pairs AS (SELECT chunk_id, l[i] AS source, l[i + 1] AS target FROM (SELECT *, unnest(range(1, len(l))) AS i FROM ordered)),
-rels AS (SELECT source, target, count(DISTINCT chunk_id) AS n, max(1 + (chunk_id % 10)) AS strength, list_sort(list(DISTINCT chunk_id)) AS chunk_ids FROM pairs GROUP BY ALL),
+rels AS (SELECT source, target, count(DISTINCT chunk_id) AS n, max(1 + (chunk_id % 10)) AS strength FROM pairs GROUP BY ALL),
 sums AS (SELECT (SELECT sum(frequency) FROM ents) AS t, (SELECT sum(n) FROM rels) AS p, (SELECT max(strength) FROM rels) AS ms),
 pm AS (SELECT r.*, greatest(log2((n::DOUBLE / p) / ((a.frequency::DOUBLE / t) * (b.frequency::DOUBLE / t))), 0) AS pmi, ms
   FROM rels r JOIN ents a ON a.name = source JOIN ents b ON b.name = target, sums),
 weighted AS (SELECT *, 1 + 9 * (0.6 * (CASE WHEN (SELECT max(pmi) FROM pm) > 0 THEN pmi / (SELECT max(pmi) FROM pm) ELSE 0 END) + 0.4 * strength / ms) AS weight FROM pm)"""
-SQL_CHUNK_EDGES = f"""{SQL_RELATIONS},
-frequent AS (SELECT name FROM ents WHERE frequency <= 20),
-em AS (SELECT m.* FROM mentions m JOIN frequent USING (name)),
-ce AS (SELECT a.chunk_id AS a, b.chunk_id AS b, weight FROM weighted JOIN em a ON a.name = source JOIN em b ON b.name = target WHERE a.chunk_id <> b.chunk_id),
-edges AS (SELECT a, b, max(weight) AS weight FROM (SELECT * FROM ce UNION ALL SELECT b, a, weight FROM ce) GROUP BY ALL),
-direct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(weight, 9) DESC, b) AS rank FROM edges) WHERE rank <= 8)"""
-
-
-def _mentions(spark, sf_dir):
+#: The graph of each document's own chunks.
+SQL_CHUNK_EDGES = f"""{SQL_CHUNKS},
+names AS (SELECT doc_id, chunk_index AS chunk_id, list_distinct(regexp_extract_all(content, {NAMES}, 1)) AS l FROM c),
+mentions AS (SELECT doc_id, chunk_id, unnest(l) AS name FROM names),
+ents AS (SELECT doc_id, name, count(*) AS frequency FROM mentions GROUP BY ALL),
+ordered AS (SELECT doc_id, chunk_id, list_sort(l) AS l FROM names WHERE len(l) > 1),
+pairs AS (SELECT doc_id, chunk_id, l[i] AS source, l[i + 1] AS target FROM (SELECT *, unnest(range(1, len(l))) AS i FROM ordered)),
+rels AS (SELECT doc_id, source, target, count(DISTINCT chunk_id) AS n, max(1 + (chunk_id % 10)) AS strength FROM pairs GROUP BY ALL),
+te AS (SELECT doc_id, sum(frequency) AS t FROM ents GROUP BY 1), tr AS (SELECT doc_id, sum(n) AS p, max(strength) AS ms FROM rels GROUP BY 1),
+pm AS (SELECT r.*, ms, greatest(log2((n::DOUBLE / p) / ((a.frequency::DOUBLE / t) * (b.frequency::DOUBLE / t))), 0) AS pmi FROM rels r
+  JOIN ents a ON a.doc_id = r.doc_id AND a.name = source JOIN ents b ON b.doc_id = r.doc_id AND b.name = target JOIN te ON te.doc_id = r.doc_id JOIN tr ON tr.doc_id = r.doc_id),
+deg AS (SELECT doc_id, name, count(*) AS degree FROM (SELECT doc_id, source AS name FROM rels UNION ALL SELECT doc_id, target FROM rels) GROUP BY ALL),
+weighted AS (SELECT p.doc_id, source, target, x.degree + y.degree AS degree,
+  1 + 9 * (0.6 * (CASE WHEN max(pmi) OVER (PARTITION BY p.doc_id) > 0 THEN pmi / max(pmi) OVER (PARTITION BY p.doc_id) ELSE 0 END) + 0.4 * strength / ms) AS weight
+  FROM pm p JOIN deg x ON x.doc_id = p.doc_id AND x.name = source JOIN deg y ON y.doc_id = p.doc_id AND y.name = target),
+ce AS (SELECT w.doc_id, a.chunk_id AS a, b.chunk_id AS b, round(weight, 9) AS weight, degree FROM weighted w JOIN mentions a ON a.doc_id = w.doc_id AND a.name = source
+  JOIN mentions b ON b.doc_id = w.doc_id AND b.name = target WHERE a.chunk_id <> b.chunk_id),
+edges AS (SELECT doc_id, a, b, max({{'w': weight, 'd': degree}}) AS best FROM (SELECT * FROM ce UNION ALL SELECT doc_id, b, a, weight, degree FROM ce) GROUP BY ALL)"""
+#: The best eight of a chunk.
+SQL_TOP = "row_number() OVER (PARTITION BY doc_id, a ORDER BY best.w DESC, best.d DESC, b)"
+
+
+def _neighbours(names):
+    """Names next to each other in the order of their text, strength by chunk."""
+    l = names.withColumn("l", F.array_sort("names")).where("size(l) > 1")
+    pairs = l.withColumn("p", F.explode(F.expr("transform(sequence(1, size(l) - 1), i -> struct(l[i - 1] as source, l[i] as target))")))
+    return graph.clean_relations(pairs.withColumns({"source": F.col("p.source"), "target": F.col("p.target"), "strength": 1 + F.col("chunk_id") % 10}))
+
+
+def _names(spark, sf_dir):
     docs = model.read(spark, sf_dir, "documents")
-    first = F.substring_index("text", "\n", 1)
-    return docs.select(F.col("doc_id").alias("chunk_id"), candidate_names(first).alias("names"))
+    return docs.select(F.col("doc_id").alias("chunk_id"), candidate_names(F.col("text")).alias("names"))
 
 
 def _entities(spark, sf_dir):
-    return graph.merge_entities(_mentions(spark, sf_dir).select("chunk_id", F.explode("names").alias("name")))
+    return graph.merge_entities(_names(spark, sf_dir).select("chunk_id", F.explode("names").alias("name")))
 
 
 def _relations(spark, sf_dir):
-    """Names next to each other in the order of their text, strength by document."""
-    names = _mentions(spark, sf_dir).select("chunk_id", F.array_sort("names").alias("l")).where("size(l) > 1")
-    pairs = names.select("chunk_id", F.explode(F.expr("transform(sequence(1, size(l) - 1), i -> struct(l[i - 1] as source, l[i] as target))")).alias("p"))
-    raw = pairs.select("p.source", "p.target", (1 + F.col("chunk_id") % 10).alias("strength"), "chunk_id")
-    return graph.merge_relations(graph.clean_relations(raw))
-
-
-def _weighted(spark, sf_dir):
-    return graph.relation_weights(_entities(spark, sf_dir), _relations(spark, sf_dir))
+    return graph.merge_relations(_neighbours(_names(spark, sf_dir)))
 
 
-@query("entity_merge", f"WITH {SQL_ENTITIES} SELECT name, frequency, (SELECT min(chunk_id) FROM mentions m WHERE m.name = ents.name) AS first_chunk FROM ents")
+@query("entity_merge", f"WITH {SQL_ENTITIES} SELECT name, frequency, first_chunk FROM ents")
 def entity_merge(spark, sf_dir):
-    return _entities(spark, sf_dir).select("name", "frequency", F.element_at("chunk_ids", 1).alias("first_chunk"))
+    return _entities(spark, sf_dir)
 
 
 @query(
@@ -64,7 +77,9 @@ def entity_merge(spark, sf_dir):
     f"WITH {SQL_RELATIONS} SELECT source, target, n, strength, round(pmi, 6) AS pmi, round(weight, 6) AS weight FROM weighted",
 )
 def relation_pmi_weight(spark, sf_dir):
-    w = _weighted(spark, sf_dir)
+    names = written(_names(spark, sf_dir), "names")
+    entities = graph.merge_entities(names.select("chunk_id", F.explode("names").alias("name")))
+    w = graph.relation_weights(written(entities, "entities"), written(graph.merge_relations(_neighbours(names)), "relations"))
     return w.select("source", "target", "n", "strength", F.round("pmi", 6).alias("pmi"), F.round("weight", 6).alias("weight"))
 
 
@@ -73,37 +88,48 @@ def entity_degree(spark, sf_dir):
     return graph.degrees(_relations(spark, sf_dir))
 
 
-def _direct(spark, sf_dir):
-    # names of more than twenty documents say nothing about which of them belong together
-    entities = _entities(spark, sf_dir).where("frequency <= 20")
-    return graph.top_neighbours(graph.chunk_edges(_weighted(spark, sf_dir), entities))
+def _edges(spark, sf_dir):
+    """Edges between the chunks of each document, written."""
+    scope = ("doc_id",)
+    chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = written(chunks.select("doc_id", F.col("chunk_index").alias("chunk_id"), candidate_names(F.col("content")).alias("names")), "chunk-names")
+    mentions = names.select("doc_id", "chunk_id", F.explode("names").alias("name"))
+    relations = written(graph.merge_relations(_neighbours(names), scope), "chunk-relations")
+    weighted = graph.relation_weights(graph.merge_entities(mentions, scope), relations, scope)
+    return written(graph.chunk_edges(weighted, mentions, scope), "chunk-edges")
 
 
-@query("chunk_graph_direct", f"WITH {SQL_CHUNK_EDGES} SELECT a, b, round(weight, 6) AS weight, rank FROM direct")
+@query("chunk_graph_direct", f"WITH {SQL_CHUNK_EDGES} SELECT doc_id, a, b, round(best.w, 6) AS weight, best.d AS degree, {SQL_TOP} AS rank FROM edges QUALIFY rank <= 8")
 def chunk_graph_direct(spark, sf_dir):
-    return _direct(spark, sf_dir).select("a", "b", F.round("weight", 6).alias("weight"), "rank")
+    found = graph.top_neighbours(_edges(spark, sf_dir), scope=("doc_id",))
+    return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 
 @query(
     "chunk_graph_two_hop",
-    f"""WITH {SQL_CHUNK_EDGES}, two AS (SELECT x.a, y.b, max(x.weight * y.weight * 0.5) AS weight FROM direct x JOIN direct y ON x.b = y.a WHERE x.a <> y.b GROUP BY ALL)
-    SELECT a, b, round(weight, 6) AS weight FROM two WHERE NOT EXISTS (SELECT 1 FROM direct d WHERE d.a = two.a AND d.b = two.b)""",
+    f"""WITH {SQL_CHUNK_EDGES}, two AS (SELECT x.doc_id, x.a, y.b, max({{'w': round(x.best.w * y.best.w * 0.5, 9), 'd': greatest(x.best.d, y.best.d)}}) AS best
+      FROM edges x JOIN edges y ON x.doc_id = y.doc_id AND x.b = y.a WHERE x.a <> y.b GROUP BY ALL)
+    SELECT doc_id, a, b, round(best.w, 6) AS weight, best.d AS degree, {SQL_TOP} AS rank FROM two
+    WHERE NOT EXISTS (SELECT 1 FROM edges d WHERE d.doc_id = two.doc_id AND d.a = two.a AND d.b = two.b) QUALIFY rank <= 8""",
 )
 def chunk_graph_two_hop(spark, sf_dir):
-    return graph.two_hop(_direct(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    scope = ("doc_id",)
+    found = graph.top_neighbours(graph.two_hop(_edges(spark, sf_dir), scope=scope), scope=scope)
+    return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 
 @query(
     "graph_name_match",
-    f"""WITH {SQL_ENTITIES}, terms AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: length(w) >= 6))) AS term FROM benchmark),
-    hit AS (SELECT query_id, name, max(frequency) AS frequency FROM ents JOIN terms ON contains(lower(name), lower(term)) GROUP BY ALL)
+    f"""WITH {SQL_ENTITIES}, terms AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(text, {NAMES}, 1))) AS term FROM benchmark),
+    hit AS (SELECT DISTINCT query_id, name, frequency FROM ents JOIN terms ON contains(lower(name), lower(term)))
     SELECT query_id, name, frequency FROM hit QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, name) <= 200""",
 )
 def graph_name_match(spark, sf_dir):
+    """Entities whose names hold a name of the query."""
     items = model.read(spark, sf_dir, "benchmark")
-    words = F.array_distinct(F.filter(F.split(F.substring_index("text", "\n", 1), " "), lambda w: F.length(w) >= 6))
-    terms = items.select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"))
-    return graph.name_matches(_entities(spark, sf_dir), terms).select("query_id", "name", "frequency")
+    terms = items.select(F.col("item_id").alias("query_id"), F.explode(candidate_names(F.col("text"))).alias("term"))
+    entities = written(_entities(spark, sf_dir), "entities")
+    return graph.name_matches(entities, terms).select("query_id", "name", "frequency")
 
 
 SQL_LINKS = """words AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS word FROM pages),
@@ -112,8 +138,12 @@ slugs AS (SELECT 'page/' || page_id AS slug, 'page' AS kind FROM pages UNION ALL
 links AS (SELECT 'page/' || page_id AS src, 'concept/' || word AS dst FROM words JOIN concepts USING (word))"""
 
 
-def _links(spark, sf_dir):
-    return graph.page_links(model.read(spark, sf_dir, "pages"))
+#: Links of which only words that four pages link are known.
+SQL_KNOWN = SQL_LINKS.replace("count(*) > 1", "count(*) >= 4")
+
+
+def _links(spark, sf_dir, least=2):
+    return graph.page_links(model.read(spark, sf_dir, "pages"), least)
 
 
 @query("page_links", f"WITH {SQL_LINKS} SELECT src, dst FROM links")
@@ -123,11 +153,11 @@ def page_links(spark, sf_dir):
 
 @query(
     "dead_links",
-    f"WITH {SQL_LINKS} SELECT 'page/' || page_id AS src, 'concept/' || word AS dst FROM words WHERE word NOT IN (SELECT word FROM concepts)",
+    f"WITH {SQL_KNOWN} SELECT 'page/' || page_id AS src, 'concept/' || word AS dst FROM words WHERE word NOT IN (SELECT word FROM concepts)",
 )
 def dead_links(spark, sf_dir):
     pages = model.read(spark, sf_dir, "pages")
-    slugs, _ = _links(spark, sf_dir)
+    slugs, _ = _links(spark, sf_dir, 4)
     words = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("word")).distinct()
     every = words.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("concept/"), "word").alias("dst"))
     return graph.dead_links(every, slugs).select("src", "dst")
@@ -162,17 +192,16 @@ def ego_bfs(spark, sf_dir):
 
 @query(
     "orphan_pages",
-    f"WITH {SQL_LINKS} SELECT slug, kind FROM slugs WHERE slug NOT IN (SELECT src FROM links UNION SELECT dst FROM links)",
+    f"WITH {SQL_KNOWN} SELECT slug, kind FROM slugs WHERE slug NOT IN (SELECT src FROM links UNION SELECT dst FROM links)",
 )
 def orphan_pages(spark, sf_dir):
-    return graph.orphans(*_links(spark, sf_dir))
+    return graph.orphans(*_links(spark, sf_dir, 4))
 
 
-@query("pages_by_kind", f"WITH {SQL_LINKS} SELECT kind, count(*) AS n, md5(string_agg('- [[' || slug || ']]', chr(10) ORDER BY slug)) AS listing_md5 FROM slugs GROUP BY 1")
+@query("pages_by_kind", f"WITH {SQL_LINKS} SELECT kind, slug, row_number() OVER (PARTITION BY kind ORDER BY slug) AS position, '- [[' || slug || ']]' AS line FROM slugs")
 def pages_by_kind(spark, sf_dir):
     slugs, _ = _links(spark, sf_dir)
-    counts = slugs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(wiki.grouped_index(slugs), "kind").select("kind", "n", F.md5("listing").alias("listing_md5"))
+    return wiki.grouped_index(slugs)
 
 
 @query(
@@ -186,20 +215,18 @@ def induced_links(spark, sf_dir):
     return graph.induced(links, busy).select("src", "dst")
 
 
-SQL_WIKI = f"""first_lines AS (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents),
-raw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(line, {NAMES}, 1))) AS name FROM first_lines),
+SQL_WIKI = f"""raw AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {NAMES}, 1))) AS name FROM documents),
 contrib AS (SELECT 'entity/' || regexp_replace(regexp_replace(lower(trim(name)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, name, doc_id FROM raw WHERE length(name) >= 4)"""
 
 
 def _contributions(spark, sf_dir):
-    docs = model.read(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("text"))
-    return wiki.contributions(docs)
+    return wiki.contributions(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("slug_contributions", f"WITH {SQL_WIKI} SELECT slug, min(name) AS title, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM contrib GROUP BY 1")
 def slug_contributions(spark, sf_dir):
     merged = wiki.reduce_by_slug(_contributions(spark, sf_dir))
-    return merged.select("slug", "title", "n_docs", F.element_at("doc_ids", 1).alias("first_doc"))
+    return merged.select("slug", "title", "n_docs", "first_doc")
 
 
 @query(
@@ -228,7 +255,7 @@ def link_changes(spark, sf_dir):
 
 @query("cross_linked_pages")
 def cross_linked_pages(spark, sf_dir):
-    """Documents with links to the entities that their own first line names."""
+    """Documents with links to the entities that they name."""
     docs = model.read(spark, sf_dir, "documents").select("doc_id", "text")
     parts = _contributions(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("name", "slug"))).alias("names"))
     linked = wiki.cross_link(docs.join(parts, "doc_id"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusq import model
-from corpusq.functions.text import ACCENTED, PLAIN, token_set
+from corpusq.functions.text import ACCENTED, PLAIN, jaccard, overlap, redundant, token_set
 from corpusq.operators import evaluation, fusion, lexical, vector
 from corpusq.registry import query
+from corpusq.tables import written
 
 TOP = 20
 
@@ -21,7 +22,7 @@ def sql_tokens(expression: str) -> str:
 SQL_DOCS = f"docs AS ({model.SQL_DOCUMENTS})"
 SQL_BM25 = f"""
 {SQL_DOCS},
-q AS (SELECT item_id AS query_id, array_to_string(({sql_tokens("text")})[1:5], ' ') AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 dt AS (SELECT doc_id, {sql_tokens("title || ' ' || text")} AS toks FROM docs),
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
 qt AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest({sql_tokens("query")}) AS term FROM q) GROUP BY ALL),
@@ -161,12 +162,8 @@ def eval_mrr_recall(spark, sf_dir):
 
 
 def _passage_relevance(spark, sf_dir):
-    """Documents that hold the benchmark text: candidates by the fused list, verified by containment."""
-    items = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = model.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    # passages are a stated query set: every text is searched for each of them
-    held = docs.join(items, F.col("text").contains(F.col("passage")))
-    return held.select("query_id", "id")
+    """Documents that hold the benchmark text."""
+    return model.passages(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"))
 
 
 SQL_PASSAGES = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -276,6 +273,31 @@ def signature_dedupe(spark, sf_dir):
     return fusion.signature_dedupe(hits).select("query_id", "id", "rank")
 
 
+@query(
+    "redundant_pairs",
+    f"""{SQL_HITS}, t AS (SELECT query_id, id, text, {SQL_SET.format("text")} AS t FROM hits)
+    SELECT a.query_id, a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(a.t || b.t)), 6) AS jaccard,
+      round(len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)), 6) AS overlap
+    FROM t a JOIN t b ON a.query_id = b.query_id AND a.id < b.id
+    WHERE (least(length(a.text), length(b.text)) >= 80 AND contains(CASE WHEN length(a.text) <= length(b.text) THEN b.text ELSE a.text END,
+        CASE WHEN length(a.text) <= length(b.text) THEN a.text ELSE b.text END))
+      OR len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)) >= 0.85""",
+)
+def redundant_pairs(spark, sf_dir):
+    """Hits of a query that are redundant with each other, by their whole texts.
+    A query has a bounded number of hits, so its pairs are bounded too."""
+    hits = _hits(spark, sf_dir).select("query_id", "id", "text", token_set(F.col("text")).alias("t"))
+    hits = written(hits, "hits")
+    a, b = hits.alias("a"), hits.alias("b")
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.id") < F.col("b.id")))
+    found = pairs.where(redundant(F.col("a.text"), F.col("b.text"), F.col("a.t"), F.col("b.t")))
+    return found.select(
+        "a.query_id", F.col("a.id").alias("a"), F.col("b.id").alias("b"),
+        F.round(jaccard(F.col("a.t"), F.col("b.t")), 6).alias("jaccard"),
+        F.round(overlap(F.col("a.t"), F.col("b.t")), 6).alias("overlap"),
+    )
+
+
 @query("context_groups", f"{SQL_HITS} SELECT query_id, count(DISTINCT kb_id) AS n_groups FROM hits GROUP BY 1")
 def context_groups(spark, sf_dir):
     """Distinct knowledge bases, as parents, among a query's hits."""
@@ -284,7 +306,7 @@ def context_groups(spark, sf_dir):
 
 @query(
     "substring_index",
-    f"""WITH {SQL_DOCS}, q AS (SELECT item_id AS query_id, unnest(({sql_tokens("text")})[1:5]) AS term FROM benchmark),
+    f"""WITH {SQL_DOCS}, q AS (SELECT item_id AS query_id, unnest({sql_tokens("text")}) AS term FROM benchmark),
     t AS (SELECT DISTINCT query_id, term FROM q WHERE length(term) > 1), w AS (SELECT DISTINCT term FROM t),
     h AS (SELECT doc_id, term, ((length(low) - length(replace(low, term, ''))) // length(term)) * length(term) AS part
       FROM (SELECT doc_id, lower(text) AS low FROM docs) JOIN w ON contains(low, term))
@@ -324,12 +346,104 @@ def mmr_select(spark, sf_dir):
     return fusion.mmr(hits, 10)
 
 
-@query("greedy_dedupe")
+def _sql_greedy(name: str, source: str, ordered: str) -> str:
+    """CTEs that keep, in an order, the rows of a query that are not redundant with a kept one before them."""
+    pair = """(least(length(a.text), length(b.text)) >= 80 AND contains(CASE WHEN length(a.text) <= length(b.text) THEN b.text ELSE a.text END,
+        CASE WHEN length(a.text) <= length(b.text) THEN a.text ELSE b.text END))
+      OR len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)) >= 0.85"""
+    return f"""{name}_o AS MATERIALIZED (SELECT query_id, id, text, {SQL_SET.format("text")} AS t, row_number() OVER (PARTITION BY query_id ORDER BY {ordered}) AS pos FROM {source}),
+    {name}_r AS MATERIALIZED (SELECT b.query_id, b.pos, list(a.pos) AS near FROM {name}_o a JOIN {name}_o b ON a.query_id = b.query_id AND a.pos < b.pos WHERE {pair} GROUP BY ALL),
+    {name}_g AS (SELECT DISTINCT query_id, 0::BIGINT AS pos, []::BIGINT[] AS kept FROM {name}_o
+      UNION ALL SELECT g.query_id, o.pos, CASE WHEN list_has_any(g.kept, coalesce(near, []::BIGINT[])) THEN g.kept ELSE list_append(g.kept, o.pos) END
+      FROM {name}_g g JOIN {name}_o o ON o.query_id = g.query_id AND o.pos = g.pos + 1 LEFT JOIN {name}_r r ON r.query_id = o.query_id AND r.pos = o.pos),
+    {name}_k AS (SELECT query_id, max_by(kept, pos) AS kept FROM {name}_g GROUP BY 1),
+    {name} AS (SELECT query_id, id, pos, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS nth FROM {name}_o JOIN {name}_k USING (query_id) WHERE list_contains(kept, pos))"""
+
+
+@query(
+    "greedy_dedupe",
+    f"""{SQL_HITS.replace("WITH", "WITH RECURSIVE", 1)}, {_sql_greedy("kept", "hits", "rank, id")}
+    SELECT query_id, id, rank FROM kept JOIN hits USING (query_id, id)""",
+)
 def greedy_dedupe(spark, sf_dir):
     hits = _hits(spark, sf_dir).withColumn("tokens", token_set(F.col("text")))
     return fusion.greedy_dedupe(hits)
 
 
+#: Results of the strict pipeline; candidates are four times as many a route, twice as many are reranked.
+RESULTS = TOP // 4
+SQL_RERANKED = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hits),
+  scored AS (SELECT h.*, CASE WHEN place <= {2 * RESULTS} THEN
+    round(len(list_intersect({SQL_SET.format("h.text")}, {SQL_SET.format("q.query")}))::DOUBLE / len({SQL_SET.format("q.query")}), 6) END AS rerank_score
+    FROM placed h JOIN q USING (query_id)),
+  reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score IS NULL, rerank_score DESC NULLS LAST, place, id) AS final_rank FROM scored)"""
+
+
+@query(
+    "hybrid_search",
+    f"""{SQL_HITS.replace("WITH", "WITH RECURSIVE", 1)}, {SQL_RERANKED},
+    families AS (SELECT query_id, kb_id, min_by(id, final_rank) AS id, min(final_rank) AS final_rank FROM reranked GROUP BY ALL),
+    told AS (SELECT f.*, text FROM families f JOIN docs ON doc_id = f.id), {_sql_greedy("kept", "told", "final_rank")}
+    SELECT query_id, id, nth AS rank FROM kept WHERE nth <= {RESULTS}""",
+)
+def hybrid_search(spark, sf_dir):
+    """The strict pipeline as one operator: both recalls, fusion, scope, reranking,
+    collapse by parent (here the knowledge base), redundancy, and the cut last."""
+    from corpusq.operators import search
+
+    asked = model.queries(spark, sf_dir)
+    docs = model.enabled_documents(spark, sf_dir).where(model.searchable()).select(
+        F.col("doc_id").alias("id"), F.col("kb_id").alias("parent_id"), "text"
+    )
+    keyword = _keyword(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    near = _vector(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return search.strict(asked, keyword, near, docs, RESULTS)
+
+
+@query(
+    "guarded_recall",
+    f"""WITH {SQL_BM25}, {SQL_HYBRID} SELECT query_id, id, rank FROM (
+      SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM kw WHERE query_id % 2 = 1
+      UNION ALL SELECT query_id, id, rank FROM fused WHERE query_id % 2 = 0)""",
+)
+def guarded_recall(spark, sf_dir):
+    """Fusion where half of the queries have no vector: their list is the keyword recall."""
+    keyword = _keyword(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    near = _vector(spark, sf_dir).withColumnRenamed("vec_id", "id").where("query_id % 2 = 0")
+    return fusion.rrf(keyword, near).select("query_id", "id", "rank")
+
+
+@query(
+    "recall_degradations",
+    """SELECT item_id AS query_id, CASE WHEN item_id % 10 = 0 THEN 'empty query' WHEN vec_id IS NULL THEN 'no vector' END AS reason
+    FROM benchmark LEFT JOIN (SELECT vec_id FROM embeddings WHERE vec_id % 3 <> 0) ON vec_id = item_id WHERE item_id % 10 = 0 OR vec_id IS NULL""",
+)
+def recall_degradations(spark, sf_dir):
+    """Queries whose recall is degraded, with the reason, instead of an error."""
+    from corpusq.operators import search
+
+    asked = model.queries(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 10 == 0, " ").otherwise(F.col("query")))
+    vectors = model.read(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("query_id"))
+    return search.degradations(asked, vectors)
+
+
+@query(
+    "merged_cohorts",
+    f"""WITH {SQL_BM25}, {SQL_HYBRID}, d AS (SELECT query_id, id, rank, text, {SQL_SET.format("text")} AS t FROM (SELECT query_id, kw.doc_id AS id, rank, text FROM kw JOIN docs USING (doc_id))),
+    g AS (SELECT query_id, id, rank, text, {SQL_SET.format("text")} AS t FROM (SELECT query_id, vn.doc_id AS id, rank, text FROM vn JOIN docs USING (doc_id))),
+    m AS (SELECT a.query_id, a.id, min_by(b.id, b.rank * 1000000 + b.id) AS merged_into FROM g a JOIN d b USING (query_id)
+      WHERE (least(length(a.text), length(b.text)) >= 80 AND contains(CASE WHEN length(a.text) <= length(b.text) THEN b.text ELSE a.text END,
+        CASE WHEN length(a.text) <= length(b.text) THEN a.text ELSE b.text END)) OR len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)) >= 0.85 GROUP BY ALL)
+    SELECT query_id, id, merged_into FROM g LEFT JOIN m USING (query_id, id)""",
+)
+def merged_cohorts(spark, sf_dir):
+    """Vector hits, each with the first keyword hit of its query that says the same."""
+    docs = model.documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", token_set(F.col("text")).alias("tokens"))
+    first = _keyword(spark, sf_dir).withColumnRenamed("doc_id", "id").join(docs, "id")
+    second = _vector(spark, sf_dir).withColumnRenamed("vec_id", "id").join(docs, "id")
+    return fusion.merge_cohorts(first, second).select("query_id", "id", "merged_into")
+
+
 @query(
     "evidence_overlap_join",
     """WITH e AS (SELECT b.item_id AS query_id, d.doc_id, strpos(d.text, b.text) - 1 AS e_start,
@@ -339,11 +453,8 @@ def greedy_dedupe(spark, sf_dir):
     FROM e JOIN w ON w.doc_id = e.doc_id AND start_at < e_end AND least(start_at + 512, n_chars) > e_start""",
 )
 def evidence_overlap_join(spark, sf_dir):
-    items = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = model.read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    held = docs.join(items, F.col("text").contains(F.col("passage")))
-    start = F.instr("text", F.col("passage")).cast("long") - 1
-    evidence = held.select("query_id", "doc_id", start.alias("e_start"), (start + F.length("passage")).alias("e_end"))
+    docs = model.read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    evidence = model.passages(spark, sf_dir)
     windows = docs.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.greatest("n_chars", F.lit(1)) - 1, F.lit(400))).alias("start_at"))
     spans = windows.select("doc_id", "start_at", F.least(F.col("start_at") + 512, F.col("n_chars")).alias("end_at"))
     met = spans.join(evidence, "doc_id").where(

@@ -12,10 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusq import model, tools
+from corpusq import model, tables, tools
 from corpusq.functions import text as T
 from corpusq.functions import vectors as V
-from corpusq.operators import catalog, chunking, evaluation, fusion, graph, history, retrieval_context, usage, wiki
+from corpusq.operators import catalog, chunking, evaluation, fusion, graph, history, lexical, retrieval_context, usage, wiki
 from corpusq.sources import parse, sinks
 from corpusq.streaming import jobs
 
@@ -257,8 +257,67 @@ def test_relation_weights_golden(spark):
 
 
 def test_two_hops_leave_out_neighbours(spark):
-    e = spark.createDataFrame([(1, 2, 4.0), (2, 1, 4.0), (2, 3, 2.0), (3, 2, 2.0)], "a int, b int, weight double")
-    assert {(r.a, r.b, r.weight) for r in graph.two_hop(e).collect()} == {(1, 3, 4.0), (3, 1, 4.0)}
+    rows = [("d", 1, 2, 4.0, 1), ("d", 2, 1, 4.0, 1), ("d", 2, 3, 2.0, 5), ("d", 3, 2, 2.0, 5), ("e", 1, 9, 4.0, 1), ("e", 2, 7, 1.0, 1)]
+    e = spark.createDataFrame(rows, "doc_id string, a int, b int, weight double, degree int")
+    found = graph.two_hop(e, scope=("doc_id",)).collect()
+    assert {(r.doc_id, r.a, r.b, r.weight, r.degree) for r in found} == {("d", 1, 3, 4.0, 5), ("d", 3, 1, 4.0, 5)}
+
+
+def test_chunk_graph_agrees_with_a_plain_one(spark):
+    """Edges of every pair of chunks, for names of any frequency, and the best two-hop paths."""
+    draw = random.Random(4)
+    mentions = sorted({(d, draw.choice("abcdefgh"), draw.randrange(30)) for d in ("x", "y") for _ in range(70)})
+    relations = [(d, s, t, float(i % 4 + 1)) for i, (d, s, t) in enumerate((d, s, t) for d in ("x", "y") for s, t in ("ab", "bc", "cd", "ef", "ga"))]
+    m = spark.createDataFrame(mentions, "doc_id string, name string, chunk_id int")
+    r = spark.createDataFrame(relations, "doc_id string, source string, target string, weight double")
+    edges, degree = {}, {}
+    for d, s, t, _ in relations:
+        for n in (s, t):
+            degree[d, n] = degree.get((d, n), 0) + 1
+    for d, s, t, w in relations:
+        for a in [c for e, n, c in mentions if (e, n) == (d, s)]:
+            for b in [c for e, n, c in mentions if (e, n) == (d, t)]:
+                if a != b:
+                    best = (w, degree[d, s] + degree[d, t])
+                    for k in ((d, a, b), (d, b, a)):
+                        edges[k] = max(edges.get(k, (0, 0)), best)
+    found = graph.chunk_edges(r, m, ("doc_id",))
+    assert {(x.doc_id, x.a, x.b): (x.weight, x.degree) for x in found.collect()} == edges
+    two = {}
+    for (d, a, via), (w1, d1) in edges.items():
+        for (e, via2, b), (w2, d2) in edges.items():
+            if d == e and via == via2 and a != b and (d, a, b) not in edges:
+                two[d, a, b] = max(two.get((d, a, b), (0, 0)), (w1 * w2 * 0.5, max(d1, d2)))
+    hops = graph.two_hop(found, scope=("doc_id",)).collect()
+    assert {(x.doc_id, x.a, x.b): (x.weight, x.degree) for x in hops} == two and two
+
+
+def test_strings_are_found_where_they_stand(spark, monkeypatch):
+    texts = ["banana and ananas", "", None, "aaaa", "über ñandú ana"]
+    strings = ["ana", "a", "aa", "nas", "ñan", "zz", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(i, s) for i, s in enumerate(strings)] + [(99, "ana"), (100, None)], "string_id int, string string")
+    expected = {
+        (d, i, t.find(s), t.count(s), len(t))
+        for d, t in enumerate(texts) for i, s in [*enumerate(strings), (99, "ana")] if t and s and s in t
+    }
+    for chars in (lexical.BLOCK_CHARS, 3):
+        monkeypatch.setattr(lexical, "BLOCK_CHARS", chars)
+        assert {tuple(r) for r in lexical.occurrences(docs, wanted).collect()} == expected
+    assert lexical.occurrences(docs, wanted.where("false")).count() == 0
+
+
+def test_positions_count_on_over_parts(spark, monkeypatch):
+    rows = [(g, f"{i:03d}") for i in range(200) for g in (["a"] * 3 + ["b"])[i % 4 :]]
+    rows = sorted(set(rows))
+    df = spark.createDataFrame(rows, "kind string, slug string").repartition(7)
+    expected, seen = set(), {}
+    for g, s in rows:
+        seen[g] = seen.get(g, 0) + 1
+        expected.add((g, s, seen[g]))
+    for bound in (tables.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", bound)
+        assert {(r.kind, r.slug, r.position) for r in tables.positions(df, "kind", "slug").collect()} == expected
 
 
 def test_ego_and_changes(spark):

@@ -37,6 +37,8 @@ def duck():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(name, spark, duck):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     result = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(result.columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(result.columns, result.fetchall())
