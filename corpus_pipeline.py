@@ -91,7 +91,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``.  What a stage writes for itself
-    goes once its result is written, and a stage's input once the next is."""
+    goes once its result is written, and at the end all results but that which the
+    last stage reads."""
     docs = table(spark, sf_dir, "documents")
     with scratch(spark) as inputs:
         for name, stage in STAGES[:-1]:

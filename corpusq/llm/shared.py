@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -34,8 +35,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Folders of the tables that ``scratch`` blocks have written, innermost last.
-_scratch: list[list[str]] = []
+_local = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    """Folders of the tables that this thread's ``scratch`` blocks have written, innermost last."""
+    if not hasattr(_local, "blocks"):
+        _local.blocks = []
+    return _local.blocks
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -44,8 +51,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scratch:
-        _scratch[-1].append(path)
+    if _blocks():
+        _blocks()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,11 +61,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables that ``cut`` writes in the block are deleted at its end.  A result
     that outlives the block is written in it and taken out of the yielded list
     by ``keep``."""
-    _scratch.append([])
+    _blocks().append([])
     try:
-        yield _scratch[-1]
+        yield _blocks()[-1]
     finally:
-        for path in _scratch.pop():
+        for path in _blocks().pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -66,8 +73,8 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
 def keep(written: list[str]) -> None:
     """Hand the last table that was written in a ``scratch`` block to the block around it."""
     path = written.pop()
-    if len(_scratch) > 1:
-        _scratch[-2].append(path)
+    if len(_blocks()) > 1:
+        _blocks()[-2].append(path)
 
 
 def small(df: DataFrame) -> bool:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
@@ -84,6 +87,31 @@ def span_metrics(candidates: DataFrame, evidence: DataFrame, queries: DataFrame,
     )
 
 
+def strategy_report(strategies: dict[str, DataFrame], evidence: DataFrame, queries: DataFrame, top: int = 20) -> DataFrame:
+    """(strategy, mrr, recall, precision, index_bytes, n_chunks) of chunkings (doc_id,
+    start_at, end_at, content).  The candidates of a query are the chunks of the
+    documents that hold its evidence, ranked by how far they start from a
+    document's first third."""
+    pairs = evidence.select("query_id", "doc_id", "n").distinct()
+    w = W.partitionBy("query_id").orderBy("away", "doc_id", "start_at", "end_at")
+    parts = []
+    for name, chunks in strategies.items():
+        met = chunks.drop("content").join(pairs, "doc_id").withColumn("away", F.abs(F.col("start_at") * 3 - F.col("n")))
+        ranked = met.withColumn("rank", F.row_number().over(w)).withColumn("id", F.concat_ws(":", "doc_id", "start_at", "end_at"))
+        figures = span_metrics(ranked, evidence, queries, top=top).agg(*[F.round(F.avg(c), 6).alias(c) for c in ("mrr", "recall", "precision")])
+        size = chunks.agg(F.sum(F.octet_length("content")).alias("index_bytes"), F.count(F.lit(1)).alias("n_chunks"))
+        named = figures.withColumn("strategy", F.lit(name)).join(size.withColumn("strategy", F.lit(name)), "strategy")
+        parts.append(named.select("strategy", "mrr", "recall", "precision", "index_bytes", "n_chunks"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def require_strategies(metrics: DataFrame, names: set[str]) -> None:
+    """An error unless the metrics are of exactly these strategies."""
+    found = {r.strategy for r in metrics.select("strategy").distinct().limit(len(names) + 1).collect()}
+    if found != names:
+        raise ValueError(f"strategies must be {sorted(names)}, not {sorted(found)}")
+
+
 def release_gates(metrics: DataFrame) -> DataFrame:
     """Promotion of chunking strategies.  ``metrics``: strategy (fixed, auto,
     semantic), mrr, recall, precision, duration_ms, index_bytes.  Auto needs 5 %

@@ -42,3 +42,31 @@ def strict(queries: DataFrame, keyword: DataFrame, vector: DataFrame, docs: Data
     kept = fusion.greedy_dedupe(told)
     nth = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id"))
     return kept.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "id", "rank")
+
+
+def expand_recall(hits: DataFrame, more: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, variant, rank, score): hits (query_id, id, rank, parent_id) of a
+    query, variant null, and where they have fewer than k parents those that its
+    variants add (query_id, variant, id, rank, parent_id), one variant after
+    another until there are k parents.  An added hit scores 1 / (60 + its rank in
+    the variant's list + how many hits there were before the variant)."""
+    own = hits.select("query_id", "id", "parent_id")
+    unseen = more.join(own.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    first = unseen.groupBy("query_id", "id").agg(F.min(F.struct("variant", "rank")).alias("at"), F.first("parent_id").alias("parent_id"))
+    added = first.select("query_id", "id", "parent_id", "at.variant", "at.rank")
+    start = F.lit(-1).alias("variant")
+    seen = own.select("query_id", "parent_id", start).unionByName(added.select("query_id", "parent_id", "variant"))
+    parents = seen.groupBy("query_id", "parent_id").agg(F.min("variant").alias("variant"))
+    new_parents = parents.groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("parents"))
+    new_hits = own.select("query_id", start).unionByName(added.select("query_id", "variant")).groupBy("query_id", "variant").agg(F.count(F.lit(1)).alias("hits"))
+    # a row for each variant of a query: what there was before it
+    before = W.partitionBy("query_id").orderBy("variant").rowsBetween(W.unboundedPreceding, -1)
+    counts = new_hits.join(new_parents, ["query_id", "variant"], "left").select(
+        "query_id", "variant", F.sum("hits").over(before).alias("hits_before"),
+        F.coalesce(F.sum(F.coalesce("parents", F.lit(0))).over(before), F.lit(0)).alias("parents_before"),
+    )
+    used = counts.where((F.col("parents_before") < k) & (F.col("variant") >= 0))
+    score = 1 / (fusion.RRF_K + F.col("rank") + F.coalesce("hits_before", F.lit(0)))
+    taken = added.join(used, ["query_id", "variant"]).select("query_id", "id", "variant", "rank", score.alias("score"))
+    kept = hits.select("query_id", "id", F.lit(None).cast("int").alias("variant"), "rank", F.lit(None).cast("double").alias("score"))
+    return kept.unionByName(taken)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusq import model
 from corpusq.functions import text as T
 from corpusq.operators import chunking, retrieval_context
 from corpusq.registry import query
+from corpusq.sources import parse
+from corpusq.tables import shared_folder
 
 #: The fixed-window chunker as a recursive query.
 SQL_CHUNKS = """RECURSIVE cut AS (
@@ -182,9 +186,13 @@ def text_functions(spark, sf_dir):
 
 @query(
     "csv_rows",
-    """SELECT c_custkey, concat_ws(' | ', c_name, c_nationkey::VARCHAR, c_mktsegment) AS line FROM customer""",
+    """SELECT concat_ws(' | ', c_custkey::VARCHAR, c_name, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE c_nationkey::VARCHAR END, c_mktsegment) AS line FROM customer""",
 )
 def csv_rows(spark, sf_dir):
-    """Table rows as the lines a CSV file is read as."""
+    """A table written as CSV files and read as lines; some cells are empty."""
     c = model.read(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.concat_ws(" | ", "c_name", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("line"))
+    nation = F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey"))
+    rows = c.select("c_custkey", "c_name", nation.alias("c_nationkey"), "c_mktsegment")
+    path = f"{shared_folder(spark)}/tables/csv-{uuid.uuid4().hex}"
+    rows.write.csv(path)
+    return parse.read_csv_lines(spark, path, rows.schema)

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusq import model
-from corpusq.operators import chunking, evaluation, retrieval_context
+from corpusq.operators import chunking, evaluation, graph, retrieval_context
 from corpusq.plans.chunks import SQL_CHUNKS
+from corpusq.plans.graphs import SQL_CHUNK_EDGES, SQL_TOP, chunk_graph
 from corpusq.registry import query
 from corpusq.streaming import jobs
 from corpusq.tables import shared_folder
@@ -75,6 +76,46 @@ def evidence_window(spark, sf_dir):
     return e.select("query_id", "doc_id", begin.alias("window_start"), end.alias("window_end"))
 
 
+SQL_EXPANDED = f"""{SQL_SPANS}{SQL_CHUNK_EDGES[len(SQL_CHUNKS):]},
+two AS (SELECT x.doc_id, x.a, y.b, max({{'w': round(x.best.w * y.best.w * 0.5, 9), 'd': greatest(x.best.d, y.best.d)}}) AS best
+  FROM edges x JOIN edges y ON x.doc_id = y.doc_id AND x.b = y.a WHERE x.a <> y.b GROUP BY ALL),
+ways AS (SELECT doc_id, a, b, 0 AS kind, {SQL_TOP} AS near FROM edges QUALIFY near <= 8 UNION ALL
+  SELECT doc_id, a, b, 1, {SQL_TOP} AS near FROM two WHERE NOT EXISTS (SELECT 1 FROM edges d WHERE d.doc_id = two.doc_id AND d.a = two.a AND d.b = two.b) QUALIFY near <= 8),
+top AS (SELECT * FROM cand WHERE rank <= 3),
+reached AS (SELECT query_id, t.doc_id * 100000 + b AS next, min({{'k': kind, 'r': rank, 'n': near}}) AS way FROM top t JOIN ways w ON w.doc_id = t.doc_id AND w.a = t.chunk_index GROUP BY ALL)"""
+
+
+@query(
+    "relation_expansion",
+    f"""WITH {SQL_EXPANDED} SELECT query_id, next, row_number() OVER (PARTITION BY query_id ORDER BY way, next) AS position FROM reached r
+    WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = r.query_id AND top.id = r.next) QUALIFY position <= 3""",
+)
+def relation_expansion(spark, sf_dir):
+    """Chunks that the hits of a passage lead to in the chunk graph, three for each query."""
+    scope = ("doc_id",)
+    edges = chunk_graph(spark, sf_dir)
+    named = lambda e: graph.top_neighbours(e, scope=scope).select(
+        *[(F.col("doc_id") * 100000 + F.col(c)).alias(c) for c in ("a", "b")], "rank"
+    )
+    hits = _candidates(spark, sf_dir).where("rank <= 3").select("query_id", "id", "rank")
+    return graph.expand_relations(hits, named(edges), named(graph.two_hop(edges, scope=scope)))
+
+
+@query("strategy_evaluation")
+def strategy_evaluation(spark, sf_dir):
+    """Chunking strategies side by side: mean figures of the passages' evidence and
+    the bytes and chunks that an index of each would hold."""
+    docs = model.read(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = ["doc_id", "start_at", "end_at", "content"]
+    strategies = {
+        "fixed": chunking.fixed_chunks(docs).select(columns),
+        "recursive": chunking.structural_chunks(docs, strategy="recursive").select(columns),
+        "auto": chunking.hierarchy(docs).where("chunk_type = 'text'").select(columns),
+    }
+    q = model.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    return evaluation.strategy_report(strategies, _evidence(spark, sf_dir), q)
+
+
 @query(
     "parent_fallbacks",
     f"""WITH {SQL_CHUNKS}, h AS (SELECT doc_id, chunk_index, start_at, end_at, CASE WHEN chunk_index % 7 = 6 THEN NULL ELSE doc_id + (CASE WHEN chunk_index % 5 = 4 THEN 10000000 ELSE 0 END) END AS parent_id FROM c),

@@ -88,7 +88,7 @@ def entity_degree(spark, sf_dir):
     return graph.degrees(_relations(spark, sf_dir))
 
 
-def _edges(spark, sf_dir):
+def chunk_graph(spark, sf_dir):
     """Edges between the chunks of each document, written."""
     scope = ("doc_id",)
     chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -101,7 +101,7 @@ def _edges(spark, sf_dir):
 
 @query("chunk_graph_direct", f"WITH {SQL_CHUNK_EDGES} SELECT doc_id, a, b, round(best.w, 6) AS weight, best.d AS degree, {SQL_TOP} AS rank FROM edges QUALIFY rank <= 8")
 def chunk_graph_direct(spark, sf_dir):
-    found = graph.top_neighbours(_edges(spark, sf_dir), scope=("doc_id",))
+    found = graph.top_neighbours(chunk_graph(spark, sf_dir), scope=("doc_id",))
     return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 
@@ -114,7 +114,7 @@ def chunk_graph_direct(spark, sf_dir):
 )
 def chunk_graph_two_hop(spark, sf_dir):
     scope = ("doc_id",)
-    found = graph.top_neighbours(graph.two_hop(_edges(spark, sf_dir), scope=scope), scope=scope)
+    found = graph.top_neighbours(graph.two_hop(chunk_graph(spark, sf_dir), scope=scope), scope=scope)
     return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 

@@ -461,3 +461,35 @@ def evidence_overlap_join(spark, sf_dir):
         evaluation.overlaps(F.col("start_at"), F.col("end_at"), F.col("e_start"), F.col("e_end"))
     )
     return met.select("query_id", "doc_id", "start_at", "end_at", "e_start", "e_end")
+
+
+SQL_TURNS = "docs AS (SELECT conv_id * 1000 + turn AS doc_id, '' AS title, text FROM conversations)"
+
+
+@query("chat_history_search", f"WITH {SQL_BM25.replace(SQL_DOCS, SQL_TURNS)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw")
+def chat_history_search(spark, sf_dir):
+    """The keyword recall over the turns of conversations."""
+    c = model.read(spark, sf_dir, "conversations")
+    turns = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit("").alias("title"), "text")
+    found = lexical.bm25_top_k(turns, model.queries(spark, sf_dir), TOP)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("expanded_recall")
+def expanded_recall(spark, sf_dir):
+    """Hits of the benchmark queries with those of their variants where they come from too few knowledge bases."""
+    from corpusq.functions.text import expand_query
+    from corpusq.operators import search
+
+    docs = model.enabled_documents(spark, sf_dir).where(model.searchable()).select("doc_id", "kb_id", "title", "text")
+    parents = docs.select(F.col("doc_id").alias("id"), F.col("kb_id").alias("parent_id"))
+    asked = model.queries(spark, sf_dir)
+    # queries and variants in one recall, the query itself as variant -1
+    variants = asked.select("query_id", F.posexplode(expand_query(F.col("query"))).alias("variant", "query"))
+    every = asked.select("query_id", F.lit(-1).alias("variant"), "query").unionByName(variants)
+    keyed = every.select(F.struct("query_id", "variant").alias("query_id"), "query")
+    found = lexical.bm25_top_k(docs, keyed, 2 * TOP)
+    found = written(found.select("query_id.query_id", "query_id.variant", F.col("doc_id").alias("id"), "rank").join(parents, "id"), "recalls")
+    hits = found.where((F.col("variant") < 0) & (F.col("rank") <= TOP)).drop("variant")
+    out = search.expand_recall(hits, found.where("variant >= 0"), 15)
+    return out.select("query_id", "id", "variant", "rank", F.round("score", 9).alias("score"))

@@ -52,9 +52,9 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV rows as lines with cells joined by `` | ``."""
+    """CSV rows as lines with cells joined by `` | ``, empty cells included."""
     rows = spark.read.schema(schema).csv(path)
-    return rows.select(F.concat_ws(" | ", *[F.col(c).cast("string") for c in rows.columns]).alias("line"))
+    return rows.select(F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("line"))
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
