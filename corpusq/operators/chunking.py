@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from corpusq.functions.text import tokens_for_chunks
 from corpusq.functions.vectors import cosine_distance
 
 Span = tuple[int, int]
@@ -47,6 +49,32 @@ class Config:
                 raise ValueError("an overlap is at most half of the size")
 
 
+_BOUNDS = {"size": (64, 8192), "child_size": (64, 8192), "parent_size": (64, 8192), "max_tokens": (1, 8192)}
+
+
+def persisted(raw: dict) -> tuple[Config, bool]:
+    """A stored configuration brought within its bounds, and whether it needed
+    no change: what is no whole number becomes the default, sizes are clamped, a
+    parent is made as large as a child, an overlap is cut to half of its size."""
+    values, same = {}, True
+    for name, default in vars(Config()).items():
+        value = raw.get(name, default)
+        try:
+            if isinstance(value, bool):
+                raise ValueError
+            number = int(value)
+        except (TypeError, ValueError, OverflowError):
+            number, same = default, False
+        low, high = _BOUNDS.get(name, (0, number if number > 0 else 0))
+        values[name] = min(max(number, low), high)
+        same = same and values[name] == number
+    limits = {"parent_size": ("child_size", 1, max), "overlap": ("size", 2, min), "child_overlap": ("child_size", 2, min)}
+    for name, (other, part, choose) in limits.items():
+        held = choose(values[name], values[other] // part)
+        same, values[name] = same and held == values[name], held
+    return Config(**values), same
+
+
 def fixed_windows(text: str, size: int = 512, overlap: int = 80) -> list[Span]:
     """Windows of about ``size`` that end after a line or a full stop where one
     lies in their last two thirds; a short tail joins the window before it."""
@@ -265,10 +293,10 @@ def hierarchy(docs: DataFrame, config: Config = Config()) -> DataFrame:
     return _map_chunks(docs, kernel, "chunk_type string, parent_index int, start_at int, end_at int, content string")
 
 
-def size_stats(chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Count, total, least, most and mean of characters and estimated tokens; zeros without rows."""
+def size_stats(chunks: DataFrame, keys: list[str] | None = None, counter: Callable[[Column], Column] = tokens_for_chunks) -> DataFrame:
+    """Count, total, least, most and mean of characters and of tokens by a counter; zeros without rows."""
     n = F.length("content")
-    tokens = F.floor((n + 3) / 4)
+    tokens = counter(F.col("content"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     figures = [F.count(F.lit(1)).alias("n_chunks")]
     for name, value in (("chars", n), ("tokens", tokens)):
@@ -281,9 +309,11 @@ def size_stats(chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return chunks.groupBy(*(keys or [])).agg(*figures)
 
 
-def violations(chunks: DataFrame, docs: DataFrame, max_tokens: int = 2048) -> DataFrame:
+def violations(
+    chunks: DataFrame, docs: DataFrame, max_tokens: int = 2048, counter: Callable[[Column], Column] = tokens_for_chunks
+) -> DataFrame:
     """(doc_id, rule, n): chunks that are empty, out of order, not their text's
-    substring or too long, and documents with uncovered text."""
+    substring or too long by the counter, and documents with uncovered text."""
     w = W.partitionBy("doc_id").orderBy("chunk_index")
     placed = chunks.withColumn("before_start", F.lag("start_at").over(w)).withColumn(
         "reach", F.max("end_at").over(w.rowsBetween(W.unboundedPreceding, -1))
@@ -294,7 +324,7 @@ def violations(chunks: DataFrame, docs: DataFrame, max_tokens: int = 2048) -> Da
         "empty": F.length(F.trim("content")) == 0,
         "order": F.coalesce(F.col("start_at") <= F.col("before_start"), F.lit(False)),
         "substring": F.expr("trim(BOTH ' \n\t\r' FROM substring(text, start_at + 1, end_at - start_at)) <> trim(BOTH ' \n\t\r' FROM content)"),
-        "tokens": F.floor((F.length("content") + 3) / 4) > max_tokens,
+        "tokens": counter(F.col("content")) > max_tokens,
         "uncovered": (F.col("start_at") > F.coalesce("reach", F.lit(0))) & (F.length(F.regexp_replace(gap, r"\s", "")) > 0),
     }
     names = F.array_compact(F.array(*[F.when(bad, F.lit(r)) for r, bad in rules.items()]))
@@ -357,6 +387,13 @@ def consolidate(breaks: list[int], hard: list[int], n_units: int, least: int) ->
     return kept
 
 
+def embedded(units: DataFrame, embed: Callable[[pd.Series], pd.Series], signature: str) -> DataFrame:
+    """Units (with text) and the vector that ``embed``, a function from a batch of
+    texts to one of vectors, gives each; ``model_signature`` names the model."""
+    vector = pandas_udf(embed, "array<double>")
+    return units.withColumn("embedding", vector("text")).withColumn("model_signature", F.lit(signature))
+
+
 def semantic_segments(units: DataFrame, percentile: float = 90.0, least: int = 3) -> DataFrame:
     """(segment, start_at, end_at): the units (segment, pos from 0, embedding and
     where wanted hard) of a segment cut at large distances and at hard boundaries,

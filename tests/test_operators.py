@@ -292,6 +292,28 @@ def test_chunk_graph_agrees_with_a_plain_one(spark):
     assert {(x.doc_id, x.a, x.b): (x.weight, x.degree) for x in hops} == two and two
 
 
+def test_stored_configurations_are_brought_within_bounds():
+    assert chunking.persisted({}) == (chunking.Config(), True)
+    got, same = chunking.persisted({"size": 10, "overlap": "500", "child_size": 9000, "parent_size": True, "max_tokens": None})
+    assert not same and got == chunking.Config(size=64, overlap=32, child_size=8192, parent_size=8192)
+    assert chunking.persisted({"overlap": -1, "child_overlap": 192})[0] == chunking.Config(overlap=0, child_overlap=192)
+
+
+def test_embedders_and_counters_are_arguments(spark):
+    import pandas as pd
+
+    units = spark.createDataFrame([(0, i, t) for i, t in enumerate(["a a", "a a a", "b", "b b", "a"])], "segment int, pos int, text string")
+    embed = lambda texts: pd.Series([[float(t.count("a")), float(t.count("b"))] for t in texts])
+    out = chunking.embedded(units, embed, "letters-1")
+    assert {r.model_signature for r in out.collect()} == {"letters-1"}
+    cut = chunking.semantic_segments(out, 60.0, 1).orderBy("start_at").collect()
+    assert [(r.start_at, r.end_at) for r in cut] == [(0, 2), (2, 4), (4, 5)]
+    hard = out.withColumn("hard", F.col("pos") == 3)
+    assert [(r.start_at, r.end_at) for r in chunking.semantic_segments(hard, 60.0, 3).orderBy("start_at").collect()] == [(0, 3), (3, 5)]
+    words = chunking.size_stats(units.withColumn("content", F.col("text")), counter=lambda c: F.size(F.split(c, " "))).first()
+    assert (words.tokens_total, words.tokens_max) == (9, 3)
+
+
 def test_strings_are_found_where_they_stand(spark, monkeypatch):
     texts = ["banana and ananas", "", None, "aaaa", "über ñandú ana"]
     strings = ["ana", "a", "aa", "nas", "ñan", "zz", ""]
