@@ -13,8 +13,19 @@ NOW = "2024-01-31 00:00:00"
 SEARCHABLE_TYPES = ("text", "image_ocr", "image_caption")
 
 
+#: Tables whose rows are long texts.
+TEXTS = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table.  Texts of an input that has no more splits than there are cores are
+    dealt evenly, as one row group may be all of a small file; a large input is
+    read where its splits are.  Columns and filters still reach the scan."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and table.rdd.getNumPartitions() <= cores:
+        return table.repartition(cores)
+    return table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,9 @@
 """Lexical index and BM25 recall for a batch of queries.
 
 The texts are read once: the token array of a document is exploded, met with the
-distinct query terms where the text is, and counted with map-side combining into
-a narrow written table (id, length, term, frequency).  Statistics, document
-frequencies and scores all come from that table, so no full postings table is
-needed for a batch.  ``postings`` builds the full one for an index that is kept.
+distinct query terms where the text is, and gathered into a narrow written table
+(id, length, held terms).  Statistics, document frequencies and scores all come
+from that table, so no full postings table is needed for a batch.  ``postings`` builds the full one for an index that is kept.
 
 ``occurrences`` finds strings in texts by one multi-pattern pass over each text,
 for blocks of strings of a bounded size, in place of a join on containment.
@@ -16,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +30,9 @@ K1, B = 1.2, 0.75
 FLOOR_IDF = 1e-6
 #: Characters of the strings that one pass over the texts looks for.
 BLOCK_CHARS = 500_000
+#: Query terms that are scored together, and documents of a step.
+BLOCK_TERMS = 20_000
+DOC_BATCH = 512
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -50,16 +53,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, dl, term, tf) for the wanted terms only, written; and for every
-    document a row whose term is null and whose tf counts its rows."""
-    wanted = written(terms.select(F.col("term").alias("wanted")).distinct(), "terms")
-    # the null before the tokens stands for the document itself
+def _wanted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query terms (query_no, query_id, term, qn) and their distinct terms (wanted, term_no), written."""
+    terms = query_terms(queries)
+    numbers = written(terms.select("query_id").distinct().withColumn("query_no", F.monotonically_increasing_id()), "query-numbers")
+    terms = written(terms.join(sized(numbers), "query_id"), "query-terms")
+    wanted = written(terms.select(F.col("term").alias("wanted")).distinct().withColumn("term_no", F.monotonically_increasing_id()), "terms")
+    return terms, wanted
+
+
+def _held_terms(docs: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """(id, dl, held): for every document the numbers of the wanted terms that it
+    holds, as often as it holds them, written.  The texts are read once."""
+    # the null before the tokens keeps a document without wanted terms
     each = F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term")
     exploded = tokenised(docs, id_col).select(id_col, "dl", each)
-    met = exploded.join(sized(wanted), F.col("term") == F.col("wanted"), "left")
-    kept = met.where("term is null or wanted is not null").groupBy(id_col, "dl", "term")
-    return written(kept.agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    met = exploded.join(sized(wanted), F.col("term") == F.col("wanted"), "left").where("term is null or wanted is not null")
+    return written(met.groupBy(id_col, "dl").agg(F.collect_list("term_no").alias("held")), "held-terms")
+
+
+def _weights(held: DataFrame, terms: DataFrame, wanted: DataFrame) -> tuple[DataFrame, float]:
+    """(query_no, query_id, term_no, w), written, and the mean length: a term's
+    weight is its idf times how often the query says it."""
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = held.select(F.explode(F.array_distinct("held")).alias("term_no")).groupBy("term_no").agg(F.count(F.lit(1)).alias("df"))
+    raw = F.log((stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = (F.col("qn") * F.when(raw <= 0, F.lit(FLOOR_IDF)).otherwise(raw)).alias("w")
+    named = wanted.join(df, "term_no").withColumnRenamed("wanted", "term")
+    return written(terms.join(named, "term").select("query_no", "query_id", "term_no", weight), "term-weights"), stats.avgdl or 0.0
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -68,21 +89,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") ->
     Statistics are those of all rows of ``docs``; a term that most documents
     hold weighs next to nothing; a term said twice in a query counts twice.
     """
-    terms = written(query_terms(queries), "query-terms")
-    counted = term_counts(docs, terms, id_col)
-    whole = counted.where("term is null")
-    stats = whole.agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    counts = counted.where("term is not null")
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = written(
-        terms.join(df, "term").select("query_id", "term", (F.col("qn") * F.when(raw <= 0, F.lit(FLOOR_IDF)).otherwise(raw)).alias("w")),
-        "term-weights",
-    )
+    terms, wanted = _wanted(queries)
+    held = _held_terms(docs, wanted, id_col)
+    weights, avgdl = _weights(held, terms, wanted)
+    counts = held.select(id_col, "dl", F.explode("held").alias("term_no")).groupBy(id_col, "dl", "term_no").agg(F.count(F.lit(1)).alias("tf"))
     length = K1 * (1 - B + B * F.col("dl") / avgdl)
-    part = counts.select(id_col, "term", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part"))
-    met = part.join(sized(weights), "term")
+    part = counts.select(id_col, "term_no", (F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("part"))
+    met = part.join(sized(weights.select("query_id", "term_no", "w")), "term_no")
     return met.groupBy("query_id", id_col).agg(F.sum(F.col("w") * F.col("part")).alias("score"))
 
 
@@ -93,8 +106,77 @@ def top_k(scored: DataFrame, k: int, id_col: str = "doc_id", order: str = "score
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _best_of_block(held: DataFrame, block: list[tuple], avgdl: float, k: int, id_col: str) -> DataFrame:
+    """(query_no, id, score): each task's best k of every query of a block, scored
+    as a product of term frequencies and weights, a batch of documents at a time."""
+    queries, query_at = np.unique([r[0] for r in block], return_inverse=True)
+    terms, term_at = np.unique([r[1] for r in block], return_inverse=True)
+    matrix = np.zeros((len(terms), len(queries)))
+    matrix[term_at, query_at] = [r[2] for r in block]
+    sent = held.sparkSession.sparkContext.broadcast((queries, terms, matrix))
+    schema = StructType.fromDDL(f"query_no long, {id_col} {held.schema[id_col].dataType.simpleString()}, score double")
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, terms, matrix = sent.value
+        best = np.full((len(queries), 0), -np.inf)
+        ids = np.zeros((len(queries), 0), object)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, DOC_BATCH):
+                part = batch.slice(begin, DOC_BATCH)
+                lists = part.column(2)
+                sizes = np.asarray(lists.value_lengths().fill_null(0))
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+                known = terms[at] == flat
+                doc = np.repeat(np.arange(len(sizes)), sizes)[known]
+                tf = np.bincount(doc * len(terms) + at[known], minlength=len(sizes) * len(terms)).reshape(len(sizes), -1)
+                length = K1 * (1 - B + B * np.asarray(part.column(1), float) / (avgdl or 1.0))
+                scores = ((tf * (K1 + 1) / (tf + length[:, None])) @ matrix).T
+                scores[scores <= 0] = -np.inf
+                own = np.array(part.column(0).to_pylist(), object)
+                best, ids = np.hstack([best, scores]), np.hstack([ids, np.broadcast_to(own, scores.shape)])
+                ranks = np.argsort(np.argsort(own, kind="stable"), kind="stable") if ids.shape[1] == len(own) else None
+                keys = ids if ranks is None else np.broadcast_to(ranks, ids.shape)
+                order = np.array([_first(b, i, k) for b, i in zip(np.round(best, 9), keys)])
+                best, ids = np.take_along_axis(best, order, 1), np.take_along_axis(ids, order, 1)
+        keep = np.isfinite(best)
+        columns = [np.broadcast_to(queries[:, None], best.shape)[keep], ids[keep].tolist(), best[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    return held.select(id_col, "dl", "held").mapInArrow(run, schema)
+
+
+def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest scores, equal ones by id."""
+    if len(scores) > k:
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        above = np.flatnonzero(scores > kth)
+        equal = np.flatnonzero(scores == kth)
+        equal = equal[np.argsort(ids[equal], kind="stable")[: k - len(above)]] if np.isfinite(kth) else equal[: k - len(above)]
+        return np.concatenate([above, equal])
+    return np.arange(len(scores))
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    return top_k(bm25_scores(docs, queries, id_col), k, id_col)
+    """(query_id, id, score, rank): the best k documents of each query by the
+    scores of ``bm25_scores``.  The queries, a stated set, are taken in blocks;
+    each task keeps its best k of every query of a block while it reads the
+    narrow table of held terms, and a last step merges the few rows of each query."""
+    terms, wanted = _wanted(queries)
+    held = _held_terms(docs, wanted, id_col)
+    weights, avgdl = _weights(held, terms, wanted)
+    numbers = weights.select("query_no", "query_id").distinct()
+    parts, block = [], []
+    for r in weights.orderBy("query_no", "term_no").toLocalIterator():
+        if block and len(block) >= BLOCK_TERMS and r.query_no != block[-1][0]:
+            parts.append(_best_of_block(held, block, avgdl, k, id_col))
+            block = []
+        block.append((r.query_no, r.term_no, r.w))
+    if block or not parts:
+        parts.append(_best_of_block(held, block, avgdl, k, id_col))
+    best = reduce(DataFrame.unionAll, parts).join(numbers, "query_no")
+    return top_k(best.select("query_id", id_col, "score"), k, id_col)
 
 
 def _blocks(strings: DataFrame) -> Iterator[list[tuple]]:

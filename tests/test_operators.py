@@ -329,6 +329,23 @@ def test_strings_are_found_where_they_stand(spark, monkeypatch):
     assert lexical.occurrences(docs, wanted.where("false")).count() == 0
 
 
+def test_best_documents_are_those_of_all_scores(spark, sf, monkeypatch):
+    docs = model.documents(spark, sf)
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 1000))  # ties
+    asked = model.queries(spark, sf).unionByName(spark.createDataFrame([(900, ""), (901, "zzzz none")], "query_id long, query string"))
+    scores = {}
+    for r in lexical.bm25_scores(docs, asked).collect():
+        scores.setdefault(r.query_id, []).append((-round(r.score, 9), r.doc_id))
+    expected = {q: [i for _, i in sorted(rows)[:7]] for q, rows in scores.items()}
+    for terms, step in ((lexical.BLOCK_TERMS, lexical.DOC_BATCH), (100, 5)):
+        monkeypatch.setattr(lexical, "BLOCK_TERMS", terms)
+        monkeypatch.setattr(lexical, "DOC_BATCH", step)
+        found = {}
+        for r in lexical.bm25_top_k(docs, asked, 7).orderBy("rank").collect():
+            found.setdefault(r.query_id, []).append(r.doc_id)
+        assert found == expected and len(found) == 40
+
+
 def test_positions_count_on_over_parts(spark, monkeypatch):
     rows = [(g, f"{i:03d}") for i in range(200) for g in (["a"] * 3 + ["b"])[i % 4 :]]
     rows = sorted(set(rows))
