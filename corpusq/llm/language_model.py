@@ -55,6 +55,8 @@ FREQUENT = 250_000
 MINIBATCH = 16_384
 RATE, SMOOTH = 0.2, 8.0
 SLAB = 128  # rows of weights that are added up together
+SAFE = 60.0  # logits whose exponentials neither overflow nor vanish
+RUN = 6  # equal rows that are added up side by side
 GROUP = 64  # tasks whose changes are added up together first
 
 END = int(mix(np.array([0xE0D], np.uint64))[0])
@@ -114,6 +116,24 @@ def features(hashes: np.ndarray, tails: np.ndarray, offsets: np.ndarray) -> np.n
     ).astype(np.int64)
 
 
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of the values of each, how often each stands): short
+    runs of equal rows are added up side by side, long ones one by one."""
+    keys = rows.astype(np.uint16)  # sixteen bits are sorted by radix
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    n = np.diff(np.append(starts, len(keys)))
+    values = values.take(order, axis=0, mode="clip")
+    sums = values.take(starts, axis=0, mode="clip")
+    for j in range(1, RUN):
+        more = np.flatnonzero((n > j) & (n <= RUN))
+        sums[more] += values.take(starts[more] + j, axis=0, mode="clip")
+    for i in np.flatnonzero(n > RUN):
+        values[starts[i] : starts[i] + n[i]].sum(axis=0, out=sums[i])
+    return rows[order[starts]], sums, n
+
+
 class Model:
     """Weights of the class factor and the sizes of the classes."""
 
@@ -130,13 +150,14 @@ class Model:
         return np.where(self.singles[at] == hashes, at, tails.astype(np.int64) + SINGLES)
 
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        logits = self.weights[rows[0]]
-        logits += self.weights[rows[1]]
-        logits += self.weights[rows[2]]
+        logits = self.weights.take(rows[0], axis=0, mode="clip")
+        logits += self.weights.take(rows[1], axis=0, mode="clip")
+        logits += self.weights.take(rows[2], axis=0, mode="clip")
         logits += self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        if len(logits) and max(logits.max(), -logits.min()) > SAFE:
+            logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits *= (1 / np.einsum("ij->i", logits))[:, None]
         return logits
 
     def log10_classes(self, hashes: np.ndarray, tails: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -158,14 +179,10 @@ class Model:
             gradient = self.probabilities(own)
             gradient[np.arange(len(gradient)), classes[part]] -= 1
             for k in range(3):
-                order = np.argsort(own[k], kind="stable")
-                sorted_rows = own[k][order]
-                starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                touched = sorted_rows[starts]
-                sums = np.add.reduceat(gradient[order], starts, axis=0)
-                squares[touched] += np.square(sums).mean(axis=1)
-                self.weights[touched] -= RATE * sums / np.sqrt(squares[touched] + SMOOTH)[:, None]
-                uses[touched] += np.diff(np.append(starts, len(order)))
+                touched, sums, n = row_sums(own[k], gradient)
+                squares[touched] += np.einsum("ij,ij->i", sums, sums) / CLASSES
+                self.weights[touched] -= sums * (RATE / np.sqrt(squares[touched] + SMOOTH)).astype(np.float32)[:, None]
+                uses[touched] += n
 
 
 def _training_turn(rounds: int):

@@ -442,6 +442,16 @@ def test_language_model_base_and_gain(spark):
     assert np.mean([r.score > r.base_score for r in held]) > 0.85
 
 
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=300))
+@settings(max_examples=50, deadline=None)
+def test_row_sums(rows):
+    values = np.random.default_rng(len(rows)).normal(size=(len(rows), 5)).astype(np.float32)
+    touched, sums, n = language_model.row_sums(np.array(rows), values)
+    assert touched.tolist() == sorted(set(rows)) and n.tolist() == [rows.count(r) for r in touched]
+    for r, s in zip(touched, sums):
+        assert np.allclose(s, values[np.array(rows) == r].sum(axis=0), atol=1e-4)
+
+
 def test_class_probabilities_add_up():
     model = language_model.Model(np.array([5, 9], np.uint64))
     model.weights += np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
@@ -449,6 +459,9 @@ def test_class_probabilities_add_up():
     p = model.probabilities(language_model.features(hashes, tails, offsets))
     assert p.shape == (len(hashes), language_model.CLASSES)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    model.weights *= 300  # far apart logits
+    p = model.probabilities(language_model.features(hashes, tails, offsets))
+    assert np.isfinite(p).all() and np.allclose(p.sum(axis=1), 1, atol=1e-5)
     assert np.diff(offsets).tolist() == [5, 1, 3]
 
 
