@@ -140,21 +140,34 @@ def parent_fallbacks(spark, sf_dir):
     return retrieval_context.resolve_parents(hits, parents).select("doc_id", "chunk_index", "fallback")
 
 
+def _sql_share(keys: str, text: str) -> str:
+    return f"CASE WHEN len({keys}) = 0 THEN 0.0 ELSE round(len(list_filter({keys}, lambda s: contains(lower({text}), s)))::DOUBLE / len({keys}), 4) END"
+
+
+def _sql_keys(text: str) -> str:
+    return f"""list_distinct(list_filter(string_split_regex(lower({text}), '[\\s,.;:!?，。；：！？、()（）\\[\\]"''“”]+'), lambda s: length(s) >= 2 AND NOT regexp_full_match(s, '\\p{{Nd}}+')))"""
+
+
 @query(
     "keyword_rag_scores",
-    """WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
-    k AS (SELECT id, answer, question, list_distinct(list_filter(string_split_regex(lower(question), '[\\s,.;:!?，。；：！？、()（）\\[\\]"''“”]+'), lambda s: length(s) >= 2 AND NOT regexp_full_match(s, '\\p{Nd}+'))) AS keys FROM a WHERE question IS NOT NULL)
-    SELECT id, CASE WHEN len(keys) = 0 THEN 0.0 ELSE round(len(list_filter(keys, lambda s: contains(lower(answer), s)))::DOUBLE / len(keys), 4) END AS relevance FROM k""",
+    f"""WITH a AS (SELECT conv_id * 1000 + turn AS id, text AS answer, lag(text) OVER w AS question, lead(text) OVER w AS context,
+      coalesce(lag(text, 2) OVER w, text) AS reference FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    k AS (SELECT id, answer, context, {_sql_keys("question")} AS q, {_sql_keys("reference")} AS r, {_sql_keys("answer")} AS a FROM a WHERE question IS NOT NULL AND context IS NOT NULL)
+    SELECT id, {_sql_share("r", "answer")} AS answer_coverage, {_sql_share("r", "context")} AS context_coverage, {_sql_share("a", "context")} AS faithfulness,
+      {_sql_share("q", "answer")} AS relevance, {_sql_share("q", "context")} AS precision FROM k""",
 )
 def keyword_rag_scores(spark, sf_dir):
-    """Share of the words of a turn that the next turn takes up."""
+    """Keyword figures of a turn as an answer: the turn before asks, the one after is
+    its context and the one before the question its reference."""
     from pyspark.sql import Window as W
 
     c = model.read(spark, sf_dir, "conversations")
-    question = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), question.alias("question"))
-    rows = rows.where("question is not null").withColumns({"reference": F.col("question"), "context": F.col("answer")})
-    return evaluation.keyword_scores(rows).select("id", "relevance")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    rows = c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("answer"), F.lag("text").over(w).alias("question"),
+        F.lead("text").over(w).alias("context"), F.coalesce(F.lag("text", 2).over(w), "text").alias("reference"),
+    )
+    return evaluation.keyword_scores(rows.where("question is not null and context is not null"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusq import model
 from corpusq.functions import text as T
 from corpusq.operators import catalog, chunking, evaluation, graph, history, lexical, retrieval_context, wiki
+from corpusq.plans import graphs
 from corpusq.plans.chunks import SQL_CHUNKS
 from corpusq.plans.graphs import NAMES
 from corpusq.registry import query
@@ -78,6 +79,81 @@ def base_list(spark, sf_dir):
     return live.select(F.explode(names).alias("list"), "kb_id")
 
 
+SQL_RECORDS = """records AS (SELECT event_id, 't' || (user_id % 5) AS tag_id, event_type AS status, CASE WHEN event_id % 3 = 0 THEN 'pdf' ELSE 'txt' END AS file_type,
+  CASE WHEN event_id % 7 = 0 THEN 'url' ELSE 'file' END AS type, 'u' || (user_id % 10) AS kb_id, ts AS created_at, props, event_type || '-' || user_id AS title FROM events)"""
+
+
+@query(
+    "record_filter",
+    f"""WITH {SQL_RECORDS}, f AS (SELECT event_id, unnest([CASE WHEN tag_id = 't2' THEN 'tag' END, CASE WHEN status IN ('click', 'view') THEN 'status' END,
+      CASE WHEN file_type IN ('pdf', 'url') OR type IN ('pdf', 'url') THEN 'type' END, CASE WHEN kb_id = 'u3' THEN 'source' END,
+      CASE WHEN created_at >= TIMESTAMP '2024-01-10 00:00:00' AND created_at <= TIMESTAMP '2024-01-12 12:00:00' THEN 'time' END,
+      CASE WHEN contains(lower(title), 'click-1') OR contains(lower(props->>'$.k'), '7') THEN 'keyword' END,
+      CASE WHEN tag_id = 't2' AND status = 'click' AND file_type = 'pdf' AND created_at >= TIMESTAMP '2024-01-10 00:00:00' THEN 'all' END]) AS filter FROM records)
+    SELECT * FROM f WHERE filter IS NOT NULL""",
+)
+def record_filter(spark, sf_dir):
+    """Records by every branch of the filter builder, alone and together."""
+    i = F.col("event_id")
+    records = model.read(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tag_id"), F.col("event_type").alias("status"),
+        F.when(i % 3 == 0, "pdf").otherwise("txt").alias("file_type"), F.when(i % 7 == 0, "url").otherwise("file").alias("type"),
+        F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("kb_id"), F.col("ts").alias("created_at"), "props",
+        F.concat_ws("-", "event_type", "user_id").alias("title"),
+    )
+    build = catalog.document_filter
+    filters = {
+        "tag": build(tag="t2"), "status": build(statuses=["click", "view"]), "type": build(file_types=["pdf", "url"]), "source": build(source="u3"),
+        "time": build(start="2024-01-10 00:00:00", end="2024-01-12 12:00:00"),
+        "keyword": build(keyword="Click-1", columns=("title",)) | build(keyword="7", columns=(), json_path=("props", "$.k")),
+        "all": build(tag="t2", statuses=["click"], start="2024-01-10 00:00:00") & (F.col("file_type") == "pdf"),
+    }
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in filters.items()]))
+    return records.select("event_id", F.explode(names).alias("filter"))
+
+
+@query(
+    "reindex_needed",
+    """SELECT source AS kb_id, CASE WHEN source LIKE '%9' THEN NULL ELSE 'fixed/512' END AS was, CASE WHEN source LIKE '%7' THEN 'fixed/256' ELSE 'fixed/512' END AS config
+    FROM (SELECT DISTINCT source FROM documents) WHERE source LIKE '%7' OR source LIKE '%9'""",
+)
+def reindex_needed(spark, sf_dir):
+    """Bases whose configuration is no longer that of their last index, or that have none."""
+    bases = model.read(spark, sf_dir, "documents").select(F.col("source").alias("kb_id")).distinct()
+    current = bases.withColumn("config", F.when(F.col("kb_id").like("%7"), "fixed/256").otherwise("fixed/512"))
+    effective = bases.where(~F.col("kb_id").like("%9")).withColumn("config", F.lit("fixed/512"))
+    return chunking.needs_reindex(effective, current)
+
+
+@query(
+    "semantic_cache_misses",
+    f"WITH {SQL_CHUNKS} SELECT DISTINCT md5(content) AS content_hash FROM c WHERE md5(content) NOT IN (SELECT md5(content) FROM c WHERE (doc_id + chunk_index) % 3 <> 0)",
+)
+def semantic_cache_misses(spark, sf_dir):
+    """Texts whose vectors the cache lacks; a vector of another model is none."""
+    keyed = _chunks(spark, sf_dir).select(
+        "doc_id", "chunk_index", F.md5("content").alias("content_hash"), F.lit("m1").alias("model_signature"), F.lit(1).alias("version"),
+        F.lit(3).alias("window"), F.lit(90.0).alias("percentile"),
+    )
+    i = F.col("doc_id") + F.col("chunk_index")
+    cache = keyed.where(i % 3 == 1).unionByName(keyed.where(i % 3 == 2)).unionByName(keyed.where(i % 3 == 0).withColumn("model_signature", F.lit("m0")))
+    cache = cache.drop("doc_id", "chunk_index").distinct()
+    return chunking.semantic_cache_misses(keyed.drop("doc_id", "chunk_index").distinct(), cache).select("content_hash")
+
+
+@query(
+    "missing_endpoints",
+    f"""WITH n AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, {NAMES}, 1))) AS l FROM documents),
+    m AS (SELECT DISTINCT unnest(l) AS name FROM n WHERE doc_id % 2 = 0), r AS (SELECT DISTINCT unnest(l) AS name FROM n WHERE len(l) > 1)
+    SELECT name FROM r WHERE name NOT IN (SELECT name FROM m)""",
+)
+def missing_endpoints(spark, sf_dir):
+    """Names that relations use and that no entity of half of the documents has."""
+    names = graphs._names(spark, sf_dir)
+    entities = graph.merge_entities(names.where("chunk_id % 2 = 0").select("chunk_id", F.explode("names").alias("name")))
+    return graph.missing_endpoints(entities, graph.merge_relations(graphs._neighbours(names)))
+
+
 @query(
     "document_list",
     f"SELECT doc_id, title, kb_id, n_chars FROM ({model.SQL_DOCUMENTS}) WHERE NOT deleted",
