@@ -50,6 +50,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .shared import cut
+from .tokens import as_bytes
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.DOTALL
@@ -244,13 +245,35 @@ def _path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
 
 
+def _packed(pages: DataFrame, kind: str) -> DataFrame:
+    """Pages with their html compressed, for the way through the shuffle."""
+    typed = StructType.fromDDL(f"page_id {kind}, url string, packed binary, size int, host string, path string, hash long")
+    out_schema = to_arrow_schema(typed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [as_bytes(t) for t in batch.column(2).to_pylist()]
+            packed = pa.array([pa.compress(r, codec="zstd", asbytes=True) for r in raw], pa.binary())
+            sizes = pa.array([len(r) for r in raw], pa.int32())
+            columns = [batch.column(0), batch.column(1), packed, sizes, batch.column(3), batch.column(4), batch.column(5)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
+    columns = [_host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"), F.xxhash64("html").alias("hash")]
+    return pages.select("page_id", "url", "html", *columns).mapInArrow(run, typed)
+
+
+def _page(page_id, url: str | None, packed: bytes, size: int, host: str, path: str) -> Page:
+    html = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    return Page(page_id, url, host, path, lines_of(html))
+
+
 def _ranges(ordered: DataFrame, kind: str) -> DataFrame:
     """The pages of each sorted range: ``text`` of those with all their
-    neighbours; and, with ``html`` and place, the ``2 * REACH`` rows at either end,
-    of which the outer half is open, without text."""
+    neighbours; and, packed and with their place, the ``2 * REACH`` rows at either
+    end, of which the outer half is open, without text."""
     typed = StructType.fromDDL(
-        f"page_id {kind}, url string, text string, edge boolean, open boolean, html string, host string, path string, "
-        "part int, pos long, n long"
+        f"page_id {kind}, url string, text string, edge boolean, open boolean, packed binary, size int, host string, "
+        "path string, part int, pos long, n long"
     )
     out_schema = to_arrow_schema(typed)
 
@@ -267,9 +290,8 @@ def _ranges(ordered: DataFrame, kind: str) -> DataFrame:
         n = 0
         for batch in batches:
             done = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                page_id, url, html, host, path = row
-                window.append(Page(page_id, url, host, path, lines_of(html)))
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                window.append(_page(*row))
                 tail.append((n, row))
                 if n < 2 * REACH:
                     head.append((n, row))
@@ -277,13 +299,13 @@ def _ranges(ordered: DataFrame, kind: str) -> DataFrame:
                 if len(window) == 2 * REACH + 1:
                     page = window[REACH]
                     text = main_text(page, [p for p in window if p is not page])
-                    done.append((page.page_id, page.url, text, False, False, None, None, None, part, None, None))
+                    done.append((page.page_id, page.url, text, False, False, None, None, None, None, part, None, None))
             yield give(done)
         edges = dict(head) | dict(tail)
         yield give(
             [
-                (page_id, url, None, True, pos < REACH or pos >= n - REACH, html, host, path, part, pos, n)
-                for pos, (page_id, url, html, host, path) in sorted(edges.items())
+                (page_id, url, None, True, pos < REACH or pos >= n - REACH, packed, size, host, path, part, pos, n)
+                for pos, (page_id, url, packed, size, host, path) in sorted(edges.items())
             ]
         )
 
@@ -301,12 +323,12 @@ def _settled_edges(edges: DataFrame, kind: str) -> DataFrame:
     placed = edges.join(F.broadcast(starts), F.col("part") == F.col("of")).withColumn("place", F.col("start") + inner)
     blocks = F.array_distinct(F.transform(F.array(*[F.lit(d) for d in (0, -REACH, REACH)]), lambda d: F.floor((F.col("place") + d) / BLOCK)))
     dealt = placed.withColumn("block", F.explode(blocks)).select(
-        "block", "place", "open", F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), "host", "path"
-    )
+        "block", "place", "open", F.col("page_id").cast("string").alias("page_id"), "url", "packed", "size", "host", "path"
+    )
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(frame.to_dict("records"), key=lambda r: r["place"])
-        whole = [Page(r["page_id"], r["url"], r["host"], r["path"], lines_of(r["html"])) for r in rows]
+        whole = [_page(*(r[c] for c in ("page_id", "url", "packed", "size", "host", "path"))) for r in rows]
         found = []
         for i, (row, page) in enumerate(zip(rows, whole)):
             if row["open"] and row["place"] // BLOCK == row["block"]:
@@ -321,9 +343,9 @@ def _settled_edges(edges: DataFrame, kind: str) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    columns = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"), _path(F.col("url")).alias("path"))
-    order = [F.col("host"), F.col("path"), F.col("page_id"), F.xxhash64("html")]
-    parts = cut(_ranges(columns.repartitionByRange(*order).sortWithinPartitions(*order), kind), "pages")
+    order = ["host", "path", "page_id", "hash"]
+    ranged = _packed(pages, kind).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = cut(_ranges(ranged.drop("hash"), kind), "pages", compression="zstd")
     settled = parts.where("not edge").select("page_id", "url", "text")
     found = settled.unionAll(_settled_edges(parts.where("edge"), kind))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

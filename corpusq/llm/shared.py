@@ -45,12 +45,12 @@ def _blocks() -> list[list[str]]:
     return _local.blocks
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later jobs start
     from the files, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _blocks():
         _blocks()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -442,6 +442,46 @@ def test_language_model_base_and_gain(spark):
     assert np.mean([r.score > r.base_score for r in held]) > 0.85
 
 
+def test_rare_tokens_are_counted_in_the_join(spark, monkeypatch):
+    """With few tokens sent to the tasks the others meet their counts in the join."""
+    draw = random.Random(17)
+    rows = [(i, " ".join(f"w{int(draw.paretovariate(0.4)) % 900}" for _ in range(draw.randrange(0, 60)))) for i in range(300)]
+    expected, n = brute.unigram(rows)
+    docs = _frame(spark, rows)
+    for most in (language_model.FREQUENT, 5, 0):
+        monkeypatch.setattr(language_model, "FREQUENT", most)
+        out = language_model.lm_scores(docs).collect()
+        for r in out:
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (*expected[r.doc_id][:2], n)
+            assert r.base_score == pytest.approx(expected[r.doc_id][2], rel=1e-9)
+
+
+def test_class_scores_are_those_of_a_plain_softmax():
+    """Every token's class probability and share, token by token."""
+    texts = ["the cat sat, the dog.", "", "Über den Fluss. the end", None]
+    hashes, tails, offsets = language_model.token_stream(texts)
+    model = language_model.Model(np.unique(hashes)[:2])
+    draw = np.random.default_rng(3)
+    model.weights += draw.normal(size=model.weights.shape).astype(np.float32)
+    model.bias += draw.normal(size=model.bias.shape).astype(np.float32)
+    model.log_sizes += draw.random(model.log_sizes.shape)
+    found = model.log10_classes(hashes, tails, offsets)
+    shift = 64 - (language_model.BUCKETS.bit_length() - 1)
+    mixed = lambda x: int(tokens.mix(np.array([x & (2**64 - 1)], np.uint64))[0]) >> shift
+    start, salts = int(language_model._START), [int(s) for s in language_model._SALTS]
+    singles = {int(h): k for k, h in enumerate(model.singles)}
+    for a, b in zip(offsets, offsets[1:]):
+        own, kinds = [int(h) for h in hashes[a:b]], [int(t) for t in tails[a:b]]
+        for i, h in enumerate(own):
+            last = [own[i - d] if i >= d else start for d in (1, 2)]
+            near = [kinds[i - d] if i >= d else language_model.TAILS for d in (1, 2, 3)]
+            rows = [mixed(last[0] ^ salts[0]), mixed(last[1] ^ salts[1]), mixed(((near[0] * 64 + near[1]) * 64 + near[2]) ^ salts[2])]
+            logits = model.bias.astype(float) + sum(model.weights[r].astype(float) for r in rows)
+            k = singles.get(h, kinds[i] + language_model.SINGLES)
+            p = np.exp(logits[k]) / np.exp(logits).sum()
+            assert found[a + i] == pytest.approx(np.log10(p) - model.log_sizes[k], abs=1e-4)
+
+
 @given(st.lists(st.integers(0, 40), min_size=1, max_size=300))
 @settings(max_examples=50, deadline=None)
 def test_row_sums(rows):
