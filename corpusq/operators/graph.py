@@ -43,34 +43,26 @@ def merge_relations(relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFr
 def relation_weights(entities: DataFrame, relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``pmi`` and ``weight``: 1 + 9 * (0.6 * pmi / largest + 0.4 * strength /
     largest), with frequencies of one at least.  Totals and largest values are
-    those of the scope, or scalar subqueries where there is one graph."""
-    f = entities.select(*scope, "name", F.greatest(F.lit(1), "frequency").alias("f"))
-
-    def total(table: DataFrame, value: Column, name: str) -> DataFrame:
-        return table.groupBy(*scope).agg(value.alias(name))
+    windows over the scope (a document's graph), or scalar subqueries where there
+    is one graph for all."""
 
-    def with_totals(table: DataFrame, *totals: DataFrame) -> DataFrame:
-        for t in totals:
-            if scope:
-                table = table.join(t, list(scope))
-            else:
-                table = table.withColumn(t.columns[0], t.scalar())
-        return table
+    def over(table: DataFrame, value: Column) -> Column:
+        value = F.greatest(F.lit(1), F.coalesce(value.over(W.partitionBy(*scope)) if scope else value, F.lit(1)))
+        return value if scope else table.select(value.alias("v")).scalar()
 
-    least_one = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))
-    joined = relations.join(f.withColumnsRenamed({"name": "source", "f": "fs"}), [*scope, "source"]).join(
-        f.withColumnsRenamed({"name": "target", "f": "ft"}), [*scope, "target"]
+    f = entities.select(*scope, "name", F.greatest(F.lit(1), "frequency").alias("f"))
+    f = f.withColumn("all_entities", over(f, F.sum("f")))
+    counted = relations.withColumns(
+        {"all_relations": over(relations, F.sum("n")), "top_strength": over(relations, F.max("strength"))}
     )
-    counted = with_totals(
-        joined,
-        total(f, least_one(F.sum("f")), "all_entities"),
-        total(relations, least_one(F.sum("n")), "all_relations"),
-        total(relations, least_one(F.max("strength")), "top_strength"),
+    joined = counted.join(f.withColumnsRenamed({"name": "source", "f": "fs"}), [*scope, "source"]).join(
+        f.drop("all_entities").withColumnsRenamed({"name": "target", "f": "ft"}), [*scope, "target"]
     )
     p = F.greatest(F.lit(1), "n") / F.col("all_relations")
     raw = F.log2(p / ((F.col("fs") / F.col("all_entities")) * (F.col("ft") / F.col("all_entities"))))
-    scored = counted.withColumn("pmi", F.greatest(raw, F.lit(0.0)))
-    scored = with_totals(scored, total(scored, F.coalesce(F.max("pmi"), F.lit(0.0)), "top_pmi"))
+    scored = joined.withColumn("pmi", F.greatest(raw, F.lit(0.0)))
+    top_pmi = F.max("pmi").over(W.partitionBy(*scope)) if scope else scored.select(F.coalesce(F.max("pmi"), F.lit(0.0)).alias("v")).scalar()
+    scored = scored.withColumn("top_pmi", top_pmi)
     share = F.when(F.col("top_pmi") > 0, F.col("pmi") / F.col("top_pmi")).otherwise(F.lit(0.0))
     weight = 1 + 9 * (0.6 * share + 0.4 * F.col("strength") / F.col("top_strength"))
     return scored.withColumn("weight", weight).select(*scope, "source", "target", "n", "strength", "pmi", "weight")
@@ -87,10 +79,9 @@ def chunk_edges(relations: DataFrame, mentions: DataFrame, scope: tuple[str, ...
     target, both ways, by the best (weight, degree).  A graph is that of one
     document's chunks, as ``scope`` says, so a name joins chunks of one document
     only and the join is never larger than documents make it."""
-    d = degrees(relations, scope)
-    for end in ("source", "target"):
-        relations = relations.join(d.withColumnsRenamed({"name": end, "degree": f"{end}_degree"}), [*scope, end])
-    ranked = relations.select(*scope, "source", "target", "weight", (F.col("source_degree") + F.col("target_degree")).alias("degree"))
+    ends = relations.withColumn("name", F.explode(F.array("source", "target")))
+    touching = ends.withColumn("degree", F.count(F.lit(1)).over(W.partitionBy(*scope, "name")))
+    ranked = touching.groupBy(*scope, "source", "target", "weight").agg(F.sum("degree").alias("degree"))
     once = mentions.select(*scope, "name", "chunk_id").distinct()
     left = ranked.join(once.withColumnsRenamed({"name": "source", "chunk_id": "a"}), [*scope, "source"])
     both = left.join(once.withColumnsRenamed({"name": "target", "chunk_id": "b"}), [*scope, "target"]).where("a <> b")

@@ -54,7 +54,9 @@ def _block_top_k(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int
 def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, distance, rank): k nearest by L2, equal distances by id.
 
-    ``queries`` has query_id and embedding; it is read block by block.
+    ``queries`` has query_id and embedding; it is a stated query set and is read
+    block by block.  A block costs one scan of the vectors, whose reading is small
+    beside the distances to thousands of queries.
     """
     blocks, rows = [], []
     for r in queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator():

@@ -9,7 +9,7 @@ from corpusq.functions.text import candidate_names
 from corpusq.operators import chunking, graph, wiki
 from corpusq.plans.chunks import SQL_CHUNKS
 from corpusq.registry import query
-from corpusq.tables import positions, written
+from corpusq.tables import planned, written
 
 #: A name that stands in a document is an entity of it; neighbours in the order of its names are related.
 NAMES = "'(\\p{Lu}[\\p{L}\\p{N}]+(?: \\p{Lu}[\\p{L}\\p{N}]+){0,3})'"
@@ -89,14 +89,17 @@ def entity_degree(spark, sf_dir):
 
 
 def chunk_graph(spark, sf_dir):
-    """Edges between the chunks of each document, written."""
+    """Edges between the chunks of each document, written.  Names are dealt by
+    document once, and all joins and groups of a document stay where it is."""
     scope = ("doc_id",)
     chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = written(chunks.select("doc_id", F.col("chunk_index").alias("chunk_id"), candidate_names(F.col("content")).alias("names")), "chunk-names")
+    names = chunks.select("doc_id", F.col("chunk_index").alias("chunk_id"), candidate_names(F.col("content")).alias("names"))
+    names = written(names, "chunk-names").repartition("doc_id")
     mentions = names.select("doc_id", "chunk_id", F.explode("names").alias("name"))
-    relations = written(graph.merge_relations(_neighbours(names), scope), "chunk-relations")
+    relations = graph.merge_relations(_neighbours(names), scope)
     weighted = graph.relation_weights(graph.merge_entities(mentions, scope), relations, scope)
-    return written(graph.chunk_edges(weighted, mentions, scope), "chunk-edges")
+    with planned(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        return written(graph.chunk_edges(weighted, mentions, scope), "chunk-edges")
 
 
 @query("chunk_graph_direct", f"WITH {SQL_CHUNK_EDGES} SELECT doc_id, a, b, round(best.w, 6) AS weight, best.d AS degree, {SQL_TOP} AS rank FROM edges QUALIFY rank <= 8")
