@@ -49,7 +49,6 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import arrow_scan, crc_mod, cut
@@ -373,12 +372,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[lis
     ids = once.where("y = 0").orderBy(turn, "doc_id").limit(SAMPLE).unionAll(
         once.where("y = 1").orderBy(turn, "doc_id").limit(SAMPLE)
     )
-    # a row for each sampled document: how long it is, and where it ends in the order of its label
     sample = F.broadcast(cut(ids, "toxicity-ids"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id")
     sizes = rows.groupBy("y", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
-    upto = F.sum("n").over(W.partitionBy("y").orderBy(turn, "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    fits = cut(sizes.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS // 2).select("doc_id", "y"), "toxicity-sample")
+    # a narrow row for each sampled document, 2 * SAMPLE at most, says how long it is
+    fits, used = [], [0, 0]
+    for r in sizes.orderBy(turn, "doc_id").toLocalIterator():
+        used[r.y] += r.n
+        if used[r.y] <= SAMPLE_CHARS // 2:
+            fits.append((r.doc_id, r.y))
+    fits = docs.sparkSession.createDataFrame(fits, ids.schema)
     chosen = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").orderBy(turn, "doc_id", F.md5("text"))
     found = [(r.text, r.y) for r in chosen.select("text", "y").toLocalIterator()]
     return [t for t, _ in found], [y for _, y in found]
