@@ -81,6 +81,9 @@ REACH = 3
 LEAST = 3
 #: Pages around edges that are settled together.
 BLOCK = 24
+#: Compression of pages on their way through the shuffle, and of the table of texts.
+CODEC = ("brotli", 6)
+TABLE_OPTIONS = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 class Line(NamedTuple):
@@ -253,7 +256,8 @@ def _packed(pages: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [as_bytes(t) for t in batch.column(2).to_pylist()]
-            packed = pa.array([pa.compress(r, codec="zstd", asbytes=True) for r in raw], pa.binary())
+            codec = pa.Codec(*CODEC)
+            packed = pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())
             sizes = pa.array([len(r) for r in raw], pa.int32())
             columns = [batch.column(0), batch.column(1), packed, sizes, batch.column(3), batch.column(4), batch.column(5)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
@@ -263,7 +267,7 @@ def _packed(pages: DataFrame, kind: str) -> DataFrame:
 
 
 def _page(page_id, url: str | None, packed: bytes, size: int, host: str, path: str) -> Page:
-    html = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass")
+    html = pa.Codec(*CODEC).decompress(packed, size, asbytes=True).decode("utf-8", "surrogatepass")
     return Page(page_id, url, host, path, lines_of(html))
 
 
@@ -345,7 +349,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     order = ["host", "path", "page_id", "hash"]
     ranged = _packed(pages, kind).repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = cut(_ranges(ranged.drop("hash"), kind), "pages", compression="zstd")
+    parts = cut(_ranges(ranged.drop("hash"), kind), "pages", **TABLE_OPTIONS)
     settled = parts.where("not edge").select("page_id", "url", "text")
     found = settled.unionAll(_settled_edges(parts.where("edge"), kind))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
