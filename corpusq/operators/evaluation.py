@@ -39,9 +39,14 @@ def means(metrics: DataFrame) -> DataFrame:
 
 def gate(base: DataFrame, new: DataFrame, gain: float = 0.05) -> DataFrame:
     """One row: both means, relative gain, and whether MRR gains enough and recall does not fall."""
-    b = means(base).select(F.col("mrr").alias("base_mrr"), F.col("recall").alias("base_recall"), F.lit(1).alias("one"))
-    n = means(new).select(F.col("mrr").alias("new_mrr"), F.col("recall").alias("new_recall"), F.lit(1).alias("one"))
-    both = b.join(n, "one").drop("one")
+    none = F.lit(None).cast("double")
+    names = [(side, c) for side in ("base", "new") for c in ("mrr", "recall")]
+
+    def row(metrics: DataFrame, own: str) -> DataFrame:
+        return means(metrics).select(*[(F.col(c) if side == own else none).alias(f"{side}_{c}") for side, c in names])
+
+    # two rows of which each has two of the figures
+    both = row(base, "base").unionAll(row(new, "new")).agg(*[F.max(f"{side}_{c}").alias(f"{side}_{c}") for side, c in names])
     delta = (F.col("new_mrr") - F.col("base_mrr")) / F.greatest(F.col("base_mrr"), F.lit(1e-9))
     return both.withColumn("gain", delta).withColumn(
         "passed", (F.col("base_mrr") > 0) & (delta >= gain - EPSILON) & (F.col("new_recall") >= F.col("base_recall") - EPSILON)
