@@ -16,6 +16,7 @@ from . import (
     quality,
     secrets,
     toxicity,
+    whitening,
 )
 from .shared import table
 
@@ -76,6 +77,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -87,4 +92,5 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
+    "op11_whitening": op11_whitening,
 }
