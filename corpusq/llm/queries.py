@@ -15,6 +15,7 @@ from . import (
     near_dup,
     quality,
     secrets,
+    spelling,
     toxicity,
     whitening,
 )
@@ -81,6 +82,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -93,4 +98,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_lm": op10_lm,
     "op11_whitening": op11_whitening,
+    "op12_spelling": op12_spelling,
 }
