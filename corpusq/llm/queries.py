@@ -11,6 +11,7 @@ from . import (
     html_text,
     language_model,
     licenses,
+    minhash_dedup,
     mixing,
     near_dup,
     quality,
@@ -86,6 +87,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_mix": op2_mix,
@@ -99,4 +104,5 @@ QUERIES = {
     "op10_lm": op10_lm,
     "op11_whitening": op11_whitening,
     "op12_spelling": op12_spelling,
+    "op13_minhash": op13_minhash,
 }
