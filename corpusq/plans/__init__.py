@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from corpusq.plans import analytics, chunks, contexts, graphs, operations, records, retrieval  # noqa: F401
+from corpusq.plans import analytics, blocks, chunks, contexts, graphs, operations, records, retrieval  # noqa: F401
