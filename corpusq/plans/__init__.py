@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from corpusq.plans import analytics, blocks, chunks, contexts, graphs, match_ranges, operations, records, retrieval  # noqa: F401
+from corpusq.plans import analytics, blocks, chunks, contexts, contributions, graphs, match_ranges, operations, records, retrieval  # noqa: F401
