@@ -12,20 +12,18 @@ Only the packing is sequential; it is a map over documents in Arrow batches.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from corpusq.functions.vectors import cosine_distance
 from corpusq.operators.chunking import Config, breadcrumbs, merge_spans, protected_ranges, recursive_spans, runs
-from corpusq.tables import written
 
 MEDIA = "image"
 SEPARATOR = "\n\n"
@@ -112,17 +110,22 @@ def atomic_units(blocks: DataFrame) -> DataFrame:
     )
 
 
-def auto_strategies(units: DataFrame) -> DataFrame:
-    """doc_id, structural: heading where a document has one, else record, else layout, else recursive."""
+def _strategy_rank() -> Column:
     kind = F.col("kind")
-    rank = (
+    return (
         F.when(kind == "heading", 3)
         .when(kind == "record", 2)
         .when(kind.isin(*LAYOUT) | F.col("page").isNotNull() | F.col("slide").isNotNull(), 1)
         .otherwise(0)
     )
+
+
+def with_strategy(units: DataFrame) -> DataFrame:
+    """Units with ``structural``: heading where their document has one, else record,
+    else layout, else recursive."""
     names = F.array(*[F.lit(s) for s in ("recursive", "layout", "record", "heading")])
-    return units.groupBy("doc_id").agg(F.element_at(names, F.max(rank) + 1).alias("structural"))
+    best = F.max(_strategy_rank()).over(W.partitionBy("doc_id"))
+    return units.withColumn("structural", F.element_at(names, best + 1))
 
 
 def _context(*parts: Column) -> Column:
@@ -141,12 +144,11 @@ def grouped(units: DataFrame) -> DataFrame:
     title = F.coalesce("title", F.lit(""))
     heading = F.col("kind") == "heading"
     nth = F.count(F.when(heading, 1)).over(order)
-    marked = units.withColumn("nth", nth)
-    least = F.min(F.when(heading, F.col("level") - F.col("nth"))).over(order)
-    deep = marked.withColumn("depth", F.when(heading, F.col("nth") + F.least(F.lit(0), least)))
-    trail = breadcrumbs(deep.drop("level", "title").withColumnsRenamed({"depth": "level", "heading": "title"}), order="unit")
-    path = trail.select("doc_id", "unit", F.col("path").alias("trail"), "nth")
-    base = units.join(path, ["doc_id", "unit"])
+    own = units.withColumnsRenamed({"level": "__level", "title": "__title"}).withColumn("nth", nth)
+    least = F.min(F.when(heading, F.col("__level") - F.col("nth"))).over(order)
+    deep = own.withColumns({"level": F.when(heading, F.col("nth") + F.least(F.lit(0), least)), "title": F.col("heading")})
+    trail = breadcrumbs(deep, order="unit").withColumnRenamed("path", "trail").drop("level", "title")
+    base = trail.withColumnsRenamed({"__level": "level", "__title": "title"})
 
     place = F.when(F.col("slide").isNotNull(), F.concat(F.lit("Slide "), F.col("slide"))).otherwise(
         F.when(F.col("page").isNotNull(), F.concat(F.lit("Page "), F.col("page"))).otherwise("")
@@ -268,23 +270,23 @@ def consolidated(text: str, units: list[Unit], far: set[int], size: int) -> list
     return kept
 
 
-def _drafted(stage: str, text: str, rows: list[dict], far: list[int] | None, config: Config, nested: bool):
+def _drafted(stage: str, text: str, rows: list[dict], marks: list[int], config: Config, nested: bool):
     """(drafts of (start, end, context, parent), issues) of a document by one strategy."""
     shielded = merge_spans(protected_ranges(text) + [(u["start_at"], u["end_at"]) for u in rows if u["kind"] in PROTECTED])
     # a chunk larger than its token limit could never pass, so pieces are no larger
-    size = min(config.parent_size if nested else config.size, 4 * config.max_tokens or 8192)
+    size = piece_size(config, nested)
     overlap = 0 if nested else min(config.overlap, size // 2)
-
-    def whole(u: dict) -> bool:
-        return u["kind"] in PROTECTED or (u["start_at"], u["end_at"]) in set(within(shielded, u["start_at"], u["end_at"]))
-
+    fenced = set(shielded)
     title = lambda u: u["title"] or ""
-    plain = [(u["start_at"], u["end_at"], u["section"], u["context"], whole(u), u["hard"]) for u in rows]
+    plain = [
+        (u["start_at"], u["end_at"], u["section"], u["context"], u["kind"] in PROTECTED or (u["start_at"], u["end_at"]) in fenced, u["hard"])
+        for u in rows
+    ]
     if stage == "recursive":
         drafts = unpacked(text, [(*u[:3], title(r), *u[4:]) for u, r in zip(plain, rows)], size, overlap, shielded)
     elif stage == "semantic":
-        marks = consolidated(text, plain, set(far or ()), size)
-        by = [(*u[:2], bisect_right(marks, k), title(r), *u[4:]) for k, (u, r) in enumerate(zip(plain, rows))]
+        kept = consolidated(text, plain, set(marks), size)
+        by = [(*u[:2], bisect_right(kept, k), title(r), *u[4:]) for k, (u, r) in enumerate(zip(plain, rows))]
         drafts = packed(text, by, size, overlap, shielded)
     else:
         drafts = packed(text, plain, size, overlap, shielded)
@@ -301,6 +303,10 @@ def _drafted(stage: str, text: str, rows: list[dict], far: list[int] | None, con
     return [(a, b, c, None) for a, b, c in drafts] + children, list(dict.fromkeys(more + wrong))
 
 
+def piece_size(config: Config, nested: bool) -> int:
+    return min(config.parent_size if nested else config.size, 4 * config.max_tokens or 8192)
+
+
 def _traced(rows: list[dict], start: int, end: int, starts: list[int]) -> list[dict]:
     """The blocks under a span, each with the part of it that the span covers."""
     out: list[dict] = []
@@ -319,160 +325,176 @@ def _traced(rows: list[dict], start: int, end: int, starts: list[int]) -> list[d
     return out
 
 
-_DRAFTS = (
-    "array<struct<start_at:long,end_at:long,context:string,parent_index:int,content:string,"
-    "blocks:array<struct<block_index:{index},start_at:long,end_at:long>>>>"
-)
+# the semantic stage
 
+#: Maps texts to as many vectors; texts of several documents come in one call.
+Embed = Callable[[pd.Series], Sequence]
+#: Texts in one call of the model.
+CALL = 256
 
-def _stage(pending: DataFrame, stage: str | None, config: Config, nested: bool) -> DataFrame:
-    """doc_id, strategy, drafts, issues of the pending documents (doc_id, structural,
-    text, units, far) by one strategy, or by the structural one of each."""
-    kind, index = pending.schema["doc_id"].dataType.simpleString(), pending.schema["units"].dataType.elementType["block_index"].dataType.simpleString()
-    typed = StructType.fromDDL(f"doc_id {kind}, strategy string, drafts {_DRAFTS.format(index=index)}, issues array<string>")
-    out_schema = to_arrow_schema(typed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for at in range(batch.num_rows):  # a document at a time, so memory is that of one
-                doc_id, structural, text, rows, far = (batch.column(k)[at].as_py() for k in range(5))
-                name, starts = stage or structural, [u["start_at"] for u in rows]
-                drafts, wrong = _drafted(name, text, rows, far, config, nested)
-                cut = [
-                    {"start_at": a, "end_at": b, "context": c, "parent_index": p, "content": text[a:b], "blocks": _traced(rows, a, b, starts)}
-                    for a, b, c, p in ([] if wrong else drafts)
-                ]
-                out.append({"doc_id": doc_id, "strategy": name, "drafts": cut, "issues": wrong})
-            yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+def dimension_of(signature: str) -> int:
+    """The number behind the colon of ``model:dimension``; 0 if there is none."""
+    size = signature.rpartition(":")[2].strip()
+    return int(size) if ":" in signature and size.isdecimal() else 0
 
-    return pending.select("doc_id", "structural", "text", "units", "far").mapInArrow(run, typed)
 
+def window_texts(rows: list[dict], window: int) -> tuple[list[str], list[int]]:
+    """For each unit the texts of it and those after it, up to ``window`` of its
+    segment, and the segment's number; a segment ends where media stand."""
+    segments, n = [], 0
+    for k, u in enumerate(rows):
+        n += k > 0 and u["hard"]
+        segments.append(n)
+    texts = []
+    for k in range(len(rows)):
+        own = [rows[j]["content"] for j in range(k, min(k + window, len(rows))) if segments[j] == segments[k]]
+        texts.append("\n".join(own))
+    return texts, segments
+
+
+def called(embed: Embed, texts: list[str]) -> list:
+    """Vectors of all texts, ``CALL`` to a call; the reason in place of the vectors of
+    a call that fails, so a fault of the model is one of its documents, not of the job."""
+    out: list = []
+    for k in range(0, len(texts), CALL):
+        part = texts[k : k + CALL]
+        try:
+            made: list = list(embed(pd.Series(part)))
+            out += made if len(made) == len(part) else ["invalid_vector_count"] * len(part)
+        except TimeoutError:
+            out += ["embedding_timeout"] * len(part)
+        except Exception:
+            out += ["embedding_error"] * len(part)
+    return out
 
-# the semantic stage
 
-Embed = Callable[[pd.Series], pd.Series]
+def fault_of(vector: object, dimension: int) -> str | None:
+    if isinstance(vector, str):
+        return vector
+    try:
+        values = np.asarray(vector, dtype=float)
+    except (TypeError, ValueError):
+        return "invalid_vector_dimension"
+    if values.shape != (dimension,):
+        return "invalid_vector_dimension"
+    if not np.isfinite(values).all():
+        return "invalid_vector_non_finite"
+    return None if values.any() else "invalid_vector_zero_norm"
+
+
+def far_units(vectors: list, segments: list[int], percentile: float) -> list[int]:
+    """Units whose window is as far from the one before, in their segment, as the
+    percentile of the document's distances."""
+    m = np.array([np.asarray(v, dtype=float) for v in vectors])
+    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+    distances = 1 - np.clip((m[1:] * m[:-1]).sum(axis=1), -1, 1)
+    same = np.flatnonzero(np.array(segments[1:]) == np.array(segments[:-1]))
+    if not len(same):
+        return []
+    return (same[distances[same] >= np.percentile(distances[same], percentile)] + 1).tolist()
 
 
-def _windows(units: DataFrame, window: int) -> DataFrame:
-    """doc_id, unit, segment and the texts of a unit and those after it, up to
-    ``window`` of a segment; a segment ends where media stand."""
-    segment = F.sum(F.when(F.col("hard"), 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("unit"))
-    ahead = W.partitionBy("doc_id", "segment").orderBy("unit").rowsBetween(0, window - 1)
-    texts = F.array_join(F.collect_list("content").over(ahead), "\n").alias("window_text")
-    return units.withColumn("segment", segment).select("doc_id", "unit", "segment", texts)
+_DRAFTS = (
+    "array<struct<start_at:long,end_at:long,context:string,parent_index:int,content:string,"
+    "blocks:array<struct<block_index:{index},start_at:long,end_at:long>>>>"
+)
+#: Windows of documents that are embedded together.
+AT_ONCE = 4 * CALL
 
 
-def dimension_of(signature: str) -> int:
-    """The number behind the colon of ``model:dimension``; 0 if there is none."""
-    size = signature.rpartition(":")[2].strip()
-    return int(size) if ":" in signature and size.isdecimal() else 0
+def _planned(
+    ready: DataFrame, config: Config, nested: bool, problem: str | None, embed: Embed | None, dimension: int,
+    window: int, percentile: float, requested: str, content: bool,
+) -> DataFrame:
+    """doc_id, strategy, reasons, drafts: every document through its stages, each
+    only where the one before gave up."""
+    kind, index = ready.schema["doc_id"].dataType.simpleString(), ready.schema["units"].dataType.elementType["block_index"].dataType.simpleString()
+    typed = StructType.fromDDL(f"doc_id {kind}, strategy string, reasons array<struct<strategy:string,reason:string>>, drafts {_DRAFTS.format(index=index)}")
+    out_schema = to_arrow_schema(typed)
 
+    def planned(doc_id: object, structural: str, rows: list[dict], vectors: list | None, segments: list[int] | None) -> dict:
+        text, at = [], 0
+        for u in rows:
+            text += [SEPARATOR] * (u["start_at"] > at) + [u["content"]]
+            at = u["end_at"]
+        text = "".join(text)
+        reasons, marks, stages = [], [], []
+        if requested == "semantic":
+            fault = problem or next((f for f in (fault_of(v, dimension) for v in vectors or []) if f), None)
+            if fault:
+                reasons.append({"strategy": "semantic", "reason": fault})
+            else:
+                marks = far_units(vectors, segments, percentile)
+                stages.append("semantic")
+        stages += [structural] if structural == "recursive" else [structural, "recursive"]
+        starts = [u["start_at"] for u in rows]
+        for stage in stages:
+            drafts, wrong = _drafted(stage, text, rows, marks, config, nested)
+            if not wrong:
+                cut = [
+                    {"start_at": a, "end_at": b, "context": c, "parent_index": p, "content": text[a:b] if content else None, "blocks": _traced(rows, a, b, starts)}
+                    for a, b, c, p in drafts
+                ]
+                return {"doc_id": doc_id, "strategy": stage, "reasons": reasons, "drafts": cut}
+            reasons.append({"strategy": stage, "reason": ";".join(wrong)})
+        return {"doc_id": doc_id, "strategy": None, "reasons": reasons, "drafts": []}
+
+    def together(docs: list[tuple]) -> list[dict]:
+        """Some documents, embedded in common calls."""
+        if requested != "semantic" or problem:
+            return [planned(*d, None, None) for d in docs]
+        made = [window_texts(d[2], window) for d in docs]
+        vectors, at, out = called(embed, [t for texts, _ in made for t in texts]), 0, []
+        for d, (texts, segments) in zip(docs, made):
+            out.append(planned(*d, vectors[at : at + len(texts)], segments))
+            at += len(texts)
+        return out
 
-def far_units(windows: DataFrame, embed: Embed, dimension: int, percentile: float) -> DataFrame:
-    """doc_id, far (units whose window is far from the one before, an array) and
-    reason (null if all went well).  ``embed`` maps a batch of texts to vectors.  A
-    batch that it fails on gives up the documents with a window in it, a vector of
-    another dimension, with an entry that is not finite or all zero its document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = [], 0
+            for at in range(batch.num_rows):  # some documents at a time, so memory is that of the largest
+                held.append(tuple(batch.column(k)[at].as_py() for k in range(3)))
+                n += len(held[-1][2])
+                if n >= AT_ONCE or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_pylist(together(held), schema=out_schema)
+                    held, n = [], 0
 
-    @pandas_udf("struct<vector:array<double>,error:string>")
-    def guarded(texts: pd.Series) -> pd.DataFrame:
-        error = None
-        try:
-            vectors = list(embed(texts))
-            error = None if len(vectors) == len(texts) else "invalid_vector_count"
-        except TimeoutError:
-            error = "embedding_timeout"
-        except Exception:  # a fault of the model is a reason of its documents, not of the job
-            error = "embedding_error"
-        n = len(texts)
-        return pd.DataFrame({"vector": [None] * n if error else vectors, "error": [error] * n})
-
-    made = windows.select("doc_id", "unit", "segment", guarded("window_text").alias("e"))
-    vector = F.col("e.vector")
-    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-    fault = (
-        F.when(F.col("e.error").isNotNull(), F.col("e.error"))
-        .when(F.coalesce(F.size(vector), F.lit(-1)) != dimension, "invalid_vector_dimension")
-        .when(~finite, "invalid_vector_non_finite")
-        .when(~F.exists(vector, lambda x: x != 0), "invalid_vector_zero_norm")
-    )
-    made = written(made.select("doc_id", "unit", "segment", vector.alias("vector"), fault.alias("fault")), "windows")
-    first = F.min(F.when(F.col("fault").isNotNull(), F.struct("unit", "fault")))
-    states = made.groupBy("doc_id").agg(first["fault"].alias("reason"))
-    good = made.join(states.where("reason is null").select("doc_id"), "doc_id", "left_semi")
-    order = W.partitionBy("doc_id", "segment").orderBy("unit")
-    distances = good.select("doc_id", "unit", cosine_distance(F.lag("vector").over(order), F.col("vector")).alias("distance"), F.row_number().over(order).alias("k"))
-    distances = distances.where("k > 1")
-    limits = distances.groupBy("doc_id").agg(F.percentile("distance", percentile / 100).alias("least"))
-    far = distances.join(limits, "doc_id").where("distance >= least").groupBy("doc_id").agg(F.sort_array(F.collect_list("unit")).alias("far"))
-    return states.join(far, "doc_id", "left").select("doc_id", F.coalesce("far", F.array().cast("array<int>")).alias("far"), "reason")
+    return ready.select("doc_id", "structural", "units").mapInArrow(run, typed)
 
 
 def chunk_plan(
-    blocks: DataFrame, config: Config = Config(), requested: str = "auto", nested: bool = False,
-    embed: Embed | None = None, signature: str = "", window: int = 3, percentile: float = 90.0,
+    blocks: DataFrame, config: Config = Config(), requested: str = "auto", nested: bool = False, embed: Embed | None = None,
+    signature: str = "", window: int = 3, percentile: float = 90.0, content: bool = True,
 ) -> DataFrame:
     """doc_id, strategy, reasons, chunk_index, chunk_type, parent_index, start_at,
     end_at, context, content, blocks: the chunks of every document by the first
     strategy whose chunks have no issues.
 
     The strategies are, in turn: ``semantic`` if that is requested, the requested or
-    the document's structural one, and ``recursive``.  Each stage is given only the
-    documents that the one before gave up, and ``reasons`` (strategy, reason) says
-    why.  A document that all give up has one row without a strategy.  A document
-    without text has no source and no row."""
+    the document's structural one, and ``recursive``.  A document goes on to a stage
+    only if the one before gave it up, and ``reasons`` (strategy, reason) says why.
+    One that all give up has one row without a strategy; one without text has no
+    source and no row.  ``content`` may be left out, as offsets say where it stands
+    in ``sources``.
+
+    Blocks meet once, by document; units, groups and the stages follow in that place,
+    so texts are shuffled once whatever the stages."""
     if requested not in ("auto", "semantic", *STRATEGIES):
         raise ValueError(f"there is no strategy {requested}")
-    units = atomic_units(blocks)
-    chosen = auto_strategies(units)
+    units = with_strategy(atomic_units(blocks))
     if requested not in ("auto", "semantic"):
-        chosen = chosen.withColumn("structural", F.lit(requested))
-    labelled = grouped(units.drop("content").join(chosen, "doc_id"))
-    fields = ("unit", "start_at", "end_at", "block_index", "block_start", "kind", "hard", "title", "section", "context")
-    lists = labelled.groupBy("doc_id", "structural").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("units"))
-    ready = written(lists.join(sources(blocks), "doc_id"), "plan")
-    none = F.array().cast("array<struct<strategy:string,reason:string>>")
-    left = ready.select("doc_id", "structural", none.alias("reasons"))
-    no_marks = F.array().cast("array<int>")
-    accepted: list[DataFrame] = []
-
-    def given_up(rows: DataFrame, strategy: Column, reason: Column) -> DataFrame:
-        step = F.array(F.struct(strategy.alias("strategy"), reason.alias("reason")))
-        return rows.select("doc_id", "structural", F.concat("reasons", step).alias("reasons"))
-
-    def attempt(waiting: DataFrame, stage: str | None, marks: DataFrame | None = None) -> DataFrame:
-        """Accept what has no issues; the rest, written, with its reasons."""
-        pending = ready.join(waiting.select("doc_id"), "doc_id", "left_semi")
-        pending = pending.withColumn("far", no_marks) if marks is None else pending.join(marks.select("doc_id", "far"), "doc_id")
-        result = written(_stage(pending, stage, config, nested).join(waiting, "doc_id"), f"stage-{stage or 'structural'}")
-        accepted.append(result.where(F.size("issues") == 0).select("doc_id", "strategy", "reasons", "drafts"))
-        return given_up(result.where(F.size("issues") > 0), F.col("strategy"), F.array_join("issues", ";"))
-
-    if requested == "semantic":
-        dimension = dimension_of(signature)
-        problem = (
-            "missing_embedding_callable" if embed is None
-            else "missing_model_signature" if not signature.strip()
-            else "" if dimension else "invalid_model_signature_dimension"
-        )
-        if problem:
-            left = given_up(left, F.lit("semantic"), F.lit(problem))
-        else:
-            marks = written(far_units(_windows(units, window), embed, dimension, percentile), "marks")
-            failed = given_up(left.join(marks.where("reason is not null"), "doc_id"), F.lit("semantic"), F.col("reason"))
-            rest = attempt(left.join(marks.where("reason is null").select("doc_id"), "doc_id", "left_semi"), "semantic", marks.where("reason is null"))
-            left = failed.unionByName(rest)
-    left = attempt(left, None)
-    hopeless = left.where("structural = 'recursive'")
-    left = attempt(left.where("structural <> 'recursive'"), "recursive").unionByName(hopeless)
-
-    chunks = accepted[0]
-    for more in accepted[1:]:
-        chunks = chunks.unionByName(more)
-    shape = chunks.schema["drafts"].dataType.simpleString()
-    empty = left.select("doc_id", F.lit(None).cast("string").alias("strategy"), "reasons", F.lit(None).cast(shape).alias("drafts"))
-    out = chunks.unionByName(empty).select("doc_id", "strategy", "reasons", F.posexplode_outer("drafts").alias("chunk_index", "c"))
+        units = units.withColumn("structural", F.lit(requested))
+    fields = ("unit", "start_at", "end_at", "block_index", "block_start", "kind", "hard", "title", "section", "context", "content")
+    ready = grouped(units).groupBy("doc_id", "structural").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("units"))
+    dimension = dimension_of(signature)
+    problem = (
+        "missing_embedding_callable" if embed is None
+        else "missing_model_signature" if not signature.strip()
+        else None if dimension else "invalid_model_signature_dimension"
+    )
+    chunks = _planned(ready, config, nested, problem, embed, dimension, window, percentile, requested, content)
+    out = chunks.select("doc_id", "strategy", "reasons", F.posexplode_outer("drafts").alias("chunk_index", "c"))
     kind = F.when(F.col("c").isNotNull(), F.when(F.lit(nested) & F.col("c.parent_index").isNull(), "parent_text").otherwise("text"))
     return out.select("doc_id", "strategy", "reasons", "chunk_index", kind.alias("chunk_type"), "c.parent_index", "c.start_at", "c.end_at", "c.context", "c.content", "c.blocks")
-

@@ -78,8 +78,7 @@ def document_blocks(spark, sf_dir):
 def block_units(spark, sf_dir):
     """Units of whole documents with their place in source and block, the document's
     strategy, and the group and header that it gives each unit."""
-    units = B.atomic_units(document_blocks(spark, sf_dir))
-    grouped = B.grouped(units.join(B.auto_strategies(units.drop("content")), "doc_id"))
+    grouped = B.grouped(B.with_strategy(B.atomic_units(document_blocks(spark, sf_dir))))
     return grouped.select(
         "doc_id", "unit", "start_at", "end_at", "block_index", "block_start", "kind", "level", "hard", "structural", "section", "context",
         F.md5("content").alias("content_md5"),
@@ -104,11 +103,11 @@ def chunk_plan(spark, sf_dir):
     """Chunks of whole documents by the first of semantic, structural and recursive
     cuts that has no issues, with the reasons of those before; each chunk's blocks."""
     small = Config(size=400, overlap=40)
-    out = B.chunk_plan(document_blocks(spark, sf_dir), small, "semantic", embed=word_vectors, signature="words:16")
-    return out.drop("content")
+    plan = B.chunk_plan(document_blocks(spark, sf_dir), small, "semantic", embed=word_vectors, signature="words:16", content=False)
+    return plan.drop("content")
 
 
 @query("chunk_plan_nested")
 def chunk_plan_nested(spark, sf_dir):
     """Parents by each document's structural strategy and children inside them."""
-    return B.chunk_plan(document_blocks(spark, sf_dir), Config(), "auto", nested=True).drop("content")
+    return B.chunk_plan(document_blocks(spark, sf_dir), Config(), "auto", nested=True, content=False).drop("content")

@@ -227,7 +227,7 @@ def test_each_stage_takes_what_the_one_before_gave_up(spark):
     def plan(**more):
         got = {}
         settings = {"embed": embed, "signature": "m:2"} | more
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a document to a call
         try:
             for c in B.chunk_plan(df, Config(size=512, overlap=0, max_tokens=200), "semantic", **settings).collect():
                 got.setdefault(c.doc_id, (c.strategy, [tuple(r) for r in c.reasons], c.chunk_index))
