@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from corpusq.functions.text import candidate_names
-from corpusq.tables import positions, written
+from corpusq.tables import written
 
 BATCH = 5
 #: Calls for a batch until one gives a list.
@@ -31,10 +32,11 @@ _RESULT = "struct<found:array<struct<place:int,name:string,attributes:array<stri
 
 def batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
     """doc_id, batch, members (place, chunk_index, content): a row for each ``size``
-    chunks of a document, in the order of the chunks."""
-    placed = positions(chunks.select("doc_id", "chunk_index", "content"), "doc_id", "chunk_index")
-    nth = F.col("position") - 1
-    numbered = placed.withColumn("batch", F.floor(nth / size)).withColumn("place", F.pmod(nth, F.lit(size)).cast("int"))
+    chunks of a document, in the order of the chunks.  The chunks of a document meet
+    once; their numbers and their batches are made in that place."""
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_index")) - 1
+    placed = chunks.select("doc_id", "chunk_index", "content").withColumn("nth", nth)
+    numbered = placed.withColumn("batch", F.floor(F.col("nth") / size)).withColumn("place", F.pmod("nth", F.lit(size)))
     member = F.struct("place", "chunk_index", "content")
     return numbered.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(member)).alias("members"))
 
@@ -67,8 +69,8 @@ def attributed(items: list, places: dict[str, int]) -> list[dict]:
 
 
 def extract(chunks: DataFrame, extractor: Extractor, size: int = BATCH, tries: int = TRIES) -> DataFrame:
-    """doc_id, batch, members, found, calls, error: one row per batch, written, so a
-    rerun of what follows calls nothing again.  ``error`` says why a batch has no
+    """doc_id, batch, chunk_indexes, found, calls, error: one row per batch, written,
+    so a rerun of what follows calls nothing again.  ``error`` says why a batch has no
     result (the fault's type and text, or ``no_list``); then ``found`` is empty."""
 
     @pandas_udf(_RESULT)
@@ -89,20 +91,21 @@ def extract(chunks: DataFrame, extractor: Extractor, size: int = BATCH, tries: i
         return pd.DataFrame(out, columns=["found", "calls", "error"])
 
     grouped = batches(chunks, size)
-    called = grouped.withColumn("r", call(F.transform("members", lambda m: m["content"])))
-    return written(called.select("doc_id", "batch", "members", "r.found", "r.calls", "r.error"), "extracted")
+    indexes = F.transform("members", lambda m: m["chunk_index"]).alias("chunk_indexes")
+    called = grouped.select("doc_id", "batch", indexes, call(F.transform("members", lambda m: m["content"])).alias("r"))
+    return written(called.select("doc_id", "batch", "chunk_indexes", "r.found", "r.calls", "r.error"), "extracted")
 
 
 def entities(extracted: DataFrame) -> DataFrame:
     """doc_id, chunk_index, name, attributes of every chunk's entities."""
-    hits = extracted.select("doc_id", "members", F.explode("found").alias("f"))
-    chunk = F.element_at("members", F.col("f.place") + 1)["chunk_index"]
+    hits = extracted.select("doc_id", "chunk_indexes", F.explode("found").alias("f"))
+    chunk = F.element_at("chunk_indexes", F.col("f.place") + 1)
     return hits.select("doc_id", chunk.alias("chunk_index"), "f.name", "f.attributes")
 
 
 def failures(extracted: DataFrame) -> DataFrame:
     """doc_id, batch, n_chunks, calls, error of the batches that failed."""
-    return extracted.where("error is not null").select("doc_id", "batch", F.size("members").alias("n_chunks"), "calls", "error")
+    return extracted.where("error is not null").select("doc_id", "batch", F.size("chunk_indexes").alias("n_chunks"), "calls", "error")
 
 
 def plain_entities(chunks: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def test_a_hundred_and_seven_chunks_take_twenty_two_calls(spark):
     out = X.extract(_chunks(spark, {1: 107}), _words)
     assert out.count() == 22 and out.agg(F.sum("calls")).first()[0] == 22
     assert X.failures(out).count() == 0
-    sizes = sorted(r[0] for r in out.select(F.size("members")).collect())
+    sizes = sorted(r[0] for r in out.select(F.size("chunk_indexes")).collect())
     assert sizes == [2] + [5] * 21
     found = {(r.chunk_index, r.name) for r in X.entities(out).collect()}
     assert {i for i, n in found if n == "Shared"} == {2 * i for i in range(107) if i % 2}
