@@ -25,18 +25,20 @@ ones, and in each round as many clean words that the model takes for worst),
 ``INSERTED_WORDS`` of the positive ones again with letters put in, and
 ``LANDMARKS`` landmarks.  They bound the fit, not what is scored.
 
-The fit takes a bounded sample of labelled rows: ``SAMPLE`` of each label in order
-of a hash of doc_id and, along that order, as many whole documents as have half
-of ``SAMPLE_CHARS`` characters together; only these leave the executors.  All
-documents are scored whole.
+The fit takes a bounded sample of labelled rows: ``SAMPLE`` documents of each label
+in order of a hash of doc_id and, along that order, the whole ones that together
+keep within half of ``SAMPLE_CHARS`` characters and of ``SAMPLE_ROWS`` rows; only
+these leave the executors.  A document that does not fit is passed over, and where
+none of a label fits its shortest is taken, so no label is lost.  All documents are
+scored whole.
 
 * null text counts as empty; texts without words score as the lowest margin; very
   long texts score by their worst words like others;
 * of words equal in number those first in order of their letters count as more
   frequent, so reruns agree;
 * labels that are null are left out; a document with several labels has the
-  largest; a row that repeats a labelled doc_id trains too; a null doc_id never
-  trains, is not held out;
+  largest; rows of a labelled doc_id with different texts all train, equal rows
+  train once; a null doc_id never trains, is not held out;
 * with labels of one class only, or none, every score is that class (or 0.0);
 * an empty table gives an empty result; further columns are ignored.
 """
@@ -57,6 +59,8 @@ from .tokens import as_bytes, chunks
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 6_000
 SAMPLE_CHARS = 24_000_000
+#: Rows of the sample: documents count as one each unless ids repeat.
+SAMPLE_ROWS = 48_000
 LANDMARKS = 300
 MOST_WORDS = 1_500
 INSERTED_WORDS, INSERTIONS = 100, 6
@@ -373,20 +377,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[lis
         once.where("y = 1").orderBy(turn, "doc_id").limit(SAMPLE)
     )
     sample = F.broadcast(cut(ids, "toxicity-ids"))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
-    sizes = rows.groupBy("y", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").distinct()
+    figures = rows.groupBy("y", "doc_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n"), F.count(F.lit(1)).alias("k"))
     # a narrow row for each sampled document, 2 * SAMPLE at most, says how long it is
-    fits, used = [], [0, 0]
-    for r in sizes.orderBy(turn, "doc_id").toLocalIterator():
-        used[r.y] += r.n
-        if used[r.y] <= SAMPLE_CHARS // 2:
-            fits.append((r.doc_id, r.y))
-    fits = docs.sparkSession.createDataFrame(fits, ids.schema)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").orderBy(turn, "doc_id", F.md5("text"))
+    sizes = [(r.doc_id, r.y, r.n, r.k) for r in figures.orderBy(turn, "doc_id").toLocalIterator()]
+    fits = docs.sparkSession.createDataFrame(fitting(sizes, SAMPLE_CHARS // 2, SAMPLE_ROWS // 2), ids.schema)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id").distinct().orderBy(turn, "doc_id", F.md5("text"))
     found = [(r.text, r.y) for r in chosen.select("text", "y").toLocalIterator()]
     return [t for t, _ in found], [y for _, y in found]
 
 
+def fitting(sizes: list[tuple], most_chars: int, most_rows: int) -> list[tuple]:
+    """(doc_id, y) of the documents (doc_id, y, characters, rows) of each label that
+    stay within both bounds together, in order; one that does not fit is passed
+    over.  Where none of a label fits its shortest is taken, so no label is lost."""
+    out = []
+    for label in (0, 1):
+        own = [s for s in sizes if s[1] == label]
+        chars = rows = 0
+        fits = []
+        for doc_id, y, n, k in own:
+            if chars + n <= most_chars and rows + k <= most_rows:
+                chars, rows = chars + n, rows + k
+                fits.append((doc_id, y))
+        out += fits or [s[:2] for s in sorted(own, key=lambda s: (s[2], s[3]))[:1]]
+    return out
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted per row."""
     model = fit(*training_sample(docs, labels, label))
