@@ -25,6 +25,7 @@ bigrams as a match needs, anywhere.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -180,24 +181,55 @@ class Licences:
                         best = max(best, (2 * common / (len(seen) + size), -j))
                 if best[0] >= self.threshold:
                     scored.append((-best[0], i, 2 - best[1]))
-            taken: list[tuple[int, int]] = []
+            taken = Taken(covered)
             for score, begin, end in sorted(scored):
-                if all(end <= b or e <= begin for b, e in taken + covered):
-                    taken.append((begin, end))
+                if taken.add(begin, end):
                     chosen.append((t, -score, begin, end))
-        whole = [
-            (-score, begin - end, t, begin, end)
-            for t, score, begin, end in chosen
-            if not any(b <= begin and end <= e and e - b > 1.5 * (end - begin) for _, _, b, e in chosen)
-        ]
-        out, taken = [], []
+        # windows of a template are apart, so one that holds another begins last before it
+        by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for t, _, begin, end in chosen:
+            by_template[t].append((begin, end))
+        for own in by_template.values():
+            own.sort()
+
+        def inside_longer(begin: int, end: int) -> bool:
+            for own in by_template.values():
+                at = bisect_right(own, (begin, len(grams) + 2)) - 1
+                if at >= 0 and end <= own[at][1] and own[at][1] - own[at][0] > 1.5 * (end - begin):
+                    return True
+            return False
+
+        whole = [(-score, begin - end, t, begin, end) for t, score, begin, end in chosen if not inside_longer(begin, end)]
+        out, taken = [], Taken([])
         for minus, _, t, begin, end in sorted(whole):
-            if all(end <= b or e <= begin for b, e in taken):
-                taken.append((begin, end))
+            if taken.add(begin, end):
                 out.append((self.templates[t][0], -minus))
         return out
 
 
+class Taken:
+    """Ranges that are apart, sorted; those given at the start may overlap."""
+
+    def __init__(self, ranges: list[tuple[int, int]]):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for begin, end in sorted(ranges):
+            if self.ends and begin < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            elif begin < end:
+                self.begins.append(begin)
+                self.ends.append(end)
+
+    def add(self, begin: int, end: int) -> bool:
+        """Take a range that meets none that is taken; else false."""
+        at = bisect_right(self.ends, begin)  # the first that ends behind the new one's begin
+        if at < len(self.begins) and self.begins[at] < end:
+            return False
+        self.begins.insert(at, begin)
+        self.ends.insert(at, end)
+        return True
+
+
 def find_licences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (best, or null), dice (its score, 0 if none), licenses
     (all, sorted by name, comma-joined), n_segments (matches of all, segments and

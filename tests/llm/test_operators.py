@@ -595,3 +595,46 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(found) == best[-1][-1]
     it = iter(b)
     assert all(a[i] in it for i in found)
+
+
+def test_toxicity_sample_keeps_both_labels(spark, monkeypatch):
+    """A very long document, one that repeats its id and one that repeats its row shut none out."""
+    ids = [i for i in range(400) if crc32(str(i).encode()) % 5 != 0][:40]
+    rows = [(i, f"text {i}") for i in ids]
+    labels = _frame(spark, [(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    plain = toxicity.training_sample(_frame(spark, rows), labels, "toxic")
+    assert sum(plain[1]) == 20
+    long = {i: "word " * 3_000_000 for i in ids[1::2][:3]}  # toxic, each longer than the label's share
+    mended = [(i, long.get(i, t)) for i, t in rows]
+    mended += [(ids[0], f"again {k}") for k in range(300)] + [(ids[2], None)] * 500 + [(ids[4], "")] * 500
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 200)
+    texts, ys = toxicity.training_sample(_frame(spark, mended), labels, "toxic")
+    assert sum(ys) == 17 and len(ys) - sum(ys) == 19 + 2  # without ids[0]; two with a second text
+    only = [(i, "word " * (40 + i)) for i in ids]
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 100)
+    texts, ys = toxicity.training_sample(_frame(spark, only), labels, "toxic")
+    assert sorted(ys) == [0, 1]  # the shortest of each
+
+
+def _plain_ranges(ranges, wanted):
+    taken, out = list(ranges), []
+    for b, e in wanted:
+        out.append(all(e <= x or y <= b for x, y in taken))
+        if out[-1]:
+            taken.append((b, e))
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_ranges_that_are_taken(given_ranges, wanted):
+    one, two = ([(b, b + n) for b, n in r] for r in (given_ranges, wanted))
+    taken = licenses.Taken(one)
+    assert [taken.add(b, e) for b, e in two] == _plain_ranges(one, two)
+
+
+def test_many_notices_in_one_text():
+    """The work grows with the text: as many notices are counted as stand there."""
+    notice = next(t for name, t in licenses.TEMPLATES if name == "MIT")
+    found = licenses.Licences(licenses.TEMPLATES, licenses.THRESHOLD).best_of([("so and so " + notice + " and more ") * 5000])
+    assert [(name, n) for name, _, n in found[0]][:1] == [("MIT", 5000)]
