@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusq.functions.text import candidate_names, view_slug
 from corpusq.operators.catalog import contains
@@ -42,14 +47,36 @@ def retractions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def citations(names: DataFrame, chunks: DataFrame, most: int = 6) -> DataFrame:
     """(doc_id, name, chunk_index): first chunks of the document that hold the
-    name, or its first chunk where none does."""
-    joined = names.join(chunks, "doc_id")
-    held = F.col("content").contains(F.col("name"))
-    places = joined.groupBy("doc_id", "name").agg(
-        F.array_sort(F.collect_list(F.when(held, F.col("chunk_index")))).alias("held"), F.min("chunk_index").alias("first")
-    )
-    chosen = F.when(F.size("held") > 0, F.slice("held", 1, most)).otherwise(F.array("first"))
-    return places.select("doc_id", "name", F.explode(chosen).alias("chunk_index"))
+    name, or its first chunk where none does.  Names and chunks of a document meet in
+    one row; all names are looked for in one pass over each chunk.  A null name is
+    none; a document without chunks, and an empty name, cite nothing."""
+    member = F.struct("chunk_index", F.coalesce("content", F.lit("")).alias("content"))
+    lists = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(member)).alias("chunks"))
+    wanted = names.where(F.length("name") > 0).groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    kind, index = (chunks.schema[c].dataType.simpleString() for c in ("doc_id", "chunk_index"))
+    typed = StructType.fromDDL(f"doc_id {kind}, name string, chunk_index {index}")
+    out_schema = to_arrow_schema(typed)
+
+    def cited(own: list[str], rows: list[dict]) -> list[tuple[str, int]]:
+        machine = ahocorasick.Automaton()
+        for name in own:
+            machine.add_word(name, name)
+        machine.make_automaton()
+        places: dict[str, list[int]] = {name: [] for name in own}
+        for row in rows:
+            for name in {name for _, name in machine.iter(row["content"])}:
+                if len(places[name]) < most:
+                    places[name].append(row["chunk_index"])
+        return [(name, at) for name, held in places.items() for at in held or [rows[0]["chunk_index"]]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a document at a time, so memory is that of one
+                doc_id, own, rows = (batch.column(c)[k].as_py() for c in range(3))
+                found = [{"doc_id": doc_id, "name": name, "chunk_index": at} for name, at in cited(own, rows)]
+                yield pa.RecordBatch.from_pylist(found, schema=out_schema)
+
+    return wanted.join(lists, "doc_id").select("doc_id", "names", "chunks").mapInArrow(run, typed)
 
 
 def visible(pages: DataFrame) -> DataFrame:

@@ -236,13 +236,13 @@ def like_fallback(spark, sf_dir):
     "string_functions",
     r"""SELECT doc_id, tokens_context, coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(lower(trim(s)), '\s+', '-', 'g'), '[^0-9a-zA-Z\x{4e00}-\x{9fff}/_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 160), ''), 'page') AS slug,
       regexp_full_match(lower(h), '[0-9a-f]{64}') AS is_hash, list_sort(regexp_extract_all(s, '\[\[([^\]|]+)', 1)) AS links
-    FROM (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE lang END) AS h, coalesce(substr(text, 1, 40), '') || ' [[a' || doc_id || ']] [[b|c]]' AS s,
+    FROM (SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE lang END) AS h, coalesce(text, '') || ' [[a' || doc_id || ']] [[b|c]]' AS s,
       floor(length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}]', '', 'g')) / 1.5 + length(regexp_replace(text, '[\x{4E00}-\x{9FFF}]', '', 'g')) / 4.0)::BIGINT AS tokens_context FROM documents)""",
 )
 def string_functions(spark, sf_dir):
     """Slugs, hashes, links and context tokens of strings made from the documents."""
     d = model.read(spark, sf_dir, "documents")
-    s = F.concat(F.coalesce(F.substring("text", 1, 40), F.lit("")), F.lit(" [[a"), F.col("doc_id").cast("string"), F.lit("]] [[b|c]]"))
+    s = F.concat(F.coalesce("text", F.lit("")), F.lit(" [[a"), F.col("doc_id").cast("string"), F.lit("]] [[b|c]]"))
     h = F.when(F.col("doc_id") % 3 == 0, F.sha2("text", 256)).otherwise(F.col("lang"))
     rows = d.select("doc_id", "text", s.alias("s"), h.alias("h"))
     return rows.select(
@@ -400,14 +400,14 @@ def semantic_segments(spark, sf_dir):
 @query(
     "wiki_citations",
     f"""WITH {SQL_CHUNKS}, names AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {NAMES}, 1))) AS name FROM documents),
-    j AS (SELECT n.doc_id, name, chunk_index, contains(content, name) AS held FROM names n JOIN c USING (doc_id) WHERE length(name) >= 10),
+    j AS (SELECT n.doc_id, name, chunk_index, contains(content, name) AS held FROM names n JOIN c USING (doc_id)),
     a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name, held ORDER BY chunk_index) AS k, bool_or(held) OVER (PARTITION BY doc_id, name) AS any_held FROM j)
     SELECT doc_id, name, chunk_index FROM a WHERE (any_held AND held AND k <= 6) OR (NOT any_held AND k = 1)""",
 )
 def wiki_citations(spark, sf_dir):
     """The first six chunks of a document that hold a name, or its first chunk."""
     docs = model.read(spark, sf_dir, "documents")
-    names = docs.select("doc_id", F.explode(T.candidate_names(F.col("text"))).alias("name")).where(F.length("name") >= 10)
+    names = docs.select("doc_id", F.explode(T.candidate_names(F.col("text"))).alias("name"))
     return wiki.citations(names, _chunks(spark, sf_dir).select("doc_id", "chunk_index", "content"))
 
 
