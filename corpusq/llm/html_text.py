@@ -15,6 +15,11 @@ compared with it, and copies of a neighbour count once.
   Elsewhere they are the lines outside menus, forms and the like, without those
   that the neighbour with the longest common path shares; a neighbour that
   shares most of the page is passed over for the next.
+* What is furniture is told by elements, roles and names.  A name counts where all
+  its words do (``comment-list``, not ``comments-on-policy``); in an article only names
+  of containers do, and no id of a section or heading.  Headings and
+  paragraphs in the header of an article are part of it.  An article in a container named like furniture is the text
+  where the page has no other.
 
 The order is by range, not by group: a host of any size spreads over many
 tasks, and a task holds a few pages at a time.  Pages at the edges of the ranges
@@ -25,7 +30,8 @@ text of a page does not depend on where the ranges are cut.
   host "" and path "";
 * repeated rows are separate pages and, being copies, do not delete each other's
   lines; pages of one url stand in order of page_id, then of a hash of the html;
-* very long pages are read whole; unclosed and stray tags are read as browsers
+* very long pages are read whole, tags in linear time; lines that repeat are aligned
+  a machine word at a time; unclosed and stray tags are read as browsers
   roughly do;
 * an empty table gives an empty result; further columns are ignored.
 """
@@ -37,6 +43,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 from os.path import commonprefix
 from typing import NamedTuple
 
@@ -52,9 +59,8 @@ from pyspark.sql.types import StructType
 from .shared import cut
 from .tokens import as_bytes
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.DOTALL
-)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^\"'<>]*+>)?|[!?])")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Element names by their role, and the words that name page furniture.
@@ -73,10 +79,21 @@ NAMES = frozenset(
     "subscribe subscription popup modal overlay share sharing social related recommended recommendations comment "
     "comments disqus reply replies respond widget widgets toolbar pagination pager alert".split()
 )
+# Words that leave a name what it is: a "comment-list" is comments, "comments-on-policy" is not.
+NEUTRAL = frozenset(
+    "site page main global top bottom left right upper lower inner outer primary secondary sticky fixed slot unit box "
+    "bar block area section container wrapper wrap content body panel group list item items row col column entry form "
+    "button buttons icon icons link links text title label thread user reader article articles post posts story "
+    "stories news signup in on js".split()
+)
+CONTAINERS = frozenset("div section ul ol dl table details center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p blockquote".split())
 
 #: Neighbours on either side that a page is compared with.
 REACH = 3
+#: Bits that are worked on at once, against one meeting of two lines.
+WORD = 64
 #: Neighbours that share a line of the frame, at least.
 LEAST = 3
 #: Pages around edges that are settled together.
@@ -90,6 +107,7 @@ class Line(NamedTuple):
     text: str
     article: bool
     furniture: bool
+    wrapped: bool = False  # in an article that stands in a container named like furniture
 
 
 class Page(NamedTuple):
@@ -100,26 +118,95 @@ class Page(NamedTuple):
     lines: list[Line]
 
 
-def _names_furniture(attributes: str) -> bool:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true":
-        return True
-    if re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes):
-        return True
-    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+def _is_named(names: str) -> bool:
+    """Whether one of the names is furniture: of its words at least one names it and
+    the others, figures aside, are neutral."""
+    for name in names.split():
         words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
-        if words and words[0] not in ("with", "has", "no", "is") and (words[0] in NAMES or words[-1] in NAMES):
+        words = [w for w in words if not re.fullmatch(r"[0-9x]+", w)]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in NEUTRAL for w in words):
             return True
     return False
 
 
+def _hidden(found: dict[str, str], attributes: str) -> bool:
+    if found.get("role", "").lower() in ROLES or found.get("aria-hidden") == "true":
+        return True
+    return bool(re.search(r"display\s*:\s*none", found.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
+
+
+def _named(name: str, found: dict[str, str], article: bool) -> bool:
+    """Whether classes and ids make an element furniture.  In an article only those of
+    containers do, and not the ids of sections, which are what links point to."""
+    if name in HEADINGS or article and name not in CONTAINERS:
+        return False
+    ids = "" if article and name == "section" else found.get("id", "")
+    return _is_named(f"{found.get('class', '')} {ids}")
+
+
+class _Tags:
+    """Tags of a page from left to right, in time linear in its length.  A quote
+    without a partner is a plain character; a tag without an end is text."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.lone = {'"': len(html), "'": len(html)}  # from here on there is no partner
+        self.dead: set[int] = set()  # places outside quotes from which no tag ends
+
+    def _end(self, at: int) -> int:
+        """Place after the ``>`` of a tag whose attributes start at ``at``, or -1."""
+        html, seen = self.html, []
+        while at <= self.last and at not in self.dead:
+            seen.append(at)
+            stop = _STOP.search(html, at)
+            if stop is None:
+                break
+            at = stop.end()
+            quote = stop[0]
+            if quote == ">":
+                return at
+            if at < self.lone[quote]:
+                partner = html.find(quote, at)
+                if partner < 0:
+                    self.lone[quote] = at
+                else:
+                    at = partner + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" or "", name, attributes); no name for comments and the like."""
+        html = self.html
+        while True:
+            tag = _OPEN.search(html, at)
+            if tag is None:
+                return None
+            if tag[0] == "<!--":
+                end = html.find("-->", tag.end())
+                return tag.start(), len(html) if end < 0 else end + 3, "", "", ""
+            if tag.start() > self.last:
+                at = tag.end()
+                continue
+            if tag[2] is None:
+                return tag.start(), html.find(">", tag.end()) + 1, "", "", ""
+            begin = tag.end(2)
+            end = tag.end() if tag[3] else self._end(begin)
+            if end > 0:
+                return tag.start(), end, tag[1], tag[2].lower(), html[begin : end - 1]
+            at = begin
+
+
 def lines_of(html: str | None) -> list[Line]:
     """The page's blocks of text in order, white space collapsed, none empty."""
     html = html or ""
+    tags = _Tags(html)
     lines: list[Line] = []
     pieces: list[str] = []
-    # (element, in the article, in furniture, in a header of an article)
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # (element, in an article, in furniture, in an article within furniture by name, furniture by name alone,
+    # in the header of an article)
+    stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
+    opened: Counter = Counter()  # elements on the stack
     at = 0
 
     def flush():
@@ -127,52 +214,63 @@ def lines_of(html: str | None) -> list[Line]:
             text = " ".join(unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                lines.append(Line(text, stack[-1][1], stack[-1][2]))
+                lines.append(Line(text, *stack[-1][1:4]))
 
     while True:
-        tag = _TAG.search(html, at)
+        tag = tags.next(at)
         if tag is None:
             pieces.append(html[at:])
             break
-        if tag.start() > at:
-            pieces.append(html[at : tag.start()])
-        at = tag.end()
-        if tag[2] is None:
+        start, end, closing, name, attributes = tag
+        if start > at:
+            pieces.append(html[at:start])
+        at = end
+        if not name:
             continue
-        name = tag[2].lower()
         if name not in INLINE:
             flush()
-        if tag[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    if name in INLINE and (stack[-1][1:] != stack[i - 1][1:]):
-                        flush()
-                    del stack[i:]
-                    break
+        if closing:
+            if opened[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                if name in INLINE and stack[-1][1:4] != stack[i - 1][1:4]:
+                    flush()
+                for entry in stack[i:]:
+                    opened[entry[0]] -= 1
+                del stack[i:]
             continue
         if name == "br":
             pieces.append(" ")
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
+            at = close.end() if close else len(html)
             continue
-        if name in VOID or tag[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        _, article, furniture, header = stack[-1]
+        _, article, furniture, wrapped, by_name, header = stack[-1]
+        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         if name in ("body", "html"):
             pass
-        elif name in MAIN:
-            furniture = furniture or _names_furniture(tag[3]) if name == "article" else furniture
-            article = article or not furniture
+        elif name in FURNITURE or name == "header" and not article or found and name != "main" and _hidden(found, attributes):
+            furniture, wrapped, by_name, header = True, False, False, False
         elif name == "header":
-            header, furniture = article and not furniture, True
-        elif name in HEADINGS and header:
+            header, furniture = header or not furniture, True
+        elif header and name in PARAGRAPHS:
             furniture = False
-        elif not furniture and (name in FURNITURE or (tag[3] and _names_furniture(tag[3]))):
-            furniture = True
-        if (article, furniture) != stack[-1][1:3]:
+        elif name in MAIN:
+            if name == "article" and not furniture and _is_named(found.get("class", "")):
+                furniture = by_name = True
+            wrapped = wrapped or by_name
+            article = article or not furniture
+        elif not furniture and _named(name, found, article):
+            furniture = by_name = True
+        elif wrapped and _named(name, found, True):
+            wrapped = by_name = False
+        if (article, furniture, wrapped) != stack[-1][1:4]:
             flush()
-        stack.append((name, article, furniture, header))
+        stack.append((name, article, furniture, wrapped, by_name, header))
+        opened[name] += 1
     flush()
     return lines
 
@@ -187,13 +285,26 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     while min(high_a, high_b) > low and a[high_a - 1] == b[high_b - 1]:
         high_a, high_b = high_a - 1, high_b - 1
         shared.add(high_a)
+    wanted = Counter(b[low:high_b])
+    own = [i for i in range(low, high_a) if wanted[a[i]]]
+    if own:
+        kept = {a[i] for i in own}
+        left, right = [a[i] for i in own], [x for x in b[low:high_b] if x in kept]
+        meetings = sum(wanted[x] for x in left)
+        align = _by_meetings if meetings * WORD <= len(left) * len(right) else _by_bits
+        shared.update(own[i] for i in align(left, right))
+    return shared
+
+
+def _by_meetings(a: list[str], b: list[str]) -> list[int]:
+    """Longest common subsequence by the pairs of equal lines, for lines that are mostly unlike."""
     places: dict[str, list[int]] = defaultdict(list)
-    for j in range(high_b - 1, low - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         places[b[j]].append(j)
     tails: list[int] = []  # smallest end in b of a common subsequence of each length
     links: list[tuple] = []  # (position in a, chain before it) of those
-    for i in range(low, high_a):
-        for j in places.get(a[i], ()):
+    for i, line in enumerate(a):
+        for j in places[line]:
             k = bisect_left(tails, j)
             chain = (i, links[k - 1] if k else None)
             if k == len(tails):
@@ -201,11 +312,49 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 links.append(chain)
             else:
                 tails[k], links[k] = j, chain
+    found = []
     chain = links[-1] if links else None
     while chain:
-        shared.add(chain[0])
+        found.append(chain[0])
         chain = chain[1]
-    return shared
+    return found
+
+
+def _by_bits(a: list[str], b: list[str]) -> list[int]:
+    """The same for lines that repeat: a row of the table of lengths is a whole number
+    whose zero bits are its steps.  Rows are kept at every root of their number and the
+    rows between worked out again on the way back."""
+    full = (1 << len(b)) - 1
+    places: dict[str, int] = defaultdict(int)
+    for j, line in enumerate(b):
+        places[line] |= 1 << j
+    stride = isqrt(len(a)) + 1
+
+    def after(row: int, line: str) -> int:
+        steps = row & places[line]
+        return ((row + steps) | (row - steps)) & full
+
+    starts, row = [], full
+    for i, line in enumerate(a):
+        if i % stride == 0:
+            starts.append(row)
+        row = after(row, line)
+    found, j = [], len(b)
+    for block in range(len(starts) - 1, -1, -1):
+        first = block * stride
+        rows = [starts[block]]
+        for line in a[first : first + stride]:
+            rows.append(after(rows[-1], line))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i] >> (j - 1) & 1:  # no step here: the line of b is in no longer one
+                j -= 1
+                continue
+            i -= 1
+            if rows[i] >> (j - 1) & 1:  # the step begins with this line of a
+                j -= 1
+                found.append(first + i)
+    return found
 
 
 def _alignments(page: Page, others: list[Page | None]) -> list[set[int]]:
@@ -224,8 +373,10 @@ def _alignments(page: Page, others: list[Page | None]) -> list[set[int]]:
 
 def main_text(page: Page, others: list[Page | None]) -> str:
     aligned = _alignments(page, others)
-    marked = any(x.article and not x.furniture for x in page.lines)
-    kept = [i for i, x in enumerate(page.lines) if not x.furniture and (x.article or not marked)]
+    inside = [i for i, x in enumerate(page.lines) if x.article and not x.furniture]
+    inside = inside or [i for i, x in enumerate(page.lines) if x.wrapped]
+    marked = bool(inside)
+    kept = inside or [i for i, x in enumerate(page.lines) if not x.furniture]
 
     def size(lines) -> int:
         return sum(len(page.lines[i].text) for i in lines)

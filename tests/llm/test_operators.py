@@ -1,6 +1,8 @@
 """The operators against plain versions and planted cases."""
 
 import random
+import time
+from html.parser import HTMLParser
 from itertools import combinations
 from zlib import crc32
 
@@ -584,6 +586,122 @@ def test_lines_that_the_site_repeats_go():
     assert html_text.main_text(a, [a]) == "Welcome\nAll news\nFirst story of its own, at length.\nImprint"
 
 
+def _text(html):
+    return html_text.main_text(html_text.Page(1, "u", "h", "/a", html_text.lines_of(html)), [None])
+
+
+def test_names_inside_an_article_do_not_drop_its_text():
+    html = """<nav>menu</nav><article><h2 id="related-work">Related work</h2><section id="social-history"><p>Told.</p></section>
+    <h2 id="comments-on-policy">Comments on policy</h2><p class="menu-planning">Plans.</p><section id="notices"><p>Noted.</p></section>
+    <div class="promo box-2"><p>buy</p></div><div id="comments"><p>first!</p></div><div class="userComments"><p>second</p></div></article>"""
+    assert _text(html) == "Related work\nTold.\nComments on policy\nPlans.\nNoted."
+
+
+def test_an_article_in_a_container_named_like_furniture_stays():
+    assert _text('<div class="ad-hoc"><article>body</article></div>') == "body"
+    assert _text('<div class="sidebar"><article>body<div class="ad">buy</div></article></div>') == "body"
+    assert _text('<div id="comments"><article>reply</article></div><main>story</main>') == "story"
+    assert _text("<aside><article>teaser</article></aside><p>story</p>") == "story"
+
+
+def test_the_header_of_an_article_keeps_its_paragraphs():
+    html = "<header><p>site</p></header><article><header><h1>Title</h1><p>Standfirst.</p><nav><p>share</p></nav></header><p>Text.</p></article>"
+    assert _text(html) == "Title\nStandfirst.\nText."
+
+
+def test_odd_pages_take_linear_time():
+    n = 40_000
+    begin = time.monotonic()
+    for html in ('<a href="x>' * n, "<a '\">\" " * n, "<div>" * n + "</p>" * n, "<a " * n, "<!" * n, "<" * n):
+        html_text.lines_of(f"{html}end")
+    assert time.monotonic() - begin < 10
+    lines = ["x", "y"] * 10_000
+    begin = time.monotonic()
+    assert len(html_text.shared_lines(["p", *lines], [*lines[1:], "q"])) == len(lines) - 1
+    assert time.monotonic() - begin < 10
+
+
+class _Plain(HTMLParser):
+    """Blocks of a well-formed page in an independent way: each element asks all that it stands in."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.within, self.blocks, self.text = [], [], ""
+
+    def close_block(self):
+        words = self.text.split()
+        self.text = ""
+        if words:
+            names = [x for x, _ in self.within]
+            named = [c for _, c in self.within]
+            frame = any(x in ("nav", "footer", "aside", "form", "header", "script") for x in names) or "ad" in named or "comment-list" in named
+            self.blocks.append((" ".join(words), "article" in names, frame))
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("b", "a"):
+            self.close_block()
+        self.within.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "a"):
+            self.close_block()
+        self.within.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_pages_agree_with_an_independent_extractor(spark):
+    """Other parser, other alignment (a whole table of lengths, all ties open where lines are unlike)."""
+    draw = random.Random(31)
+    rows = []
+    for i in range(60):
+        host = draw.choice(["a.org", "b.net"])
+        body = [f"<p>{_prose(draw, 6)} <b>{i}</b> &amp; more</p>" for _ in range(draw.randrange(1, 5))]
+        body += draw.sample(['<div class="ad">buy</div>', '<div class="comment-list"><p>first</p></div>', "<p>Share this</p>", '<h2 id="related-work">Work</h2>', "<form>mail</form>"], 3)
+        inner = "".join(body)
+        html = f"<header>{host}</header><nav><a>home</a></nav><article>{inner}<p>Rights of {host}</p></article><footer>end</footer>"
+        rows.append((i, f"http://{host}/p/{i:03}", html))
+    ordered = sorted(rows, key=lambda r: (r[1].split("/")[2], r[1]))
+    parsed = {}
+    for i, url, html in rows:
+        page = _Plain()
+        page.feed(html)
+        page.close_block()
+        parsed[i] = (url.split("/")[2], page.blocks)
+
+    def shared(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        out = set()
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.add(i)
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    expected = {}
+    for place, (i, _, _) in enumerate(ordered):
+        host, blocks = parsed[i]
+        lines = [b[0] for b in blocks]
+        near = [parsed[r[0]] for r in ordered[max(0, place - 3) : place] + ordered[place + 1 : place + 4]]
+        aligned = [shared(lines, [b[0] for b in other]) for h, other in near if h == host]
+        inside = [k for k, b in enumerate(blocks) if b[1] and not b[2]]
+        frame = {k for k in inside if sum(k in s for s in aligned) >= 3 and 2 * sum(k in s for s in aligned) > len(aligned)}
+        if 2 * sum(len(lines[k]) for k in frame) > sum(len(lines[k]) for k in inside):
+            frame = set()
+        expected[i] = "\n".join(lines[k] for k in inside if k not in frame)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == expected
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
@@ -595,6 +713,9 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert len(found) == best[-1][-1]
     it = iter(b)
     assert all(a[i] in it for i in found)
+    for align in (html_text._by_meetings, html_text._by_bits):
+        found, it = sorted(align(a, b)), iter(b)
+        assert len(found) == best[-1][-1] and all(a[i] in it for i in found)
 
 
 def test_toxicity_sample_keeps_both_labels(spark, monkeypatch):
