@@ -9,11 +9,13 @@ smoothed counts.  The ``SINGLES`` most frequent tokens are classes of their
 own; the others fall into ``TAILS`` classes by how they begin and end, so the
 class of any token, known or not, follows from its bytes.
 
-Training runs over all training documents.  Every task takes AdaGrad steps on
-minibatches of its own documents from the weights it was sent; its changes,
-weighed row by row by how often each row was used, are added up in two levels
-of groups of bounded size and averaged, once for a quarter of the documents
-and again for the rest.  The weights have a fixed size (``BUCKETS`` x
+Training runs over all training documents, dealt by a hash of id and text into
+shares of about ``SHARE`` tokens, in a fixed order in each, however the input is
+split.  (From ``MOST_SHARES`` on the shares grow instead of their number.)  A task
+takes AdaGrad steps on minibatches of its share from the weights it was sent; its
+changes, weighed row by row by how often each row was used, are added up in two
+levels of groups of bounded size and averaged, once for a quarter of the
+documents and again for the rest.  The weights have a fixed size (``BUCKETS`` x
 ``CLASSES`` floats) whatever the corpus.
 
 Token counts are exact over all training documents.  A token is represented by
@@ -24,8 +26,8 @@ that meet the counts in a join and are added up by document.
 * null text counts as empty: one end token; very long texts are learnt and scored
   whole, minibatch by minibatch;
 * of tokens that are equally frequent those with the smaller hash are classes of
-  their own; the weights depend on how tasks split the corpus, so scores of runs
-  on other splits differ in small decimals, base scores do not;
+  their own; shares and their order follow from ids and texts alone, so the
+  scores are those of any other split of the input;
 * a null doc_id is a training row; held_out is then false;
 * repeated rows are counted and scored each; a doc_id that repeats is joined by
   doc_id and a hash of its text;
@@ -58,6 +60,8 @@ SLAB = 128  # rows of weights that are added up together
 SAFE = 60.0  # logits whose exponentials neither overflow nor vanish
 RUN = 6  # equal rows that are added up side by side
 GROUP = 64  # tasks whose changes are added up together first
+SHARE = 1 << 20  # training tokens that one task learns from
+MOST_SHARES = 1 << 14
 
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 _START = np.uint64(0x5157415254)
@@ -225,24 +229,35 @@ def _changes(texts: DataFrame, model: Model) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema)
 
 
-def _added(changes: DataFrame, keys: list[str]) -> DataFrame:
+def _added(changes: DataFrame, size: int) -> DataFrame:
+    """Changes added up by slab, of so many tasks at a time; 0: of all."""
+
     def add(frame):
         change = np.zeros(SLAB * CLASSES, np.float32)
         uses = np.zeros(SLAB)
+        frame = frame.sort_values("task")  # sums do not depend on the order of arrival
         for c, u in zip(frame["change"], frame["uses"]):
             change += np.frombuffer(c, np.float32)
             uses += np.frombuffer(u)
         return frame.iloc[:1].assign(change=[change.tobytes()], uses=[uses.tobytes()])
 
-    return changes.groupBy(*keys).applyInPandas(add, "slab int, task long, change binary, uses binary")
+    grouped = changes.groupBy("slab", (F.col("task") / size).cast("long").alias("of")) if size else changes.groupBy("slab")
+    return grouped.applyInPandas(add, "slab int, task long, change binary, uses binary")
+
+
+def _shares(documents: DataFrame, tokens: int) -> DataFrame:
+    """The documents in shares of about ``SHARE`` of the tokens, in a fixed order in each."""
+    n = min(max(-(-tokens // SHARE), 1), MOST_SHARES)
+    keyed = documents.select("text", F.xxhash64(F.lit("share"), F.col("doc_id"), F.col("text")).alias("key"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key")
 
 
-def train(documents: DataFrame, model: Model) -> None:
-    """Two rounds of averaged gradient steps over the training documents."""
-    for turn in (0, 1):
-        changes = _changes(documents.where(_training_turn(2) == turn), model)
-        first = changes.withColumn("task", (F.col("task") / GROUP).cast("long"))
-        total = _added(_added(first, ["slab", "task"]), ["slab"])
+def train(documents: DataFrame, model: Model, tokens: int) -> None:
+    """Two rounds of averaged gradient steps over the training documents, which hold so many tokens."""
+    turns = _training_turn(2)
+    for turn, part in ((0, tokens // 4), (1, tokens - tokens // 4)):
+        changes = _changes(_shares(documents.where(turns == turn), part), model)
+        total = _added(_added(changes, GROUP), 0)
         for row in total.toLocalIterator():
             change = np.frombuffer(row.change, np.float32).reshape(SLAB, CLASSES)
             uses = np.frombuffer(row.uses)
@@ -302,7 +317,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         sizes[int(np.searchsorted(model.singles, np.array([r.token]).view(np.uint64)[0]))] += r.n + 1
     model.log_sizes = np.log10(sizes)
     model.bias = np.log(sizes / sizes.sum()).astype(np.float32)
-    train(training, model)
+    train(training, model, n_train)
 
     frequent = _frequent(counts).select("token", "n").toPandas().sort_values("token")
     tables = (model, frequent["token"].to_numpy(), np.log10(frequent["n"].to_numpy() + 1.0))

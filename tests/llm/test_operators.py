@@ -429,6 +429,24 @@ def test_toxicity_sample_is_bounded_by_characters(spark, monkeypatch):
     assert set(texts) <= set(whole[0])
 
 
+def test_language_model_does_not_depend_on_the_split_of_the_input(spark, monkeypatch):
+    """Several shares, documents dealt to 1, 16 and 64 tasks: the same weights, so the same scores and gain."""
+    monkeypatch.setattr(language_model, "SHARE", 6_000)
+    monkeypatch.setattr(language_model, "GROUP", 2)
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{k} v{k % 7}" for k in draw.choices(range(40), k=draw.randrange(60)))) for i in range(400)]
+    rows += [(None, "no id"), (7, "same id"), (7, "same id"), (500, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 16, 64):
+        out = language_model.lm_scores(docs.repartition(parts)).collect()
+        found.append(sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.base_score, r.score) for r in out))
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert all(abs(a[3] - b[3]) < 1e-6 * max(1, abs(b[3])) for a, b in zip(other, found[0]))
+    assert sum(r[3] - r[2] for r in found[0]) > 0
+
+
 def test_language_model_base_and_gain(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
