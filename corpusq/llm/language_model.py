@@ -13,8 +13,8 @@ Training runs over all training documents, dealt by a hash of id and text into
 shares of about ``SHARE`` tokens, in a fixed order in each, however the input is
 split.  (From ``MOST_SHARES`` on the shares grow instead of their number.)  A task
 takes AdaGrad steps on minibatches of its share from the weights it was sent; its
-changes, weighed row by row by how often each row was used, are added up in two
-levels of groups of bounded size and averaged, once for a quarter of the
+changes, in half precision and weighed row by row by how often each row was used,
+are averaged in two levels of groups of bounded size, once for a quarter of the
 documents and again for the rest.  The weights have a fixed size (``BUCKETS`` x
 ``CLASSES`` floats) whatever the corpus.
 
@@ -195,7 +195,7 @@ def _training_turn(rounds: int):
 
 
 def _changes(texts: DataFrame, model: Model) -> DataFrame:
-    """(slab, task, weighed changes, uses) from each task's steps over its documents."""
+    """(slab, task, changes in half precision, uses) from each task's steps over its documents."""
     spark = texts.sparkSession
     sent = spark.sparkContext.broadcast(model)
     schema = StructType.fromDDL("slab int, task long, change binary, uses binary")
@@ -212,7 +212,7 @@ def _changes(texts: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(0).to_pylist()
             for part in chunks(texts):
                 own.learn(*token_stream(texts[part]), squares, uses)
-        change = (own.weights - start.weights) * uses[:, None].astype(np.float32)
+        change = (own.weights - start.weights).astype(np.float16)
         task = TaskContext.get().partitionId()
         slabs = [k for k in range(BUCKETS // SLAB) if uses[k * SLAB : (k + 1) * SLAB].any()]
         cuts = [slice(k * SLAB, (k + 1) * SLAB) for k in slabs]
@@ -221,7 +221,7 @@ def _changes(texts: DataFrame, model: Model) -> DataFrame:
                 pa.array(slabs, pa.int32()),
                 pa.array([task] * len(slabs), pa.int64()),
                 pa.array([change[c].tobytes() for c in cuts], pa.binary()),
-                pa.array([uses[c].tobytes() for c in cuts], pa.binary()),
+                pa.array([uses[c].astype(np.float32).tobytes() for c in cuts], pa.binary()),
             ],
             schema=out_schema,
         )
@@ -229,17 +229,18 @@ def _changes(texts: DataFrame, model: Model) -> DataFrame:
     return texts.select("text").mapInArrow(run, schema)
 
 
-def _added(changes: DataFrame, size: int) -> DataFrame:
-    """Changes added up by slab, of so many tasks at a time; 0: of all."""
+def _averaged(changes: DataFrame, size: int, kind: type) -> DataFrame:
+    """Changes averaged by slab over their uses, of so many tasks at a time; 0: of all."""
 
     def add(frame):
-        change = np.zeros(SLAB * CLASSES, np.float32)
-        uses = np.zeros(SLAB)
+        change, uses = np.zeros((SLAB, CLASSES)), np.zeros(SLAB)
         frame = frame.sort_values("task")  # sums do not depend on the order of arrival
         for c, u in zip(frame["change"], frame["uses"]):
-            change += np.frombuffer(c, np.float32)
-            uses += np.frombuffer(u)
-        return frame.iloc[:1].assign(change=[change.tobytes()], uses=[uses.tobytes()])
+            used = np.frombuffer(u, np.float32)
+            change += np.frombuffer(c, kind).reshape(SLAB, CLASSES) * used[:, None]
+            uses += used
+        mean = (change / np.maximum(uses, 1)[:, None]).astype(np.float32)
+        return frame.iloc[:1].assign(change=[mean.tobytes()], uses=[uses.astype(np.float32).tobytes()])
 
     grouped = changes.groupBy("slab", (F.col("task") / size).cast("long").alias("of")) if size else changes.groupBy("slab")
     return grouped.applyInPandas(add, "slab int, task long, change binary, uses binary")
@@ -257,12 +258,10 @@ def train(documents: DataFrame, model: Model, tokens: int) -> None:
     turns = _training_turn(2)
     for turn, part in ((0, tokens // 4), (1, tokens - tokens // 4)):
         changes = _changes(_shares(documents.where(turns == turn), part), model)
-        total = _added(_added(changes, GROUP), 0)
+        total = _averaged(_averaged(changes, GROUP, np.float16), 0, np.float32)
         for row in total.toLocalIterator():
-            change = np.frombuffer(row.change, np.float32).reshape(SLAB, CLASSES)
-            uses = np.frombuffer(row.uses)
             part = slice(row.slab * SLAB, (row.slab + 1) * SLAB)
-            model.weights[part] += change / np.maximum(uses, 1)[:, None].astype(np.float32)
+            model.weights[part] += np.frombuffer(row.change, np.float32).reshape(SLAB, CLASSES)
 
 
 def token_counts(training: DataFrame) -> DataFrame:
