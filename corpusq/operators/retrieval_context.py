@@ -78,13 +78,13 @@ def expand_short(chunks: DataFrame, short: int = 350, enough: int = 850) -> Data
                         break
                     if texts[j] not in own:
                         parts.insert(0, texts[j])
-                        size += len(texts[j]) + 1
+                        size += len(texts[j])
                 for j in range(i + 1, len(texts)):
                     if size >= enough:
                         break
                     if texts[j] not in own:
                         parts.append(texts[j])
-                        size += len(texts[j]) + 1
+                        size += len(texts[j])
             out.append("\n".join(parts))
         return frame.assign(expanded=out)[["doc_id", "chunk_index", "expanded"]]
 

@@ -63,7 +63,7 @@ def test_short_chunks_take_their_neighbours(spark, sf):
             for j in [*range(i - 1, -1, -1), *range(i + 1, len(texts))] if len(own) < 350 else []:
                 if size < 850 and texts[j] not in own:
                     (front if j < i else back).append(texts[j])
-                    size += len(texts[j]) + 1
+                    size += len(texts[j])
             expected[doc, i] = "\n".join([*front[::-1], own, *back])
     found = {(r.doc_id, r.chunk_index): r.expanded for r in _run(spark, sf, "neighbour_expansion")}
     assert found == expected
