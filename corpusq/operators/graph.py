@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusq.operators.lexical import occurrences
+from corpusq.tables import sized, written
 
 
 def merge_entities(mentions: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -120,6 +121,48 @@ def name_matches(entities: DataFrame, terms: DataFrame, most: int = 200) -> Data
     return ranked.where(F.col("rank") <= most)
 
 
+def search(
+    terms: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, seen: DataFrame, k: int, scope: str = "kb_id", most: int = 200
+) -> DataFrame:
+    """(query_id, id, position): the first k chunks that the graph adds to each query.
+
+    ``terms`` (query_id, term) are names of the queries, a stated set; ``entities``
+    (scope, name, frequency), ``relations`` (scope, source, target) and ``mentions``
+    (scope, name, id) the graph of each ``scope``; ``seen`` (query_id, id) what the
+    queries have already.  An entity whose name holds a term is met with its
+    relations either way; of these a query takes ``most`` in a scope, by the entity's
+    frequency, its name and the other end's.  The names are visited in that order,
+    the entity before its other end, and each gives its chunks by id; a chunk comes
+    once.  Entities without relation give nothing, nor do null names, terms and scopes.
+
+    Lists are cut before they are shuffled: of a hub's relations and of a frequent
+    name's chunks a task passes on no more than a query can take."""
+    low = terms.select("query_id", F.lower("term").alias("string_id")).distinct()
+    names = entities.select("name").distinct().withColumn("low", F.lower("name"))
+    strings = low.select("string_id", F.col("string_id").alias("string")).distinct()
+    held = occurrences(names, strings, "name", "low").join(low, "string_id").select("query_id", "name").distinct()
+    both = relations.select(scope, F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))).alias("e"))
+    links = both.select(scope, F.col("e.source").alias("name"), F.col("e.target").alias("other"))
+    linked = entities.select(scope, "name", "frequency").join(sized(written(held, "held-names")), "name")
+    linked = linked.join(links.select(scope, "name"), [scope, "name"], "left_semi")
+    by_entity = W.partitionBy("query_id", scope).orderBy(F.desc("frequency"), "name")
+    matched = written(linked.withColumn("nth", F.row_number().over(by_entity)).where(F.col("nth") <= most), "matched-names")
+
+    by_link = W.partitionBy("query_id", scope).orderBy("nth", "other")
+    hops = links.distinct().join(sized(matched), [scope, "name"]).withColumn("row", F.row_number().over(by_link)).where(F.col("row") <= most)
+    ends = F.array(F.struct(F.col("name"), (2 * F.col("row")).alias("at")), F.struct(F.col("other").alias("name"), (2 * F.col("row") + 1).alias("at")))
+    visited = hops.select("query_id", scope, F.explode(ends).alias("v")).groupBy("query_id", scope, F.col("v.name").alias("name")).agg(F.min("v.at").alias("at"))
+
+    found = mentions.select(scope, "name", "id").join(sized(written(visited, "visited-names")), [scope, "name"])
+    unseen = found.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    # what stands before a chunk in its name's list is chosen as well, so k of each name are enough
+    own = W.partitionBy("query_id", scope, "at").orderBy("id")
+    cut = unseen.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= k)
+    once = cut.groupBy("query_id", "id").agg(F.min(F.struct(F.col(scope).alias("scope"), "at")).alias("first"))
+    order = W.partitionBy("query_id").orderBy("first", "id")
+    return once.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("query_id", "id", "position")
+
+
 def expand_relations(hits: DataFrame, direct: DataFrame, indirect: DataFrame, most: int = 3) -> DataFrame:
     """First ``most`` unseen chunks per query: direct neighbours of the hits, then indirect ones."""
     parts = []

@@ -11,7 +11,7 @@ for blocks of strings of a bounded size, in place of a join on containment.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -53,11 +53,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
 
 
-def _wanted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Query terms (query_no, query_id, term, qn) and their distinct terms (wanted, term_no), written."""
+def _numbered(queries: DataFrame) -> DataFrame:
+    """(query_no, query_id, term, qn) of every query, written."""
     terms = query_terms(queries)
     numbers = written(terms.select("query_id").distinct().withColumn("query_no", F.monotonically_increasing_id()), "query-numbers")
-    terms = written(terms.join(sized(numbers), "query_id"), "query-terms")
+    return written(terms.join(sized(numbers), "query_id"), "query-terms")
+
+
+def _wanted(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Query terms (query_no, query_id, term, qn) and their distinct terms (wanted, term_no), written."""
+    terms = _numbered(queries)
     wanted = written(terms.select(F.col("term").alias("wanted")).distinct().withColumn("term_no", F.monotonically_increasing_id()), "terms")
     return terms, wanted
 
@@ -164,7 +169,19 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_i
     each task keeps its best k of every query of a block while it reads the
     narrow table of held terms, and a last step merges the few rows of each query."""
     terms, wanted = _wanted(queries)
+    return _best(_held_terms(docs, wanted, id_col), terms, wanted, k, id_col)
+
+
+def recall_over(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> Callable[[DataFrame, int], DataFrame]:
+    """``bm25_top_k`` over documents whose texts are read once, now, for several sets of
+    queries whose words all stand in ``queries``, such as these and their variants.
+    A call scores from the narrow table of held terms."""
+    _, wanted = _wanted(queries)
     held = _held_terms(docs, wanted, id_col)
+    return lambda asked, k: _best(held, _numbered(asked), wanted, k, id_col)
+
+
+def _best(held: DataFrame, terms: DataFrame, wanted: DataFrame, k: int, id_col: str) -> DataFrame:
     weights, avgdl = _weights(held, terms, wanted)
     numbers = weights.select("query_no", "query_id").distinct()
     parts, block = [], []

@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from corpusq.plans import analytics, blocks, chunks, contexts, contributions, extraction, graphs, indexing, match_ranges, operations, records, retrieval  # noqa: F401
+from corpusq.plans import analytics, blocks, chat, chunks, contexts, contributions, extraction, graphs, indexing, match_ranges, operations, records, retrieval  # noqa: F401

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusq import model
 from corpusq.functions.text import candidate_names
-from corpusq.operators import chunking, graph, wiki
+from corpusq.operators import chunking, graph, lexical, wiki
 from corpusq.plans.chunks import SQL_CHUNKS
+from corpusq.plans.retrieval import SQL_BM25
 from corpusq.registry import query
 from corpusq.tables import planned, written
 
@@ -91,9 +92,14 @@ def entity_degree(spark, sf_dir):
 def chunk_graph(spark, sf_dir):
     """Edges between the chunks of each document, written.  Names are dealt by
     document once, and all joins and groups of a document stay where it is."""
-    scope = ("doc_id",)
     chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = chunks.select("doc_id", F.col("chunk_index").alias("chunk_id"), candidate_names(F.col("content")).alias("names"))
+    return document_graphs(names)
+
+
+def document_graphs(names):
+    """The chunk graph of each document from the names of its chunks (doc_id, chunk_id, names), written."""
+    spark, scope = names.sparkSession, ("doc_id",)
     names = written(names, "chunk-names").repartition("doc_id")
     mentions = names.select("doc_id", "chunk_id", F.explode("names").alias("name"))
     relations = graph.merge_relations(_neighbours(names), scope)
@@ -135,6 +141,42 @@ def graph_name_match(spark, sf_dir):
     return graph.name_matches(entities, terms).select("query_id", "name", "frequency")
 
 
+#: What the graphs of the knowledge bases add to the keyword hits of a query.
+GRAPH_HITS = 10
+
+
+@query(
+    "graph_search",
+    f"""WITH {SQL_BM25}, gn AS (SELECT doc_id AS id, kb_id, list_sort(list_distinct(regexp_extract_all(text, {NAMES}, 1))) AS l FROM docs WHERE enabled AND NOT deleted),
+    gm AS (SELECT id, kb_id, unnest(l) AS name FROM gn), ge AS (SELECT kb_id, name, count(*) AS frequency FROM gm GROUP BY ALL),
+    gr AS (SELECT DISTINCT kb_id, l[i] AS source, l[i + 1] AS target FROM (SELECT *, unnest(range(1, len(l))) AS i FROM gn WHERE len(l) > 1)),
+    ways AS (SELECT kb_id, source AS name, target AS other FROM gr UNION SELECT kb_id, target, source FROM gr),
+    terms AS (SELECT DISTINCT item_id AS query_id, lower(unnest(list_distinct(regexp_extract_all(text, {NAMES}, 1)))) AS term FROM benchmark),
+    hit AS (SELECT DISTINCT query_id, kb_id, name, frequency FROM ge JOIN terms ON contains(lower(name), term)),
+    hops AS (SELECT query_id, kb_id, name, other, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY frequency DESC, name, other) AS pos FROM hit JOIN ways USING (kb_id, name) QUALIFY pos <= 200),
+    visited AS (SELECT query_id, kb_id, name, min(at) AS at FROM (SELECT query_id, kb_id, name, 2 * pos AS at FROM hops UNION ALL SELECT query_id, kb_id, other, 2 * pos + 1 FROM hops) GROUP BY ALL),
+    found AS (SELECT query_id, id, min({{'kb': kb_id, 'at': at}}) AS first FROM visited JOIN gm USING (kb_id, name)
+      WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.query_id = visited.query_id AND kw.doc_id = gm.id) GROUP BY ALL)
+    SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY first, id) AS position FROM found QUALIFY position <= {GRAPH_HITS}""",
+)
+def graph_search(spark, sf_dir):
+    """Documents that stand one relation from a name of the query, and were not found by its words."""
+    docs = model.enabled_documents(spark, sf_dir).where(model.searchable())
+    seen = lexical.bm25_top_k(model.documents(spark, sf_dir), model.queries(spark, sf_dir), 20)
+    names = written(docs.select("kb_id", F.col("doc_id").alias("id"), F.array_sort(candidate_names(F.col("text"))).alias("names")), "names")
+    terms = model.queries(spark, sf_dir).select("query_id", F.explode(candidate_names(F.col("query"))).alias("term"))
+    return graph.search(terms, *entity_graph(names, "kb_id"), seen.withColumnRenamed("doc_id", "id"), GRAPH_HITS)
+
+
+def entity_graph(names, scope):
+    """(entities, relations, mentions) of each scope from the sorted names of chunks (scope, id, names)."""
+    mentions = names.select(scope, "id", F.explode("names").alias("name"))
+    entities = mentions.groupBy(scope, "name").agg(F.count(F.lit(1)).alias("frequency"))
+    step = "transform(sequence(1, size(names) - 1), i -> struct(names[i - 1] as source, names[i] as target))"
+    pairs = names.where("size(names) > 1").select(scope, F.explode(F.expr(step)).alias("p"))
+    return entities, pairs.select(scope, "p.source", "p.target").distinct(), mentions
+
+
 SQL_LINKS = """words AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS word FROM pages),
 concepts AS (SELECT word FROM words GROUP BY 1 HAVING count(*) > 1),
 slugs AS (SELECT 'page/' || page_id AS slug, 'page' AS kind FROM pages UNION ALL SELECT 'concept/' || word, 'concept' FROM concepts),
