@@ -97,15 +97,17 @@ def top_neighbours(edges: DataFrame, k: int = 8, scope: tuple[str, ...] = ()) ->
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def two_hop(edges: DataFrame, decay: float = 0.5, scope: tuple[str, ...] = ()) -> DataFrame:
+def two_hop(edges: DataFrame, decay: float = 0.5, scope: tuple[str, ...] = (), starts: DataFrame | None = None) -> DataFrame:
     """(scope, a, b, weight, degree): chunks two edges away and no nearer, over all
-    edges; the best product of weights, halved, with the larger degree of its path."""
-    one = edges.select(*scope, "a", F.col("b").alias("via"), F.col("weight").alias("w1"), F.col("degree").alias("d1"))
+    edges; the best product of weights, halved, with the larger degree of its path.
+    ``starts`` (a) names the chunks to start from, all without it."""
+    first = edges if starts is None else edges.join(starts, "a", "left_semi")
+    one = first.select(*scope, "a", F.col("b").alias("via"), F.col("weight").alias("w1"), F.col("degree").alias("d1"))
     two = edges.select(*scope, F.col("a").alias("via"), "b", F.col("weight").alias("w2"), F.col("degree").alias("d2"))
     path = F.struct(F.round(F.col("w1") * F.col("w2") * decay, 9).alias("weight"), F.greatest("d1", "d2").alias("degree"))
     paths = one.join(two, [*scope, "via"]).where("a <> b").groupBy(*scope, "a", "b").agg(F.max(path).alias("best"))
     found = paths.select(*scope, "a", "b", "best.weight", "best.degree")
-    return found.join(edges.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
+    return found.join(first.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
 
 
 def name_matches(entities: DataFrame, terms: DataFrame, most: int = 200) -> DataFrame:

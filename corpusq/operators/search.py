@@ -117,7 +117,7 @@ def chat(
     texts: DataFrame,
     recall: Callable[[DataFrame, int], DataFrame],
     graph_search: Callable[[DataFrame, int], DataFrame],
-    related: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    related: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
     k: int,
 ) -> DataFrame:
     """(query_id, position, cohort, id, doc_id, parent_id, child_ids, score, text, merged):
@@ -133,7 +133,8 @@ def chat(
     3. All are reranked by the share of the query's words that they hold.
     4. ``graph_search`` (given what was seen, and k) adds a cohort of graph hits
        (query_id, id, position); behind them come three chunks that ``related`` names
-       (direct and indirect edges (a, b, rank) among the chunks of the documents hit).
+       (direct and indirect edges (a, b, rank) from the chunks hit, given as ids, to
+       chunks of their documents).
     5. Chunks without parent that are short take the text of their neighbours;
        hits of a parent become the parent's text.
     6. In each cohort what is redundant with a better context goes, and a graph context
@@ -174,9 +175,10 @@ def chat(
 
     last = ranked.groupBy("query_id").agg(F.max("rank").alias("last"))
     behind = added.join(last, "query_id", "left").select("query_id", "id", (F.coalesce("last", F.lit(0)) + F.col("position")).alias("rank"))
-    direct, indirect = related(near)
+    direct, indirect = related(near, every)
     beside = graph.expand_relations(ranked.select("query_id", "id", "rank").unionByName(behind), direct, indirect, min(3, k))
-    graph_hits = added.unionByName(beside.select("query_id", F.col("next").alias("id"), (F.col("position") + k).alias("position")))
+    beside = written(beside.select("query_id", F.col("next").alias("id"), (F.col("position") + k).alias("position")), "related-hits")
+    graph_hits = added.unionByName(beside)
 
     flat = near.where("parent_id is null")
     short = flat.where(F.length("content") < SHORT).join(sized(every), "id", "left_semi").select("doc_id").distinct()

@@ -30,11 +30,12 @@ def chat_chunks(spark, sf_dir):
     return written(cut, "chat-chunks")
 
 
-def _related(near):
-    """Edges among the chunks of each document hit: direct, and by one chunk between."""
+def _related(near, hits):
+    """Edges from the chunks hit to chunks of their documents: direct, and by one chunk between."""
     names = near.select("doc_id", F.col("id").alias("chunk_id"), candidate_names(F.col("content")).alias("names"))
-    edges, scope = document_graphs(names), ("doc_id",)
-    return graph.top_neighbours(edges, scope=scope), graph.top_neighbours(graph.two_hop(edges, scope=scope), scope=scope)
+    edges, scope, starts = document_graphs(names), ("doc_id",), hits.select(F.col("id").alias("a"))
+    direct = graph.top_neighbours(edges.join(starts, "a", "left_semi"), scope=scope)
+    return direct, graph.top_neighbours(graph.two_hop(edges, scope=scope, starts=starts), scope=scope)
 
 
 @query("chat_search")

@@ -165,7 +165,7 @@ def test_chat_as_a_plain_version(spark, seed, k):
         rows = [(q, c, i) for q, x in w.graph.items() for i, c in enumerate([c for c in x if c not in known[q] and c in w.chunks][:most], 1)]
         return frame(rows, "query_id long, id long, position int")
 
-    edges = lambda near: tuple(frame(_ranked(e), "a long, b long, rank int") for e in (w.direct, w.indirect))
+    edges = lambda near, hits: tuple(frame(_ranked(e), "a long, b long, rank int") for e in (w.direct, w.indirect))
     out = search.chat(
         asked, frame(ranked(w.keyword), "query_id long, id long, rank int"), frame(ranked(w.vector), "query_id long, id long, rank int"),
         frame(list(w.chunks.values()), CHUNKS), frame(list(w.texts.items()), "doc_id long, text string"), recall, graphs, edges, k,
@@ -185,7 +185,7 @@ def test_chat_without_hits_or_chunks(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     hits = "query_id long, id long, rank int"
     none = lambda *_: frame([], "query_id struct<query_id:long,variant:int>, id long, rank int")
-    edges = lambda near: (frame([], "a long, b long, rank int"),) * 2
+    edges = lambda near, hits: (frame([], "a long, b long, rank int"),) * 2
     for queries in ([], [(1, "alpha beta"), (2, ""), (3, None)]):
         out = search.chat(
             frame(queries, "query_id long, query string"), frame([], hits), frame([(2, 5, 1)] if queries else [], hits),
