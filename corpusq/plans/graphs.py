@@ -154,8 +154,8 @@ GRAPH_HITS = 10
     terms AS (SELECT DISTINCT item_id AS query_id, lower(unnest(list_distinct(regexp_extract_all(text, {NAMES}, 1)))) AS term FROM benchmark),
     hit AS (SELECT DISTINCT query_id, kb_id, name, frequency FROM ge JOIN terms ON contains(lower(name), term)),
     hops AS (SELECT query_id, kb_id, name, other, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY frequency DESC, name, other) AS pos FROM hit JOIN ways USING (kb_id, name) QUALIFY pos <= 200),
-    visited AS (SELECT query_id, kb_id, name, min(at) AS at FROM (SELECT query_id, kb_id, name, 2 * pos AS at FROM hops UNION ALL SELECT query_id, kb_id, other, 2 * pos + 1 FROM hops) GROUP BY ALL),
-    found AS (SELECT query_id, id, min({{'kb': kb_id, 'at': at}}) AS first FROM visited JOIN gm USING (kb_id, name)
+    visited AS (SELECT query_id, kb_id, name, min(step) AS step FROM (SELECT query_id, kb_id, name, 2 * pos AS step FROM hops UNION ALL SELECT query_id, kb_id, other, 2 * pos + 1 FROM hops) GROUP BY ALL),
+    found AS (SELECT query_id, id, min({{'kb': kb_id, 'step': step}}) AS first FROM visited JOIN gm USING (kb_id, name)
       WHERE NOT EXISTS (SELECT 1 FROM kw WHERE kw.query_id = visited.query_id AND kw.doc_id = gm.id) GROUP BY ALL)
     SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY first, id) AS position FROM found QUALIFY position <= {GRAPH_HITS}""",
 )
