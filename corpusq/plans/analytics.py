@@ -96,11 +96,12 @@ def cache_rates(spark, sf_dir):
     greatest(cached_tokens, 0), repeat('e', least(event_id, 500)::INT) FROM u WHERE model_type <> 'extract' AND event_id % 3 = 0 AND total_tokens <= 0""",
 )
 def usage_insert(spark, sf_dir):
+    """Records as they are written; errors grow with the event's id up to twice the length that is kept."""
     u = model.usage(spark, sf_dir)
     raw = u.select(
         "event_id", "model_type", (F.col("prompt_tokens") - 50).alias("prompt_tokens"), "completion_tokens",
         F.when(F.col("event_id") % 3 == 0, F.col("total_tokens")).alias("total_tokens"), "cached_tokens",
-        F.repeat(F.lit("e"), F.col("event_id").cast("int")).alias("error"),
+        F.repeat(F.lit("e"), F.least(F.col("event_id"), F.lit(1000)).cast("int")).alias("error"),
     )
     return usage.records(raw)
 
