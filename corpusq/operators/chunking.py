@@ -27,6 +27,9 @@ from corpusq.functions.vectors import cosine_distance
 
 Span = tuple[int, int]
 
+#: Characters of the documents whose chunks leave a task in one batch.
+BATCH_CHARS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -241,17 +244,21 @@ def _map_chunks(docs: DataFrame, kernel: Callable[[str], list[tuple]], columns:
     typed = StructType.fromDDL(f"doc_id {kind}, chunk_index int, {columns}")
     out_schema = to_arrow_schema(typed)
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out_schema)], schema=out_schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [
-                (doc_id, i, *chunk)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for i, chunk in enumerate(kernel(text or ""))
-            ]
-            columns_of = list(zip(*rows)) if rows else [()] * len(out_schema)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=f.type) for c, f in zip(columns_of, out_schema)], schema=out_schema
-            )
+            for doc_id, text in zip(*batch.columns):  # a document at a time, so memory is that of a batch and of what goes out
+                own = text.as_py() or ""
+                rows += [(doc_id.as_py(), i, *chunk) for i, chunk in enumerate(kernel(own))]
+                size += len(own)
+                if rows and size >= BATCH_CHARS:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
 
     return docs.select("doc_id", "text").mapInArrow(run, typed)
 

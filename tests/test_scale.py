@@ -1,8 +1,11 @@
 """Steps whose work or memory must not outgrow their input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusq import registry
+from corpusq.operators import chunking
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -11,3 +14,26 @@ def test_usage_insert_large_ids(spark, sf, tmp_path):
     events.withColumn("event_id", F.col("event_id") + 3_000_000_000).write.parquet(str(tmp_path / "events.parquet"))
     rows = registry.queries()["usage_insert"](spark, str(tmp_path)).collect()
     assert len(rows) == 3 and {r.error for r in rows} == {"e" * 500}
+
+
+class Step:
+    """Stands for a table: keeps the function that a task would run over its batches."""
+
+    def __init__(self, schema):
+        self.schema = StructType.fromDDL(schema)
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_chunks_leave_in_bounded_batches():
+    """A large batch of documents leaves as many small ones, with the same chunks."""
+    texts = [f"Line {i} of a text.\n" * 400 for i in range(600)] + [None, ""]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(chunking.fixed_chunks(Step("doc_id long, text string"))(iter([batch])))
+    assert max(sum(map(len, b.column(4).to_pylist())) for b in out) <= 1.3 * chunking.BATCH_CHARS
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert rows == [(i, k, a, b, t[a:b].strip()) for i, t in enumerate(texts) if t for k, (a, b) in enumerate(chunking.fixed_windows(t))]
