@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CONTEXT_CHARS = 4096
+#: Parents that are written over at once.
+PARENTS = 256
 
 
 def collapse_siblings(hits: DataFrame) -> DataFrame:
@@ -129,14 +136,17 @@ def overlay(parents: DataFrame, edits: DataFrame) -> DataFrame:
         F.collect_list(F.struct("start_at", "end_at", F.col("content").alias("edit"), "version")).alias("edits")
     )
     joined = parents.join(lists, "parent_id", "left").select("parent_id", "p_start", "content", "edits")
-    kind = parents.schema["parent_id"].dataType.simpleString()
-
-    def write(batches):
-        for frame in batches:
-            texts = [
-                overlay_edits(text, int(start), [(e["start_at"], e["end_at"], e["edit"], e["version"]) for e in (edits if edits is not None else [])])[0]
-                for start, text, edits in zip(frame["p_start"], frame["content"], frame["edits"])
-            ]
-            yield pd.DataFrame({"parent_id": frame["parent_id"], "text": texts})
-
-    return joined.mapInPandas(write, f"parent_id {kind}, text string")
+    typed = StructType.fromDDL(f"parent_id {parents.schema['parent_id'].dataType.simpleString()}, text string")
+    out_schema = to_arrow_schema(typed)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PARENTS):
+                ids, starts, texts, edits = (c.to_pylist() for c in batch.slice(at, PARENTS).columns)
+                out = [
+                    overlay_edits(text, int(start), [(e["start_at"], e["end_at"], e["edit"], e["version"]) for e in own or []])[0]
+                    for start, text, own in zip(starts, texts, edits)
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, out), out_schema)], schema=out_schema)
+
+    return joined.mapInArrow(write, typed)
