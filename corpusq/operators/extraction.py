@@ -8,13 +8,14 @@ failed call costs its batch alone: that gives no entities and says why.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusq.functions.text import candidate_names
 from corpusq.tables import written
@@ -22,12 +23,14 @@ from corpusq.tables import written
 BATCH = 5
 #: Calls for a batch until one gives a list.
 TRIES = 2
+#: Calls whose results leave a task in one batch.
+CALLS = 256
 
 #: A function from {chunk key: text} to a list of {"chunk_key", "entities": [{"name",
 #: "attributes"}]}, or that list as JSON, perhaps inside other text.
 Extractor = Callable[[dict[str, str]], object]
 
-_RESULT = "struct<found:array<struct<place:int,name:string,attributes:array<string>>>,calls:int,error:string>"
+_RESULT = "found array<struct<place:int,name:string,attributes:array<string>>>, calls int, error string"
 
 
 def batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
@@ -73,27 +76,34 @@ def extract(chunks: DataFrame, extractor: Extractor, size: int = BATCH, tries: i
     so a rerun of what follows calls nothing again.  ``error`` says why a batch has no
     result (the fault's type and text, or ``no_list``); then ``found`` is empty."""
 
-    @pandas_udf(_RESULT)
-    def call(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for own in texts:
-            keys = {f"c{k + 1:03d}": k for k in range(len(own))}
-            items, error, calls = None, None, 0
-            while items is None and calls < tries:
-                calls += 1
-                try:
-                    items = parsed(extractor({key: own[k] or "" for key, k in keys.items()}))
-                    error = None if items is not None else "no_list"
-                except Exception as fault:  # contained: the batch is recorded as failed
-                    error = f"{type(fault).__name__}: {fault}"
-                    break
-            out.append({"found": attributed(items or [], keys), "calls": calls, "error": error})
-        return pd.DataFrame(out, columns=["found", "calls", "error"])
+    def call(own: list[str]) -> tuple[list[dict], int, str | None]:
+        keys = {f"c{k + 1:03d}": k for k in range(len(own))}
+        items, error, calls = None, None, 0
+        while items is None and calls < tries:
+            calls += 1
+            try:
+                items = parsed(extractor({key: own[k] or "" for key, k in keys.items()}))
+                error = None if items is not None else "no_list"
+            except Exception as fault:  # contained: the batch is recorded as failed
+                error = f"{type(fault).__name__}: {fault}"
+                break
+        return attributed(items or [], keys), calls, error
 
     grouped = batches(chunks, size)
     indexes = F.transform("members", lambda m: m["chunk_index"]).alias("chunk_indexes")
-    called = grouped.select("doc_id", "batch", indexes, call(F.transform("members", lambda m: m["content"])).alias("r"))
-    return written(called.select("doc_id", "batch", "chunk_indexes", "r.found", "r.calls", "r.error"), "extracted")
+    asked = grouped.select("doc_id", "batch", indexes, F.transform("members", lambda m: m["content"]).alias("texts"))
+    typed = StructType([*asked.schema.fields[:3], *StructType.fromDDL(_RESULT).fields])
+    out_schema = to_arrow_schema(typed)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for at in range(0, part.num_rows, CALLS):
+                own = part.slice(at, CALLS)
+                results = zip(*map(call, own.column(3).to_pylist()))
+                made = [pa.array(c, type=f.type) for c, f in zip(results, list(out_schema)[3:])]
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(own.columns, list(out_schema)[:3])], *made], schema=out_schema)
+
+    return written(asked.mapInArrow(run, typed), "extracted")
 
 
 def entities(extracted: DataFrame) -> DataFrame:
