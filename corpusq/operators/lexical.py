@@ -33,6 +33,8 @@ BLOCK_CHARS = 500_000
 #: Query terms that are scored together, and documents of a step.
 BLOCK_TERMS = 20_000
 DOC_BATCH = 512
+#: Finds that leave a task in one batch.
+FOUND_ROWS = 20_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -221,6 +223,9 @@ def occurrences(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id", tex
     out_schema = to_arrow_schema(schema)
     spark = docs.sparkSession
 
+    def made(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out_schema)], schema=out_schema)
+
     def search(block: list[tuple]) -> DataFrame:
         names: dict[str, list] = {}
         for name, string in block:
@@ -232,9 +237,10 @@ def occurrences(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id", tex
         sent = spark.sparkContext.broadcast(machine)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows: list[list] = [[] for _ in out_schema]
             for batch in batches:
-                rows: list[list] = [[] for _ in out_schema]
-                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for doc, body in zip(*batch.columns):  # a text at a time, so memory is that of a batch and of what goes out
+                    doc, body = doc.as_py(), body.as_py()
                     found: dict[int, list] = {}
                     for end, value in sent.value.iter(body or ""):
                         size, begin = value[0], end + 1 - value[0]
@@ -247,7 +253,11 @@ def occurrences(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id", tex
                         for name in ids:
                             for column, value in zip(rows, (doc, name, begin, n, len(body))):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, out_schema)], schema=out_schema)
+                        if len(rows[0]) >= FOUND_ROWS:
+                            yield made(rows)
+                            rows = [[] for _ in out_schema]
+            if rows[0]:
+                yield made(rows)
 
         return docs.select(id_col, text).mapInArrow(run, schema)
 
