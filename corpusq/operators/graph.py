@@ -6,9 +6,17 @@ figures (totals, maxima) are scalar subqueries over aggregated tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from corpusq.operators.lexical import occurrences
 from corpusq.tables import sized, written
@@ -75,20 +83,117 @@ def degrees(relations: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return ends.groupBy(*scope, "name").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def chunk_edges(relations: DataFrame, mentions: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+#: Chunks of a document whose edges are made together are those with the same id but for its last eight bits.
+BLOCK_BITS = 8
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with equal first ``n_keys`` columns, which stand together, as (key, table)."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        new = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in batch.columns[:n_keys]:
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        ends = [*(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for begin, end in zip([0, *ends], ends):
+            if begin == end:
+                continue
+            own = tuple(c[begin].as_py() for c in batch.columns[:n_keys])
+            if held and own != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = own
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _by_group(rows: DataFrame, keys: list[str], schema: StructType, kernel: Callable[[tuple, pa.Table], tuple]) -> DataFrame:
+    """What ``kernel`` makes of the rows of each key: values for the columns of the schema after the scope."""
+    out_schema, n_scope = to_arrow_schema(schema), len(schema) - 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        size = 0
+        for key, table in _groups(batches, len(keys)):
+            made = kernel(key, table)
+            n = len(made[0])
+            if n:
+                arrays = [pa.repeat(pa.scalar(k, f.type), n) for k, f in zip(key[:n_scope], out_schema)]
+                arrays += [pa.array(c, type=f.type) for c, f in zip(made, list(out_schema)[n_scope:])]
+                parts.append(pa.RecordBatch.from_arrays(arrays, schema=out_schema))
+                size += n
+            if size >= OUT_ROWS:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=OUT_ROWS)
+                parts, size = [], 0
+        if parts:
+            yield from pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=OUT_ROWS)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+#: Edges that leave a task in one batch.
+OUT_ROWS = 50_000
+
+
+def _edge_schema(table: DataFrame, scope: tuple[str, ...], chunk: str) -> StructType:
+    kind = table.schema[chunk].dataType
+    fields = [StructField(c, table.schema[c].dataType) for c in scope]
+    return StructType([*fields, StructField("a", kind), StructField("b", kind), StructField("weight", DoubleType()), StructField("degree", LongType())])
+
+
+def _block(chunk: str) -> Column:
+    return F.shiftright(F.col(chunk).cast("long"), BLOCK_BITS)
+
+
+def chunk_edges(relations: DataFrame, mentions: DataFrame, scope: tuple[str, ...], most: int | None = None) -> DataFrame:
     """(scope, a, b, weight, degree): chunks of a relation's source to chunks of its
-    target, both ways, by the best (weight, degree).  A graph is that of one
-    document's chunks, as ``scope`` says, so a name joins chunks of one document
-    only and the join is never larger than documents make it."""
+    target, both ways, by the best (weight, degree); with ``most`` the best so many of
+    each chunk, equal ones by b.  A graph is that of one document's chunks, as ``scope``
+    says, so a name joins chunks of one document only.  Relations and mentions, not
+    pairs of chunks, are shuffled: a block of a document's chunks (whole numbers) meets
+    them in one place, and an edge is made there once, whatever names its chunks share."""
     ends = relations.withColumn("name", F.explode(F.array("source", "target")))
     touching = ends.withColumn("degree", F.count(F.lit(1)).over(W.partitionBy(*scope, "name")))
     ranked = touching.groupBy(*scope, "source", "target", "weight").agg(F.sum("degree").alias("degree"))
-    once = mentions.select(*scope, "name", "chunk_id").distinct()
-    left = ranked.join(once.withColumnsRenamed({"name": "source", "chunk_id": "a"}), [*scope, "source"])
-    both = left.join(once.withColumnsRenamed({"name": "target", "chunk_id": "b"}), [*scope, "target"]).where("a <> b")
-    edges = both.select(*scope, "a", "b", "weight", "degree").unionAll(both.select(*scope, "b", "a", "weight", "degree"))
-    best = edges.groupBy(*scope, "a", "b").agg(F.max(F.struct(F.round("weight", 9).alias("weight"), "degree")).alias("best"))
-    return best.select(*scope, "a", "b", "best.weight", "best.degree")
+    held = mentions.where(F.col("name").isNotNull() & F.col("chunk_id").isNotNull())
+    blocks = held.groupBy(*scope).agg(F.collect_set(_block("chunk_id")).alias("blocks"))
+    none = F.lit(None).cast(held.schema["chunk_id"].dataType)
+    names = held.select(*scope, F.col("name").alias("source"), F.lit(None).cast("string").alias("target"), "chunk_id", F.lit(None).cast("double").alias("weight"), F.lit(None).cast("long").alias("degree"))
+    links = ranked.select(*scope, "source", "target", none.alias("chunk_id"), F.round("weight", 9).alias("weight"), F.col("degree").cast("long").alias("degree"))
+    spread = names.unionByName(links).join(blocks, [*scope]).select(*scope, F.explode("blocks").alias("block"), "source", "target", "chunk_id", "weight", "degree")
+
+    def kernel(key: tuple, table: pa.Table) -> tuple:
+        sources, targets, ids, weights, degrees = (c.to_pylist() for c in table.columns[len(key) :])
+        chunks = np.unique([c for c in ids if c is not None])
+        low, high = np.searchsorted(chunks, [key[-1] << BLOCK_BITS, (key[-1] + 1) << BLOCK_BITS])
+        places: dict[str, list[int]] = {}
+        for name, c in zip(sources, ids):
+            if c is not None:
+                places.setdefault(name, []).append(c)
+        where = {name: np.searchsorted(chunks, own) for name, own in places.items()}
+        known = sorted((w, d, s, t) for s, t, c, w, d in zip(sources, targets, ids, weights, degrees) if c is None and s in where and t in where)
+        best = np.full((high - low, len(chunks)), -1, np.int32)
+        values: list[tuple] = []
+        for w, d, s, t in known:  # the best come last and stay
+            if not values or values[-1] != (w, d):
+                values.append((w, d))
+            for one, other in ((where[s], where[t]), (where[t], where[s])):
+                own = one[(one >= low) & (one < high)] - low
+                if len(own):
+                    best[own[:, None], other] = len(values) - 1
+        best[np.arange(high - low), np.arange(low, high)] = -1
+        a, b = np.nonzero(best >= 0)
+        value = best[a, b]
+        if most is not None:
+            order = np.lexsort((b, -value, a))
+            order = order[np.arange(len(order)) - np.searchsorted(a, a[order]) < most]
+            a, b, value = a[order], b[order], value[order]
+        w, d = np.array(values or [(0.0, 0)]).T
+        return chunks[a + low], chunks[b], w[value], d[value].astype(np.int64)
+
+    return _by_group(spread, [*scope, "block"], _edge_schema(held.withColumnRenamed("chunk_id", "a"), scope, "a"), kernel)
 
 
 def top_neighbours(edges: DataFrame, k: int = 8, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -97,17 +202,66 @@ def top_neighbours(edges: DataFrame, k: int = 8, scope: tuple[str, ...] = ()) ->
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def two_hop(edges: DataFrame, decay: float = 0.5, scope: tuple[str, ...] = (), starts: DataFrame | None = None) -> DataFrame:
+def _rounded(x: float) -> float:
+    """As Spark rounds to nine digits."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+
+
+def two_hop(edges: DataFrame, decay: float = 0.5, scope: tuple[str, ...] = (), starts: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(scope, a, b, weight, degree): chunks two edges away and no nearer, over all
-    edges; the best product of weights, halved, with the larger degree of its path.
-    ``starts`` (a) names the chunks to start from, all without it."""
-    first = edges if starts is None else edges.join(starts, "a", "left_semi")
-    one = first.select(*scope, "a", F.col("b").alias("via"), F.col("weight").alias("w1"), F.col("degree").alias("d1"))
-    two = edges.select(*scope, F.col("a").alias("via"), "b", F.col("weight").alias("w2"), F.col("degree").alias("d2"))
-    path = F.struct(F.round(F.col("w1") * F.col("w2") * decay, 9).alias("weight"), F.greatest("d1", "d2").alias("degree"))
-    paths = one.join(two, [*scope, "via"]).where("a <> b").groupBy(*scope, "a", "b").agg(F.max(path).alias("best"))
-    found = paths.select(*scope, "a", "b", "best.weight", "best.degree")
-    return found.join(first.select(*scope, "a", "b"), [*scope, "a", "b"], "left_anti")
+    ``edges``, of which there is one for a pair; the best product of weights, halved,
+    with the larger degree of its path.  ``starts`` (a) names the chunks to start from,
+    all without it.  With ``most``, what cannot be among the best so many of a chunk is
+    left out; what remains is to be ranked.
+
+    Edges, not paths, are shuffled: those from a block of chunks and those to another
+    (whole numbers) meet in one place, and paths over the same ends are compared there."""
+    known = edges.dropna(subset=[*scope, "a", "b", "weight"])
+    first = known if starts is None else known.join(starts, "a", "left_semi")
+    columns = ["a", "b", "weight", F.col("degree").cast("long").alias("degree")]
+    froms = first.groupBy(*scope).agg(F.collect_set(_block("a")).alias("froms"))
+    tos = known.groupBy(*scope).agg(F.collect_set(_block("b")).alias("tos"))
+    both = froms.join(tos, [*scope]) if scope else froms.crossJoin(tos)
+    met = lambda e: e.join(both, [*scope]) if scope else e.crossJoin(both)
+    out = met(first).select(*scope, _block("a").alias("from"), F.explode("tos").alias("to"), F.lit(0).alias("leg"), *columns)
+    back = met(known).select(*scope, F.explode("froms").alias("from"), _block("b").alias("to"), F.lit(1).alias("leg"), *columns)
+
+    def kernel(key: tuple, table: pa.Table) -> tuple:
+        leg, one, two, weight, degree = (c.to_numpy() for c in table.columns[len(key) :])
+        go, on = leg == 0, leg == 1
+        a, b = np.unique(one[go]), np.unique(two[on])
+        if not len(a) or not len(b):
+            return (), (), (), ()
+        sort_go, sort_on = np.argsort(two[go], kind="stable"), np.argsort(one[on], kind="stable")
+        go, on = np.flatnonzero(go)[sort_go], np.flatnonzero(on)[sort_on]
+        via = np.intersect1d(two[go], one[on])
+        at_go, at_on = (zip(np.searchsorted(x, via), np.searchsorted(x, via, "right")) for x in (two[go], one[on]))
+        legs = []
+        for (g0, g1), (o0, o1) in zip(at_go, at_on):
+            g, o = go[g0:g1], on[o0:o1]
+            legs.append((np.searchsorted(a, one[g])[:, None], np.searchsorted(b, two[o]), weight[g][:, None], weight[o], degree[g][:, None], degree[o]))
+        best = np.full((len(a), len(b)), -np.inf)
+        for i, j, w1, w2, _, _ in legs:
+            best[i, j] = np.maximum(best[i, j], w1 * w2 * decay)
+        best[a[:, None] == b] = -np.inf
+        near = np.isin(two[go], b)  # what one edge reaches is no nearer by two
+        best[np.searchsorted(a, one[go][near]), np.searchsorted(b, two[go][near])] = -np.inf
+        if most is not None and len(b) > most:
+            least = np.partition(best, len(b) - most, axis=1)[:, len(b) - most]
+            best[best < (least - 2e-9)[:, None]] = -np.inf
+        top = np.full(best.shape, -1, np.int64)
+        for i, j, w1, w2, d1, d2 in legs:
+            product, own = w1 * w2 * decay, best[i, j]
+            close = np.isfinite(own) & (product >= own - 2e-9)  # may be the same in nine digits
+            if close.any():
+                for x, y in zip(*np.nonzero(close & (product != own))):
+                    close[x, y] = _rounded(float(product[x, y])) == _rounded(float(own[x, y]))
+                top[i, j] = np.maximum(top[i, j], np.where(close, np.maximum(d1, d2), -1))
+        x, y = np.nonzero(np.isfinite(best))
+        return a[x], b[y], best[x, y], top[x, y]
+
+    found = _by_group(out.unionAll(back), [*scope, "from", "to"], _edge_schema(known, scope, "a"), kernel)
+    return found.withColumn("weight", F.round("weight", 9))
 
 
 def name_matches(entities: DataFrame, terms: DataFrame, most: int = 200) -> DataFrame:

@@ -89,15 +89,17 @@ def entity_degree(spark, sf_dir):
     return graph.degrees(_relations(spark, sf_dir))
 
 
-def chunk_graph(spark, sf_dir):
-    """Edges between the chunks of each document, written.  Names are dealt by
-    document once, and all joins and groups of a document stay where it is."""
-    chunks = chunking.fixed_chunks(model.read(spark, sf_dir, "documents").select("doc_id", "text"))
+def chunk_graph(spark, sf_dir, most=None, own=None):
+    """Edges between the chunks of each document, or of those in ``own`` (doc_id), written;
+    with ``most`` the best so many of each chunk.  Names are dealt by document once, and
+    all joins and groups of a document stay where it is."""
+    docs = model.read(spark, sf_dir, "documents").select("doc_id", "text")
+    chunks = chunking.fixed_chunks(docs if own is None else docs.join(own, "doc_id", "left_semi"))
     names = chunks.select("doc_id", F.col("chunk_index").alias("chunk_id"), candidate_names(F.col("content")).alias("names"))
-    return document_graphs(names)
+    return document_graphs(names, most)
 
 
-def document_graphs(names):
+def document_graphs(names, most=None):
     """The chunk graph of each document from the names of its chunks (doc_id, chunk_id, names), written."""
     spark, scope = names.sparkSession, ("doc_id",)
     names = written(names, "chunk-names").repartition("doc_id")
@@ -105,12 +107,12 @@ def document_graphs(names):
     relations = graph.merge_relations(_neighbours(names), scope)
     weighted = graph.relation_weights(graph.merge_entities(mentions, scope), relations, scope)
     with planned(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        return written(graph.chunk_edges(weighted, mentions, scope), "chunk-edges")
+        return written(graph.chunk_edges(weighted, mentions, scope, most), "chunk-edges")
 
 
 @query("chunk_graph_direct", f"WITH {SQL_CHUNK_EDGES} SELECT doc_id, a, b, round(best.w, 6) AS weight, best.d AS degree, {SQL_TOP} AS rank FROM edges QUALIFY rank <= 8")
 def chunk_graph_direct(spark, sf_dir):
-    found = graph.top_neighbours(chunk_graph(spark, sf_dir), scope=("doc_id",))
+    found = graph.top_neighbours(chunk_graph(spark, sf_dir, 8), scope=("doc_id",))
     return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 
@@ -123,7 +125,7 @@ def chunk_graph_direct(spark, sf_dir):
 )
 def chunk_graph_two_hop(spark, sf_dir):
     scope = ("doc_id",)
-    found = graph.top_neighbours(graph.two_hop(chunk_graph(spark, sf_dir), scope=scope), scope=scope)
+    found = graph.top_neighbours(graph.two_hop(chunk_graph(spark, sf_dir), scope=scope, most=8), scope=scope)
     return found.select("doc_id", "a", "b", F.round("weight", 6).alias("weight"), "degree", "rank")
 
 

@@ -1,11 +1,13 @@
 """Steps whose work or memory must not outgrow their input."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusq import registry
-from corpusq.operators import chunking
+from corpusq.operators import chunking, graph
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -37,3 +39,32 @@ def test_chunks_leave_in_bounded_batches():
     assert max(sum(map(len, b.column(4).to_pylist())) for b in out) <= 1.3 * chunking.BATCH_CHARS
     rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns))]
     assert rows == [(i, k, a, b, t[a:b].strip()) for i, t in enumerate(texts) if t for k, (a, b) in enumerate(chunking.fixed_windows(t))]
+
+
+def test_graph_of_many_blocks(spark):
+    """A document of several blocks of chunks has the edges and paths of a plain graph, and shuffles no pairs or paths."""
+    draw = random.Random(7)
+    mentions = sorted({(1, draw.choice("abcdef"), draw.randrange(0, 700, 7)) for _ in range(90)})
+    relations = [(1, s, t, w) for s, t, w in (("a", "b", 1.1), ("b", "c", 2.3), ("d", "e", 3.7), ("e", "f", 1.1), ("c", "d", 5.0))]
+    m = spark.createDataFrame(mentions, "doc_id long, name string, chunk_id int")
+    r = spark.createDataFrame(relations, "doc_id long, source string, target string, weight double")
+    degree = {n: sum(n in x[1:3] for x in relations) for n in "abcdef"}
+    edges, two = {}, {}
+    for _, s, t, w in relations:
+        for a in [c for _, n, c in mentions if n == s]:
+            for b in [c for _, n, c in mentions if n == t and c != a]:
+                for k in ((a, b), (b, a)):
+                    edges[k] = max(edges.get(k, (0, 0)), (w, degree[s] + degree[t]))
+    for (a, v), (w1, d1) in edges.items():
+        for (x, b), (w2, d2) in edges.items():
+            if x == v and a != b and (a, b) not in edges:
+                two[a, b] = max(two.get((a, b), (0, 0)), (round(w1 * w2 * 0.5, 9), max(d1, d2)))
+    every = graph.chunk_edges(r, m, ("doc_id",))
+    assert {(x.a, x.b): (x.weight, x.degree) for x in every.collect()} == edges
+    hops = graph.two_hop(every, scope=("doc_id",))
+    assert {(x.a, x.b): (x.weight, x.degree) for x in hops.collect()} == two and two
+    few = graph.top_neighbours(graph.chunk_edges(r, m, ("doc_id",), 3), 3, ("doc_id",)).collect()
+    best = lambda found: {k for a in {a for a, _ in found} for k in sorted((k for k in found if k[0] == a), key=lambda k: (-found[k][0], -found[k][1], k[1]))[:3]}
+    assert {(x.a, x.b) for x in few} == best(edges)
+    few = graph.top_neighbours(graph.two_hop(every, scope=("doc_id",), most=3), 3, ("doc_id",)).collect()
+    assert {(x.a, x.b) for x in few} == best(two)
