@@ -35,7 +35,7 @@ def _related(near, hits):
     names = near.select("doc_id", F.col("id").alias("chunk_id"), candidate_names(F.col("content")).alias("names"))
     edges, scope, starts = document_graphs(names), ("doc_id",), hits.select(F.col("id").alias("a"))
     direct = graph.top_neighbours(edges.join(starts, "a", "left_semi"), scope=scope)
-    return direct, graph.top_neighbours(graph.two_hop(edges, scope=scope, starts=starts), scope=scope)
+    return direct, graph.top_neighbours(graph.two_hop(edges, scope=scope, starts=starts, most=8), scope=scope)
 
 
 @query("chat_search")

@@ -12,7 +12,7 @@ from corpusq.plans.chunks import SQL_CHUNKS
 from corpusq.plans.graphs import SQL_CHUNK_EDGES, SQL_TOP, chunk_graph
 from corpusq.registry import query
 from corpusq.streaming import jobs
-from corpusq.tables import shared_folder
+from corpusq.tables import shared_folder, sized, written
 
 #: Hits of a passage: the chunks of a document that share a position with it, by position.
 SQL_SPANS = f"""{SQL_CHUNKS},
@@ -91,14 +91,15 @@ reached AS (SELECT query_id, t.doc_id * 100000 + b AS next, min({{'k': kind, 'r'
     WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.query_id = r.query_id AND top.id = r.next) QUALIFY position <= 3""",
 )
 def relation_expansion(spark, sf_dir):
-    """Chunks that the hits of a passage lead to in the chunk graph, three for each query."""
+    """Chunks that the hits of a passage lead to in the chunk graph, three for each query.
+    A graph is that of one document, so those of the documents hit are all that is needed."""
     scope = ("doc_id",)
-    edges = chunk_graph(spark, sf_dir)
-    named = lambda e: graph.top_neighbours(e, scope=scope).select(
-        *[(F.col("doc_id") * 100000 + F.col(c)).alias(c) for c in ("a", "b")], "rank"
-    )
-    hits = _candidates(spark, sf_dir).where("rank <= 3").select("query_id", "id", "rank")
-    return graph.expand_relations(hits, named(edges), named(graph.two_hop(edges, scope=scope)))
+    hits = written(_candidates(spark, sf_dir).where("rank <= 3").select("query_id", "id", "rank", "doc_id"), "hits")
+    own = written(hits.select("doc_id").distinct(), "hit-documents")
+    edges = chunk_graph(spark, sf_dir, own=sized(own)).withColumns({c: F.col("doc_id") * 100000 + F.col(c) for c in ("a", "b")})
+    hits, starts = hits.drop("doc_id"), hits.select(F.col("id").alias("a")).distinct()
+    direct = graph.top_neighbours(edges.join(starts, "a", "left_semi"), scope=scope)
+    return graph.expand_relations(hits, direct, graph.top_neighbours(graph.two_hop(edges, scope=scope, starts=starts, most=8), scope=scope))
 
 
 @query("strategy_evaluation")
