@@ -108,22 +108,46 @@ def inject_links(text: str, names: list[tuple[str, str]], most: int = 80) -> str
             open_lines.append(False)
         else:
             open_lines.append(not fenced and not line.lstrip().startswith("#"))
+    low = [line.lower() for line in lines]
     used = 0
     for name, slug in sorted(names, key=lambda n: (-len(n[0]), n[0])):
         if used >= most or f"[[{slug}" in text:
             continue
-        pattern = re.compile(r"(\[\[[^\]]*\]\])|(?<![\w])(" + re.escape(name) + r")(?![\w])", re.IGNORECASE)
         for i, line in enumerate(lines):
             if not open_lines[i]:
                 continue
-            hit = next((m for m in pattern.finditer(line) if m[2]), None)
-            if hit:
-                lines[i] = f"{line[: hit.start()]}[[{slug}|{hit[2]}]]{line[hit.end() :]}"
+            begin = _first_mention(line, low[i], name)
+            if begin >= 0:
+                end = begin + len(name)
+                lines[i] = f"{line[:begin]}[[{slug}|{line[begin:end]}]]{line[end:]}"
+                low[i] = lines[i].lower()
                 used += 1
                 break
     return "\n".join(lines)
 
 
+_LINK = re.compile(r"\[\[[^\]]*\]\]")
+#: Signs for which ``lower`` may say less than a search without case.
+_OTHER = re.compile("[^\x00-\xb4\xb6-\xff]")
+
+
+def _first_mention(line: str, low: str, name: str) -> int:
+    """Where a name first stands in a line as a word, without case and outside links; -1 if nowhere."""
+    if not name or "[" in name or "]" in name or _OTHER.search(name) or _OTHER.search(line):
+        pattern = re.compile(r"(\[\[[^\]]*\]\])|(?<![\w])(" + re.escape(name) + r")(?![\w])", re.IGNORECASE)
+        return next((m.start() for m in pattern.finditer(line) if m[2]), -1)
+    sought, size, links = name.lower(), len(name), None
+    at = low.find(sought)
+    while at >= 0:
+        around = line[max(at - 1, 0) : at] + line[at + size : at + size + 1]
+        if not any(c.isalnum() or c == "_" for c in around):
+            links = [m.span() for m in _LINK.finditer(line)] if links is None else links
+            if not any(a <= at < b for a, b in links):
+                return at
+        at = low.find(sought, at + 1)
+    return -1
+
+
 def cross_link(pages: DataFrame, most: int = 80) -> DataFrame:
     """Pages (slug, text, names: array of struct(name, slug)) with links put in."""
 

@@ -1,13 +1,17 @@
 """Steps whose work or memory must not outgrow their input."""
 
 import random
+import re
 
 import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusq import registry
-from corpusq.operators import chunking, graph
+from corpusq.operators import chunking, graph, wiki
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -68,3 +72,21 @@ def test_graph_of_many_blocks(spark):
     assert {(x.a, x.b) for x in few} == best(edges)
     few = graph.top_neighbours(graph.two_hop(every, scope=("doc_id",), most=3), 3, ("doc_id",)).collect()
     assert {(x.a, x.b) for x in few} == best(two)
+
+
+PIECES = ["Anna", "anna", "ANNA Bell", "Bell", "[[", "]]", "|", " ", "_", "é", "É", "\u017f", "k", "\u212a", "x1", ".", "\u2014"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join), st.lists(st.sampled_from(PIECES[:4] + PIECES[9:15]), min_size=1, max_size=3).map("".join))
+def test_first_mention_agrees_with_one_pattern(line, name):
+    pattern = re.compile(r"(\[\[[^\]]*\]\])|(?<![\w])(" + re.escape(name) + r")(?![\w])", re.IGNORECASE)
+    assert wiki._first_mention(line, line.lower(), name) == next((m.start() for m in pattern.finditer(line) if m[2]), -1)
+
+
+def test_links_of_many_names_need_no_patterns(monkeypatch):
+    """No pattern is compiled for a name of plain letters."""
+    names = [(f"Name{k}", f"entity/name{k}") for k in range(60)]
+    monkeypatch.setattr(wiki.re, "compile", lambda *_: pytest.fail("compiled"))
+    out = wiki.inject_links(" ".join(n for n, _ in names), names)
+    assert out == " ".join(f"[[{s}|{n}]]" for n, s in names)
