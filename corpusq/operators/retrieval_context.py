@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +14,8 @@ from pyspark.sql.types import StructType
 CONTEXT_CHARS = 4096
 #: Parents that are written over at once.
 PARENTS = 256
+#: Chunks that are taken from a batch at once, and characters of those that leave a task in one.
+ROWS, BATCH_CHARS = 1_024, 1_000_000
 
 
 def collapse_siblings(hits: DataFrame) -> DataFrame:
@@ -68,36 +69,63 @@ def live_only(hits: DataFrame, live: DataFrame) -> DataFrame:
     return hits.join(live.select("id").distinct(), "id", "left_semi")
 
 
+def widened(texts: list[str], at: int, short: int, enough: int) -> str:
+    """The text at a place of a document's chunks, with its neighbours' if it is short."""
+    own = texts[at]
+    if len(own) >= short:
+        return own
+    front: list[str] = []
+    size, back = len(own), []
+    for parts, places in ((front, range(at - 1, -1, -1)), (back, range(at + 1, len(texts)))):
+        for j in places:
+            if size >= enough:
+                break
+            if texts[j] not in own:
+                parts.append(texts[j])
+                size += len(texts[j])
+    return "\n".join([*reversed(front), own, *back])
+
+
 def expand_short(chunks: DataFrame, short: int = 350, enough: int = 850) -> DataFrame:
     """Chunks shorter than ``short`` with text of their neighbours: those before
     are put in front until ``enough`` characters are there, then those after
-    behind; a neighbour that stands in the chunk itself is passed over.  Works
-    on one document's rows in the order of the chunks."""
-
-    def widen(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("chunk_index").reset_index(drop=True)
-        texts, out = frame["content"].tolist(), []
-        for i, own in enumerate(texts):
-            parts, size = [own], len(own)
-            if len(own) < short:
-                for j in range(i - 1, -1, -1):
-                    if size >= enough:
-                        break
-                    if texts[j] not in own:
-                        parts.insert(0, texts[j])
-                        size += len(texts[j])
-                for j in range(i + 1, len(texts)):
-                    if size >= enough:
-                        break
-                    if texts[j] not in own:
-                        parts.append(texts[j])
-                        size += len(texts[j])
-            out.append("\n".join(parts))
-        return frame.assign(expanded=out)[["doc_id", "chunk_index", "expanded"]]
-
-    kind = chunks.schema["doc_id"].dataType.simpleString()
+    behind; a neighbour that stands in the chunk itself is passed over.  Chunks
+    are sorted by document where they meet, and a task holds the texts of one
+    document and the rows of one batch that goes out."""
+    typed = StructType.fromDDL(f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, expanded string")
+    out_schema = to_arrow_schema(typed)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), out_schema)], schema=out_schema)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[int], list[str]]]:
+        key, places, texts = None, [], []
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                for doc_id, index, text in zip(*(c.to_pylist() for c in batch.slice(begin, ROWS).columns)):
+                    if texts and doc_id != key:
+                        yield key, places, texts
+                        places, texts = [], []
+                    key = doc_id
+                    places.append(index)
+                    texts.append(text)
+        if texts:
+            yield key, places, texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for doc_id, places, texts in documents(batches):
+            for at, index in enumerate(places):
+                rows.append((doc_id, index, widened(texts, at, short, enough)))
+                size += len(rows[-1][2])
+                if size >= BATCH_CHARS:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
     columns = chunks.select("doc_id", "chunk_index", "content")
-    return columns.groupBy("doc_id").applyInPandas(widen, f"doc_id {kind}, chunk_index int, expanded string")
+    return columns.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").mapInArrow(run, typed)
 
 
 def overlay_edits(parent: str, offset: int, edits: list[tuple[int, int, str, int]]) -> tuple[str, list[tuple[int, int, int, int]]]:

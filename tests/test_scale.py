@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusq import registry
-from corpusq.operators import chunking, graph, wiki
+from corpusq.operators import chunking, graph, retrieval_context, wiki
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -31,6 +31,8 @@ class Step:
     def select(self, *_):
         return self
 
+    repartition = sortWithinPartitions = select
+
     def mapInArrow(self, run, _):
         return run
 
@@ -45,6 +47,21 @@ def test_chunks_leave_in_bounded_batches():
     assert rows == [(i, k, a, b, t[a:b].strip()) for i, t in enumerate(texts) if t for k, (a, b) in enumerate(chunking.fixed_windows(t))]
 
 
+def test_wide_chunks_leave_in_bounded_batches(spark):
+    """A document of many short chunks leaves as many batches, and one may go on over batches that come in."""
+    short = [f"Part {i}. " * (1 + i % 40) for i in range(9000)]
+    rows = [(1, i, t) for i, t in enumerate(short)] + [(2, 0, "alone"), (3, 0, "a" * 400), (3, 1, "a" * 9), (3, 2, "b"), (None, 0, "x"), (None, 1, "y")]
+    batches = [pa.record_batch(dict(zip(("doc_id", "chunk_index", "content"), map(list, zip(*rows[k : k + 4000]))))) for k in range(0, len(rows), 4000)]
+    out = list(retrieval_context.expand_short(Step("doc_id long, chunk_index int, content string"))(iter(batches)))
+    assert max(sum(map(len, b.column(2).to_pylist())) for b in out) <= retrieval_context.BATCH_CHARS + 2000 and len(out) > 5
+    found = {(d, i): x for b in out for d, i, x in zip(*(c.to_pylist() for c in b.columns))}
+    assert len(found) == len(rows) and found[1, 39] == short[39]
+    n = next(n for n in range(9000) if sum(map(len, short[:n])) >= 850)
+    assert found[1, 0] == "\n".join(short[:n]) and n > 5
+    assert (found[2, 0], found[3, 0], found[3, 1], found[3, 2]) == ("alone", "a" * 400, "\n".join(["a" * 400, "a" * 9, "b"]), "\n".join(["a" * 400, "a" * 9, "b"]))
+    assert (found[None, 0], found[None, 1]) == ("x\ny", "x\ny")
+
+
 def test_graph_of_many_blocks(spark):
     """A document of several blocks of chunks has the edges and paths of a plain graph, and shuffles no pairs or paths."""
     draw = random.Random(7)
