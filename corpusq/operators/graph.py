@@ -291,32 +291,57 @@ def search(
     the entity before its other end, and each gives its chunks by id; a chunk comes
     once.  Entities without relation give nothing, nor do null names, terms and scopes.
 
-    Lists are cut before they are shuffled: of a hub's relations and of a frequent
-    name's chunks a task passes on no more than a query can take."""
+    Lists are cut before they meet the queries, so what is met does not grow with the
+    graph: of a term's entities and of an entity's relations the first ``most``, of a
+    query's entities those before which there are fewer, and of a name's chunks the
+    first k and as many as a query has seen at most, since no more of them can be
+    passed over.  Behind a name that has so many, a query needs none."""
     low = terms.select("query_id", F.lower("term").alias("string_id")).distinct()
+    entities = written(entities.select(scope, "name", "frequency"), "graph-entities")
     names = entities.select("name").distinct().withColumn("low", F.lower("name"))
     strings = low.select("string_id", F.col("string_id").alias("string")).distinct()
-    held = occurrences(names, strings, "name", "low").join(low, "string_id").select("query_id", "name").distinct()
-    both = relations.select(scope, F.explode(F.array(F.struct("source", "target"), F.struct(F.col("target").alias("source"), F.col("source").alias("target")))).alias("e"))
-    links = both.select(scope, F.col("e.source").alias("name"), F.col("e.target").alias("other"))
-    linked = entities.select(scope, "name", "frequency").join(sized(written(held, "held-names")), "name")
-    linked = linked.join(links.select(scope, "name"), [scope, "name"], "left_semi")
-    by_entity = W.partitionBy("query_id", scope).orderBy(F.desc("frequency"), "name")
-    matched = written(linked.withColumn("nth", F.row_number().over(by_entity)).where(F.col("nth") <= most), "matched-names")
-
+    held = written(occurrences(names, strings, "name", "low").select("string_id", "name"), "held-names")
+    pair = F.sort_array(F.array("source", "target"))
+    pairs = written(relations.select(scope, pair[0].alias("one"), pair[1].alias("two")).distinct(), "graph-relations")
+    ways = F.array_distinct(F.array(F.struct(F.col("one").alias("name"), F.col("two").alias("other")), F.struct(F.col("two").alias("name"), F.col("one").alias("other"))))
+    links = pairs.select(scope, F.explode(ways).alias("e")).select(scope, "e.name", "e.other")
+    n_links = links.groupBy(scope, "name").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = entities.join(sized(held), "name").join(n_links, [scope, "name"])
+    by_entity = [F.desc("frequency"), "name"]
+    of_term = F.row_number().over(W.partitionBy("string_id", scope).orderBy(*by_entity))
+    best = written(linked.withColumn("nth", of_term).where(F.col("nth") <= most).drop("nth"), "matched-names")
+    of_query = F.row_number().over(W.partitionBy("query_id", scope).orderBy(*by_entity))
+    asked = best.join(sized(written(low, "query-terms")), "string_id").drop("string_id").distinct()
+    matched = asked.withColumn("nth", of_query).where(F.col("nth") <= most)
+    before = W.partitionBy("query_id", scope).orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
+    reached = matched.withColumn("before", F.coalesce(F.sum("n_links").over(before), F.lit(0))).where(F.col("before") < most)
+    reached = written(reached.select("query_id", scope, "name", "nth"), "matched-names")
+
+    own = sized(written(reached.select(scope, "name").distinct(), "matched-entities"))
+    by_other = W.partitionBy(scope, "name").orderBy("other")
+    first = links.join(own, [scope, "name"], "left_semi").withColumn("__n", F.row_number().over(by_other)).where(F.col("__n") <= most)
     by_link = W.partitionBy("query_id", scope).orderBy("nth", "other")
-    hops = links.distinct().join(sized(matched), [scope, "name"]).withColumn("row", F.row_number().over(by_link)).where(F.col("row") <= most)
+    hops = first.join(sized(reached), [scope, "name"]).withColumn("row", F.row_number().over(by_link)).where(F.col("row") <= most)
     ends = F.array(F.struct(F.col("name"), (2 * F.col("row")).alias("at")), F.struct(F.col("other").alias("name"), (2 * F.col("row") + 1).alias("at")))
     visited = hops.select("query_id", scope, F.explode(ends).alias("v")).groupBy("query_id", scope, F.col("v.name").alias("name")).agg(F.min("v.at").alias("at"))
-
-    found = mentions.select(scope, "name", "id").join(sized(written(visited, "visited-names")), [scope, "name"])
-    unseen = found.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    # what stands before a chunk in its name's list is chosen as well, so k of each name are enough
-    own = W.partitionBy("query_id", scope, "at").orderBy("id")
-    cut = unseen.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= k)
-    once = cut.groupBy("query_id", "id").agg(F.min(F.struct(F.col(scope).alias("scope"), "at")).alias("first"))
+    visited = written(visited, "visited-names")
+
+    seen = written(seen.select("query_id", "id"), "seen")
+    most_seen = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    own = sized(written(visited.select(scope, "name").distinct(), "visited-entities"))
+    by_id = W.partitionBy(scope, "name").orderBy("id")
+    heads = mentions.select(scope, "name", "id").join(own, [scope, "name"], "left_semi")
+    heads = heads.withColumn("__n", F.dense_rank().over(by_id)).where(F.col("__n") <= k + most_seen)
+    heads = written(heads, "visited-chunks")
+    enough = heads.groupBy(scope, "name").agg(F.max("__n").alias("n")).where(F.col("n") >= k + most_seen).select(scope, "name", F.lit(1).alias("enough"))
+    earlier = W.partitionBy("query_id").orderBy(scope, "at").rowsBetween(W.unboundedPreceding, -1)
+    needed = visited.join(sized(written(enough, "full-names")), [scope, "name"], "left")
+    needed = needed.withColumn("full", F.coalesce(F.max("enough").over(earlier), F.lit(0))).where("full = 0")
+    found = heads.join(sized(written(needed.select("query_id", scope, "name", "at"), "needed-names")), [scope, "name"])
+    once = found.groupBy("query_id", "id").agg(F.min(F.struct(F.col(scope).alias("scope"), "at")).alias("first"))
+    unseen = once.join(sized(seen), ["query_id", "id"], "left_anti")
     order = W.partitionBy("query_id").orderBy("first", "id")
-    return once.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("query_id", "id", "position")
+    return unseen.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("query_id", "id", "position")
 
 
 def expand_relations(hits: DataFrame, direct: DataFrame, indirect: DataFrame, most: int = 3) -> DataFrame:

@@ -107,3 +107,23 @@ def test_links_of_many_names_need_no_patterns(monkeypatch):
     monkeypatch.setattr(wiki.re, "compile", lambda *_: pytest.fail("compiled"))
     out = wiki.inject_links(" ".join(n for n, _ in names), names)
     assert out == " ".join(f"[[{s}|{n}]]" for n, s in names)
+
+
+def test_graph_search_meets_no_more_of_a_larger_graph(spark, monkeypatch):
+    """What meets the queries is as much with a hub of 40 chunks as with one of 400; a mention given twice counts once."""
+    frame, sizes = spark.createDataFrame, []
+    real = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: sizes[-1].setdefault(name, real(df, name)) if name == "visited-chunks" else real(df, name))
+    for n in (40, 400):
+        sizes.append({})
+        mentions = [("s", "Hub", i) for i in range(n)] * 2 + [("s", f"N{i}", i) for i in range(n)]
+        out = graph.search(
+            frame([(q, "hub") for q in range(5)], "query_id int, term string"),
+            frame([("s", "Hub", n)] + [("s", f"N{i}", 1) for i in range(n)], "kb_id string, name string, frequency long"),
+            frame([("s", "Hub", f"N{i}") for i in range(n)] + [("s", "N0", "Hub")], "kb_id string, source string, target string"),
+            frame(mentions, "kb_id string, name string, id int"), frame([(0, 0), (0, 2), (1, 1)], "query_id int, id int"), 3, most=20,
+        )
+        found = {q: [r.id for r in sorted(out.where(f"query_id = {q}").collect(), key=lambda r: r.position)] for q in range(3)}
+        assert found == {0: [1, 3, 4], 1: [0, 2, 3], 2: [0, 1, 2]}
+    rows = [s["visited-chunks"].count() for s in sizes]
+    assert rows[0] == rows[1] <= 2 * (3 + 2) + 20
