@@ -11,6 +11,8 @@ for blocks of strings of a bounded size, in place of a join on containment.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from corpusq.functions.text import tokens
 from corpusq.tables import sized, written
@@ -35,6 +37,8 @@ BLOCK_TERMS = 20_000
 DOC_BATCH = 512
 #: Finds that leave a task in one batch.
 FOUND_ROWS = 20_000
+#: Characters of a word whose scores a task remembers, and figures that it remembers at most.
+WORD_CHARS, KNOWN = 64, 1_000_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -265,14 +269,86 @@ def occurrences(docs: DataFrame, strings: DataFrame, id_col: str = "doc_id", tex
     return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
 
 
+def _word_terms(terms: list[str]) -> tuple[re.Pattern, Callable[[str], tuple[list[int], list[int]]]]:
+    """A pattern for the pieces of a text that can hold terms (runs of signs that terms
+    are made of), and a function from such a piece to the places of the terms in it and
+    the characters that each covers without overlapping itself."""
+    machine = ahocorasick.Automaton()
+    for k, term in enumerate(terms):
+        machine.add_word(term, (k, len(term)))
+    machine.make_automaton()
+    runs = re.compile("[" + "".join(map(re.escape, sorted(set("".join(terms))))) + "]+")
+
+    def held(word: str) -> tuple[list[int], list[int]]:
+        ends: dict[int, int] = {}
+        covered: dict[int, int] = {}
+        for end, (k, size) in machine.iter(word):
+            if end - size >= ends.get(k, -1):
+                ends[k] = end
+                covered[k] = covered.get(k, 0) + size
+        return list(covered), list(covered.values())
+
+    return runs, held
+
+
 def substring_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(query_id, id, score): occurrences of each distinct query term as a
-    substring of the lower-cased text, times its length, added up."""
+    substring of the lower-cased text, times its length, added up.
+
+    A term has no sign but those of its letters, so it stands inside a run of such
+    signs, and what a run adds is the same in every text: a task finds it once for a
+    word and adds up words.  Scores are whole numbers, so their sums are exact."""
     terms = written(query_terms(queries).where(F.length("term") > 1).select("query_id", "term"), "substring-terms")
-    wanted = terms.select(F.col("term").alias("string_id"), F.col("term").alias("string")).distinct()
-    held = occurrences(docs.select(id_col, F.lower("text").alias("low")), wanted, id_col, "low")
-    part = held.select(id_col, F.col("string_id").alias("term"), (F.col("n") * F.length("string_id")).cast("double").alias("part"))
-    return part.join(sized(terms), "term").groupBy("query_id", id_col).agg(F.sum("part").alias("score"))
+    schema = StructType([terms.schema["query_id"], docs.schema[id_col], StructField("score", DoubleType())])
+    out_schema = to_arrow_schema(schema)
+    low = docs.select(id_col, F.lower("text").alias("low"))
+
+    def search(block: list[tuple]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def made(rows: list[tuple], names: pa.Array) -> pa.RecordBatch:
+            ids = pa.array([r[0] for r in rows], type=out_schema.field(1).type)
+            columns = [names.take(pa.array(np.concatenate([r[1] for r in rows]))), ids.take(pa.array(np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([r[2] for r in rows]))], schema=out_schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, query = np.unique(np.array([q for q, _ in sent.value], object), return_inverse=True)
+            wanted, term = np.unique(np.array([x for _, x in sent.value], object), return_inverse=True)
+            queries, known = pa.array(names.tolist(), type=out_schema.field(0).type), {}
+            runs, terms_of = _word_terms(wanted.tolist())
+            rows, size, held = [], 0, 0
+            for batch in batches:
+                for doc, body in zip(*batch.columns):  # a text at a time, so memory is that of a batch, of words and of what goes out
+                    places, parts, times = [], [], []
+                    for word, n in Counter(runs.findall(body.as_py() or "")).items():
+                        own = known.get(word)
+                        if own is None:
+                            own = terms_of(word)
+                            if len(word) <= WORD_CHARS and held < KNOWN:
+                                known[word] = own
+                                held += 1 + len(own[0])
+                        places += own[0]
+                        parts += own[1]
+                        times += [n] * len(own[0])
+                    if not places:
+                        continue
+                    covered = np.bincount(places, np.multiply(parts, times), len(wanted))
+                    total = np.bincount(query, covered[term], len(names))
+                    at = np.flatnonzero(total)
+                    rows.append((doc.as_py(), at, total[at]))
+                    size += len(at)
+                    if size >= FOUND_ROWS:
+                        yield made(rows, queries)
+                        rows, size = [], 0
+            if rows:
+                yield made(rows, queries)
+
+        return low.mapInArrow(run, schema)
+
+    strings = terms.select(F.col("query_id").alias("string_id"), F.col("term").alias("string"))
+    parts = [search(b) for b in _blocks(strings)]
+    every = reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    return every.groupBy("query_id", id_col).agg(F.sum("score").alias("score"))
 
 
 def containing(docs: DataFrame, queries: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusq import registry
-from corpusq.operators import chunking, graph, retrieval_context, wiki
+from corpusq.operators import chunking, graph, lexical, retrieval_context, wiki
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -127,3 +127,33 @@ def test_graph_search_meets_no_more_of_a_larger_graph(spark, monkeypatch):
         assert found == {0: [1, 3, 4], 1: [0, 2, 3], 2: [0, 1, 2]}
     rows = [s["visited-chunks"].count() for s in sizes]
     assert rows[0] == rows[1] <= 2 * (3 + 2) + 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abAé1", min_size=2, max_size=3), min_size=1, max_size=4, unique=True), st.text("abAé1 -\n", max_size=40))
+def test_words_hold_what_their_text_holds(terms, text):
+    """Terms are found word by word as in the whole text."""
+    runs, held = lexical._word_terms(terms)
+    found = dict.fromkeys(range(len(terms)), 0)
+    for word in runs.findall(text):
+        for k, n in zip(*held(word)):
+            found[k] += n
+    assert found == {k: text.count(x) * len(x) for k, x in enumerate(terms)}
+
+
+@pytest.mark.parametrize("block,known", [(500_000, 1_000_000), (4, 1)])
+def test_substring_scores_as_a_plain_version(spark, monkeypatch, block, known):
+    """A word that comes again is not searched again; blocks, ids that repeat and nulls change nothing."""
+    monkeypatch.setattr(lexical, "BLOCK_CHARS", block)
+    monkeypatch.setattr(lexical, "KNOWN", known)
+    texts = [(1, "banana Ananas x" * 3), (2, None), (3, ""), (4, "none" + "a" * 90), (1, "an an"), (None, "bana"), (5, "xyz")]
+    asked = [(7, "ana AN a"), (8, "nan, an"), (9, ""), (10, None)]
+    expected: dict = {}
+    for q, words in ((7, ("ana", "an")), (8, ("nan", "an"))):
+        for i, text in texts:
+            n = sum((text or "").lower().count(w) * len(w) for w in words)
+            if n:
+                expected[q, i] = expected.get((q, i), 0) + n
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = lexical.substring_scores(docs, spark.createDataFrame(asked, "query_id long, query string")).collect()
+    assert {(r.query_id, r.doc_id): r.score for r in out} == expected and len(out) == len(expected)
