@@ -383,10 +383,28 @@ def fault_of(vector: object, dimension: int) -> str | None:
     return None if values.any() else "invalid_vector_zero_norm"
 
 
+def first_fault(vectors: list, dimension: int) -> str | None:
+    """The fault of the first vector that has one; sound ones are looked at together."""
+    try:
+        m = np.asarray(vectors, dtype=float)
+    except (TypeError, ValueError):
+        m = np.zeros(0)
+    if m.shape == (len(vectors), dimension) and np.isfinite(m).all() and m.any(axis=1).all():
+        return None
+    return next((f for f in (fault_of(v, dimension) for v in vectors) if f), None)
+
+
+def unit_rows(units: pa.ListScalar) -> list[dict]:
+    """The units of a document, taken column by column."""
+    own = units.values
+    names = [f.name for f in own.type]
+    return [dict(zip(names, row)) for row in zip(*(c.to_pylist() for c in own.flatten()))]
+
+
 def far_units(vectors: list, segments: list[int], percentile: float) -> list[int]:
     """Units whose window is as far from the one before, in their segment, as the
     percentile of the document's distances."""
-    m = np.array([np.asarray(v, dtype=float) for v in vectors])
+    m = np.array(vectors, dtype=float)
     m /= np.sqrt((m * m).sum(axis=1))[:, None]
     distances = 1 - np.clip((m[1:] * m[:-1]).sum(axis=1), -1, 1)
     same = np.flatnonzero(np.array(segments[1:]) == np.array(segments[:-1]))
@@ -421,7 +439,7 @@ def _planned(
         text = "".join(text)
         reasons, marks, stages = [], [], []
         if requested == "semantic":
-            fault = problem or next((f for f in (fault_of(v, dimension) for v in vectors or []) if f), None)
+            fault = problem or first_fault(vectors or [], dimension)
             if fault:
                 reasons.append({"strategy": "semantic", "reason": fault})
             else:
@@ -455,7 +473,7 @@ def _planned(
         for batch in batches:
             held, n = [], 0
             for at in range(batch.num_rows):  # some documents at a time, so memory is that of the largest
-                held.append(tuple(batch.column(k)[at].as_py() for k in range(3)))
+                held.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), unit_rows(batch.column(2)[at])))
                 n += len(held[-1][2])
                 if n >= AT_ONCE or at + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_pylist(together(held), schema=out_schema)

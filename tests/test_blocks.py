@@ -280,3 +280,17 @@ def test_empty_blocks(spark):
     assert B.chunk_plan(df, requested="semantic", embed=word_vectors, signature="m:16").count() == 0
     few = df.select("doc_id", "block_index", "kind", "text", F.lit("mine").alias("unit"))
     assert B.atomic_units(few).count() == 0
+
+
+def test_units_and_vectors_of_a_document_are_taken_together(spark):
+    """Units by column are those by row, of a slice too; the first fault is that of the vectors one by one."""
+    import pyarrow as pa
+
+    rows = [[{"unit": k, "title": None if k % 2 else "t", "hard": k == 1} for k in range(n)] for n in (2, 0, 3)]
+    units = pa.array(rows, type=pa.list_(pa.struct({"unit": pa.int64(), "title": pa.string(), "hard": pa.bool_()})))
+    assert [B.unit_rows(u) for u in units] == rows and [B.unit_rows(u) for u in units.slice(1)] == rows[1:]
+    good = [[1.0, 2.0], [0.0, 3.0]]
+    for bad in (None, "embedding_error", [1.0], [0.0, 0.0], [float("nan"), 1.0], "12", [[1.0, 2.0]], ["a", "b"]):
+        for vectors in ([*good, bad, "late"], [bad, *good], [bad], [bad, bad]):
+            assert B.first_fault(vectors, 2) == next(f for f in (B.fault_of(v, 2) for v in vectors) if f)
+    assert B.first_fault(good, 2) is None and B.first_fault([], 2) is None
