@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
@@ -32,9 +33,10 @@ K1, B = 1.2, 0.75
 FLOOR_IDF = 1e-6
 #: Characters of the strings that one pass over the texts looks for.
 BLOCK_CHARS = 500_000
-#: Query terms that are scored together, and documents of a step.
-BLOCK_TERMS = 20_000
-DOC_BATCH = 512
+#: Query terms that are scored together, cells of their table of terms and queries, and
+#: documents of a step and cells of its tables.
+BLOCK_TERMS, BLOCK_CELLS = 20_000, 4_000_000
+DOC_BATCH, STEP_CELLS = 512, 2_000_000
 #: Finds that leave a task in one batch.
 FOUND_ROWS = 20_000
 #: Characters of a word whose scores a task remembers, and figures that it remembers at most.
@@ -132,18 +134,21 @@ def _best_of_block(held: DataFrame, block: list[tuple], avgdl: float, k: int, id
         queries, terms, matrix = sent.value
         best = np.full((len(queries), 0), -np.inf)
         ids = np.zeros((len(queries), 0), object)
+        step = max(1, min(DOC_BATCH, STEP_CELLS // max(len(queries), len(terms), 1)))
         for batch in batches:
-            for begin in range(0, batch.num_rows, DOC_BATCH):
-                part = batch.slice(begin, DOC_BATCH)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 lists = part.column(2)
                 sizes = np.asarray(lists.value_lengths().fill_null(0))
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
                 known = terms[at] == flat
                 doc = np.repeat(np.arange(len(sizes)), sizes)[known]
-                tf = np.bincount(doc * len(terms) + at[known], minlength=len(sizes) * len(terms)).reshape(len(sizes), -1)
+                held_at, tf = np.unique(doc * len(terms) + at[known], return_counts=True)
                 length = K1 * (1 - B + B * np.asarray(part.column(1), float) / (avgdl or 1.0))
-                scores = ((tf * (K1 + 1) / (tf + length[:, None])) @ matrix).T
+                parts = np.zeros((len(sizes), len(terms)))
+                parts.reshape(-1)[held_at] = tf * (K1 + 1) / (tf + length[held_at // len(terms)])
+                scores = (parts @ matrix).T
                 scores[scores <= 0] = -np.inf
                 own = np.array(part.column(0).to_pylist(), object)
                 best, ids = np.hstack([best, scores]), np.hstack([ids, np.broadcast_to(own, scores.shape)])
@@ -187,17 +192,30 @@ def recall_over(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id") ->
     return lambda asked, k: _best(held, _numbered(asked), wanted, k, id_col)
 
 
+def _term_blocks(rows: Iterator) -> Iterator[list[tuple]]:
+    """Rows (query_no, term_no, w), which stand together by query, in blocks of whole
+    queries: of about ``BLOCK_TERMS`` rows, and of a table of distinct terms and
+    queries that has no more than ``BLOCK_CELLS`` cells, whatever the number of queries."""
+    block, terms, n_queries = [], set(), 0
+    for _, own in groupby(rows, lambda r: r[0]):
+        own = [tuple(r) for r in own]
+        new = {r[1] for r in own} - terms
+        if block and (len(block) >= BLOCK_TERMS or (len(terms) + len(new)) * (n_queries + 1) > BLOCK_CELLS):
+            yield block
+            block, terms, n_queries = [], set(), 0
+        block += own
+        terms.update(r[1] for r in own)
+        n_queries += 1
+    if block:
+        yield block
+
+
 def _best(held: DataFrame, terms: DataFrame, wanted: DataFrame, k: int, id_col: str) -> DataFrame:
     weights, avgdl = _weights(held, terms, wanted)
     numbers = weights.select("query_no", "query_id").distinct()
-    parts, block = [], []
-    for r in weights.orderBy("query_no", "term_no").toLocalIterator():
-        if block and len(block) >= BLOCK_TERMS and r.query_no != block[-1][0]:
-            parts.append(_best_of_block(held, block, avgdl, k, id_col))
-            block = []
-        block.append((r.query_no, r.term_no, r.w))
-    if block or not parts:
-        parts.append(_best_of_block(held, block, avgdl, k, id_col))
+    rows = weights.select("query_no", "term_no", "w").orderBy("query_no", "term_no").toLocalIterator()
+    parts = [_best_of_block(held, block, avgdl, k, id_col) for block in _term_blocks(rows)]
+    parts = parts or [_best_of_block(held, [], avgdl, k, id_col)]
     best = reduce(DataFrame.unionAll, parts).join(numbers, "query_no")
     return top_k(best.select("query_id", id_col, "score"), k, id_col)
 

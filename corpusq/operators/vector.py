@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4_096
+#: Vectors of a step, and cells of its table of queries and vectors.
+STEP, STEP_CELLS = 2_048, 1_000_000
 
 
 def _block_top_k(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
@@ -27,13 +29,10 @@ def _block_top_k(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int
         own_ids, own = sent.value
         best_d = np.full((len(own_ids), 0), np.inf)
         best_i = np.zeros((len(own_ids), 0), np.int64)
+        step = max(1, min(STEP, STEP_CELLS // max(len(own_ids), 1)))
         for batch in batches:
-            others = np.array(batch.column(0).to_pylist(), np.int64)
-            if not len(others):
-                continue
-            rows = np.array(batch.column(1).to_pylist(), np.float64)
-            for begin in range(0, len(others), 2048):
-                part, part_ids = rows[begin : begin + 2048], others[begin : begin + 2048]
+            for begin in range(0, batch.num_rows, step):
+                part_ids, part = (np.array(c.to_pylist(), t) for c, t in zip(batch.slice(begin, step).columns, (np.int64, np.float64)))
                 squares = np.square(own).sum(1)[:, None] + np.square(part).sum(1)[None] - 2 * own @ part.T
                 if exclude_self:
                     squares[own_ids[:, None] == part_ids[None]] = np.inf

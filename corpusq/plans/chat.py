@@ -9,12 +9,14 @@ from corpusq.functions.text import candidate_names
 from corpusq.operators import chunking, graph, lexical, search, vector
 from corpusq.plans.graphs import document_graphs, entity_graph
 from corpusq.registry import query
-from corpusq.tables import written
+from corpusq.tables import planned, written
 
 #: Contexts of a query; each recall gives four times as many hits.
 CONTEXTS = 5
 #: Bits of a chunk's id that number it within its document, and chunks of a parent.
 CHUNK_BITS, FAMILY = 24, 8
+#: Documents that the chunker takes at once.
+TEXTS = "1000"
 
 
 def chat_chunks(spark, sf_dir):
@@ -27,7 +29,8 @@ def chat_chunks(spark, sf_dir):
         "doc_id", "chunk_index", "start_at", "end_at", "content", (number + F.col("chunk_index")).alias("id"),
         F.when(F.pmod("doc_id", F.lit(2)) == 1, family).alias("parent_id"),
     )
-    return written(cut, "chat-chunks")
+    with planned(spark, spark__sql__execution__arrow__maxRecordsPerBatch=TEXTS):
+        return written(cut, "chat-chunks")
 
 
 def _related(near, hits):

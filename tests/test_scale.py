@@ -2,7 +2,10 @@
 
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpusq import registry
-from corpusq.operators import chunking, graph, lexical, retrieval_context, wiki
+from corpusq.operators import chunking, graph, lexical, retrieval_context, vector, wiki
+from corpusq.plans import chat
 
 
 def test_usage_insert_large_ids(spark, sf, tmp_path):
@@ -157,3 +161,76 @@ def test_substring_scores_as_a_plain_version(spark, monkeypatch, block, known):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     out = lexical.substring_scores(docs, spark.createDataFrame(asked, "query_id long, query string")).collect()
     assert {(r.query_id, r.doc_id): r.score for r in out} == expected and len(out) == len(expected)
+
+
+class Sent(Step):
+    """A step whose broadcasts stay where they are."""
+
+    sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+
+def _most_mb(run, batch):
+    """What a task's function makes of a batch, and the MB that it holds at most."""
+    tracemalloc.start()
+    try:
+        rows = [r for b in run(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_neighbours_of_many_queries_in_bounded_tables(spark):
+    """A whole block of queries is compared with as many vectors at once as a table of fixed size has room for."""
+    draw = np.random.default_rng(3)
+    own, others = draw.integers(0, 9, (vector.QUERY_BLOCK, 4)).astype(float), draw.integers(0, 9, (2_500, 4)).astype(float)
+    batch = pa.record_batch({"vec_id": range(len(others)), "embedding": others.tolist()})
+    rows, mb = _most_mb(vector._block_top_k(Sent("vec_id long, embedding array<double>"), np.arange(len(own)), own, 3, False), batch)
+    assert mb < 150
+    for q in (0, 77, 4_095):
+        distances = np.sqrt(np.square(others - own[q]).sum(1))
+        assert [v for x, v, _ in rows if x == q] == np.lexsort((np.arange(len(others)), distances))[:3].tolist()
+
+
+def test_scores_of_many_terms_in_bounded_tables(spark):
+    """Documents are scored as many at once as a table of fixed size has room for."""
+    block = [(t // 30, t, 1.0 + t % 7) for t in range(15_000)]
+    held = [[t for t in (d, d, d + 31, 14_000)] for d in range(1_500)]
+    batch = pa.record_batch({"doc_id": range(1_500), "dl": [4] * 1_500, "held": held})
+    rows, mb = _most_mb(lexical._best_of_block(Sent("doc_id long, dl long, held array<long>"), block, 4.0, 2, "doc_id"), batch)
+    assert mb < 130
+    part = {n: n * (lexical.K1 + 1) / (n + lexical.K1) for n in (1, 2)}
+    for q in (0, 1, 40):
+        scores = {}
+        for d, terms in enumerate(held):
+            scores[d] = sum(part[terms.count(t)] * (1.0 + t % 7) for t in set(terms) if t // 30 == q)
+        best = sorted((d for d in scores if scores[d] > 0), key=lambda d: (-round(scores[d], 9), d))[:2]
+        assert sorted(d for x, d, _ in rows if x == q) == sorted(best)
+
+
+def test_queries_of_one_word_in_bounded_blocks(spark, monkeypatch):
+    """Many queries of few words are dealt to blocks by the size of their table, not by their words alone."""
+    n, cells, inner = 3_000, [], lexical._best_of_block
+
+    def block_of(held, block, *rest):
+        cells.append(len({r[0] for r in block}) * len({r[1] for r in block}))
+        return inner(held, block, *rest)
+
+    monkeypatch.setattr(lexical, "_best_of_block", block_of)
+    asked = spark.createDataFrame([(i, f"word{i}") for i in range(n)], "query_id long, query string")
+    docs = spark.createDataFrame([(d, "", " ".join(f"word{i}" for i in range(d, n, 10))) for d in range(10)], "doc_id long, title string, text string")
+    found = {r.query_id: r.doc_id for r in lexical.bm25_top_k(docs, asked, 2).collect()}
+    assert max(cells) <= 4_000_000 and found == {i: i % 10 for i in range(n)}
+
+
+def test_chat_cuts_few_texts_at_once(spark, sf, monkeypatch):
+    """Texts reach the chunker a thousand at a time, and the setting goes back afterwards."""
+    name, seen, inner = "spark.sql.execution.arrow.maxRecordsPerBatch", [], chat.written
+    before = spark.conf.get(name)
+
+    def put(df, table):
+        seen.append(spark.conf.get(name))
+        return inner(df, table)
+
+    monkeypatch.setattr(chat, "written", put)
+    chat.chat_chunks(spark, sf)
+    assert seen == [chat.TEXTS] and int(chat.TEXTS) < int(before) and spark.conf.get(name) == before
